@@ -16,7 +16,7 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark, rows=500):
+def small_batches(spark, rows=256):
     """Python workers get few rows at once, as single texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

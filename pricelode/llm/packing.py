@@ -58,3 +58,87 @@ def sum_of_squares(lengths, capacity=CAPACITY):
         bins.append(number)
         offsets.append(filled)
     return bins, offsets
+
+
+def token_pieces(docs, tokenizer_path, id_col="doc_id", text_col="text", capacity=CAPACITY, end=_END):
+    """Per piece: id, piece, start, length, ids_crc32, nth (a number that parts repeated rows)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = WordEncoder(tokenizer_path, lambda ids: array("I", ids).tobytes(), b"".join)
+        size = 4 * capacity
+        for batch in batches:
+            at, piece, length, crc = [], [], [], []
+            for k, ids in enumerate(encoder.batch(batch["text"].tolist())):
+                ids += end
+                for start in range(0, len(ids), size):
+                    part = ids[start : start + size]
+                    at.append(k)
+                    piece.append(start // size)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            piece = np.array(piece, dtype=np.int32)
+            yield pd.DataFrame({"id": batch["id"].take(at).to_numpy(), "piece": piece, "start": piece.astype(np.int64) * capacity, "length": np.array(length, dtype=np.int64), "ids_crc32": np.array(crc, dtype=np.int64), "nth": np.array(at, dtype=np.int32)})
+
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = narrow.schema["id"].dataType.simpleString()
+    return narrow.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, nth int")
+
+
+def _pack_shards(items, shards, round_no, capacity):
+    """items with new sequence_id, offset and gap; every shard is packed in one call, longest first."""
+    base = round_no << 58
+
+    def run(key, group):
+        group = group.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable")
+        bins, offsets = sum_of_squares(group["length"].tolist(), capacity)
+        bins = np.array(bins, dtype=np.int64)
+        used = np.bincount(bins, weights=group["length"].to_numpy()).astype(np.int64)
+        return group.assign(sequence_id=base + (key[0] << 26) + bins, offset=np.array(offsets, dtype=np.int64), gap=capacity - used[bins]).drop(columns="shard")
+
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "nth", F.lit(round_no)), F.lit(shards)))
+    kind = items.schema["id"].dataType.simpleString()
+    return dealt.groupBy("shard").applyInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, nth int, sequence_id long, offset long, gap long")
+
+
+def pack_documents(docs, tokenizer_path, id_col="doc_id", text_col="text", capacity=CAPACITY, shard_items=SHARD_ITEMS, loose=0.01):
+    """Cut token sequences into pieces of at most `capacity` and pack them by sum of squares.
+
+    Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
+    A null or empty text gives one piece that holds the end token alone.
+    Repeated rows are packed as often as they come; an empty table gives an
+    empty result; further columns of docs are ignored. Equal lengths go in the
+    order of id and piece. Bins with a gap above `loose` of the capacity are
+    opened and packed again together with those of other shards, as long as
+    that needs at most half as many shards as before.
+    """
+    items = durable(token_pieces(docs, tokenizer_path, id_col, text_col, capacity))
+    shards, done, round_no = max(1, -(-items.count() // shard_items)), [], 0
+    while True:
+        packed = _pack_shards(items, shards, round_no, capacity)
+        if shards == 1:
+            done.append(packed)
+            break
+        packed = durable(packed)
+        is_loose = F.col("gap") > loose * capacity
+        left = packed.where(is_loose).count()
+        fewer = max(1, -(-left // shard_items))
+        if not left or 2 * fewer > shards:
+            done.append(packed)
+            break
+        done.append(packed.where(~is_loose))
+        items = packed.where(is_loose).drop("sequence_id", "offset", "gap")
+        shards, round_no = fewer, round_no + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op1_sum_of_squares_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .common import table
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -1,10 +1,11 @@
 """Queries of this package by name, and the SQL that each must equal where SQL can express it."""
 
-from . import token_counts
+from . import packing, token_counts
 
 
 def queries():
     return {
+        "op1_sum_of_squares_packing": packing.op1_sum_of_squares_packing,
         "op7_whole_token_counts": token_counts.op7_whole_token_counts,
     }
 

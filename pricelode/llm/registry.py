@@ -1,15 +1,16 @@
 """Queries of this package by name, and the SQL that each must equal where SQL can express it."""
 
-from . import mixing, packing, token_counts
+from . import mixing, packing, token_counts, url_filter
 
 
 def queries():
     return {
         "op1_sum_of_squares_packing": packing.op1_sum_of_squares_packing,
+        "op6_redirect_equivalence": url_filter.op6_redirect_equivalence,
         "op7_whole_token_counts": token_counts.op7_whole_token_counts,
         "op9_systematic_mixture": mixing.op9_systematic_mixture,
     }
 
 
 def oracle_sql():
-    return {"op9_systematic_mixture": mixing.OP9_SQL}
+    return {"op6_redirect_equivalence": url_filter.OP6_SQL, "op9_systematic_mixture": mixing.OP9_SQL}

@@ -1,6 +1,6 @@
 """Queries of this package by name, and the SQL that each must equal where SQL can express it."""
 
-from . import mixing, packing, token_counts, url_filter
+from . import media, mixing, packing, token_counts, url_filter
 
 
 def queries():
@@ -9,6 +9,7 @@ def queries():
         "op6_redirect_equivalence": url_filter.op6_redirect_equivalence,
         "op7_whole_token_counts": token_counts.op7_whole_token_counts,
         "op9_systematic_mixture": mixing.op9_systematic_mixture,
+        "op10_lossless_webp": media.op10_lossless_webp,
     }
 
 

@@ -1,12 +1,13 @@
 """Queries of this package by name, and the SQL that each must equal where SQL can express it."""
 
-from . import media, mixing, packing, token_counts, topk, url_filter
+from . import media, mixing, packing, simhash, token_counts, topk, url_filter
 
 
 def queries():
     return {
         "op1_sum_of_squares_packing": packing.op1_sum_of_squares_packing,
         "op3_branch_and_bound": topk.op3_branch_and_bound,
+        "op5_simhash_vantage_trees": simhash.op5_simhash_vantage_trees,
         "op6_redirect_equivalence": url_filter.op6_redirect_equivalence,
         "op7_whole_token_counts": token_counts.op7_whole_token_counts,
         "op9_systematic_mixture": mixing.op9_systematic_mixture,

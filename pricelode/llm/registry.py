@@ -1,6 +1,6 @@
 """Queries of this package by name, and the SQL that each must equal where SQL can express it."""
 
-from . import media, mixing, packing, simhash, token_counts, topk, url_filter
+from . import katz, media, mixing, packing, simhash, token_counts, topk, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op5_simhash_vantage_trees": simhash.op5_simhash_vantage_trees,
         "op6_redirect_equivalence": url_filter.op6_redirect_equivalence,
         "op7_whole_token_counts": token_counts.op7_whole_token_counts,
+        "op8_katz_backoff": katz.op8_katz_backoff,
         "op9_systematic_mixture": mixing.op9_systematic_mixture,
         "op10_lossless_webp": media.op10_lossless_webp,
     }

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, durable, small_batches, table
+from .common import durable, small_batches, table
 from .components import connected_components
 
 RADIUS = 4
@@ -36,8 +36,6 @@ LEAF_ROWS = 2_048
 #: A leaf above this many rows is split into blocks.
 BLOCK_ROWS = 4_096
 SEED = 42
-_SPACE = " \t\n\x0b\x0c\r"
-_FOLD = str.maketrans(UPPER + _SPACE, LOWER + " " * len(_SPACE))
 
 
 def fingerprint(text, shingle=SHINGLE, seed=SEED):
@@ -45,7 +43,7 @@ def fingerprint(text, shingle=SHINGLE, seed=SEED):
     import xxhash
 
     # Words by single spaces: every shingle is then a slice of one byte string.
-    data = b" ".join(x for x in (text or "").translate(_FOLD).encode().split(b" ") if x)
+    data = b" ".join((text or "").encode().lower().split())  # bytes know ASCII letters and white space only
     if not data:
         return 0
     gaps = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)

@@ -5,9 +5,8 @@ machines between pairs of families; then machines between pairs of the
 languages of that family decide among close relatives. Features are hashed
 character n-grams within words, lengths 1 to 4.
 
-Machines are fitted on the driver on a bounded sample of labelled texts:
-SAMPLE_PER_LANGUAGE texts per language, each cut to SAMPLE_CHARS characters for
-fitting. Predictions use whole texts.
+Machines are fitted on the driver on the feature vectors of a bounded sample of
+labelled texts, SAMPLE_PER_LANGUAGE whole texts of each language.
 """
 
 import itertools
@@ -37,9 +36,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-DIMS = 8_192
+DIMS = 4_096
 SAMPLE_PER_LANGUAGE = 1_200
-SAMPLE_CHARS = 4_000
 STRENGTH = 1e-4
 STEPS = 120
 UNKNOWN = "und"
@@ -60,7 +58,7 @@ def ngram_counts(text):
         if len(raw) < n:
             break
         code = code[: len(raw) - n + 1] * np.uint64(256) + raw[n - 1 :]
-        slots = ((code + np.uint64(n)) * factor & np.uint64(0xFFFFFFFF)) >> np.uint64(19)
+        slots = ((code + np.uint64(n)) * factor & np.uint64(0xFFFFFFFF)) >> np.uint64(20)
         counts += np.bincount(slots.astype(np.int64), minlength=DIMS)
     counts = np.sqrt(counts)
     return (counts / (np.sqrt((counts**2).sum()) or 1.0)).astype(np.float32)
@@ -113,8 +111,8 @@ class Machines:
 class LanguageModel:
     """Families first, then the languages of the predicted family."""
 
-    def __init__(self, texts, langs):
-        x = np.array([ngram_counts(t) for t in texts], dtype=np.float32).reshape(-1, DIMS)
+    def __init__(self, vectors, langs):
+        x = np.array(vectors, dtype=np.float32).reshape(-1, DIMS)
         langs = np.array(langs, dtype=object)
         self.families = sorted({FAMILY_OF.get(code, code) for code in langs})
         family = np.array([self.families.index(FAMILY_OF.get(code, code)) for code in langs], dtype=np.int64)
@@ -152,10 +150,17 @@ def fit_languages(docs, learn, id_col="doc_id", text_col="text", lang_col="lang"
     pick = F.lit(False)
     for lang, n in sorted(sizes.items()):
         pick = pick | ((F.col(lang_col) == lang) & (F.pmod(draw, F.lit(max(1, n // (2 * per_language)))) == 0))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
-    some = rows.where(pick).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col(id_col), F.lit(12)).alias("draw"))
-    some = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text").orderBy("lang", "text").toPandas()
-    return LanguageModel(some["text"].tolist(), some["lang"].tolist())
+    some = rows.where(pick).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(12)).alias("draw"))
+    small_batches(docs.sparkSession)
+
+    def vectors(batches):
+        for batch in batches:
+            yield pd.DataFrame({"lang": batch["lang"], "draw": batch["draw"], "vector": [ngram_counts(t).astype(np.float16).tobytes() for t in batch["text"]]})
+
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "vector"))
+    some = some.mapInPandas(vectors, "lang string, draw long, vector binary").withColumn("rank", rank).where(F.col("rank") <= per_language)
+    some = some.select("lang", "vector").orderBy("lang", "vector").toPandas()
+    return LanguageModel([np.frombuffer(v, dtype=np.float16) for v in some["vector"]], some["lang"].tolist())
 
 
 def identify_languages(docs, model, text_col="text"):

@@ -1,11 +1,12 @@
 """Queries of this package by name, and the SQL that each must equal where SQL can express it."""
 
-from . import katz, language, media, mixing, packing, simhash, token_counts, topk, url_filter
+from . import html_text, katz, language, media, mixing, packing, simhash, token_counts, topk, url_filter
 
 
 def queries():
     return {
         "op1_sum_of_squares_packing": packing.op1_sum_of_squares_packing,
+        "op2_block_tree": html_text.op2_block_tree,
         "op3_branch_and_bound": topk.op3_branch_and_bound,
         "op4_hierarchical_svm": language.op4_hierarchical_svm,
         "op5_simhash_vantage_trees": simhash.op5_simhash_vantage_trees,

@@ -215,14 +215,16 @@ def labelled_pages(count=60, seed=7):
         after = draw.choice(("", f"<div class='comments'><p>{_words(some(1, 60))}</p><p>{_words(some(1, 30))}</p></div>", f"<footer>{_words(some(2, 12))}</footer>")) if how < 2 else ""
         body = head + _article(*sizes[: len(sizes) // 2]) + within + draw.choice((linked, listed, "")) + _article(*sizes[len(sizes) // 2 :]) + after
         notice = f"<div class='{draw.choice(('cookie-notice', 'banner', 'ad', 'alert'))}'>{_words(some(3, 50))}</div>"
-        side = f"<p>{_words(some(3, 70))}</p>" + _menu(some(1, 4))
+        side = f"<h3>{_words(some(1, 6))}</h3><p>{_words(some(3, 70))}</p>" + _menu(some(1, 4))
         if how == 0:
-            page = [f"<header><a href='/'>{_words(2)}</a><p>{_words(some(1, 20))}</p></header>", f"<nav>{_menu(some(2, 9))}</nav>", notice, f"<article>{body}</article>", f"<aside>{side}</aside>", f"<section id='comments'><p>{_words(some(1, 60))}</p></section>", f"<form><p>{_words(some(1, 30))}</p></form>", f"<footer>{_words(some(2, 30))}</footer>"]
+            page = [f"<header><a href='/'>{_words(2)}</a><h1>{_words(some(1, 6))}</h1><p>{_words(some(1, 20))}</p></header>", f"<nav>{_menu(some(2, 9))}</nav>", notice, f"<article>{body}</article>", f"<aside>{side}</aside>", f"<section id='comments'><p>{_words(some(1, 60))}</p></section>", f"<form><p>{_words(some(1, 30))}</p></form>", f"<footer>{_words(some(2, 30))}</footer>"]
         elif how == 1:
             page = [f"<div id='masthead'>{_words(some(1, 15))}</div>", f"<div id='top-menu'>{_menu(some(2, 9))}</div>", notice, f"<div class='{draw.choice(('content', 'post-body', 'entry'))}'>{body}</div>", f"<div class='sidebar'>{side}</div>", f"<div class='comment-list'><div>{_words(some(1, 60))}</div></div>", f"<div id='footer'>{_words(some(2, 30))}</div>"]
         else:
             row = "".join(f"<td><a href='/'>{_words(some(1, 2))}</a></td>" for _ in range(some(2, 7)))
             page = [f"<table><tr>{row}</tr></table>", f"<div>{body}</div>", f"<div>{_menu(some(3, 9))}</div>", f"<p><a href='z'>{_words(some(2, 7))}</a> {_words(1)}</p>", f"<div>{_words(some(1, 4))} <a href='q'>{_words(some(4, 9))}</a></div>", f"<div>{_words(some(2, 6))}</div>"]
+            if draw.random() < 0.4:  # nothing but a text
+                page = [_article(some(1, 40))]
         if how < 2:
             page = [x for x in page if x.startswith(("<article", "<div class='content", "<div class='post", "<div class='entry")) or draw.random() < 0.75]
         pages.append("<body>" + "".join(page) + "</body>")

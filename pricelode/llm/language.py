@@ -89,7 +89,7 @@ class Machines:
         for a, b in self.pairs:
             some = (labels == a) | (labels == b)
             weights.append(fit_machine(x[some], np.where(labels[some] == a, 1.0, -1.0)))
-        self.weights = np.array(weights, dtype=np.float32).reshape(len(self.pairs), -1)
+        self.weights = np.array(weights, dtype=np.float32)
 
     def decide(self, x):
         """Class number and confidence of each row: the least of the winner's own chances in its duels."""
@@ -178,8 +178,8 @@ def identify_languages(docs, model, text_col="text"):
             yield batch.drop(columns="text").assign(lang_pred=names, score=scores)
 
     rows = docs.select(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInPandas(run, f"{kinds}, lang_pred string, score double")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
+    return rows.mapInPandas(run, ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
 def fold(id_col="doc_id"):

@@ -88,11 +88,13 @@ class _Code:
         used = [s for s, n in enumerate(lengths) if n]
         if len(used) < 2:  # takes no bits
             self.bits, self.symbols, self.sizes = 0, np.array([used[0] if used else 0], dtype=np.int32), np.zeros(1, dtype=np.int32)
+            self.mask, self.largest = np.uint32(0), used[0] if used else 0
             return
         self.bits = max(lengths)
         if sum(1 << (self.bits - lengths[s]) for s in used) != 1 << self.bits:
             raise ValueError("a prefix code is not complete")
         size = 1 << self.bits
+        self.mask, self.largest = np.uint32(size - 1), used[-1]
         self.symbols, self.sizes = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
         codes = _canonical(lengths)
         for s in used:
@@ -101,7 +103,7 @@ class _Code:
 
     @classmethod
     def of(cls, lengths):
-        key = bytes(lengths)
+        key = bytes(lengths).rstrip(b"\0")
         if key not in cls.cache:
             if len(cls.cache) > 64:
                 cls.cache.clear()
@@ -183,44 +185,41 @@ class _Group:
     def __init__(self, codes):
         self.codes = codes
 
-    def lay_out(self, windows):
-        """windows: the 40 bits or more from each bit on, int64."""
-        here, last = np.arange(len(windows), dtype=np.int64), len(windows) - 1
+    def lay_out(self, windows, bits):
+        """windows: the 32 bits from each bit on, uint32, with 64 more at the end than the stream has bits."""
+        here = np.arange(bits, dtype=np.int32)
+        green, red, blue, alpha, distance = self.codes
 
-        def step(code, at):
-            k = windows[at] & ((1 << code.bits) - 1)
-            return code.symbols[k], np.minimum(at + code.sizes[k], last)
+        def pass_by(code, at):
+            return at + code.sizes[windows[at] & code.mask] if code.bits else at
 
-        green, red, blue, alpha, distance = self.codes
-        sym, at = step(green, here)
-        literal = at
-        for code in (red, blue, alpha):
-            if code.bits:
-                literal = step(code, literal)[1]
+        k = windows[:bits] & green.mask
+        sym, at = green.symbols[k], here + green.sizes[k]
         self.symbol, self.after_green = sym, at
-        following = np.where(sym < 256, literal, at)
-        if green.symbols.max() >= 256:
+        following = pass_by(alpha, pass_by(blue, pass_by(red, at)))
+        if green.largest >= 256:
+            following = np.where(sym < 256, following, at)
             copies = np.flatnonzero((sym >= 256) & (sym < 256 + _LENGTHS))
             if len(copies):
-                start = at[copies]
-                length, extra = _prefix_value((sym[copies] - 256).astype(np.int64), windows[start])
-                start = np.minimum(start + extra, last)
-                prefix, start = step(distance, start)
-                far, extra = _prefix_value(prefix.astype(np.int64), windows[start])
-                following[copies] = np.minimum(start + extra, last)
-                self.copy = np.full(len(windows), -1, dtype=np.int64)
+                start = at[copies].astype(np.int64)
+                length, extra = _prefix_value((sym[copies] - 256).astype(np.int64), windows[start].astype(np.int64))
+                start = start + np.minimum(extra, 18)
+                prefix = distance.symbols[windows[start] & distance.mask]
+                start = pass_by(distance, start)
+                far, extra = _prefix_value(prefix.astype(np.int64), windows[start].astype(np.int64))
+                following[copies] = start + np.minimum(extra, 18)
+                self.copy = np.full(bits, -1, dtype=np.int32)
                 self.copy[copies] = np.arange(len(copies))
                 self.copy_length, self.copy_far = length, far
         self.following = following
 
     def literals(self, windows, at):
         """Pixels of the literals that begin at these bits."""
-        green, red, blue, alpha, _ = self.codes
         values, place = [self.symbol[at]], self.after_green[at]
-        for code in (red, blue, alpha):
-            k = windows[place] & ((1 << code.bits) - 1)
+        for code in self.codes[1:4]:
+            k = windows[place] & code.mask
             values.append(code.symbols[k])
-            place = np.minimum(place + code.sizes[k], len(windows) - 1)
+            place = place + code.sizes[k]
         g, r, b, a = values
         return _join(a, r, g, b)
 
@@ -239,24 +238,25 @@ def _read_pixels(bits, width, height, main):
     alphabets = (256 + _LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, _DISTANCES)
     tables = [_Group(_read_codes(bits, alphabets)) for _ in range(groups)]
 
-    first, data = bits.at, bits.data
-    raw = np.frombuffer(data[first >> 3 :] + bytes(8), dtype=np.uint8)
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view("<u8")[:, 0]
-    at = np.arange((first & 7), 8 * (len(raw) - 8) + 1, dtype=np.int64)
-    windows = (words[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << 48) - 1)
+    first, rest = bits.at, bits.data[bits.at >> 3 :]
+    size = 8 * len(rest) - (first & 7) + 1
+    words = np.ndarray((len(rest) + 8,), dtype="<u8", buffer=rest + bytes(16), strides=(1,))
+    windows = np.right_shift.outer(words, np.arange(8, dtype=np.uint64)).astype(np.uint32).ravel()[first & 7 :]
     for g in tables:
-        g.lay_out(windows)
+        g.lay_out(windows, size)
 
     # Follow the symbols. In a plain stream every one is a pixel.
-    follow = [g.following.tolist() for g in tables]
-    plain = groups == 1 and tables[0].codes[0].symbols.max() < 256
-    if plain:
+    follow = [memoryview(g.following) for g in tables]
+    if groups == 1 and tables[0].codes[0].largest < 256:
         places, next_place, p = [0] * total, follow[0], 0
-        for k in range(total):
-            places[k] = p
-            p = next_place[p]
+        try:
+            for k in range(total):
+                places[k] = p
+                p = next_place[p]
+        except IndexError:
+            raise ValueError("the stream ends early") from None
         bits.at = first + p
-        return tables[0].literals(windows, np.array(places, dtype=np.int64))
+        return tables[0].literals(windows, np.array(places, dtype=np.int32))
 
     out = np.zeros(total, dtype=np.uint32)
     seen = []  # place in the stream, pixel, group
@@ -264,6 +264,8 @@ def _read_pixels(bits, width, height, main):
     symbols = [g.symbol for g in tables]
     while k < total:
         g = of_tile[((k // width) >> tile_bits) * tiles_wide + ((k % width) >> tile_bits)] if of_tile else 0
+        if p >= size:
+            raise ValueError("the stream ends early")
         seen.append((p, k, g))
         s = symbols[g][p]
         if 256 <= s < 256 + _LENGTHS:
@@ -599,7 +601,7 @@ def _put_pixels(out, pixels, width, main, cache_bits=0, copies=(), tiles=None):
         if main and not tiles:  # one code serves all channels, as their values are much alike
             counts[:256] += sum(plain)
             plain = [counts[:256]] * 3
-        memo, lengths = {}, []
+        memo, lengths = {}, []  # by the used part of the counts
         for c in (counts, *plain):
             key = np.trim_zeros(c, "b").tobytes()
             if key not in memo:

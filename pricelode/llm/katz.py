@@ -45,8 +45,8 @@ from .common import small_batches, table
 #: Good-Turing is used up to this count; larger counts lose LARGE.
 K = 5
 LARGE = 0.5
-UNIT_TOKENS = 2_000_000
-PART_BYTES = 18_000_000
+UNIT_TOKENS = 1_000_000
+PART_BYTES = 9_000_000
 SAMPLE_DOCS = 2_000
 HOT_WORDS = 1_000
 _END, _START = b"", b" "
@@ -400,12 +400,14 @@ def score_texts(docs, train, id_col="doc_id", text_col="text"):
     units = rows.mapInPandas(_units(parts, hot), "part int, unit long, blob binary")
     tables = units.groupBy("part")
     stats = tables.applyInPandas(_answers_stats(parts), ", ".join(f"{k} long" for k in _STATS))
-    stats = stats.agg(*[F.sum(k).alias(k) for k in _STATS]).withColumn("one", F.lit(1))
-    with_stats = lambda df: df.withColumn("one", F.lit(1)).join(F.broadcast(stats), "one").drop("one")  # noqa: E731  one row
+    stats = stats.agg(*[F.sum(k).alias(k) for k in _STATS])
+    # One row, in a copy for each value of a short key, so that it comes by an equi-join.
+    stats = stats.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    with_stats = lambda df, by: df.withColumn("key", F.pmod(F.hash(by), F.lit(16))).join(F.broadcast(stats), "key").drop("key")
     answer = "unit long, kind int, blob binary"
-    asked = with_stats(tables.applyInPandas(_answers_histories(parts), "part int, blob binary")).groupBy("part").applyInPandas(_answer_asked, answer)
+    asked = with_stats(tables.applyInPandas(_answers_histories(parts), "part int, blob binary"), "part").groupBy("part").applyInPandas(_answer_asked, answer)
     counted = tables.applyInPandas(_answers_units(parts), answer)
-    scored = with_stats(counted.unionByName(asked)).groupBy("unit").applyInPandas(_score_unit, "nth long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = with_stats(counted.unionByName(asked), "unit").groupBy("unit").applyInPandas(_score_unit, "nth long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("nth", F.nullif("nth", no_id)).withColumnRenamed("nth", id_col)
 
 

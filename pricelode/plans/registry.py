@@ -1,9 +1,14 @@
 """All queries of the library and the SQL that each must equal."""
 
+from . import basic, ingest, market, scores
+from .catalog import ORACLES, QUERIES
+
+_LOADED = (basic, ingest, market, scores)
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)

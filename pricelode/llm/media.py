@@ -26,7 +26,8 @@ def images_payload(images):
 def pick_tools(image):
     """Encoder tools that pay: a palette for few colours, copies where much repeats."""
     flat = image.ravel()
-    colours = len(np.unique(flat))
+    ordered = np.sort(flat)
+    colours = 1 + np.count_nonzero(ordered[1:] != ordered[:-1])
     if colours <= 256 and 4 * colours < len(flat):
         return {"palette": True, "copies": True, "cache_bits": 0}
     copies = webp.find_copies(flat)

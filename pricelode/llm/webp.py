@@ -42,15 +42,18 @@ def _join(a, r, g, b):
     return (a << np.uint32(24)) | (r << np.uint32(16)) | (g << np.uint32(8)) | b
 
 
+_BACKWARDS = [int(format(k, "08b")[::-1], 2) for k in range(256)]
+
+
 def _canonical(lengths):
     """Code of every symbol as the stream holds it: first bit lowest."""
     codes, code = [0] * len(lengths), 0
-    order = sorted((n, s) for s, n in enumerate(lengths) if n)
+    order = sorted([(n, s) for s, n in enumerate(lengths) if n])
     last = order[0][0] if order else 0
     for n, s in order:
         code <<= n - last
         last = n
-        codes[s] = int(format(code, f"0{n}b")[::-1], 2)
+        codes[s] = (_BACKWARDS[code & 255] << 8 | _BACKWARDS[code >> 8]) >> (16 - n)
         code += 1
     return codes
 
@@ -493,6 +496,7 @@ def _code_lengths(counts):
 # Lengths of the code of code lengths that the encoder writes always: a complete code of 18 symbols.
 _OWN = [4] * 13 + [5, 5, 5, 0, 5, 4]
 _OWN_CODES = _canonical(_OWN)
+_OWN_HEAD = [_OWN[s] for s in _CODE_LENGTH_ORDER]
 
 
 def _code_description(lengths):
@@ -505,8 +509,7 @@ def _code_description(lengths):
         if len(used) == 2:
             out.put(used[1], 8)
     else:
-        head = [_OWN[s] for s in _CODE_LENGTH_ORDER]
-        values, sizes = [0, 15, *head, 0], [1, 4, *[3] * 19, 1]
+        values, sizes = [0, 15, *_OWN_HEAD, 0], [1, 4, *[3] * 19, 1]
         at, end = 0, len(lengths)
         while at < end:
             n = lengths[at]
@@ -524,7 +527,7 @@ def _code_description(lengths):
             values.append(_OWN_CODES[s] | (run - least) << _OWN[s])
             sizes.append(_OWN[s] + extra)
             at += run
-        out.put_all(np.array(values, dtype=np.int64), np.array(sizes, dtype=np.int64))
+        out.put_all(*np.array([values, sizes], dtype=np.int64))
     codes = np.array(_canonical(lengths), dtype=np.int64)
     sizes = np.array(lengths if len(used) > 1 else [0] * len(lengths), dtype=np.int64)
     return np.concatenate(out.values), np.concatenate(out.sizes), (codes, sizes)
@@ -601,12 +604,13 @@ def _put_pixels(out, pixels, width, main, cache_bits=0, copies=(), tiles=None):
         if main and not tiles:  # one code serves all channels, as their values are much alike
             counts[:256] += sum(plain)
             plain = [counts[:256]] * 3
-        memo, lengths = {}, []  # by the used part of the counts
+        memo, lengths = {}, []
         for c in (counts, *plain):
-            key = np.trim_zeros(c, "b").tobytes()
+            used = c if c[256:].any() else c[:256]
+            key = used.tobytes()
             if key not in memo:
-                memo[key] = _code_lengths(c.tolist())
-            lengths.append((memo[key] + [0] * (len(c) - len(memo[key])))[: len(c)])
+                memo[key] = _code_lengths(used.tolist())
+            lengths.append(memo[key] + [0] * (len(c) - len(used)))
         far = np.bincount([extras[k][2] for k in extras if group_of[k] == number], minlength=_DISTANCES)
         lengths.append(_code_lengths(far.tolist()))
         described, five = {}, []

@@ -1 +1,328 @@
-"""Queries."""
+"""Queries: landing, normalisation, upserts and maintenance."""
+
+from pyspark.sql import functions as F
+
+from pricelode.functions import normalize as N
+from pricelode.operators import intervals as I
+from pricelode.operators import maintenance as U
+from pricelode.operators import matching as M
+from pricelode.sources import landing as L
+
+from .catalog import query
+
+CURRENCY_CASE = "CASE WHEN d LIKE '%.kr' THEN 'KRW' WHEN d LIKE '%.jp' THEN 'JPY' WHEN d LIKE '%.de' THEN 'EUR' WHEN d LIKE '%.uk' THEN 'GBP' END"
+
+
+@query("detect_currency", f"SELECT store_id, {CURRENCY_CASE} AS detected FROM (SELECT store_id, domain AS d FROM fx_stores)")
+def detect_currency(fx):
+    return fx.stores.select("store_id", N.detect_currency(F.concat(F.lit("https://"), "domain", F.lit("/x"))).alias("detected"))
+
+
+def rates(fx):
+    return fx.spark.createDataFrame([(k, v) for k, v in N.FALLBACK_RATES.items()], "currency string, rate string")
+
+
+def priced(fx):
+    rows = fx.offers.join(fx.stores.select("store_id", "domain", "currency"), "store_id")
+    # A fifth of the stores state no currency, another states one that is not supported.
+    stated = F.when(F.col("store_id") % 5 == 0, F.lit(None)).when(F.col("store_id") % 5 == 1, F.lit("XYZ")).otherwise(F.col("currency"))
+    rows = rows.select("variant_id", F.col("current_price").alias("price"), F.concat(F.lit("https://"), "domain").alias("url"), stated.alias("api_currency"))
+    return N.normalize_prices(rows, rates(fx))
+
+
+PRICED = f"""fx_rates(currency, rate) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in N.FALLBACK_RATES.items())}),
+ fx_stated AS (SELECT variant_id, current_price AS price, CASE WHEN store_id % 5 IN (0, 1) THEN NULL ELSE currency END AS stated, {CURRENCY_CASE.replace('d LIKE', 'domain LIKE')} AS seen FROM fx_offers JOIN fx_stores USING (store_id)),
+ fx_priced AS (SELECT variant_id, price, coalesce(stated, seen, 'UNKNOWN') AS currency, coalesce(stated, seen) IS NULL AS bad FROM fx_stated)"""
+
+
+@query("normalize_price", f"WITH {PRICED} SELECT variant_id, p.currency, CASE WHEN bad THEN NULL WHEN p.currency = 'USD' THEN price ELSE CAST(CAST(CAST(price AS DECIMAL(12,2)) AS DECIMAL(18,2))::DOUBLE / r.rate::DOUBLE AS DECIMAL(18,6)) END::DECIMAL(18,1)::DOUBLE AS usd, CASE WHEN bad THEN 'unknown_currency' END AS reject_reason FROM fx_priced p LEFT JOIN fx_rates r ON r.currency = p.currency")
+def normalize_price(fx):
+    return priced(fx).select("variant_id", "currency", F.when(F.col("currency") == "USD", F.col("usd_price")).otherwise(F.col("price").cast("double") / F.col("rate").cast("double")).cast("decimal(18,6)").cast("decimal(18,1)").cast("double").alias("usd"), "reject_reason")
+
+
+@query("broadcast_fx", f"WITH {PRICED} SELECT p.currency, count(*) AS n, count(r.rate) AS rated FROM fx_priced p LEFT JOIN fx_rates r ON r.currency = p.currency GROUP BY 1")
+def broadcast_fx(fx):
+    return priced(fx).groupBy("currency").agg(F.count("*").alias("n"), F.count(F.when(F.col("currency") != "USD", F.col("rate"))).alias("rated"))
+
+
+@query("quarantine_currency_errors", f"WITH {PRICED} SELECT variant_id, 'unknown_currency' AS reject_reason FROM fx_priced WHERE bad")
+def quarantine_currency_errors(fx):
+    return L.quarantine(priced(fx))[1].select("variant_id", "reject_reason")
+
+
+@query("with_provenance", f"WITH {PRICED} SELECT variant_id, CASE WHEN currency <> 'USD' THEN 'fixer_io' END AS exchange_rate_source, 'v1' AS parser_version FROM fx_priced WHERE NOT bad")
+def with_provenance(fx):
+    return L.with_provenance(L.quarantine(priced(fx))[0], "v1").select("variant_id", "exchange_rate_source", "parser_version")
+
+
+@query("fx_rebase_to_usd", "WITH q AS (SELECT currency, floor(avg(reliability_score) * 100 + 50) / 100 AS rate FROM fx_stores GROUP BY 1) SELECT currency, round(rate / (SELECT rate FROM q WHERE currency = 'USD'), 5) AS rate FROM q WHERE currency <> 'USD'")
+def fx_rebase_to_usd(fx):
+    quotes = fx.stores.groupBy("currency").agg((F.floor(F.avg(F.col("reliability_score").cast("double")) * 100 + 50) / 100).alias("rate"))
+    usd = quotes.where("currency = 'USD'").select(F.col("rate").alias("usd_rate"), F.lit(1).alias("one"))
+    return quotes.withColumn("one", F.lit(1)).join(usd, "one").where("currency <> 'USD'").select("currency", F.round(F.col("rate") / F.col("usd_rate"), 5).alias("rate"))
+
+
+@query("strip_accents", "SELECT doc_id, strip_accents(lower(regexp_extract(text, '^(\\S+)', 1))) AS word FROM documents WHERE regexp_full_match(regexp_extract(text, '^(\\S+)', 1), '[A-Za-zÀ-ÿ.,]*')")
+def strip_accents(fx):
+    word = F.regexp_extract("text", r"^([^\s]+)", 1)
+    return fx.table("documents").where(word.rlike("^[A-Za-zÀ-ÿ.,]*$")).select("doc_id", N.strip_accents(F.lower(word)).alias("word"))
+
+
+@query("brand_key", "SELECT DISTINCT brand, regexp_replace(regexp_replace(lower(brand), '[^a-z0-9]', '', 'g'), '^by', '') AS brand_key FROM fx_products")
+def brand_key(fx):
+    return fx.products.select("brand").distinct().select("brand", M.brand_key(F.lit(None).cast("string"), F.col("brand")).alias("brand_key"))
+
+
+@query("extract_brand", "SELECT product_id, CASE WHEN product_id % 3 = 0 THEN coalesce(nullif(regexp_extract(trim(canonical_name), '^(\\S+)', 1), ''), 'Unknown') ELSE brand END AS brand FROM fx_products")
+def extract_brand(fx):
+    vendor = F.when(F.col("product_id") % 3 == 0, F.lit("")).otherwise(F.col("brand"))
+    return fx.products.select("product_id", N.extract_brand(vendor, F.col("canonical_name")).alias("brand"))
+
+
+@query("normalize_size", "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN p_size || 'K' WHEN p_partkey % 5 = 0 THEN p_size || '.5W' WHEN p_partkey % 3 = 0 THEN p_size || '.5M' ELSE CAST(p_size AS VARCHAR) END AS size FROM part")
+def normalize_size(fx):
+    key, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    raw = F.when(key % 11 == 0, F.concat(F.lit("$"), n)).when(key % 7 == 0, F.concat(F.lit("0"), n, F.lit(" GS"))).when(key % 5 == 0, F.concat(F.lit("0"), n, F.lit(".5B"))).when(key % 3 == 0, F.concat(F.lit("Sz "), n, F.lit(",50 M"))).otherwise(n)
+    return fx.table("part").select("p_partkey", N.normalize_size(raw).alias("size"))
+
+
+COLOUR_SQL = "CASE WHEN p_name LIKE '%red%' THEN 'RED' WHEN p_name LIKE '%blue%' THEN 'BLUE' WHEN p_name LIKE '%green%' THEN 'GREEN' END"
+
+
+@query("normalize_color", f"SELECT product_id, {COLOUR_SQL.replace('p_name', 'canonical_name')} AS color FROM fx_products")
+def normalize_color(fx):
+    return fx.products.select("product_id", N.normalize_color(F.col("canonical_name")).alias("color"))
+
+
+GENDER_NAMES = {0: " Men's", 1: " wmns", 2: " (GS) ", 3: " unisex", 4: " PSA kids", 5: " men in black"}
+
+
+@query("normalize_gender_age", "SELECT product_id, CASE product_id % 7 WHEN 0 THEN 'MEN' WHEN 1 THEN 'WOMEN' WHEN 2 THEN 'KIDS' WHEN 3 THEN 'UNISEX' ELSE 'UNKNOWN' END AS gender FROM fx_products")
+def normalize_gender_age(fx):
+    n = F.col("product_id") % 7
+    tail = F.coalesce(*[F.when(n == k, F.lit(v)) for k, v in GENDER_NAMES.items()], F.lit(""))
+    return fx.products.select("product_id", N.normalize_gender_age(F.concat("canonical_name", tail)).alias("gender"))
+
+
+@query("normalize_sku", "SELECT DISTINCT sku, upper(trim(sku)) AS nsku FROM fx_variants")
+def normalize_sku(fx):
+    return fx.variants.select("sku", M.normalize_sku(F.col("sku")).alias("nsku")).distinct()
+
+
+@query("classify_gtin_shape", "SELECT variant_id, regexp_full_match(coalesce(ean, ''), '[0-9]{12,14}') AS ean_gtin, regexp_full_match(sku, '[0-9]{12,13}') AS sku_gtin FROM fx_variants")
+def classify_gtin_shape(fx):
+    return fx.variants.select("variant_id", M.is_gtin_ean(F.col("ean")).alias("ean_gtin"), M.is_gtin_sku(F.col("sku")).alias("sku_gtin"))
+
+
+@query("validate_gtin", "SELECT DISTINCT ean, list_sum(list_transform(range(1, 14), lambda i: CAST(ean[i] AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10 = 0 AS valid, 'EAN-13' AS kind FROM fx_variants WHERE ean IS NOT NULL")
+def validate_gtin(fx):
+    return fx.variants.where("ean is not null").select("ean").distinct().select("ean", N.valid_gtin(F.col("ean")).alias("valid"), N.gtin_type(F.col("ean")).alias("kind"))
+
+
+@query("detect_region", "SELECT store_id, CASE WHEN domain LIKE '%.uk' THEN 'GB' WHEN domain LIKE '%.de' THEN 'DE' WHEN domain LIKE '%.jp' THEN 'JP' END AS region, CASE WHEN domain LIKE '%.uk' THEN 'GB' WHEN domain LIKE '%.de' THEN 'DE' WHEN domain LIKE '%.jp' THEN 'JP' WHEN domain LIKE '%.kr' THEN 'KR' ELSE 'US' END AS full_region FROM fx_stores")
+def detect_region(fx):
+    return fx.stores.select("store_id", N.detect_region(F.col("domain")).alias("region"), N.detect_region_full(F.col("domain")).alias("full_region"))
+
+
+@query("store_name_from_url", "SELECT page_id, array_to_string(list_transform(regexp_extract_all(replace(replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'www.', ''), '.com', ''), '([a-z]+|[^a-z]+)'), lambda x: upper(x[1]) || x[2:]), '') AS name FROM pages")
+def store_name_from_url(fx):
+    return fx.pages.select("page_id", N.store_name(F.col("url")).alias("name"))
+
+
+@query("product_url", "SELECT product_id, 'https://shop.example/products/' || replace(canonical_name, ' ', '-') AS url FROM fx_products")
+def product_url(fx):
+    return fx.products.select("product_id", N.product_url(F.lit("https://shop.example/"), F.replace("canonical_name", F.lit(" "), F.lit("-"))).alias("url"))
+
+
+@query("alert_fingerprint", "SELECT variant_id, substr(sha256(sku || '|' || store_id), 1, 16) AS fingerprint FROM fx_variants")
+def alert_fingerprint(fx):
+    return fx.variants.select("variant_id", F.substring(F.sha2(F.concat_ws("|", "sku", F.col("store_id").cast("string")), 256), 1, 16).alias("fingerprint"))
+
+
+@query("quality_score", "SELECT variant_id, quality FROM fx_norm")
+def quality_score(fx):
+    return M.normalized_variants(fx.variants, fx.offers).select("variant_id", F.col("quality").cast("long").alias("quality"))
+
+
+@query("freshness_decay", "SELECT variant_id, round(exp(-0.1 * (epoch_us($AS_OF) - epoch_us(updated_at)) / 86400000000.0), 8) AS decay FROM fx_offers")
+def freshness_decay(fx):
+    return fx.offers.select("variant_id", F.round(N.freshness_decay(F.col("updated_at"), fx.as_of), 8).alias("decay"))
+
+
+@query("detect_platform_markers", "SELECT CASE WHEN lower(html) LIKE '%shopify.com%' THEN 'shopify' WHEN lower(html) LIKE '%wp-content/plugins/woocommerce%' THEN 'woocommerce' WHEN lower(html) LIKE '%mage/%' OR lower(html) LIKE '%magento%' OR lower(html) LIKE '%/static/version%' THEN 'magento' ELSE 'custom' END AS platform, count(*) AS n FROM pages GROUP BY 1")
+def detect_platform_markers(fx):
+    return fx.pages.groupBy(N.platform(F.col("html")).alias("platform")).agg(F.count("*").alias("n"))
+
+
+@query("filter_shop_platform", "SELECT count(*) FILTER (url LIKE '%/en/%') AS available, count(*) FILTER (url LIKE '%utm%') AS tagged FROM pages WHERE NOT lower(html) LIKE '%shopify.com%'")
+def filter_shop_platform(fx):
+    rows = fx.pages.where(N.platform(F.col("html")) == "custom")
+    return rows.agg(F.count_if(F.col("url").contains("/en/")).alias("available"), F.count_if(F.col("url").contains("utm")).alias("tagged"))
+
+
+@query("format_time_label", "SELECT variant_id, strftime(updated_at, '%m-%d %H:%M') AS label FROM fx_offers")
+def format_time_label(fx):
+    return fx.offers.select("variant_id", F.date_format("updated_at", "MM-dd HH:mm").alias("label"))
+
+
+@query("normalisation_coverage", f"SELECT color, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM (SELECT {COLOUR_SQL.replace('p_name', 'canonical_name')} AS color FROM fx_products) GROUP BY 1")
+def normalisation_coverage(fx):
+    from pyspark.sql import Window
+
+    rows = fx.products.groupBy(N.normalize_color(F.col("canonical_name")).alias("color")).agg(F.count("*").alias("n"))
+    return rows.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+
+
+@query("upsert_brands", "SELECT DISTINCT lower(trim(brand)) AS normalized_name, CAST(right(brand, 1) AS INTEGER) <= 2 AS old FROM fx_products")
+def upsert_brands(fx):
+    names = fx.products.select(F.col("brand").alias("name")).distinct()
+    old = names.where(F.right(F.col("name"), F.lit(1)).cast("int") <= 2).select(F.lit(-1).cast("long").alias("brand_id"), "name", U.brand_name_key(F.col("name")).alias("normalized_name"))
+    return U.upsert_brands(old, fx.products.select(F.col("brand").alias("name"))).select("normalized_name", (F.col("brand_id") == -1).alias("old"))
+
+
+@query("upsert_stores", "SELECT name, CASE WHEN store_id % 3 = 1 THEN 'new-' || domain ELSE domain END AS domain FROM fx_stores")
+def upsert_stores(fx):
+    old = fx.stores.where("store_id % 3 < 2")
+    incoming = fx.stores.select("name", F.when(F.col("store_id") % 3 == 1, F.concat(F.lit("new-"), "domain")).otherwise(F.col("domain")).alias("domain"), "currency")
+    return U.upsert_stores(old, incoming).select("name", "domain")
+
+
+@query("upsert_products", "SELECT brand, canonical_name, count(*) FILTER (product_id % 2 = 0) > 0 AS old FROM fx_products GROUP BY ALL")
+def upsert_products(fx):
+    old = fx.products.where("product_id % 2 = 0")
+    new = U.upsert_products(old, fx.products.drop("product_id"))
+    seen = old.select("product_id", F.lit(True).alias("was"))
+    return new.join(seen, "product_id", "left").groupBy("brand", "canonical_name").agg(F.coalesce(F.max("was"), F.lit(False)).alias("old"))
+
+
+@query("resolve_variant_identity", "SELECT v.store_id, v.product_id, CASE WHEN v.variant_id % 3 = 0 THEN 'external' WHEN m.sku IS NOT NULL THEN 'sku' ELSE 'new' END AS how FROM fx_variants v LEFT JOIN (SELECT DISTINCT product_id, sku FROM fx_variants WHERE variant_id % 3 = 0) m ON m.product_id = v.product_id AND m.sku = v.sku")
+def resolve_variant_identity(fx):
+    rows = fx.variants.withColumn("external_id", F.col("variant_id") * 7)
+    return U.resolve_variant_identity(rows.where("variant_id % 3 = 0"), rows.select("store_id", "external_id", "product_id", "sku")).select("store_id", "product_id", "how")
+
+
+@query(
+    "upsert_offers",
+    "WITH fx_old AS (SELECT variant_id, store_id, price, ts FROM fx_obs WHERE ts < TIMESTAMP '2024-03-01' QUALIFY row_number() OVER (PARTITION BY variant_id, store_id ORDER BY ts DESC) = 1) SELECT o.variant_id, o.store_id, o.current_price, fx_old.price AS old_price FROM fx_offers o LEFT JOIN fx_old ON fx_old.variant_id = o.variant_id AND fx_old.store_id = o.store_id",
+)
+def upsert_offers(fx):
+    rows = fx.obs.select("variant_id", "store_id", F.col("price").alias("current_price"), "in_stock", F.col("ts").alias("updated_at"))
+    old = rows.where("updated_at < timestamp '2024-03-01'").groupBy("variant_id", "store_id").agg(F.max(F.struct("updated_at", "current_price", "in_stock")).alias("o")).select("variant_id", "store_id", "o.current_price", "o.in_stock", "o.updated_at")
+    return U.upsert_offers(old, rows.where("updated_at >= timestamp '2024-03-01'")).select("variant_id", "store_id", "current_price", "old_price")
+
+
+@query("update_store_sync", "SELECT store_id, CASE WHEN store_id % 2 = 0 THEN 'success' ELSE sync_status END AS sync_status, strftime(CASE WHEN store_id % 2 = 0 THEN $AS_OF ELSE last_successful_sync END, '%Y-%m-%d %H:%M:%S') AS last_successful_sync FROM fx_stores")
+def update_store_sync(fx):
+    even = fx.stores.where("store_id % 2 = 0")
+    results = even.select("store_id", fx.as_of.alias("at"), F.lit("success").alias("status")).unionByName(even.select("store_id", (fx.as_of - F.expr("INTERVAL 1 HOUR")).alias("at"), F.lit("error").alias("status")))
+    return U.update_store_sync(fx.stores, results).withColumn("last_successful_sync", F.date_format("last_successful_sync", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("import_counters", "SELECT sync_status, count(*) AS stores, count(*) FILTER (last_successful_sync IS NULL) AS never FROM fx_stores GROUP BY 1")
+def import_counters(fx):
+    return fx.stores.groupBy("sync_status").agg(F.count("*").alias("stores"), F.count_if(F.col("last_successful_sync").isNull()).alias("never"))
+
+
+@query("merge_brands", "SELECT c_custkey AS brand_id, min(c_custkey) OVER (PARTITION BY c_nationkey) AS survivor FROM customer")
+def merge_brands(fx):
+    c = fx.table("customer")
+    name = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("Café ")).otherwise(F.lit("CAFE ")), F.col("c_nationkey").cast("string"))
+    return U.merge_brands(c.select(F.col("c_custkey").alias("brand_id"), name.alias("name")))
+
+
+def crowded(fx):
+    """Variants whose stores are thought to be ten only, so that skus repeat within a store."""
+    return fx.variants.withColumn("store_id", F.col("store_id") % 10)
+
+
+CROWD = "fx_crowd AS (SELECT variant_id, store_id % 10 AS store_id, sku FROM fx_variants)"
+
+
+@query("duplicate_groups", f"WITH {CROWD} SELECT store_id, sku, min(variant_id) AS keep, CAST(count(DISTINCT variant_id) AS INTEGER) AS n FROM fx_crowd GROUP BY ALL HAVING count(DISTINCT variant_id) > 1")
+def duplicate_groups(fx):
+    return U.duplicate_groups(crowded(fx)).select("store_id", "sku", "keep", F.size("ids").alias("n"))
+
+
+@query("dedup_variants", f"WITH {CROWD}, fx_map AS (SELECT variant_id, min(variant_id) OVER (PARTITION BY store_id, sku) AS keep FROM fx_crowd) SELECT keep AS variant_id, arg_min(current_price, o.variant_id) AS current_price FROM fx_offers o JOIN fx_map USING (variant_id) GROUP BY 1")
+def dedup_variants(fx):
+    return U.dedup_variants(U.variant_remap(crowded(fx)), fx.offers.select("variant_id", "current_price"), ["variant_id"])
+
+
+@query("delete_orphan_products", "SELECT product_id FROM fx_products WHERE product_id NOT IN (SELECT product_id FROM fx_variants WHERE store_id % 4 = 0)")
+def delete_orphan_products(fx):
+    return fx.products.join(fx.variants.where("store_id % 4 = 0"), "product_id", "left_anti").select("product_id")
+
+
+@query("drop_gender_conflicts", "SELECT m.canonical_variant_id, m.matched_variant_id FROM fx_matches m WHERE NOT (m.matched_variant_id % 2 = 1 AND (m.canonical_variant_id // 100000) % 3 = 1)")
+def drop_gender_conflicts(fx):
+    v = fx.variants.withColumn("gender", F.when((F.col("gender") == "MEN") & (F.col("variant_id") % 2 == 1), "WOMEN").otherwise(F.col("gender")))
+    canonical = fx.matches.select(F.col("canonical_variant_id").alias("variant_id")).distinct()
+    own = fx.variants.join(canonical, "variant_id", "left_semi")
+    v = v.join(canonical, "variant_id", "left_anti").unionByName(own)
+    return U.drop_gender_conflicts(fx.matches, v).select("canonical_variant_id", "matched_variant_id")
+
+
+@query("split_multi_store_variants", "WITH fx_seen AS (SELECT DISTINCT product_id AS variant_id, store_id FROM fx_obs) SELECT variant_id, store_id, row_number() OVER (PARTITION BY variant_id ORDER BY store_id) = 1 AS keeps FROM fx_seen")
+def split_multi_store_variants(fx):
+    seen = fx.obs.select(F.col("product_id").alias("variant_id"), "store_id")
+    return U.split_multi_store(seen).select("variant_id", "store_id", (F.col("new_id") == F.col("variant_id")).alias("keeps"))
+
+
+@query("backfill_store_scope", "SELECT product_id AS variant_id, min(store_id) AS store_id FROM fx_offers WHERE in_stock GROUP BY 1")
+def backfill_store_scope(fx):
+    offers = fx.offers.where("in_stock").select(F.col("product_id").alias("variant_id"), "store_id")
+    return U.backfill_store_scope(fx.products.select(F.col("product_id").alias("variant_id")), offers)
+
+
+@query("backfill_interval_context", "SELECT c.variant_id, c.price, s.currency AS region, v.size AS normalized_size, true AS in_stock FROM fx_changes c LEFT JOIN fx_stores s USING (store_id) LEFT JOIN fx_variants v ON v.variant_id = c.variant_id")
+def backfill_interval_context(fx):
+    return I.backfill_interval_context(fx.changes, fx.stores, fx.variants).select("variant_id", "price", "region", "normalized_size", "in_stock")
+
+
+@query("nullify_nonpositive", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS price FROM supplier")
+def nullify_nonpositive(fx):
+    return fx.table("supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("price"))
+
+
+@query("incremental_normalise", f"SELECT product_id, CASE WHEN product_id % 2 = 0 THEN 'DONE' ELSE {COLOUR_SQL.replace('p_name', 'canonical_name')} END AS color FROM fx_products")
+def incremental_normalise(fx):
+    rows = fx.products.withColumn("color", F.when(F.col("product_id") % 2 == 0, "DONE"))
+    return rows.where("color is null").withColumn("color", N.normalize_color(F.col("canonical_name"))).unionByName(rows.where("color is not null")).select("product_id", "color")
+
+
+@query("propagate_gender", "SELECT variant_id, 'UNKNOWN' AS gender_age FROM fx_variants")
+def propagate_gender(fx):
+    return U.propagate_gender(fx.products, fx.variants, N.normalize_gender_age)
+
+
+def payloads(fx):
+    """Catalogue pages made of the products and their variants, a page per hundred products."""
+    v = fx.variants.join(fx.offers.select("variant_id", "current_price", "in_stock"), "variant_id")
+    v = v.groupBy("product_id").agg(F.collect_list(F.struct(F.col("variant_id").alias("id"), "product_id", "sku", F.col("ean").alias("barcode"), F.col("size").alias("option1"), F.col("color").alias("option2"), F.col("current_price").cast("string").alias("price"), F.col("in_stock").alias("available"))).alias("variants"))
+    p = fx.products.join(v, "product_id").select("product_id", F.struct(F.col("canonical_name").alias("title"), F.col("brand").alias("vendor"), F.col("category").alias("product_type"), F.replace("canonical_name", F.lit(" "), F.lit("-")).alias("handle"), "variants").alias("p"))
+    return p.groupBy((F.col("product_id") / 100).cast("int").alias("store_id")).agg(F.to_json(F.struct(F.collect_list("p").alias("products"))).alias("payload")).withColumn("fetched_at", fx.as_of)
+
+
+@query("flatten_shop_snapshot", "SELECT variant_id AS external_variant_id, canonical_name AS title, p.brand AS vendor, v.sku, v.ean, current_price AS price, in_stock FROM fx_variants v JOIN fx_products p USING (product_id) JOIN fx_offers o USING (variant_id)")
+def flatten_shop_snapshot(fx):
+    return L.flatten_shop_snapshot(payloads(fx)).select("external_variant_id", "title", "vendor", "sku", "ean", "price", "in_stock")
+
+
+@query("append_raw_snapshot", "SELECT product_id // 100 AS store_id, count(DISTINCT product_id) AS products_count, 'v2' AS parser_version FROM fx_variants GROUP BY 1")
+def append_raw_snapshot(fx):
+    return L.raw_snapshots(payloads(fx), "v2").select(F.col("store_id").cast("long").alias("store_id"), "products_count", "parser_version")
+
+
+@query("flatten_item_snapshot", "SELECT p_partkey AS external_variant_id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS vendor, p_retailprice AS price, p_partkey % 3 <> 0 AS in_stock FROM part")
+def flatten_item_snapshot(fx):
+    p = fx.table("part")
+    attributes = F.array(F.struct(F.when(F.col("p_partkey") % 2 == 0, "brand").otherwise("other").alias("attribute_code"), F.col("p_brand").alias("value")))
+    items = p.select(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 3 == 0, 2).alias("status"), attributes.alias("custom_attributes")).alias("i"), (F.col("p_partkey") / 100).cast("int").alias("page"))
+    pages = items.groupBy("page").agg(F.to_json(F.struct(F.collect_list("i").alias("items"))).alias("payload"))
+    return L.flatten_item_snapshot(pages).select("external_variant_id", "title", "vendor", "price", "in_stock")
+
+
+@query("append_deal_alerts", "SELECT substr(sha256(v.sku || '|' || s.name), 1, 16) AS fingerprint FROM fx_variants v JOIN fx_stores s USING (store_id) WHERE v.variant_id % 5 <> 0 GROUP BY 1")
+def append_deal_alerts(fx):
+    rows = fx.variants.join(fx.stores.select("store_id", F.col("name").alias("store")), "store_id").select("store", "variant_id", F.substring(F.sha2(F.concat_ws("|", "sku", "store"), 256), 1, 16).alias("fingerprint"))
+    return L.new_alerts(rows.drop("variant_id"), fx.stores, rows.where("variant_id % 5 = 0")).select("fingerprint")

@@ -4,6 +4,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Currency by a part of the host, by its end, and region by its end.
 STORE_CURRENCY = {"dope-factory.com": "KRW", "laferramenta.org": "EUR", "oneblockdown.it": "EUR", "starcowparis.com": "EUR", "slamcity.com": "GBP", "noteshop.co.uk": "GBP"}
@@ -75,7 +76,7 @@ def rebase_rates_to_usd(quotes):
     return quotes.withColumn("one", F.lit(1)).join(F.broadcast(usd), "one").where("currency <> 'USD'").select("currency", (F.col("rate") / F.col("usd_rate")).cast("decimal(12,6)").alias("rate"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(names: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
     return names.str.normalize("NFKD").str.replace(r"[̀-ͯ҃-҉֑-ֽ⃐-⃿]", "", regex=True)

@@ -7,9 +7,6 @@ from pricelode.functions.normalize import freshness_decay
 from pricelode.functions.statistics import confidence, mad_kept, median, robust_market_metrics, sanitized, weighted_quantile
 from pricelode.operators.intervals import DAY_US, latest_open, microseconds
 
-ONE = F.lit(1.0)
-
-
 def classify(score, trust):
     return F.when((score >= 80) & (trust >= 70), "VERY GOOD DEAL").when((score >= 60) & (trust >= 50), "GOOD DEAL").when(score >= 40, "NORMAL PRICE").otherwise("BAD DEAL")
 
@@ -48,7 +45,7 @@ def deal_score_v2(offers, stores, history):
     s = stores.select("store_id", "name", F.col("reliability_score").cast("double").alias("reliability"))
     rows = offers.join(s, "store_id").withColumn("price", F.col("current_price").cast("double"))
     by = ["canonical_id"]
-    every = sanitized(rows, by).withColumn("weight", F.greatest(ONE, F.col("reliability")))
+    every = sanitized(rows, by).withColumn("weight", F.greatest(F.lit(1.0), F.col("reliability")))
     market = weighted_quantile(every, by, "price", "weight", [(1, 2)], ["market_median"])
     spread = every.groupBy(*by).agg(F.min("price").alias("market_min"), F.max("price").alias("market_max"), F.count("*").alias("sane"))
     stocked = sanitized(rows.where("in_stock"), by).groupBy(*by).agg(F.min(F.struct("price", "store_id", "name")).alias("best"))
@@ -84,7 +81,7 @@ def deal_score_enhanced(offers, stores, tags, as_of):
     by = ["canonical_id"]
     s = stores.select("store_id", (F.col("reliability_score").cast("double") / 100).alias("reliability"))
     rows = offers.join(s, "store_id").withColumn("price", F.col("current_price").cast("double"))
-    weight = F.greatest(F.lit(0.1), F.least(ONE, F.col("reliability"))) * freshness_decay(F.col("updated_at"), as_of) * F.when(F.col("in_stock"), 1.0).otherwise(0.1)
+    weight = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("reliability"))) * freshness_decay(F.col("updated_at"), as_of) * F.when(F.col("in_stock"), 1.0).otherwise(0.1)
     # Whole-number weights, so that sums don't depend on the order of rows.
     rows = rows.withColumn("weight", F.floor(weight * 1e9).cast("long"))
     market = weighted_quantile(rows, by, "price", "weight", [(1, 2)], ["market_median"])

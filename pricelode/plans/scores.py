@@ -1 +1,177 @@
-"""Queries."""
+"""Queries: monitoring, alerts, invariants, streams."""
+
+import os
+import tempfile
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from pricelode.functions import normalize as N
+from pricelode.operators import alerts as A
+from pricelode.operators import intervals as I
+from pricelode.operators import monitoring as O
+from pricelode.operators import quality as Q
+from pricelode.streaming import streams as T
+
+from .catalog import query
+
+RELIABILITY = """fx_err AS (SELECT store_id, count(*) AS errors FROM fx_changes WHERE price > 15000 AND started_at > $AS_OF - INTERVAL 30 DAY GROUP BY 1),
+ fx_r0 AS (SELECT s.store_id, name, sync_status AS st, epoch($AS_OF - last_successful_sync) / 3600 AS h, coalesce(errors, 0) AS e FROM fx_stores s LEFT JOIN fx_err USING (store_id) WHERE sync_status <> 'dead'),
+ fx_rel AS (SELECT store_id, name, st AS sync_status, CAST(greatest(0, least(100, CASE st WHEN 'success' THEN 40 WHEN 'empty' THEN 20 WHEN 'error' THEN 5 ELSE 10 END + CASE WHEN h < 6 THEN 30 WHEN h < 24 THEN 20 WHEN h < 72 THEN 10 ELSE 0 END
+  + greatest(0, 30 - CASE WHEN e > 10 THEN 15 WHEN e > 5 THEN 10 WHEN e > 0 THEN 5 ELSE 0 END - CASE st WHEN 'error' THEN 15 WHEN 'empty' THEN 10 ELSE 0 END))) AS INTEGER) AS score FROM fx_r0)"""
+
+
+def reliability(fx):
+    errors = fx.changes.where((F.col("price") > 15000) & (F.col("started_at") > fx.as_of - F.expr("INTERVAL 30 DAYS"))).groupBy("store_id").agg(F.count("*").alias("errors"))
+    return O.store_reliability(fx.stores, errors, fx.as_of)
+
+
+@query("store_reliability", f"WITH {RELIABILITY} SELECT * FROM fx_rel")
+def store_reliability(fx):
+    return reliability(fx)
+
+
+@query("reliability_bands", f"WITH {RELIABILITY} SELECT CASE WHEN score >= 80 THEN 'Excellent (80-100)' WHEN score >= 60 THEN 'Good (60-79)' WHEN score >= 40 THEN 'Fair (40-59)' WHEN score >= 20 THEN 'Poor (20-39)' ELSE 'Critical (0-19)' END AS band, count(*) AS stores, round(avg(score), 6) AS avg_score FROM fx_rel GROUP BY 1")
+def reliability_bands(fx):
+    return reliability(fx).groupBy(O.reliability_band(F.col("score")).alias("band")).agg(F.count("*").alias("stores"), F.round(F.avg("score"), 6).alias("avg_score"))
+
+
+FRESH = "fx_f AS (SELECT *, epoch($AS_OF - last_successful_sync) / 3600 AS h FROM fx_stores), fx_fp AS (SELECT store_id, h AS hours, unnest(list_filter([CASE WHEN sync_status IN ('error', 'empty') THEN 'errors' END, CASE WHEN h > 168 THEN 'dead' END, CASE WHEN h > 72 AND h <= 168 THEN 'very_stale' END, CASE WHEN h > 24 AND h <= 72 THEN 'stale' END], lambda x: x IS NOT NULL)) AS bucket FROM fx_f)"
+
+
+@query("store_freshness_alerts", f"WITH {FRESH} SELECT bucket, count(*) AS stores, max(hours) AS longest FROM fx_fp GROUP BY 1")
+def store_freshness_alerts(fx):
+    return O.freshness_problems(fx.stores, fx.as_of).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("stores"), F.max("hours").alias("longest"))
+
+
+@query("cap_per_freshness_bucket", f"WITH {FRESH}, fx_fr AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY hours DESC NULLS LAST, store_id) AS rank, count(*) OVER (PARTITION BY bucket) AS n FROM fx_fp) SELECT bucket, store_id, rank, greatest(n - CASE bucket WHEN 'stale' THEN 10 ELSE 5 END, 0) AS more FROM fx_fr WHERE rank <= CASE bucket WHEN 'stale' THEN 10 ELSE 5 END")
+def cap_per_freshness_bucket(fx):
+    limit = F.when(F.col("bucket") == "stale", 10).otherwise(5)
+    rows = O.freshness_problems(fx.stores, fx.as_of).where("bucket is not null")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("hours").desc_nulls_last(), "store_id")).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
+    return rows.where(F.col("rank") <= limit).select("bucket", "store_id", "rank", F.greatest(F.col("n") - limit, F.lit(0)).cast("long").alias("more"))
+
+
+@query("weekly_digest", "SELECT count(*) AS stores, count(*) FILTER (epoch($AS_OF - last_successful_sync) / 3600 <= 24) AS fresh, count(*) FILTER (sync_status = 'error') AS errors, count(*) FILTER (sync_status = 'dead') AS dead FROM fx_stores")
+def weekly_digest(fx):
+    return fx.stores.agg(F.count("*").alias("stores"), F.count_if(O.hours_since_sync(fx.as_of) <= 24).alias("fresh"), F.count_if(F.col("sync_status") == "error").alias("errors"), F.count_if(F.col("sync_status") == "dead").alias("dead"))
+
+
+@query("cooldown_minima", "SELECT canonical_id, min(price) AS least_price FROM fx_alerts WHERE sent_at > TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR GROUP BY 1")
+def cooldown_minima(fx):
+    return A.cooldown_minima(fx.alerts, fx.alerts_as_of)
+
+
+@query("precision_metrics", "SELECT count(*) FILTER (label = 1) AS true_positives, count(*) FILTER (label = 0) AS false_positives, count(label) AS labeled, count(*) AS total_alerts, round(100.0::DOUBLE * count(*) FILTER (label = 1) / nullif(count(label), 0), 1) AS precision_pct FROM fx_alerts WHERE sent_at > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY")
+def precision_metrics(fx):
+    return A.precision_metrics(fx.alerts, fx.alerts_as_of)
+
+
+@query(
+    "auto_label_alerts",
+    """WITH fx_mk AS (SELECT product_id AS canonical_id, count(DISTINCT store_id) AS stores, quantile_cont(current_price, 0.5) AS med, min(current_price) AS lo FROM fx_offers GROUP BY 1 HAVING count(DISTINCT store_id) >= 2),
+ fx_l AS (SELECT alert_id, stores, (med - price) / med * 100 AS d, (price - lo) / med * 100 AS f FROM fx_alerts JOIN fx_mk USING (canonical_id) WHERE label IS NULL)
+ SELECT alert_id, CASE WHEN d >= 15 AND f <= 20 AND stores >= 3 THEN 1 ELSE 0 END AS auto_label, stores FROM fx_l WHERE (d >= 15 AND f <= 20 AND stores >= 3) OR d < 5 OR f > 50""",
+)
+def auto_label_alerts(fx):
+    return A.auto_labels(fx.alerts.where("label is null"), fx.offers.withColumnRenamed("product_id", "canonical_id"))
+
+
+@query("label_queue", "SELECT alert_id, price FROM fx_alerts WHERE label IS NULL ORDER BY sent_at DESC, alert_id LIMIT 20")
+def label_queue(fx):
+    return fx.alerts.where("label is null").orderBy(F.desc("sent_at"), "alert_id").limit(20).select("alert_id", "price")
+
+
+@query("dq_interval_overlap", "SELECT count(*) AS violations FROM (SELECT started_at < max(coalesce(ended_at, $AS_OF)) OVER (PARTITION BY variant_id, store_id ORDER BY started_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad FROM fx_changes) WHERE bad")
+def dq_interval_overlap(fx):
+    return I.overlapping(fx.changes, fx.as_of).agg(F.count("*").alias("violations"))
+
+
+@query("dq_single_open_interval", "SELECT variant_id, store_id FROM fx_changes WHERE ended_at IS NULL GROUP BY ALL HAVING count(*) > 1")
+def dq_single_open_interval(fx):
+    return Q.multiple_open(fx.changes).select("variant_id", "store_id")
+
+
+@query("dq_compression_ratio", "SELECT round((SELECT count(*) FROM fx_obs)::DOUBLE / (SELECT count(*) FROM fx_changes), 6) AS ratio")
+def dq_compression_ratio(fx):
+    rows = fx.obs.select(F.lit(1).alias("o")).unionAll(fx.changes.select(F.lit(0).alias("o")))
+    return rows.agg(F.round(F.try_divide(F.count_if(F.col("o") == 1).cast("double"), F.count_if(F.col("o") == 0)), 6).alias("ratio"))
+
+
+@query("dq_color_consistency", "SELECT m.canonical_variant_id, m.matched_variant_id FROM fx_matches m JOIN fx_variants a ON a.variant_id = m.canonical_variant_id JOIN fx_variants b ON b.variant_id = m.matched_variant_id WHERE a.color <> b.color")
+def dq_color_consistency(fx):
+    return Q.differing_colours(fx.matches, fx.variants).select("canonical_variant_id", "matched_variant_id")
+
+
+@query("dq_color_coverage", "SELECT count(*) FILTER (canonical_name LIKE '%red%' OR canonical_name LIKE '%blue%' OR canonical_name LIKE '%green%') AS coloured, count(*) AS total FROM fx_products")
+def dq_color_coverage(fx):
+    return fx.products.agg(F.count(N.normalize_color(F.col("canonical_name"))).alias("coloured"), F.count("*").alias("total"))
+
+
+@query("dq_match_constraints", "SELECT count(*) FILTER (canonical_variant_id = matched_variant_id) AS self_matches, count(*) FILTER (NOT confidence_score BETWEEN 0 AND 1) AS bad_confidence, (SELECT count(*) FROM (SELECT 1 FROM fx_matches GROUP BY canonical_variant_id, matched_variant_id HAVING count(*) > 1)) AS repeated_pairs, (SELECT count(*) FROM (SELECT 1 FROM fx_matches GROUP BY matched_variant_id HAVING count(DISTINCT canonical_variant_id) > 1)) AS repeated_matched FROM fx_matches")
+def dq_match_constraints(fx):
+    return Q.match_violations(fx.matches)
+
+
+@query("dq_positive_price", "SELECT 'offers' AS table_name, count(*) FILTER (current_price <= 0) AS violations FROM fx_offers UNION ALL SELECT 'history', count(*) FILTER (price <= 0) FROM fx_obs UNION ALL SELECT 'changes', count(*) FILTER (price <= 0) FROM fx_changes")
+def dq_positive_price(fx):
+    return Q.nonpositive(fx.offers, "current_price", "offers").unionByName(Q.nonpositive(fx.obs, "price", "history")).unionByName(Q.nonpositive(fx.changes, "price", "changes"))
+
+
+@query("dq_unique_scoped_variant", "SELECT store_id, sku, count(*) AS n FROM fx_variants GROUP BY ALL HAVING count(*) > 1")
+def dq_unique_scoped_variant(fx):
+    return fx.variants.groupBy("store_id", "sku").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("dq_reliability_range", "SELECT count(*) FILTER (NOT reliability_score BETWEEN 0 AND 100) AS violations FROM fx_stores")
+def dq_reliability_range(fx):
+    return fx.stores.agg(F.count_if(~F.col("reliability_score").between(0, 100)).alias("violations"))
+
+
+def shared_folder(fx, name):
+    """A new folder under the checkpoint folder that the cluster shares, or a local one where none is set."""
+    base = fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return os.path.join(base, f"pricelode-{name}-{os.urandom(6).hex()}")
+
+
+def streamed(fx, df, name, build, parts=1):
+    """What build makes of df read as a stream, run to its end into a table."""
+    folder = shared_folder(fx, name)
+    df.repartition(4).write.parquet(f"{folder}/in")
+    stream = fx.spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+    build(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return fx.spark.read.parquet(f"{folder}/out")
+
+
+def with_state_store(fx):
+    fx.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query("stream_dedup_observations", "SELECT variant_id, store_id, count(*) AS n FROM (SELECT DISTINCT variant_id, store_id, ts FROM fx_obs) GROUP BY ALL")
+def stream_dedup_observations(fx):
+    twice = fx.obs.select("variant_id", "store_id", "ts").unionAll(fx.obs.select("variant_id", "store_id", "ts"))
+    out = streamed(fx, twice, "dedup", lambda s: T.stream_dedup_observations(s, "400 days"))
+    return out.groupBy("variant_id", "store_id").agg(F.count("*").alias("n"))
+
+
+@query("stream_upsert_offers", "SELECT variant_id, store_id, current_price AS price FROM fx_offers")
+def stream_upsert_offers(fx):
+    folder = shared_folder(fx, "offers")
+    fx.obs.select("variant_id", "store_id", "ts", "price", "in_stock").repartition(4).write.parquet(f"{folder}/in")
+    stream = fx.spark.readStream.schema("variant_id long, store_id long, ts timestamp, price decimal(10,2), in_stock boolean").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    run = T.stream_upsert_offers(stream, fx.spark, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return fx.spark.read.parquet(f"{folder}/table/v={run.lastProgress['batchId']}").select("variant_id", "store_id", "price")
+
+
+@query("stream_price_intervals", "SELECT variant_id, store_id, price, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at FROM fx_changes")
+def stream_price_intervals(fx):
+    with_state_store(fx)
+    out = streamed(fx, fx.obs.select("variant_id", "store_id", "ts", "price"), "intervals", T.stream_price_intervals)
+    return out.select("variant_id", "store_id", F.col("price").cast("double").alias("price"), F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"))
+
+
+@query("stream_alert_cooldown")
+def stream_alert_cooldown(fx):
+    with_state_store(fx)
+    return streamed(fx, fx.alerts.select("canonical_id", "alert_id", "sent_at", "price"), "cooldown", T.stream_alert_cooldown)

@@ -1,9 +1,9 @@
 """All queries of the library and the SQL that each must equal."""
 
-from . import basic, ingest, market, scores
+from . import basic, files, ingest, market, scores
 from .catalog import ORACLES, QUERIES
 
-_LOADED = (basic, ingest, market, scores)
+_LOADED = (basic, files, ingest, market, scores)
 
 
 def queries():

@@ -34,7 +34,7 @@ BANDS = ((0, 22), (22, 21), (43, 21))
 SAMPLE = 65_536
 LEAF_ROWS = 2_048
 #: A leaf above this many rows is split into blocks.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 16_384
 SEED = 42
 
 

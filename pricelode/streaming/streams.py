@@ -16,14 +16,16 @@ class IntervalProcessor(StatefulProcessor):
         self.open = handle.getValueState("open", INTERVAL_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        price = self.open.get()[0] if self.open.exists() else None
-        out = []
-        for ts, p in zip(new["ts"], new["price"].astype(str), strict=True):
+        new = sorted((t, p) for part in rows for t, p in zip(part["ts"], part["price"], strict=True))
+        # State is read and written once a batch, as each call crosses to the JVM.
+        before = self.open.get()
+        price, out = before[0] if before else None, []
+        for ts, p in new:
             if p != price:
                 out.append((key[0], key[1], p, price, ts, ts if price is not None else None))
                 price = p
-                self.open.update((p, ts.to_pydatetime()))
+        if out:
+            self.open.update((price, out[-1][4].to_pydatetime()))
         yield pd.DataFrame(out, columns=["variant_id", "store_id", "price", "old_price", "started_at", "prev_ended_at"])
 
     def close(self):

@@ -44,7 +44,8 @@ def sum_of_squares(lengths, capacity=CAPACITY):
             after = counts[: capacity + 1 - s]
             cost = np.where(have > 0, after - have, np.iinfo(np.int64).max)
             k = int(cost.argmin())
-            if have[k] and (cost[k] < counts[capacity - s] + 1):
+            # A new bin adds 2 N(capacity-s) + 1 to the sum of squares, gap g 2 cost + 2, or 2 cost + 1 when it is closed.
+            if have[k] and (cost[k] <= counts[capacity - s] if k == 0 else cost[k] < counts[capacity - s]):
                 took = k + s
         if took < 0:
             number, filled, made = made, 0, made + 1

@@ -42,6 +42,9 @@ STRENGTH = 1e-4
 STEPS = 120
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+#: The share of a profile that all n-grams have evenly.
+EVEN = 0.02
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
 # ASCII bytes other than letters become spaces; bytes of other characters stay.
 _KEEP = np.array([b if chr(b).isalpha() or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -64,6 +67,11 @@ def ngram_counts(text):
     return (counts / (np.sqrt((counts**2).sum()) or 1.0)).astype(np.float32)
 
 
+def word_share(text):
+    """Of a text's characters but white space, the share in words of nothing but letters."""
+    return sum(map(len, _PLAIN_WORD.findall(text))) / max(1, len("".join(text.split())))
+
+
 def fit_machine(x, y, strength=STRENGTH, steps=STEPS):
     """Weights and offset of a linear support vector machine: squared hinge loss, by accelerated gradient steps.
 
@@ -117,15 +125,33 @@ class LanguageModel:
         self.families = sorted({FAMILY_OF.get(code, code) for code in langs})
         family = np.array([self.families.index(FAMILY_OF.get(code, code)) for code in langs], dtype=np.int64)
         self.top = Machines(x, family, self.families)
+        self.profiles = {code: self._profile(x[langs == code]) for code in set(langs)}
         self.within = []
         for number in range(len(self.families)):
             some = family == number
             names = sorted(set(langs[some]))
             self.within.append(Machines(x[some], np.array([names.index(code) for code in langs[some]], dtype=np.int64), names))
 
+    @staticmethod
+    def _profile(x):
+        """Per n-gram slot, the log of its share in a language over an even share, scaled to 1 on average over the training texts."""
+        shares = (x.astype(np.float64) ** 2).mean(axis=0)
+        gain = np.log((1 - EVEN) * shares / (shares.sum() or 1.0) * DIMS + EVEN)
+        return gain / max(1e-6, (x.astype(np.float64) ** 2 @ gain).mean())
+
     def predict(self, texts):
         """Language and score of each text; null texts and texts without a letter are unknown."""
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return self.judge(texts)[:2]
+
+    def judge(self, texts):
+        """Language, score and evidence of each text.
+
+        Evidence says how much likelier the text's n-grams are in its language
+        than in even noise: about 1 for texts like those learnt from, about 0
+        for noise, below 0 for other alphabets. It does not depend on how many
+        languages there are.
+        """
+        names, scores, evidence = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         rows = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if self.families else []
         if rows:
             x = np.array([ngram_counts(texts[k]) for k in rows], dtype=np.float32)
@@ -136,7 +162,8 @@ class LanguageModel:
                     best, own = machines.decide(x[some])
                     for k, b, c in zip(some.tolist(), best.tolist(), (own * chance[some]).tolist(), strict=True):
                         names[rows[k]], scores[rows[k]] = machines.names[b], c
-        return names, scores
+                        evidence[rows[k]] = x[k].astype(np.float64) ** 2 @ self.profiles[machines.names[b]]
+        return names, scores, evidence
 
 
 def fit_languages(docs, learn, id_col="doc_id", text_col="text", lang_col="lang", per_language=SAMPLE_PER_LANGUAGE):
@@ -163,9 +190,11 @@ def fit_languages(docs, learn, id_col="doc_id", text_col="text", lang_col="lang"
     return LanguageModel([np.frombuffer(v, dtype=np.float16) for v in some["vector"]], some["lang"].tolist())
 
 
-def identify_languages(docs, model, text_col="text"):
+def identify_languages(docs, model, text_col="text", grounds=False):
     """The columns of docs but the text, and lang_pred and score (0 to 1); nothing but the text decides.
 
+    With grounds also evidence (LanguageModel.judge) and word_share, 0 for null texts.
+
     Null texts and texts without a letter are `und` with score 0. Columns of
     docs named lang_pred or score are an error of the caller. Repeated rows are judged alike, an empty table gives an empty result.
     """
@@ -174,12 +203,14 @@ def identify_languages(docs, model, text_col="text"):
 
     def run(batches):
         for batch in batches:
-            names, scores = shared.value.predict(batch["text"].tolist())
-            yield batch.drop(columns="text").assign(lang_pred=names, score=scores)
+            texts = batch["text"].tolist()
+            names, scores, evidence = shared.value.judge(texts)
+            out = batch.drop(columns="text").assign(lang_pred=names, score=scores)
+            yield out.assign(evidence=evidence, word_share=[word_share(t or "") for t in texts]) if grounds else out
 
     rows = docs.select(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).alias("text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
-    return rows.mapInPandas(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return rows.mapInPandas(run, ", ".join([*kinds, "lang_pred string", "score double", *(["evidence double", "word_share double"] if grounds else [])]))
 
 
 def fold(id_col="doc_id"):

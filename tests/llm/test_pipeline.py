@@ -66,3 +66,20 @@ def test_near_copies_from_0_8_are_one_group(spark):
     for k, g in enumerate(group):
         first.setdefault(g, k)
     assert sorted(r.doc_id for r in got) == sorted(first.values())
+
+
+def test_junk_is_rejected_and_short_texts_are_kept(spark):
+    rng = np.random.default_rng(8)
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    junk = [word(alphabet + alphabet.upper() + "0123456789", 60) for _ in range(5)] + [word("0123456789abcdef", 40) for _ in range(5)]
+    junk += [" ".join(word(alphabet, 8) for _ in range(60)) for _ in range(5)]
+    junk += ["card 4111 1111 1111 1111 2223 0031 2200 3222", "x 1 2 3 4 5 6 7 8 9", "Это текст на другом языке", "これは日本語の文章です", "", None]
+    prose = [r.text.split() for r in real.where("lang = 'en'").orderBy("doc_id").limit(20).collect()]
+    short = [" ".join(w[:n]) for w in prose for n in (3, 6, 12) if len(w) >= n]
+    planted = spark.createDataFrame([(-1 - k, t, None, "s", len(t or "")) for k, t in enumerate(junk)] + [(-1_000 - k, t, None, "s", len(t)) for k, t in enumerate(short)], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.by_language(spark, real.unionByName(planted), "").select("doc_id").collect()}
+    assert not [junk[k] for k in range(len(junk)) if -1 - k in kept]
+    assert not [t for k, t in enumerate(short) if -1_000 - k not in kept]
+    assert {r.doc_id for r in real.collect()} <= kept

@@ -50,19 +50,20 @@ def source_targets(sizes, weights=WEIGHTS, share=SHARE, most=MOST):
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_copies(docs, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED):
-    """Per row: id_col, size, source_size, target, copies, taken.
+def mix_copies(docs, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED, keep=()):
+    """Per row: id_col, size, source_size, target, copies, taken, and the columns `keep` of docs.
 
     size: words of the text (null or empty: 0); a null source is a source of its
     own, ordered last. Rows of size 0 in a source without words are taken 0
     times. Repeated rows count as rows of their own; ties in the order are
-    between equal rows. An empty table gives an empty result; further
-    columns of docs are ignored. Sources are thought to be few enough to be windowed over one row each.
+    between equal rows (rows that `keep` tells apart are ordered by its hash). An
+    empty table gives an empty result; further columns of docs are ignored. Sources are thought to be few enough to be windowed over one row each.
     """
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
     size = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(size)
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), digest.alias("digest"))
+    kept = F.struct(*keep) if keep else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), digest.alias("digest"), kept.alias("kept"))
     rows = durable(rows.withColumn("bin", F.floor(F.sqrt(F.col("size").cast("double"))).cast("int")).withColumn("head", F.substring("digest", 1, 2)))
 
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -74,12 +75,12 @@ def mix_copies(docs, id_col="doc_id", text_col="text", source_col="source", weig
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     cells = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "bin", "head", "before", "source_size", "target", "u", "e")
 
-    rank = F.row_number().over(Window.partitionBy("source", "bin", "head").orderBy("digest", "id", "size"))
+    rank = F.row_number().over(Window.partitionBy("source", "bin", "head").orderBy("digest", "id", "size", *([F.xxhash64("kept")] if keep else [])))
     ranked = rows.withColumn("rank", rank).alias("r")
     joined = ranked.join(cells.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.bin") == F.col("c.bin")) & (F.col("r.head") == F.col("c.head")))
     place = F.col("before") + F.col("rank")
     copies = (F.floor(F.col("u") + F.col("e") * place) - F.floor(F.col("u") + F.col("e") * (place - 1))).cast("long")
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), *[F.col(f"kept.{c}") for c in keep]).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op9_systematic_mixture(spark, sf_dir):

@@ -1,11 +1,13 @@
 """Stages of the corpus pipeline against brute force."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pricelode.llm import near_copies
+from pricelode.llm import mixing, near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -83,3 +85,40 @@ def test_junk_is_rejected_and_short_texts_are_kept(spark):
     assert not [junk[k] for k in range(len(junk)) if -1 - k in kept]
     assert not [t for k, t in enumerate(short) if -1_000 - k not in kept]
     assert {r.doc_id for r in real.collect()} <= kept
+
+
+def distinct_texts(n):
+    rng = np.random.default_rng(4)
+    return [" ".join(f"w{k}" for k in rng.integers(0, 10_000, 12)) for _ in range(n)]
+
+
+def test_rows_without_or_with_repeated_ids_are_kept(spark):
+    texts = distinct_texts(9)
+    ids = [None, None, None, 5, 5, 5, 6, 4, None]
+    # A row of id 5 is a copy of 4's text, a null row one of 6's, and a null row one of another null row.
+    texts[5], texts[2], texts[8] = texts[7], texts[6], texts[1]
+    got = corpus_pipeline.without_near_duplicates(spark, frame(spark, texts, ids), "").collect()
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[3]), (5, texts[4]), (6, texts[6]), (4, texts[7])]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
+def test_equal_and_empty_rows_leave_one(spark, docs, no_docs):
+    got = corpus_pipeline.without_near_duplicates(spark, docs, "").collect()
+    texts = [r.text for r in docs.collect()]
+    assert len(got) == len(set(brute_components(texts)))
+    assert corpus_pipeline.without_near_duplicates(spark, no_docs, "").count() == 0
+
+
+def test_mixing_gives_each_row_its_own_copies(spark, docs, no_docs):
+    texts = distinct_texts(60)
+    rows = frame(spark, texts, [None if k % 3 == 0 else k // 10 for k in range(60)]).union(frame(spark, texts[:4], [None, 1, 1, 0]).withColumn("source", F.lit(None).cast("string")))
+    for some in (rows, docs.select(*corpus_pipeline.COLUMNS)):
+        got = Counter((r.source, len((r.text or "").split())) for r in corpus_pipeline.mixed(spark, some, "").collect())
+        want = Counter()
+        for r in mixing.mix_copies(some, id_col="doc_id", keep=("text", "source")).collect():
+            want[r.source, len((r.text or "").split())] += r.copies
+        assert got == +want
+        targets = {r.source: (r.target, r["size"]) for r in mixing.mix_copies(some, keep=("source",)).collect()}
+        if some is rows:
+            assert all(abs(n * 12 - targets[source][0]) <= 12 for (source, _), n in got.items())
+    assert corpus_pipeline.mixed(spark, no_docs, "").count() == 0

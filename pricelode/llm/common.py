@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,19 +22,31 @@ def small_batches(spark, rows=256):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def _shared_folder(spark):
+    """The checkpoint folder that the cluster shares: spark.checkpoint.dir; only where that is unset (tests) a local one is used."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(place or os.path.join(tempfile.gettempdir(), "pricelode-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def durable(df):
-    """Write df to the checkpoint folder that the cluster shares, and read it from there.
+    """Write df to the shared checkpoint folder, and read it from there.
 
-    A lost executor costs no recomputation of what lies before. The folder is
-    spark.checkpoint.dir; only where that is unset (tests) a local one is used.
+    A lost executor costs no recomputation of what lies before.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(place or os.path.join(tempfile.gettempdir(), "pricelode-checkpoints"))
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def reread(df):
+    """df written as Parquet to a new folder in the shared checkpoint folder, and read again."""
+    place = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

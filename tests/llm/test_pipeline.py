@@ -122,3 +122,20 @@ def test_mixing_gives_each_row_its_own_copies(spark, docs, no_docs):
         if some is rows:
             assert all(abs(n * 12 - targets[source][0]) <= 12 for (source, _), n in got.items())
     assert corpus_pipeline.mixed(spark, no_docs, "").count() == 0
+
+
+def test_stages_read_what_the_one_before_wrote(spark, docs, no_docs, tmp_path, monkeypatch):
+    seen = []
+    look = lambda spark, rows, folder: seen.append(rows.inputFiles()) or rows.where("doc_id > 1")
+    docs.select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    with monkeypatch.context() as m:
+        m.setattr(corpus_pipeline, "STAGES", [("one", look), ("two", look)])
+        corpus_pipeline.run(spark, str(tmp_path))
+    assert seen[0] and seen[1] and all(f.endswith(".parquet") and str(tmp_path) not in f for f in seen[1])
+
+
+def test_the_whole_runs_on_nulls_and_nothing(spark, docs, no_docs, tmp_path):
+    for name, rows in (("some", docs), ("none", no_docs)):
+        rows.select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/some").count() > 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -112,6 +112,17 @@ def anti_shared_store(fx):
     return pairs.join(M.shared_store_pairs(pairs, regional), pairs.columns, "left_anti")
 
 
+@query(
+    "anti_shared_store_all",
+    "SELECT m.canonical_variant_id, m.matched_variant_id FROM fx_matches m JOIN fx_offers a ON a.variant_id = m.canonical_variant_id JOIN fx_offers b ON b.variant_id = m.matched_variant_id WHERE a.store_id % 5 <> b.store_id % 5",
+)
+def anti_shared_store_all(fx):
+    """Every candidate pair of a sku's canonical variant, without those that share a region of stores."""
+    pairs = M.match_candidates(fx.variants, fx.offers).select("canonical_variant_id", "matched_variant_id")
+    regional = fx.offers.withColumn("store_id", F.col("store_id") % 5)
+    return pairs.join(M.shared_store_pairs(pairs, regional), pairs.columns, "left_anti")
+
+
 @query("join_disjunctive_or", "SELECT m.canonical_variant_id AS canonical_id, o.variant_id FROM (SELECT DISTINCT canonical_variant_id FROM fx_matches) c JOIN fx_matches m USING (canonical_variant_id) JOIN fx_offers o ON o.variant_id = m.canonical_variant_id OR o.variant_id = m.matched_variant_id GROUP BY ALL")
 def join_disjunctive_or(fx):
     return fx.member_offers.select("canonical_id", "variant_id")

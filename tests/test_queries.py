@@ -58,3 +58,10 @@ def test_cooldown_keeps_what_a_loop_keeps(spark):
             want.add(alert)
             sent.setdefault(user, []).append((at, price))
     assert got == want
+
+
+def test_shared_stores_are_looked_for_in_all_products(spark, oracle):
+    got = {tuple(r) for r in registry.queries()["anti_shared_store_all"](spark, FOLDER).collect()}
+    matches = oracle.sql(registry.oracle_sql()["match_products"]).fetchall()
+    want = {(a, b) for a, b, *_ in matches if a % 100_000 % 5 != b % 100_000 % 5}
+    assert got == want and any(a // 100_000 >= 50 for a, _ in got) and len(want) < len(matches)

@@ -61,6 +61,12 @@ def cap_products_per_store(fx):
     return S.top_per(fx.offers, ["store_id"], 50, "variant_id").select("store_id", "variant_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("cap_products_per_store_50000", "SELECT store_id, variant_id, row_number() OVER (PARTITION BY store_id ORDER BY variant_id) AS rank FROM fx_offers QUALIFY rank <= 50000")
+def cap_products_per_store_50000(fx):
+    """At the reference's cap."""
+    return S.top_per(fx.offers, ["store_id"], 50_000, "variant_id").select("store_id", "variant_id", F.col("rank").cast("long").alias("rank"))
+
+
 _SPECIAL = "l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS special"
 
 
@@ -259,6 +265,11 @@ def sorted_offers(fx):
     return fx.offers.where("product_id <= 20").select("product_id", "variant_id", "current_price").orderBy("product_id", "current_price", "variant_id")
 
 
+@query("sorted_offers_all", "SELECT product_id, variant_id, current_price FROM fx_offers ORDER BY product_id, current_price, variant_id")
+def sorted_offers_all(fx):
+    return fx.offers.select("product_id", "variant_id", "current_price").orderBy("product_id", "current_price", "variant_id")
+
+
 @query("top_reliable", "SELECT store_id, reliability_score FROM fx_stores WHERE sync_status <> 'dead' ORDER BY reliability_score DESC, store_id LIMIT 10")
 def top_reliable(fx):
     return fx.stores.where("sync_status <> 'dead'").select("store_id", "reliability_score").orderBy(F.desc("reliability_score"), "store_id").limit(10)

@@ -6,6 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from pricelode.operators.shaping import top_per
 from pricelode.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -65,3 +66,20 @@ def test_shared_stores_are_looked_for_in_all_products(spark, oracle):
     matches = oracle.sql(registry.oracle_sql()["match_products"]).fetchall()
     want = {(a, b) for a, b, *_ in matches if a % 100_000 % 5 != b % 100_000 % 5}
     assert got == want and any(a // 100_000 >= 50 for a, _ in got) and len(want) < len(matches)
+
+
+def test_offers_of_every_product_are_sorted(spark):
+    got = [tuple(r) for r in registry.queries()["sorted_offers_all"](spark, FOLDER).select("product_id", "current_price", "variant_id").collect()]
+    assert got == sorted(got)
+    assert {p for p, _, _ in got} == {p for (p,) in duckdb.sql(f"SELECT DISTINCT l_partkey FROM '{FOLDER}/lineitem.parquet'").fetchall()}
+
+
+def test_cap_keeps_the_first_of_each_store(spark):
+    rows = [(s, v) for s in (1, 2, 3) for v in range(s * 4)]
+    got = top_per(spark.createDataFrame(rows, "store_id long, variant_id long"), ["store_id"], 5, "variant_id").collect()
+    assert sorted((r.store_id, r.variant_id, r["rank"]) for r in got) == [(s, v, v + 1) for s, v in rows if v < 5]
+
+
+def test_cap_of_the_reference_is_above_50(spark):
+    got = registry.queries()["cap_products_per_store_50000"](spark, FOLDER).agg({"rank": "max", "*": "count"}).first()
+    assert got["max(rank)"] > 50 and got["count(1)"] == spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()

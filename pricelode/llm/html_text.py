@@ -29,17 +29,23 @@ _OUTSIDE_WORDS = frozenset(
     "cookie cookies consent gdpr notice alert popup modal overlay dialog newsletter subscribe subscription signup login search comment comments respond reply discussion disqus pagination pager toolbar copyright legal hidden complementary contentinfo skip tags".split()
 )
 _INSIDE_WORDS = frozenset("article content post entry story main body text".split())
+# Elements that hold one paragraph, and words that on these say little: a side note or a notice may well be part of an article.
+_PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th figcaption caption".split())
+_WEAK_WORDS = frozenset("side header notice alert tags skip legal widget search discussion overlay banner related recommended".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAMES = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "outside", "inside")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "outside", "inside", "hinted")
 
 
 def _places(tag, attributes):
-    """Whether an element speaks for (1), against (-1) or neither way (0) of its content being the article."""
+    """Whether an element speaks for (1), against (-1) or neither way (0) of its content being the article.
+
+    -2: the header of what encloses it. -3: its paragraph has a name that hints at something beside the article.
+    """
     if tag in _OUTSIDE_TAGS:
         return -1
     if not attributes:
@@ -54,12 +60,12 @@ def _places(tag, attributes):
     if tag in _INSIDE_TAGS:
         return -1 if names & {"comment", "comments", "ad", "advert", "sponsored"} else 1
     if tag not in ("body", "html") and names & _OUTSIDE_WORDS:
-        return -1
+        return -3 if tag in _PARAGRAPHS and not names & (_OUTSIDE_WORDS - _WEAK_WORDS) else -1
     return -2 if tag == "header" else 1 if names & _INSIDE_WORDS else 0
 
 
 def text_blocks(page):
-    """(text, words, link words, heading, outside, inside) of each block that has text."""
+    """(text, words, link words, heading, outside, inside, hinted) of each block that has text."""
     blocks, parts = [], []
     stack = []  # tag, places
     skipping = links = words_linked = heading = 0
@@ -70,13 +76,14 @@ def text_blocks(page):
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            outside = inside = 0
+            outside = inside = hinted = 0
             for _, place in stack:
                 inside |= place == 1
+                hinted |= place == -3
                 # The header of an article is part of it, that of a page is not.
                 outside |= place == -1 or (place == -2 and not inside)
             n = len(text.split(" "))
-            blocks.append((text, n, min(n, words_linked), int(heading > 0), int(outside), int(inside)))
+            blocks.append((text, n, min(n, words_linked), int(heading > 0), int(outside), int(inside), int(hinted)))
         words_linked = 0
 
     while True:
@@ -103,6 +110,8 @@ def text_blocks(page):
             parts.append(" ")
         elif tag not in _INLINE:
             close()
+            if not ends and stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
+                stack.pop()
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = 0 if ends else 1
         if tag == "a":
@@ -137,14 +146,14 @@ def features(blocks):
         table_ = np.array([b[1:] for b in blocks], dtype=np.float64)
         out[:, 0], out[:, 1] = table_[:, 0], table_[:, 1] / table_[:, 0]
         out[1:, 2:4], out[:-1, 4:6] = out[:-1, 0:2], out[1:, 0:2]
-        out[:, 6:9] = table_[:, 2:5]
+        out[:, 6:10] = table_[:, 2:6]
     return out
 
 
 class DecisionTree:
     """A binary tree by Gini impurity; nodes are (feature, threshold, low child, high child) or a label."""
 
-    def __init__(self, x, y, depth=6, least=2):
+    def __init__(self, x, y, depth=8, least=2):
         self.nodes = []
         self._grow(np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.int64), depth, least)
 
@@ -195,39 +204,51 @@ def _article(*sizes):
     return "".join(f"<p>§{_words(n)}</p>" for n in sizes)
 
 
-def labelled_pages(count=60, seed=7):
+def labelled_pages(count=720, seed=7):
     """The labelled table, as pages: blocks that begin with § belong to the article.
 
     Pages are put together at random from the usual parts. A third tell the
     article by elements, a third by class and id, a third by nothing but words
-    and links.
+    and links. A third of each kind end with the article, others with a script,
+    and some are nothing but text.
     """
     draw = random.Random(seed)
-    some = draw.randint
+    some, chance = draw.randint, draw.random
     pages = []
     for k in range(count):
-        how = k % 3
-        sizes = [draw.choice((1, 2, some(3, 12), some(15, 40), some(30, 120))) if how < 2 else some(18, 120) for _ in range(some(2, 9))]
+        how, end = k % 3, k // 3 % 3  # end: 0 with the article, 1 with a script, 2 with other parts
+        sizes = [draw.choice((1, 2, some(3, 12), some(15, 40), some(30, 120))) if how < 2 else some(18, 120) for _ in range(some(1, 9))]
         linked = f"<p>§{_words(some(4, 30))} <a href='y'>{_words(some(1, 4))}</a> {_words(some(4, 20))}</p>"
         listed = f"<ul><li>§{_words(some(1, 9))}</li><li>§{_words(some(1, 5))} <a href='x'>{_words(1)}</a></li><li><a href='w'>§{_words(some(1, 12))}</a></li></ul>" if how < 2 else ""
-        within = draw.choice(("", f"<div class='{draw.choice(('ad', 'sponsored', 'share-bar', 'related'))}'>{_words(some(1, 40))}</div>", f"<aside>{_words(some(2, 60))}</aside>")) if how < 2 else ""
-        head = f"<h1>§{_words(some(2, 12))}</h1>" if how < 2 or draw.random() < 0.5 else ""
-        after = draw.choice(("", f"<div class='comments'><p>{_words(some(1, 60))}</p><p>{_words(some(1, 30))}</p></div>", f"<footer>{_words(some(2, 12))}</footer>")) if how < 2 else ""
-        body = head + _article(*sizes[: len(sizes) // 2]) + within + draw.choice((linked, listed, "")) + _article(*sizes[len(sizes) // 2 :]) + after
+        name = draw.choice(("side-note", "notice", "legal", "alert", "related", "banner"))
+        named = f"<p class='{name}'>§{_words(some(15, 90))}</p>" if how < 2 else ""
+        hint = f"<p class='{name}'><a href='v'>{_words(some(2, 9))}</a>{_words(some(0, 2))}</p>" if how < 2 else ""
+        within = draw.choice(("", f"<div class='{draw.choice(('ad', 'sponsored', 'share-bar', 'related'))}'>{_words(some(1, 40))}</div>", f"<aside>{_words(some(2, 60))}</aside>", hint)) if how < 2 else ""
+        head = f"<h1>§{_words(some(2, 12))}</h1>" if how < 2 or chance() < 0.5 else ""
+        after = draw.choice(("", f"<div class='comments'><p>{_words(some(1, 60))}</p><p>{_words(some(1, 30))}</p></div>", f"<footer>{_words(some(2, 12))}</footer>")) if how < 2 and end == 2 else ""
+        source = f"<p>§{_words(some(1, 4))} <a href='s'>{_words(some(2, 9))}</a></p>" if how < 2 else ""
+        half = some(0, len(sizes))
+        body = head + _article(*sizes[:half]) + within + draw.choice((linked, listed, named, source, "")) + _article(*sizes[half:]) + after
         notice = f"<div class='{draw.choice(('cookie-notice', 'banner', 'ad', 'alert'))}'>{_words(some(3, 50))}</div>"
         side = f"<h3>{_words(some(1, 6))}</h3><p>{_words(some(3, 70))}</p>" + _menu(some(1, 4))
         if how == 0:
-            page = [f"<header><a href='/'>{_words(2)}</a><h1>{_words(some(1, 6))}</h1><p>{_words(some(1, 20))}</p></header>", f"<nav>{_menu(some(2, 9))}</nav>", notice, f"<article>{body}</article>", f"<aside>{side}</aside>", f"<section id='comments'><p>{_words(some(1, 60))}</p></section>", f"<form><p>{_words(some(1, 30))}</p></form>", f"<footer>{_words(some(2, 30))}</footer>"]
+            before = [f"<header><a href='/'>{_words(2)}</a><h1>{_words(some(1, 6))}</h1><p>{_words(some(1, 20))}</p></header>", f"<nav>{_menu(some(2, 9))}</nav>", notice]
+            article = f"<article>{body}</article>"
+            rest = [f"<aside>{side}</aside>", f"<section id='comments'><p>{_words(some(1, 60))}</p></section>", f"<form><p>{_words(some(1, 30))}</p></form>", f"<footer>{_words(some(2, 30))}</footer>"]
         elif how == 1:
-            page = [f"<div id='masthead'>{_words(some(1, 15))}</div>", f"<div id='top-menu'>{_menu(some(2, 9))}</div>", notice, f"<div class='{draw.choice(('content', 'post-body', 'entry'))}'>{body}</div>", f"<div class='sidebar'>{side}</div>", f"<div class='comment-list'><div>{_words(some(1, 60))}</div></div>", f"<div id='footer'>{_words(some(2, 30))}</div>"]
+            before = [f"<div id='masthead'>{_words(some(1, 15))}</div>", f"<div id='top-menu'>{_menu(some(2, 9))}</div>", notice]
+            article = f"<div class='{draw.choice(('content', 'post-body', 'entry'))}'>{body}</div>"
+            rest = [f"<div class='sidebar'>{side}</div>", f"<div class='comment-list'><div>{_words(some(1, 60))}</div></div>", f"<div id='footer'>{_words(some(2, 30))}</div>"]
         else:
             row = "".join(f"<td><a href='/'>{_words(some(1, 2))}</a></td>" for _ in range(some(2, 7)))
-            page = [f"<table><tr>{row}</tr></table>", f"<div>{body}</div>", f"<div>{_menu(some(3, 9))}</div>", f"<p><a href='z'>{_words(some(2, 7))}</a> {_words(1)}</p>", f"<div>{_words(some(1, 4))} <a href='q'>{_words(some(4, 9))}</a></div>", f"<div>{_words(some(2, 6))}</div>"]
-            if draw.random() < 0.4:  # nothing but a text
-                page = [_article(some(1, 40))]
+            before, article = [f"<table><tr>{row}</tr></table>"], f"<div>{body}</div>"
+            rest = [f"<div>{_menu(some(3, 9))}</div>", f"<p><a href='z'>{_words(some(2, 7))}</a> {_words(1)}</p>", f"<div>{_words(some(1, 4))} <a href='q'>{_words(some(4, 9))}</a></div>", f"<div>{_words(some(2, 6))}</div>"]
+            if chance() < 0.4:  # nothing but a text
+                before, article, rest = [], _article(*[some(1, 40) for _ in range(some(1, 4))]), []
         if how < 2:
-            page = [x for x in page if x.startswith(("<article", "<div class='content", "<div class='post", "<div class='entry")) or draw.random() < 0.75]
-        pages.append("<body>" + "".join(page) + "</body>")
+            before, rest = ([x for x in parts if chance() < 0.75] for parts in (before, rest))
+        rest = [] if end == 0 else ["<script>x()</script>"] if end == 1 else rest
+        pages.append("<body>" + "".join(before) + ("<main>" + article + "</main>" if how == 0 and chance() < 0.3 else article) + "".join(rest) + "</body>")
     return pages
 
 

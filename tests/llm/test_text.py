@@ -131,6 +131,43 @@ def test_extracts_articles():
     assert read("<article>a < b <!-- c --> d</article") != ""
 
 
+def test_last_blocks_of_articles_stay():
+    tree, _, _ = html_text.train_tree()
+    read = lambda h: html_text.main_text(h, tree)
+    assert read("<article><h1>Title here</h1><p>P1</p><p>P2</p></article>") == "Title here\nP1\nP2"
+    assert read("<p>P1</p><p>P2</p>") == "P1\nP2"
+    assert read("<main><article><p>P1<p>P2</article></main>") == "P1\nP2"
+    assert read("<article><p>P1</p><p>P2</p></article><script>track()</script>") == "P1\nP2"
+    assert read("<nav><a href='/'>Home</a></nav><article><p>Only one</p></article>") == "Only one"
+    assert read("<article><p>One two three</p><ul><li>see <a href='x'>this and that</a></li></ul><p>Last words</p></article>") == "One two three\nsee this and that\nLast words"
+    note = "A note of some length that stands beside the text and yet belongs to it as its author says"
+    assert read(f"<article><p>One two three</p><p class='side-note'>{note}</p><p>Last words</p></article>") == f"One two three\n{note}\nLast words"
+    assert read("<article><p>One two</p><p class='ad'>Buy now<p>Three four</article>") == "One two\nThree four"
+
+
+def test_extracts_other_labelled_pages():
+    """Pages of another seed, whole texts against the labels: two kinds of page in full, the kind without names nearly."""
+    tree, _, _ = html_text.train_tree()
+    exact, n = [0, 0, 0], 0
+    for k, html in enumerate(html_text.labelled_pages(600, seed=2024)):
+        want = "\n".join(b[0] for b in html_text.text_blocks(html) if b[0].startswith("§"))
+        exact[k % 3] += html_text.main_text(html, tree) == want
+        n += k % 3 == 0
+    assert exact[0] >= 0.99 * n and exact[1] >= 0.99 * n and exact[2] >= 0.97 * n
+
+
+def test_extracts_the_articles_of_given_pages(spark):
+    """All pages of a folder against a plain cut at their article element."""
+    import html
+    import re
+
+    for r in html_text.op2_block_tree(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.DOTALL)[1]
+        parts = re.split(r"</?(?:p|h1)>", re.sub(r"<!--.*?-->", "", inner.replace("<br>", " "), flags=re.DOTALL))
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts]
+        assert r.text == "\n".join(x for x in plain if x) and r.n_chars == len(r.text)
+
+
 def test_extracts_rows(spark):
     df = spark.createDataFrame([(1, "u", page("<article><p>é" + " w" * 50_000 + "</p></article>"), "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.n_chars) for r in html_text.extract_text(df).collect())

@@ -3,9 +3,10 @@
 Pixels are uint32 arrays of shape (height, width), 0xAARRGGBB.
 
 Decoding is sequential by nature, as a symbol's place depends on the lengths of
-all before it. Here the next symbol's place is worked out for every bit of the
-stream at once, by table look-ups on arrays; what stays sequential is following
-these places from the first to the last symbol.
+all before it. So many images are decoded side by side, a symbol of each at every
+step. Of an image of many pixels the next symbol's place is worked out for every
+bit of the stream at once instead, by table look-ups on arrays; what stays
+sequential is following these places from the first to the last symbol.
 """
 
 import numpy as np
@@ -64,7 +65,6 @@ def _canonical(lengths):
 class _Bits:
     def __init__(self, data):
         self.data, self.at = data, 0
-        self.words = None
 
     def read(self, n):
         if not n:
@@ -76,33 +76,35 @@ class _Bits:
             raise ValueError("the stream ends early")
         return value
 
-
     def peek(self, start, n):
         k = start >> 3
         return (int.from_bytes(self.data[k : (start + n + 7) >> 3], "little") >> (start & 7)) & ((1 << n) - 1)
 
 
+#: Windows of 16 bits with their bits in the other order.
+_TURNED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype="<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little"), axis=1).astype(np.int64) @ np.array([256, 1])
+
+
 class _Code:
-    """Look-up of symbol and length by the next `bits` bits."""
+    """A prefix code: `table` holds symbol * 16 + length for every window of `bits` bits."""
 
     cache: dict = {}
 
     def __init__(self, lengths):
-        used = [s for s, n in enumerate(lengths) if n]
+        sizes = np.array(lengths, dtype=np.int32)
+        used = np.flatnonzero(sizes)
+        self.largest = int(used[-1]) if len(used) else 0
         if len(used) < 2:  # takes no bits
-            self.bits, self.symbols, self.sizes = 0, np.array([used[0] if used else 0], dtype=np.int32), np.zeros(1, dtype=np.int32)
-            self.mask, self.largest = np.uint32(0), used[0] if used else 0
+            self.bits, self.table = 0, np.array([self.largest << 4])
             return
-        self.bits = max(lengths)
-        if sum(1 << (self.bits - lengths[s]) for s in used) != 1 << self.bits:
+        used = used[np.argsort(sizes[used], kind="stable")]  # in the order of their codes
+        sizes = sizes[used]
+        self.bits = int(sizes[-1])
+        spans = 1 << (self.bits - sizes)
+        if spans.sum() != 1 << self.bits:
             raise ValueError("a prefix code is not complete")
-        size = 1 << self.bits
-        self.mask, self.largest = np.uint32(size - 1), used[-1]
-        self.symbols, self.sizes = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
-        codes = _canonical(lengths)
-        for s in used:
-            self.symbols[codes[s] :: 1 << lengths[s]] = s
-            self.sizes[codes[s] :: 1 << lengths[s]] = lengths[s]
+        # Codes count upwards when read with the first bit highest; the stream holds it lowest.
+        self.table = np.repeat(used << 4 | sizes, spans)[_TURNED[: 1 << self.bits] >> (16 - self.bits)]
 
     @classmethod
     def of(cls, lengths):
@@ -113,29 +115,36 @@ class _Code:
             cls.cache[key] = cls(lengths)
         return cls.cache[key]
 
-    def pairs(self):
-        """Symbol and size by window, as lists."""
-        return self.symbols.tolist(), self.sizes.tolist()
+    def by_window(self):
+        """Symbols and sizes by window as the stream holds it, as lists; for short codes."""
+        if not hasattr(self, "lists"):
+            self.lists = (self.table >> 4).tolist(), (self.table & 15).tolist()
+        return self.lists
 
 
 def _read_code(bits, alphabet):
+    """A code, and whether the same bits would describe it for another alphabet as well."""
     lengths = [0] * alphabet
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
         for s in symbols:
             lengths[s] = 1
-        return _Code.of(lengths)
-    own = [0] * 19
-    for k in range(4 + bits.read(4)):
-        own[_CODE_LENGTH_ORDER[k]] = bits.read(3)
+        return _Code.of(lengths), True
+    count, own = 4 + bits.read(4), [0] * 19
+    three = bits.peek(bits.at, 3 * count)
+    bits.at += 3 * count
+    for s in _CODE_LENGTH_ORDER[:count]:
+        own[s] = three & 7
+        three >>= 3
     code = _Code.of(own)
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
+    bounded = bits.read(1)
+    left = 2 + bits.read(2 + 2 * bits.read(3)) if bounded else alphabet
     # At most 14 bits a symbol: the whole description is read from one integer.
     k, window = bits.at & 7, int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * alphabet + 2], "little")
     start, mask = k, (1 << code.bits) - 1
     window >>= k
-    symbols, sizes = code.pairs()
+    symbols, sizes = code.by_window()
     at, last = 0, 8
     while at < alphabet and left:
         left -= 1
@@ -150,31 +159,57 @@ def _read_code(bits, alphabet):
             run = least + (w & ((1 << extra) - 1))
             if at + run > alphabet:
                 raise ValueError("code lengths run over the alphabet")
-            lengths[at : at + run] = [value] * run
+            if value:
+                lengths[at : at + run] = [value] * run
             at, n = at + run, n + extra
         window >>= n
         k += n
     bits.at += k - start
     if bits.at > 8 * len(bits.data):
         raise ValueError("the stream ends early")
-    return _Code.of(lengths)
+    return _Code.of(lengths), bool(bounded) and left == 0
 
 
 def _read_codes(bits, alphabets):
     """One code per alphabet; one that is described by the same bits as the code before it isn't read anew."""
-    codes, last, size, content = [], None, 0, 0
+    codes, last, size, content, anywhere = [], None, 0, 0, False
     for n in alphabets:
-        if n == last and bits.peek(bits.at, size) == content:
+        if (n == last or (anywhere and codes[-1].largest < n)) and bits.peek(bits.at, size) == content:
             codes.append(codes[-1])
             bits.at += size
             continue
         start = bits.at
-        codes.append(_read_code(bits, n))
+        code, anywhere = _read_code(bits, n)
+        codes.append(code)
         last, size = n, bits.at - start
         content = bits.peek(start, size)
     return codes
 
 
+class _Symbols:
+    """The symbols of an entropy-coded image that are to be read next: where they begin, and their codes by group."""
+
+    def __init__(self, bits, width, total, cache_bits, tiles, groups, main):
+        self.bits, self.width, self.total, self.cache_bits, self.tiles, self.groups, self.main = bits, width, total, cache_bits, tiles, groups, main
+
+
+def _entropy_image(bits, width, height, main):
+    """Steps of reading an entropy-coded image; yields _Symbols, is sent pixels, and returns them as a flat array."""
+    cache_bits = bits.read(4) if bits.read(1) else 0
+    tiles, groups = None, 1
+    if main and bits.read(1):
+        tile_bits = 2 + bits.read(3)
+        tiles_wide = _ceil_div(width, tile_bits)
+        meta = yield from _entropy_image(bits, tiles_wide, _ceil_div(height, tile_bits), False)
+        of_tile = (meta >> np.uint32(8)) & np.uint32(0xFFFF)
+        y, x = np.divmod(np.arange(width * height), width)
+        tiles = of_tile[(y >> tile_bits) * tiles_wide + (x >> tile_bits)].astype(np.int64)
+        groups = int(of_tile.max()) + 1
+    alphabets = (256 + _LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, _DISTANCES)
+    codes = [_read_codes(bits, alphabets) for _ in range(groups)]
+    return (yield _Symbols(bits, width, width * height, cache_bits, tiles, codes, main))
+
+
 def _prefix_value(prefix, window):
     """Value and extra bits of a length or distance prefix, from the bits that follow it."""
     extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
@@ -182,6 +217,150 @@ def _prefix_value(prefix, window):
     return offset + (window & ((1 << extra) - 1)) + 1, extra
 
 
+class _Places:
+    """Windows and codes of many images: all bytes one after the other, and all tables in one."""
+
+    def __init__(self, wanted):
+        data, begins, tables, at, place = [], [], {}, 0, 0
+        for s in wanted:
+            data.append(s.bits.data[s.bits.at >> 3 :])
+            begins.append(8 * at + (s.bits.at & 7))
+            at += len(data[-1])
+            for five in s.groups:
+                for code in five:
+                    if id(code) not in tables:
+                        tables[id(code)] = place, code.table
+                        place += len(code.table)
+        self.begins = np.array(begins, dtype=np.int64)
+        self.end = 8 * at + 1
+        content = b"".join(data) + bytes(24)
+        self.words = np.ndarray((len(content) - 7,), dtype="<i8", buffer=content, strides=(1,))
+        self.table = np.concatenate([t for _, t in tables.values()])
+        # Of every group of every image, for each of the five codes: where its table begins, and the mask of its windows.
+        rows = [[(tables[id(code)][0], (1 << code.bits) - 1) for code in five] for s in wanted for five in s.groups]
+        self.base, self.mask = np.array(rows, dtype=np.int64).reshape(-1, 5, 2).transpose(2, 1, 0).copy()
+        self.first_group = np.cumsum([0] + [len(s.groups) for s in wanted[:-1]])
+
+    def window(self, at):
+        """57 bits from each place on; the bits above are of no use."""
+        return self.words[at >> 3] >> (at & 7)
+
+    def far(self, group, window):
+        """Symbol * 16 + length of the distance code at each window."""
+        return self.table[self.base[4][group] + (window & self.mask[4][group])]
+
+
+def _read_symbols(wanted):
+    """Pixels of many images, the largest first: one symbol of every image at each step, so that the steps are few and their work is wide."""
+    total = np.array([s.total for s in wanted])
+    places = _Places(wanted)
+    n, steps = len(wanted), int(total[0])
+    at, pixel = places.begins.copy(), np.zeros(n, dtype=np.int64)
+    several = any(len(s.groups) > 1 for s in wanted)
+    plain = not several and all(five[0].largest < 256 for s in wanted for five in s.groups)
+    short = all(sum(code.bits for code in five[:4]) <= 57 for s in wanted for five in s.groups)
+    active = np.searchsorted(-total, -np.arange(steps), side="left")  # images with more pixels than steps went by
+    found = np.zeros((4, steps, n), dtype=np.uint16)  # of green, red, blue, alpha
+    where, copies = None if plain else np.full((steps, n), 1 << 40, dtype=np.int64), []
+    if several:
+        tiles = np.concatenate([s.tiles if s.tiles is not None else np.zeros(s.total, dtype=np.int64) for s in wanted])
+        tiles_from = np.cumsum(total) - total
+    last, group, m, table, words = at.copy(), places.first_group, n, places.table, places.words
+    base, mask = places.base[:4, group], places.mask[:4, group]
+    for step in range(steps):
+        if active[step] < m:
+            now = int(active[step])
+            last[now:m] = at[now:]
+            m = now
+            at, pixel, group, total = at[:m], pixel[:m], group[:m], total[:m]
+            base, mask = base[:, :m], mask[:, :m]
+        if several:
+            group = places.first_group[:m] + tiles[tiles_from[:m] + np.minimum(pixel, total - 1)]
+            base, mask = places.base[:4, group], places.mask[:4, group]
+        window, used = words[at >> 3] >> (at & 7), 0
+        for c in range(4):
+            if c == 3 and not short:
+                window = places.window(at + used)
+            here = table.take((window & mask[c]) + base[c])
+            found[c, step, :m] = here
+            here &= 15
+            if c < 3:
+                window >>= here
+            used = used + here
+        if plain:
+            at = np.minimum(at + used, places.end)
+            continue
+        open_ = pixel < total
+        if not step & 15 and not open_.any():
+            break
+        where[step, :m] = pixel
+        advance, used = open_.astype(np.int64), used * open_
+        first = found[0, step, :m]
+        special = np.flatnonzero((first >= 256 << 4) & open_)
+        if len(special):
+            first = first.astype(np.int64)
+            used[special] = first[special] & 15
+            some = special[first[special] < (256 + _LENGTHS) << 4]
+            here = np.minimum(at[some] + (first[some] & 15), places.end)
+            length, extra = _prefix_value((first[some] >> 4) - 256, places.window(here))
+            here = np.minimum(here + extra, places.end)
+            code = places.far(group[some], places.window(here))
+            here = np.minimum(here + (code & 15), places.end)
+            far, extra = _prefix_value(code >> 4, places.window(here))
+            used[some], advance[some] = here + extra - at[some], length
+            copies.append((np.full(len(some), step), some, length, far))
+        at, pixel = np.minimum(at + used, places.end), pixel + advance
+    last[:m] = at
+    for s, begin, end in zip(wanted, places.begins.tolist(), last.tolist(), strict=True):
+        s.bits.at += end - begin
+        if s.bits.at > 8 * len(s.bits.data):
+            raise ValueError("the stream ends early")
+    found >>= 4
+    green = found[0]
+    colour = _join(found[3], found[1], green, found[2])
+    if plain:
+        return [c[: s.total] for s, c in zip(wanted, np.ascontiguousarray(colour.T), strict=True)]
+    own = [{} for _ in wanted]
+    for step, image, length, far in zip(*(np.concatenate(x).tolist() for x in zip(*copies, strict=True)), strict=True) if copies else ():
+        own[image][step] = length, far
+    columns = zip(np.ascontiguousarray(green.T), np.ascontiguousarray(colour.T), np.ascontiguousarray(where.T), own, strict=True)
+    return [_resolve(s, *column) for s, column in zip(wanted, columns, strict=True)]
+
+
+def _resolve(s, green, colour, where, copies):
+    """Pixels of one image with copies or cache codes, which need what stands before them and so go in order."""
+    out = np.zeros(s.total, dtype=np.uint32)
+    count = int(np.searchsorted(where, s.total))
+    green, colour, where = green[:count], colour[:count], where[:count]
+    literal = green < 256
+    out[where[literal]] = colour[literal]
+    cache, cached = [0] * (1 << s.cache_bits), 0
+    special = np.flatnonzero(~literal)
+    for step, g, k in zip(special.tolist(), green[special].tolist(), where[special].tolist(), strict=True):
+        if g < 256 + _LENGTHS:
+            n, far = copies[step]
+            if far > len(_NEAR):
+                far -= len(_NEAR)
+            else:
+                x, y = _NEAR[far - 1]
+                far = max(1, x + y * s.width)
+            if far > k or k + n > s.total:
+                raise ValueError("a copy reaches outside the image")
+            out[k : k + n] = out[k - far : k - far + n] if far >= n else np.resize(out[k - far : k], n)
+        else:
+            for value in out[cached:k].tolist():
+                cache[((_HASH * value) & 0xFFFFFFFF) >> (32 - s.cache_bits)] = value
+            cached = k
+            out[k] = cache[g - 256 - _LENGTHS]
+    return out
+
+
+#: Images with more pixels are laid out, each for itself.
+_WIDE = 4096
+#: At most so many symbols are held at once.
+_MOST_CELLS = 3_000_000
+
+
 class _Group:
     """One group's five codes, and for a stretch of the stream each bit's symbol and where the next begins."""
 
@@ -193,11 +372,14 @@ class _Group:
         here = np.arange(bits, dtype=np.int32)
         green, red, blue, alpha, distance = self.codes
 
+        def read(code, at):
+            return code.table[windows[at] & np.uint32((1 << code.bits) - 1)]
+
         def pass_by(code, at):
-            return at + code.sizes[windows[at] & code.mask] if code.bits else at
+            return at + (read(code, at) & 15) if code.bits else at
 
-        k = windows[:bits] & green.mask
-        sym, at = green.symbols[k], here + green.sizes[k]
+        found = read(green, here)
+        sym, at = found >> 4, here + (found & 15)
         self.symbol, self.after_green = sym, at
         following = pass_by(alpha, pass_by(blue, pass_by(red, at)))
         if green.largest >= 256:
@@ -207,7 +389,7 @@ class _Group:
                 start = at[copies].astype(np.int64)
                 length, extra = _prefix_value((sym[copies] - 256).astype(np.int64), windows[start].astype(np.int64))
                 start = start + np.minimum(extra, 18)
-                prefix = distance.symbols[windows[start] & distance.mask]
+                prefix = read(distance, start) >> 4
                 start = pass_by(distance, start)
                 far, extra = _prefix_value(prefix.astype(np.int64), windows[start].astype(np.int64))
                 following[copies] = start + np.minimum(extra, 18)
@@ -220,92 +402,67 @@ class _Group:
         """Pixels of the literals that begin at these bits."""
         values, place = [self.symbol[at]], self.after_green[at]
         for code in self.codes[1:4]:
-            k = windows[place] & code.mask
-            values.append(code.symbols[k])
-            place = place + code.sizes[k]
+            found = code.table[windows[place] & np.uint32((1 << code.bits) - 1)]
+            values.append(found >> 4)
+            place = place + (found & 15)
         g, r, b, a = values
         return _join(a, r, g, b)
 
 
-def _read_pixels(bits, width, height, main):
-    """An entropy-coded image as a flat array."""
-    total = width * height
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    of_tile, tile_bits, tiles_wide, groups = None, 0, 0, 1
-    if main and bits.read(1):
-        tile_bits = 2 + bits.read(3)
-        tiles_wide = _ceil_div(width, tile_bits)
-        meta = _read_pixels(bits, tiles_wide, _ceil_div(height, tile_bits), False)
-        of_tile = ((meta >> np.uint32(8)) & np.uint32(0xFFFF)).tolist()
-        groups = max(of_tile) + 1
-    alphabets = (256 + _LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, _DISTANCES)
-    tables = [_Group(_read_codes(bits, alphabets)) for _ in range(groups)]
-
+def _read_wide(s):
+    """Pixels of one image, by following places that are worked out for every bit."""
+    bits, total = s.bits, s.total
     first, rest = bits.at, bits.data[bits.at >> 3 :]
     size = 8 * len(rest) - (first & 7) + 1
     words = np.ndarray((len(rest) + 8,), dtype="<u8", buffer=rest + bytes(16), strides=(1,))
     windows = np.right_shift.outer(words, np.arange(8, dtype=np.uint64)).astype(np.uint32).ravel()[first & 7 :]
-    for g in tables:
+    groups = [_Group(codes) for codes in s.groups]
+    for g in groups:
         g.lay_out(windows, size)
-
-    # Follow the symbols. In a plain stream every one is a pixel.
-    follow = [memoryview(g.following) for g in tables]
-    if groups == 1 and tables[0].codes[0].largest < 256:
-        places, next_place, p = [0] * total, follow[0], 0
-        try:
-            for k in range(total):
-                places[k] = p
-                p = next_place[p]
-        except IndexError:
-            raise ValueError("the stream ends early") from None
-        bits.at = first + p
-        return tables[0].literals(windows, np.array(places, dtype=np.int32))
-
-    out = np.zeros(total, dtype=np.uint32)
-    seen = []  # place in the stream, pixel, group
-    p = k = 0
-    symbols = [g.symbol for g in tables]
+    seen = np.zeros((total, 3), dtype=np.int64)  # place in the stream, pixel, group
+    tiles = s.tiles.tolist() if s.tiles is not None else None
+    follow, symbols = [memoryview(g.following) for g in groups], [memoryview(g.symbol) for g in groups]
+    p = k = n = g = 0
     while k < total:
-        g = of_tile[((k // width) >> tile_bits) * tiles_wide + ((k % width) >> tile_bits)] if of_tile else 0
+        if tiles:
+            g = tiles[k]
         if p >= size:
             raise ValueError("the stream ends early")
-        seen.append((p, k, g))
-        s = symbols[g][p]
-        if 256 <= s < 256 + _LENGTHS:
-            k += int(tables[g].copy_length[tables[g].copy[p]])
+        seen[n] = p, k, g
+        n += 1
+        if 256 <= symbols[g][p] < 256 + _LENGTHS:
+            k += int(groups[g].copy_length[groups[g].copy[p]])
         else:
             k += 1
         p = follow[g][p]
     bits.at = first + p
-    seen = np.array(seen, dtype=np.int64).reshape(-1, 3)
-    for number, g in enumerate(tables):
-        own = seen[seen[:, 2] == number]
-        own = own[g.symbol[own[:, 0]] < 256]
-        out[own[:, 1]] = g.literals(windows, own[:, 0])
-    # Copies and cache codes need what stands before them, so they go in order.
-    cache, cached = [0] * (1 << cache_bits), 0
-    for p, k, number in seen[[tables[n].symbol[q] >= 256 for q, _, n in seen]].tolist():
-        g = tables[number]
-        s = int(g.symbol[p])
-        if s < 256 + _LENGTHS:
-            n, far = int(g.copy_length[g.copy[p]]), int(g.copy_far[g.copy[p]])
-            if far > len(_NEAR):
-                far -= len(_NEAR)
-            else:
-                x, y = _NEAR[far - 1]
-                far = max(1, x + y * width)
-            if far > k or k + n > total:
-                raise ValueError("a copy reaches outside the image")
-            if far >= n:
-                out[k : k + n] = out[k - far : k - far + n]
-            else:
-                out[k : k + n] = np.resize(out[k - far : k], n)
-        else:
-            for value in out[cached:k].tolist():
-                cache[((_HASH * value) & 0xFFFFFFFF) >> (32 - cache_bits)] = value
-            cached = k
-            out[k] = cache[s - 256 - _LENGTHS]
-    return out
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
+    seen = seen[:n]
+    green, colour, copies = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint32), {}
+    for number, g in enumerate(groups):
+        own = np.flatnonzero(seen[:, 2] == number)
+        at = seen[own, 0]
+        green[own] = g.symbol[at]
+        plain = g.symbol[at] < 256
+        colour[own[plain]] = g.literals(windows, at[plain])
+        far = (g.symbol[at] >= 256) & (g.symbol[at] < 256 + _LENGTHS)
+        if far.any():
+            which = g.copy[at[far]]
+            copies.update(zip(own[far].tolist(), zip(g.copy_length[which].tolist(), g.copy_far[which].tolist(), strict=True), strict=True))
+    return _resolve(s, green, colour, seen[:, 1], copies)
+
+
+def _read_all(wanted):
+    """Pixels of each of the images."""
+    found = [_read_wide(s) if s.total > _WIDE else None for s in wanted]
+    narrow = sorted((k for k, s in enumerate(wanted) if s.total <= _WIDE), key=lambda k: -wanted[k].total)
+    while narrow:
+        n = max(1, _MOST_CELLS // wanted[narrow[0]].total)
+        some, narrow = narrow[:n], narrow[n:]
+        for k, pixels in zip(some, _read_symbols([wanted[k] for k in some]), strict=True):
+            found[k] = pixels
+    return found
 
 
 def _average(a, b):
@@ -389,8 +546,8 @@ def _subtract_green(pixels, sign):
     return _join(a, r + sign * g, g, b + sign * g)
 
 
-def decode_vp8l(data):
-    """Pixels of a VP8L chunk's content."""
+def _decoding(data):
+    """Steps of decoding a VP8L chunk's content; yields _Symbols, is sent their pixels, and returns the image."""
     bits = _Bits(data)
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless stream")
@@ -405,17 +562,17 @@ def decode_vp8l(data):
             raise ValueError("a transform comes twice")
         if kind < 2:
             size_bits = 2 + bits.read(3)
-            undo.append((kind, width, size_bits, _read_pixels(bits, _ceil_div(width, size_bits), _ceil_div(height, size_bits), False)))
+            undo.append((kind, width, size_bits, (yield from _entropy_image(bits, _ceil_div(width, size_bits), _ceil_div(height, size_bits), False))))
         elif kind == 2:
             undo.append((kind, width, 0, None))
         else:
             n = bits.read(8) + 1
-            deltas = _channels(_read_pixels(bits, n, 1, False))
+            deltas = _channels((yield from _entropy_image(bits, n, 1, False)))
             palette = _join(*(np.cumsum(c) for c in deltas))
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((kind, width, pack, palette))
             width = _ceil_div(width, pack)
-    pixels = _read_pixels(bits, width, height, True)
+    pixels = yield from _entropy_image(bits, width, height, True)
     for kind, wide, size_bits, table in reversed(undo):
         if kind == 0:
             pixels = _walk_predictor(pixels, wide, height, table, size_bits, True)
@@ -433,18 +590,53 @@ def decode_vp8l(data):
     return pixels.reshape(height, full_width)
 
 
-def decode_webp(data):
-    """All lossless images of concatenated WebP files."""
+def decode_many(contents):
+    """Pixels of each of many VP8L chunks' contents, decoded side by side."""
+    found, running = [None] * len(contents), [(k, _decoding(data), None) for k, data in enumerate(contents)]
+    held = []
+    while running:
+        waiting = held
+        for k, steps, pixels in running:
+            try:
+                waiting.append((k, steps, steps.send(pixels)))
+            except StopIteration as end:
+                found[k] = end.value
+        # What describes images goes first, so that the images themselves are read together.
+        now = [w for w in waiting if not w[2].main] or waiting
+        pixels = dict(zip((k for k, _, _ in now), _read_all([s for _, _, s in now]), strict=True))
+        running = [(k, steps, pixels[k]) for k, steps, _ in now]
+        held = [w for w in waiting if w[0] not in pixels]
+    return found
+
+
+def decode_vp8l(data):
+    """Pixels of a VP8L chunk's content."""
+    return decode_many([data])[0]
+
+
+def webp_contents(data):
+    """The VP8L chunks' contents of concatenated WebP files, plain or extended; other chunks (metadata) are passed over."""
     found, at = [], 0
     while at < len(data):
-        if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 16] != b"WEBPVP8L":
-            raise ValueError("not a lossless WebP file")
-        size = int.from_bytes(data[at + 16 : at + 20], "little")
-        found.append(decode_vp8l(data[at + 20 : at + 20 + size]))
-        at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 12] != b"WEBP":
+            raise ValueError("not a WebP file")
+        end, k, known = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little"), at + 12, len(found)
+        while k + 8 <= end:
+            size = int.from_bytes(data[k + 4 : k + 8], "little")
+            if data[k : k + 4] == b"VP8L":
+                found.append(data[k + 8 : k + 8 + size])
+            k += 8 + size + size % 2
+        if len(found) != known + 1:
+            raise ValueError("not a lossless WebP file of one image")
+        at = end
     return found
 
 
+def decode_webp(data):
+    """All lossless images of concatenated WebP files."""
+    return decode_many(webp_contents(data))
+
+
 # ---------------------------------------------------------------- encoding
 
 
@@ -680,8 +872,174 @@ def encode_vp8l(image, predictor=None, cross=None, subtract_green=False, palette
     return out.done()
 
 
-def encode_webp(image, **tools):
-    """A WebP file; see encode_vp8l."""
-    content = encode_vp8l(image, **tools)
+# ---------------------------------------------------------------- encoding many images side by side
+
+_SHORT = 12
+
+
+def _many_code_lengths(counts, most=_SHORT):
+    """Huffman lengths of at most `most` bits for each row of counts, with two or more used symbols in each."""
+    n, width = counts.shape
+    out = np.zeros((n, width), dtype=np.int64)
+    rows = np.arange(n)
+    while len(rows):
+        lengths = _huffman(counts[rows])
+        fits = lengths.max(axis=1) <= most
+        out[rows[fits]] = lengths[fits]
+        rows = rows[~fits]
+        counts = counts.copy()
+        counts[rows] = np.where(counts[rows] > 0, (counts[rows] >> 1) + 1, 0)
+    return out
+
+
+def _huffman(counts):
+    """Huffman lengths by two queues, a merge of every row at each step."""
+    n, width = counts.shape
+    far = np.int64(1) << 60
+    values = np.where(counts > 0, counts, far)
+    order = np.argsort(values, axis=1, kind="stable")
+    leaves = np.concatenate([np.take_along_axis(values, order, axis=1), np.full((n, 2), far)], axis=1)
+    used = (counts > 0).sum(axis=1)
+    most = int(used.max())
+    inner = np.full((n, most + 2), far)  # sums, in the order they are made, which is ascending
+    parent = np.zeros((n, width + most + 2), dtype=np.int64)
+    leaf, node, every = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.arange(n)
+    for step in range(most - 1):
+        rows = every[used - 1 > step]
+        total = np.zeros(len(rows), dtype=np.int64)
+        for _ in range(2):
+            a, b = leaves[rows, leaf[rows]], inner[rows, node[rows]]
+            is_leaf = a <= b
+            total += np.where(is_leaf, a, b)
+            parent[rows, np.where(is_leaf, leaf[rows], width + node[rows])] = step
+            leaf[rows] += is_leaf
+            node[rows] += ~is_leaf
+        inner[rows, step] = total
+    depth = np.zeros((n, most + 2), dtype=np.int64)
+    for step in range(most - 3, -1, -1):
+        rows = every[used - 2 > step]
+        depth[rows, step] = depth[rows, parent[rows, width + step]] + 1
+    sorted_lengths = np.where(np.arange(width) < used[:, None], np.take_along_axis(depth, parent[:, :width], axis=1) + 1, 0)
+    lengths = np.zeros((n, width), dtype=np.int64)
+    np.put_along_axis(lengths, order, sorted_lengths, axis=1)
+    return lengths
+
+
+def _many_canonical(lengths):
+    """Codes of every row's symbols as the stream holds them: first bit lowest."""
+    n, width = lengths.shape
+    order = np.argsort(np.where(lengths > 0, lengths, 99), axis=1, kind="stable")
+    sizes = np.take_along_axis(lengths, order, axis=1)
+    spans = np.where(sizes > 0, np.int64(1) << (16 - sizes), 0)
+    codes = np.zeros((n, width), dtype=np.int64)
+    np.put_along_axis(codes, order, np.where(sizes > 0, np.cumsum(spans, axis=1) - spans, 0), axis=1)
+    return _TURNED[codes].astype(np.int64)
+
+
+_OWN_CODE_OF, _OWN_SIZE_OF = np.array(_OWN_CODES, dtype=np.int64), np.array(_OWN, dtype=np.int64)
+
+
+def _many_descriptions(lengths):
+    """(row, value, size, code lengths told) of what describes each row as a prefix code up to its last used symbol, in order."""
+    n, width = lengths.shape
+    flat, place = lengths.ravel(), np.arange(n * width)
+    zero, begins = flat == 0, place % width == 0
+    breaks = ~zero | begins | np.append(False, ~zero[:-1])
+    offset = place - np.maximum.accumulate(np.where(breaks, place, 0))
+    last = width - 1 - np.argmax(lengths[:, ::-1] > 0, axis=1)
+    piece = zero & (offset % 138 == 0) & (place % width < np.repeat(last, width))
+    # A run of zeros ends at the next symbol that is used.
+    edge = np.flatnonzero(~zero)
+    kept = np.flatnonzero(~zero | piece)
+    run = np.minimum(138, edge[np.searchsorted(edge, kept)] - kept)
+    s = flat[kept]
+    long_, middle, two = run >= 11, run >= 3, run == 2
+    value = np.where(long_, _OWN_CODE_OF[18] | (run - 11) << _OWN[18], np.where(middle, _OWN_CODE_OF[17] | (run - 3) << _OWN[17], np.where(two, _OWN_CODE_OF[0] << _OWN[0] | _OWN_CODE_OF[0], _OWN_CODE_OF[0])))
+    size = np.where(long_, _OWN[18] + 7, np.where(middle, _OWN[17] + 3, np.where(two, 2 * _OWN[0], _OWN[0])))
+    return kept // width, np.where(s > 0, _OWN_CODE_OF[s], value), np.where(s > 0, _OWN_SIZE_OF[s], size), 1 + (two & (s == 0))
+
+
+def _before(rows, sizes, n):
+    """Per item the sum of the sizes before it in its row, and the sums of the n rows; items are sorted by row."""
+    ends = np.cumsum(sizes)
+    sums = np.bincount(rows, weights=sizes, minlength=n).astype(np.int64)
+    return ends - sizes - (np.cumsum(sums) - sums)[rows], sums
+
+
+def encode_plain(images):
+    """VP8L contents of many images by prefix codes alone; each image holds three or more different bytes."""
+    n = len(images)
+    flat = np.concatenate([image.ravel() for image in images]).astype("<u4")
+    sizes = np.array([image.size for image in images])
+    owner = np.repeat(np.arange(n), sizes)
+    channels = flat.view(np.uint8).reshape(-1, 4)  # blue, green, red, alpha
+    # One code serves all channels, as their values are much alike.
+    counts = np.bincount((owner[:, None] * 256 + channels).ravel(), minlength=n * 256).reshape(n, 256)
+    lengths = _many_code_lengths(counts)
+    codes = _many_canonical(lengths)
+
+    heads = np.array([0x2F | (i.shape[1] - 1) << 8 | (i.shape[0] - 1) << 22 | 1 << 36 for i in images], dtype=np.int64)
+    own_head = 15 << 1 | sum(x << (5 + 3 * k) for k, x in enumerate(_OWN_HEAD))
+    key = (owner[:, None] * 256 + channels)[:, [1, 2, 0, 3]]
+    value, key_size = codes.ravel()[key], lengths.ravel()[key]
+    shifts = np.cumsum(key_size, axis=1) - key_size
+    value, key_size = (value << shifts).sum(axis=1), key_size.sum(axis=1)
+
+    items, at = [], np.zeros(n, dtype=np.int64)
+
+    def put_one(value, size):
+        nonlocal at
+        items.append((np.arange(n), at, np.broadcast_to(value, n)))
+        at = at + size
+
+    def put_many(rows, values, sizes):
+        nonlocal at
+        within, sums = _before(rows, sizes, n)
+        items.append((rows, at[rows] + within, values))
+        at = at + sums
+
+    *described, told = _many_descriptions(lengths)
+    told = np.bincount(described[0], weights=told, minlength=n).astype(np.int64)
+    put_one(heads, 43)  # no transform, no cache, one group of codes
+    for _ in range(4):
+        put_one(own_head, 62)
+        put_one(1 | 3 << 1 | (told - 2) << 4, 12)
+        put_many(*described)
+    put_one(1 | 1 << 2, 11)  # distances: one symbol
+    put_many(owner, value, key_size)
+
+    room = (at + 63) // 64 + 1
+    begin = np.cumsum(room) - room
+    rows, places, values = (np.concatenate(x) for x in zip(*items, strict=True))
+    places = places + 64 * begin[rows]
+    word, low = places >> 6, (places & 63).astype(np.uint64)
+    values = values.astype(np.uint64)
+    out = np.zeros(int(room.sum()) + 1, dtype=np.uint64)
+    np.add.at(out, word, values << low)
+    np.add.at(out, word + 1, np.where(low > 0, values >> (np.uint64(64) - np.maximum(low, np.uint64(1))), np.uint64(0)))
+    raw = out.astype("<u8").tobytes()
+    return [raw[8 * b : 8 * b + (bits + 7) // 8] for b, bits in zip(begin.tolist(), at.tolist(), strict=True)]
+
+
+def repeated_shares(images):
+    """Of each image, the share of places whose two next pixels stood before: what copies can save at most."""
+    flat = np.concatenate([image.ravel() for image in images])
+    sizes = np.array([image.size for image in images])
+    owner = np.repeat(np.arange(len(images)), sizes)
+    key = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key = (key[:-1] ^ (key[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + owner[:-1].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    order = np.argsort(key, kind="stable")
+    again = np.zeros(len(flat), dtype=bool)
+    again[order[1:]] = key[order[1:]] == key[order[:-1]]
+    return np.bincount(owner, weights=again, minlength=len(images)) / sizes
+
+
+def as_webp(content):
+    """A WebP file of a VP8L chunk's content."""
     padded = content + bytes(len(content) % 2)
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(content).to_bytes(4, "little") + padded
+
+
+def encode_webp(image, **tools):
+    """A WebP file; see encode_vp8l."""
+    return as_webp(encode_vp8l(image, **tools))

@@ -66,7 +66,7 @@ def decode_media(media):
     return [None if some is None else [next(pixels) for _ in some] for some in contents]
 
 
-def _in_parts(sizes, most=4_000_000):
+def _in_parts(sizes, most=2_000_000):
     """Slices of a batch whose sizes sum to most or less, or hold one item."""
     begin = total = 0
     for k, n in enumerate(sizes):

@@ -18,15 +18,21 @@ def table(spark, sf_dir, name):
 
 
 def small_batches(spark, rows=256):
-    """Python workers get few rows at once, as single texts can be very long."""
+    """Python workers get few rows at once, as single texts can be very long.
+
+    The setting is the session's and stays: plans are lazy, so it must still
+    hold when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def _shared_folder(spark):
-    """The checkpoint folder that the cluster shares: spark.checkpoint.dir; only where that is unset (tests) a local one is used."""
+    """The checkpoint folder that the cluster shares: spark.checkpoint.dir. Only a local session may do without; it gets a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(place or os.path.join(tempfile.gettempdir(), "pricelode-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -196,21 +196,25 @@ def identify_languages(docs, model, text_col="text", grounds=False):
     With grounds also evidence (LanguageModel.judge) and word_share, 0 for null texts.
 
     Null texts and texts without a letter are `und` with score 0. Columns of
-    docs named lang_pred or score are an error of the caller. Repeated rows are judged alike, an empty table gives an empty result.
+    docs that have a result's name make way for it. Repeated rows are judged
+    alike, an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    inner = "_" + "_".join(docs.columns)  # a name that no column has
 
     def run(batches):
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch[inner].tolist()
             names, scores, evidence = shared.value.judge(texts)
-            out = batch.drop(columns="text").assign(lang_pred=names, score=scores)
+            out = batch.drop(columns=inner).assign(lang_pred=names, score=scores)
             yield out.assign(evidence=evidence, word_share=[word_share(t or "") for t in texts]) if grounds else out
 
-    rows = docs.select(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).alias("text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
-    return rows.mapInPandas(run, ", ".join([*kinds, "lang_pred string", "score double", *(["evidence double", "word_share double"] if grounds else [])]))
+    results = ["lang_pred string", "score double", *(["evidence double", "word_share double"] if grounds else [])]
+    kept = [c for c in docs.columns if c != text_col and c not in {r.split()[0] for r in results}]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(inner))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != inner]
+    return rows.mapInPandas(run, ", ".join([*kinds, *results]))
 
 
 def fold(id_col="doc_id"):

@@ -7,7 +7,8 @@ below the k-th best sum minus bound are compacted away.
 
 Candidates are dealt to groups and queries to blocks, both of bounded size; each
 pair of a group and a block is one unit of work, and units' best k are ranked
-together. No unit grows with the input.
+together. No unit grows with the input, as long as no id comes with one and the
+same vector in many rows.
 """
 
 import numpy as np
@@ -99,8 +100,8 @@ def top_k(vectors, queries, id_col="vec_id", vec_col="embedding", k=K, group_row
     asked = durable(asked)
     groups = max(1, -(-candidates.count() // group_rows))
     blocks = max(1, -(-asked.count() // query_rows))
-    # A row number would need one task; equal rows may share a group, so the vector need not part them.
-    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int")
+    # A row number would need one task. Rows that repeat an id are parted by their vectors.
+    deal = lambda n: F.pmod(F.xxhash64("id", "vec", F.lit(7)), F.lit(n)).cast("int")
     left = candidates.withColumn("g", deal(groups)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("b", deal(blocks)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     kind = candidates.schema["id"].dataType.simpleString()

@@ -31,6 +31,14 @@ def test_languages_of_odd_texts(docs, no_docs):
     assert {r.lang_pred for r in language.identify_languages(docs.select("text"), nothing).collect()} == {"und"}
 
 
+def test_languages_beside_clashing_columns(spark):
+    model = language.LanguageModel([language.ngram_counts(t * 3) for t in ("der hund und die katze", "le chien et le chat")], ["de", "fr"])
+    df = spark.createDataFrame([("der hund", "x", 7, None, "e"), (None, "le chat", 8, "z", "e")], "body string, text string, score int, lang_pred string, evidence string")
+    got = {r.text: r for r in language.identify_languages(df, model, text_col="body").collect()}
+    assert got["x"].lang_pred == "de" and got["x"].evidence == "e" and 0 < got["x"].score <= 1 and got["le chat"].lang_pred == "und"
+    assert language.identify_languages(df, model, grounds=True).columns == ["body", "lang_pred", "score", "evidence", "word_share"]
+
+
 def test_close_languages_are_parted_within_their_family():
     texts = ["der hund und die katze", "de hond en de kat", "le chien et le chat", "el perro y el gato"]
     model = language.LanguageModel([language.ngram_counts(t * 3) for t in texts], ["de", "nl", "fr", "es"])

@@ -35,6 +35,23 @@ def sane(price):
     return (price > 0) & (price <= MAX_PRICE)
 
 
+def is_sanitized(price, by, among=None):
+    """Whether `sanitized` keeps a row's price among the rows of its group, or among those of them for which `among` holds."""
+    w = Window.partitionBy(*by)
+    valid = F.coalesce(sane(price) if among is None else sane(price) & among, F.lit(False))
+    n, med = F.count_if(valid).over(w), median(F.when(valid, price)).over(w)
+    return valid & ((n < 2) | price.between(med / OUTLIER_RATIO, med * OUTLIER_RATIO))
+
+
+def is_mad_kept(price, by, among, threshold=3.5):
+    """Whether `mad_kept` keeps a row's price among the rows of its group for which `among` holds."""
+    w = Window.partitionBy(*by)
+    valid = F.coalesce(among, F.lit(False))
+    n, deviation = F.count_if(valid).over(w), F.when(valid, F.abs(price - median(F.when(valid, price)).over(w)))
+    spread = median(deviation).over(w)
+    return valid & ((n < 3) | (spread == 0) | (deviation / (MAD_SCALE * spread) <= threshold))
+
+
 def sanitized(df, by, price="price"):
     """Sane prices of each group, and of two or more those within a factor 3 of their median."""
     w = Window.partitionBy(*by)
@@ -43,15 +60,29 @@ def sanitized(df, by, price="price"):
     return df.where((F.col("_n") < 2) | p.between(F.col("_med") / OUTLIER_RATIO, F.col("_med") * OUTLIER_RATIO)).drop("_n", "_med")
 
 
-def weighted_quantile(df, by, value, weight, shares, names):
-    """Lower weighted quantiles per group: the least value with cumulative weight of at least the share.
+def weight_sums(df, by, value, weight, among=None):
+    """df with running and whole sums of weights per group, and a function that gives the lower weighted quantile of a share as an aggregate.
 
-    Ties of value are peers. Whole-number weights make the sums exact.
+    Only rows for which `among` holds are values; the weight of others must be 0. Ties of value are peers.
     """
     g = Window.partitionBy(*by)
     run = g.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn("_cum", F.sum(weight).over(run)).withColumn("_total", F.sum(weight).over(g))
-    return df.groupBy(*by).agg(*[F.min(F.when(F.col("_cum") * den >= F.col("_total") * num, F.col(value))).alias(name) for (num, den), name in zip(shares, names, strict=True)])
+
+    def at_share(num, den):
+        reached = F.col("_cum") * den >= F.col("_total") * num
+        return F.min(F.when(reached if among is None else reached & among, F.col(value)))
+
+    return df, at_share
+
+
+def weighted_quantile(df, by, value, weight, shares, names):
+    """Lower weighted quantiles per group: the least value with cumulative weight of at least the share.
+
+    Ties of value are peers. Whole-number weights make the sums exact.
+    """
+    df, at_share = weight_sums(df, by, value, weight)
+    return df.groupBy(*by).agg(*[at_share(num, den).alias(name) for (num, den), name in zip(shares, names, strict=True)])
 
 
 def weighted_percentile(df, by, value, weight, share, name):

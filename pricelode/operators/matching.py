@@ -38,8 +38,9 @@ def quality_score(ean, size, color, gender, sku):
 
 
 def normalized_variants(variants, offers):
-    """Eligible variants that have an offer, with the columns that matching needs."""
-    rows = variants.where(eligible_sku(F.col("sku"))).join(offers.select("variant_id").distinct(), "variant_id", "left_semi")
+    """Eligible variants that have an offer, with the columns that matching needs; offer_stores is the set of a variant's stores."""
+    stores = offers.groupBy("variant_id").agg(F.collect_set("store_id").alias("offer_stores"))
+    rows = variants.where(eligible_sku(F.col("sku"))).join(stores, "variant_id")
     return rows.select(
         "variant_id",
         "store_id",
@@ -52,6 +53,7 @@ def normalized_variants(variants, offers):
         is_gtin_ean(F.col("ean")).alias("ean_gtin"),
         is_gtin_sku(F.col("sku")).alias("sku_gtin"),
         quality_score(F.col("ean"), F.col("size"), F.col("color"), F.col("gender"), F.col("sku")).alias("quality"),
+        "offer_stores",
     )
 
 
@@ -62,7 +64,7 @@ def rank_canonical(norm):
 
 def match_group_stats(norm):
     """Per sku: stores, brands, canonical variant (by a partial aggregate), and whether EANs conflict."""
-    best = F.max_by(F.struct("variant_id", "size", "color", "gender"), F.struct("quality", -F.col("variant_id")))
+    best = F.max_by(F.struct("variant_id", "size", "color", "gender", "offer_stores"), F.struct("quality", -F.col("variant_id")))
     return norm.groupBy("sku").agg(F.count_distinct("store_id").alias("stores"), F.count_distinct("brand_key").alias("brands"), best.alias("canonical"), (F.min("ean") != F.max("ean")).alias("ean_conflict"))
 
 
@@ -74,8 +76,8 @@ def shared_store_pairs(pairs, offers):
     return left.join(right, ["matched_variant_id", "store_id"], "left_semi").select("canonical_variant_id", "matched_variant_id").distinct()
 
 
-def match_candidates(variants, offers):
-    """Matches before the common-store test."""
+def match_candidates(variants, offers, apart=False):
+    """Matches before the common-store test, or with apart after it: by the stores of each variant and its canonical one, without a join of offers."""
     norm = normalized_variants(variants, offers)
     n = norm.join(match_group_stats(norm), "sku")
     gtin = F.col("ean_gtin") | F.col("sku_gtin")
@@ -90,6 +92,8 @@ def match_candidates(variants, offers):
         & (same("color") | neither("color"))
         & ((same("gender") & (F.col("gender") != "UNKNOWN")) | gtin)
     )
+    if apart:
+        n = n.where(~F.arrays_overlap("offer_stores", "canonical.offer_stores"))
     method = F.when(F.col("ean_gtin"), "ean_gtin").when(F.col("sku_gtin"), "sku_gtin").otherwise("sku_exact")
     confidence = F.when(F.col("ean_gtin"), 0.99).when(F.col("sku_gtin"), 0.97).otherwise(0.95).cast("decimal(3,2)")
     return n.select(F.col("canonical.variant_id").alias("canonical_variant_id"), F.col("variant_id").alias("matched_variant_id"), method.alias("match_method"), confidence.alias("confidence_score"))
@@ -97,6 +101,4 @@ def match_candidates(variants, offers):
 
 def match_products(variants, offers):
     """canonical_variant_id, matched_variant_id, match_method, confidence_score."""
-    found = match_candidates(variants, offers)
-    keys = ["canonical_variant_id", "matched_variant_id"]
-    return found.join(shared_store_pairs(found.select(*keys), offers), keys, "left_anti")
+    return match_candidates(variants, offers, apart=True)

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelode.functions.normalize import freshness_decay
-from pricelode.functions.statistics import confidence, mad_kept, median, robust_market_metrics, sanitized, weighted_quantile
+from pricelode.functions.statistics import confidence, is_mad_kept, is_sanitized, median, robust_market_metrics, sane, sanitized, weight_sums
 from pricelode.operators.intervals import DAY_US, latest_open, microseconds
 
 def classify(score, trust):
@@ -16,10 +16,13 @@ def classify_simple(score):
 
 
 def weighted_history(members, changes, as_of):
-    """Per canonical article: prices weighted by how long they held, over all its variants' intervals."""
+    """Per canonical article: prices weighted by how long they held, over all its variants' intervals, in one windowed pass."""
     rows = members.join(changes.where("price > 0"), "variant_id").withColumn("us", microseconds(F.col("started_at"), F.coalesce("ended_at", as_of))).withColumn("p", F.col("price").cast("double"))
-    quantiles = weighted_quantile(rows, ["canonical_id"], "p", "us", [(1, 2), (1, 10), (9, 10)], ["median", "p10", "p90"])
-    whole = rows.groupBy("canonical_id").agg(
+    rows, at_share = weight_sums(rows, ["canonical_id"], "p", "us")
+    return rows.groupBy("canonical_id").agg(
+        at_share(1, 2).alias("median"),
+        at_share(1, 10).alias("p10"),
+        at_share(9, 10).alias("p90"),
         F.min("p").alias("least"),
         F.max("p").alias("most"),
         (F.sum("us") / DAY_US).alias("total_days"),
@@ -27,7 +30,6 @@ def weighted_history(members, changes, as_of):
         ((F.unix_micros(as_of) - F.unix_micros(F.max(F.coalesce("ended_at", as_of)))) / DAY_US).alias("days_since_update"),
         F.count("*").alias("intervals"),
     )
-    return quantiles.join(whole, "canonical_id")
 
 
 def cross_market(discount, best, least, market):
@@ -43,14 +45,25 @@ def deal_score_v2(offers, stores, history):
     Articles without stock, or without a sane price, get score 0.
     """
     s = stores.select("store_id", "name", F.col("reliability_score").cast("double").alias("reliability"))
-    rows = offers.join(s, "store_id").withColumn("price", F.col("current_price").cast("double"))
     by = ["canonical_id"]
-    every = sanitized(rows, by).withColumn("weight", F.greatest(F.lit(1.0), F.col("reliability")))
-    market = weighted_quantile(every, by, "price", "weight", [(1, 2)], ["market_median"])
-    spread = every.groupBy(*by).agg(F.min("price").alias("market_min"), F.max("price").alias("market_max"), F.count("*").alias("sane"))
-    stocked = sanitized(rows.where("in_stock"), by).groupBy(*by).agg(F.min(F.struct("price", "store_id", "name")).alias("best"))
-    whole = rows.groupBy(*by).agg(F.count_distinct("store_id").alias("store_count"), F.count_if("in_stock").alias("in_stock_count"), F.avg(F.when(F.col("in_stock"), F.col("reliability"))).alias("trust"))
-    df = whole.join(market, by, "left").join(spread, by, "left").join(stocked, by, "left").join(history, by, "left")
+    rows = offers.join(s, "store_id").withColumn("price", F.col("current_price").cast("double"))
+    # One pass over an article's offers: what is sane among all and among those in stock, then one aggregate.
+    rows = rows.withColumns({"sane": is_sanitized(F.col("price"), by), "sane_stock": F.col("in_stock") & is_sanitized(F.col("price"), by, F.col("in_stock"))})
+    # Whole-number weights, so that sums don't depend on the order of rows.
+    rows = rows.withColumn("weight", F.when(F.col("sane"), F.greatest(F.lit(100), F.round(F.coalesce("reliability", F.lit(0.0)) * 100))).otherwise(0).cast("long"))
+    rows, at_share = weight_sums(rows, by, "price", "weight", F.col("sane"))
+    kept = F.when(F.col("sane"), F.col("price"))
+    df = rows.groupBy(*by).agg(
+        at_share(1, 2).alias("market_median"),
+        F.min(kept).alias("market_min"),
+        F.max(kept).alias("market_max"),
+        F.count(kept).alias("sane"),
+        F.min(F.when(F.col("sane_stock"), F.struct("price", "store_id", "name"))).alias("best"),
+        F.count_distinct("store_id").alias("store_count"),
+        F.count_if("in_stock").alias("in_stock_count"),
+        F.avg(F.when(F.col("in_stock"), F.col("reliability"))).alias("trust"),
+    )
+    df = df.join(history, by, "left")
     best, med = F.col("best.price"), F.col("market_median")
     ok = best.isNotNull() & med.isNotNull()
     discount = F.when(ok & (med > 0), (med - best) / med * 100).otherwise(0.0)
@@ -68,8 +81,10 @@ def deal_score_v2(offers, stores, history):
     return df.select("canonical_id", "deal_score", "confidence", kind.alias("classification"), best.alias("best_price"), F.col("best.store_id").alias("best_store"), med.alias("market_median"), F.round(discount, 4).alias("discount_pct"), "store_count", "in_stock_count", reason.alias("reason"))
 
 
-def best_deals(offers, stores, history, n=50):
-    """The n best scored articles."""
+def best_deals(offers, stores, history, n=50, include_canonical=True):
+    """The n best scored articles; without include_canonical the canonical variant's own offers don't count."""
+    if not include_canonical:
+        offers = offers.where("variant_id <> canonical_id")
     return deal_score_v2(offers, stores, history).where("deal_score > 0").orderBy(F.desc("deal_score"), "canonical_id").limit(n)
 
 
@@ -84,9 +99,9 @@ def deal_score_enhanced(offers, stores, tags, as_of):
     weight = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("reliability"))) * freshness_decay(F.col("updated_at"), as_of) * F.when(F.col("in_stock"), 1.0).otherwise(0.1)
     # Whole-number weights, so that sums don't depend on the order of rows.
     rows = rows.withColumn("weight", F.floor(weight * 1e9).cast("long"))
-    market = weighted_quantile(rows, by, "price", "weight", [(1, 2)], ["market_median"])
-    whole = rows.groupBy(*by).agg(F.min("price").alias("least"), F.max("price").alias("most"), F.count("*").alias("n"), F.count_distinct("store_id").alias("stores"), F.min(F.when(F.col("in_stock"), F.struct("price", "store_id", "variant_id"))).alias("best"))
-    df = whole.join(market, by).where("best is not null").select("*", F.col("best.store_id").alias("store_id"), F.col("best.variant_id").alias("variant_id")).join(tags, ["variant_id", "store_id"], "left")
+    rows, at_share = weight_sums(rows, by, "price", "weight")
+    whole = rows.groupBy(*by).agg(at_share(1, 2).alias("market_median"), F.min("price").alias("least"), F.max("price").alias("most"), F.count("*").alias("n"), F.count_distinct("store_id").alias("stores"), F.min(F.when(F.col("in_stock"), F.struct("price", "store_id", "variant_id"))).alias("best"))
+    df = whole.where("best is not null").select("*", F.col("best.store_id").alias("store_id"), F.col("best.variant_id").alias("variant_id")).join(tags, ["variant_id", "store_id"], "left")
     best, med, fake = F.col("best.price"), F.col("market_median"), F.coalesce("is_fake", F.lit(False))
     score = cross_market((med - best) / med * 100, best, F.col("least"), med)
     score = F.when(fake, F.greatest(F.lit(0.0), score - 15)).otherwise(score)
@@ -125,23 +140,30 @@ def history_layer(best, history, by):
     return df.withColumn("h_discount", (F.col("h_median") - F.col("best_price")) / F.col("h_median") * 100)
 
 
-def deal_metrics(prices, history, by, old_prices):
+def deal_metrics(prices, history, by, old_prices, best=None):
     """Market and history halves with a gate on the best price, a flag for overstated old prices, and reasons.
 
-    prices and history have a column price; old_prices has the stated old price.
+    prices and history have a column price; old_prices has the stated old
+    price, best the best_price of each group (else the lowest price). Without
+    history (None) the market counts alone.
     """
-    clean = sanitized(prices, by).groupBy(*by).agg(median(F.col("price").cast("double")).alias("market_median"))
-    best = prices.groupBy(*by).agg(F.min(F.col("price").cast("double")).alias("best_price"))
-    trusted = mad_kept(prices.where("price > 0"), by).groupBy(*by).agg(F.min(F.col("price").cast("double")).alias("trusted_min"))
-    df = best.where("best_price > 0 and best_price <= 20000").join(clean, by).join(trusted, by).where("best_price = trusted_min").drop("trusted_min")
-    df = df.join(history_layer(best, history, by).drop("best_price", "n"), by, "left").join(old_prices, by, "left")
+    p = F.col("price").cast("double")
+    rows = prices.withColumns({"sane": is_sanitized(p, by), "trusted": (p > 0) & is_mad_kept(p, by, p > 0)})
+    df = rows.groupBy(*by).agg(median(F.when(F.col("sane"), p)).alias("market_median"), F.min(p).alias("least_price"), F.sort_array(F.collect_set(F.when(F.col("trusted"), p))).alias("trusted"))
+    df = df.withColumnRenamed("least_price", "best_price") if best is None else df.drop("least_price").join(best, by)
+    df = df.where(sane(F.col("best_price")) & F.col("market_median").isNotNull() & F.array_contains("trusted", F.col("best_price"))).drop("trusted")
+    if history is None:
+        df = df.withColumns({c: F.lit(None).cast("double") for c in ("h_median", "h_low", "h_high", "percentile", "h_discount")})
+    else:
+        df = df.join(history_layer(df.select(*by, "best_price"), history, by).drop("best_price", "n"), by, "left")
+    df = df.withColumn("old_price", F.lit(None).cast("double")) if old_prices is None else df.join(old_prices, by, "left")
     b, hm = F.col("best_price"), F.col("h_median")
     discount = (F.col("market_median") - b) / F.col("market_median") * 100
     half = lambda x: F.least(F.lit(100.0), F.greatest(F.lit(0.0), x * 2))
     score = F.floor(F.round(F.when(hm.isNotNull(), 0.5 * half(discount) + 0.5 * half(F.col("h_discount"))).otherwise(half(discount)), 6)).cast("int")
     fake = F.coalesce((F.col("old_price") > hm * 1.15) & (b >= hm * 0.9), F.lit(False))
     reasons = F.array_compact(F.array(F.when(F.col("h_discount") >= 15, F.lit("below history")), F.when(F.col("percentile") <= 15, F.lit("rare price")), F.when(discount >= 15, F.lit("below market")), F.when(fake, F.lit("old price overstated"))))
-    return df.select(*by, "best_price", F.round("market_median", 4).alias("market_median"), score.alias("deal_score"), fake.alias("fake_discount"), F.when(F.size(reasons) == 0, F.lit("no gain")).otherwise(F.array_join(reasons, ", ")).alias("reasons"))
+    return df.select(*by, "best_price", F.round("market_median", 4).alias("market_median"), F.round(discount, 4).alias("discount_pct"), score.alias("deal_score"), fake.alias("fake_discount"), F.when(F.size(reasons) == 0, F.lit("no gain")).otherwise(F.array_join(reasons, ", ")).alias("reasons"))
 
 
 def discount_duration(changes):

@@ -121,6 +121,7 @@ def anti_shared_store(fx):
 @query(
     "anti_shared_store_all",
     "SELECT m.canonical_variant_id, m.matched_variant_id FROM fx_matches m JOIN fx_offers a ON a.variant_id = m.canonical_variant_id JOIN fx_offers b ON b.variant_id = m.matched_variant_id WHERE a.store_id % 5 <> b.store_id % 5",
+    hold=True,
 )
 def anti_shared_store_all(fx):
     """Every candidate pair of a sku's canonical variant, without those that share a region of stores."""
@@ -129,7 +130,7 @@ def anti_shared_store_all(fx):
     return pairs.join(M.shared_store_pairs(pairs, regional), pairs.columns, "left_anti")
 
 
-@query("join_disjunctive_or", "SELECT m.canonical_variant_id AS canonical_id, o.variant_id FROM (SELECT DISTINCT canonical_variant_id FROM fx_matches) c JOIN fx_matches m USING (canonical_variant_id) JOIN fx_offers o ON o.variant_id = m.canonical_variant_id OR o.variant_id = m.matched_variant_id GROUP BY ALL")
+@query("join_disjunctive_or", "SELECT m.canonical_variant_id AS canonical_id, o.variant_id FROM (SELECT DISTINCT canonical_variant_id FROM fx_matches) c JOIN fx_matches m USING (canonical_variant_id) JOIN fx_offers o ON o.variant_id = m.canonical_variant_id OR o.variant_id = m.matched_variant_id GROUP BY ALL", hold=True)
 def join_disjunctive_or(fx):
     return fx.member_offers.select("canonical_id", "variant_id")
 
@@ -166,7 +167,7 @@ def join_alert_by_price(fx):
     return a.join(o, ["store_id", "price"], "left").select("alert_id", "variant_id")
 
 
-@query("semi_membership", "SELECT variant_id, current_price FROM fx_offers WHERE variant_id IN (SELECT matched_variant_id FROM fx_matches)")
+@query("semi_membership", "SELECT variant_id, current_price FROM fx_offers WHERE variant_id IN (SELECT matched_variant_id FROM fx_matches)", hold=True)
 def semi_membership(fx):
     return fx.offers.join(fx.matches.select(F.col("matched_variant_id").alias("variant_id")), "variant_id", "left_semi").select("variant_id", "current_price")
 
@@ -186,7 +187,7 @@ def scalar_error_count(fx):
     return fx.stores.join(errors, "store_id", "left").select("store_id", F.coalesce("count", F.lit(0)).alias("errors"))
 
 
-@query("cross_counts", "SELECT (SELECT count(*) FROM fx_offers) AS offers, (SELECT count(*) FROM fx_products) AS products, (SELECT count(*) FROM fx_stores) AS stores, (SELECT count(*) FROM fx_matches) AS matches")
+@query("cross_counts", "SELECT (SELECT count(*) FROM fx_offers) AS offers, (SELECT count(*) FROM fx_products) AS products, (SELECT count(*) FROM fx_stores) AS stores, (SELECT count(*) FROM fx_matches) AS matches", hold=True)
 def cross_counts(fx):
     tagged = [df.select(F.lit(name).alias("t")) for name, df in (("offers", fx.offers), ("products", fx.products), ("stores", fx.stores), ("matches", fx.matches))]
     rows = tagged[0].unionAll(tagged[1]).unionAll(tagged[2]).unionAll(tagged[3])
@@ -237,7 +238,7 @@ def top_matched_products(fx):
     return fx.matches.groupBy("canonical_variant_id").agg(F.count("*").alias("matches")).orderBy(F.desc("matches"), "canonical_variant_id").limit(10)
 
 
-@query("digest_top_deals", "SELECT canonical_id, min(current_price) AS best_price, count(DISTINCT store_id) AS stores FROM fx_moffers GROUP BY 1 HAVING count(DISTINCT store_id) >= 3 ORDER BY best_price, canonical_id LIMIT 5")
+@query("digest_top_deals", "SELECT canonical_id, min(current_price) AS best_price, count(DISTINCT store_id) AS stores FROM fx_moffers GROUP BY 1 HAVING count(DISTINCT store_id) >= 3 ORDER BY best_price, canonical_id LIMIT 5", hold=True)
 def digest_top_deals(fx):
     return fx.member_offers.groupBy("canonical_id").agg(F.min("current_price").alias("best_price"), F.count_distinct("store_id").alias("stores")).where("stores >= 3").orderBy("best_price", "canonical_id").limit(5)
 
@@ -285,12 +286,12 @@ def examples_per_category(fx):
     return S.top_per(fx.products, ["category"], 3, "product_id").select("category", "canonical_name", F.col("rank").cast("long").alias("rank"))
 
 
-@query("union_members", "SELECT canonical_id, variant_id FROM fx_members")
+@query("union_members", "SELECT canonical_id, variant_id FROM fx_members", hold=True)
 def union_members(fx):
     return fx.members
 
 
-@query("union_offers", "SELECT canonical_id, variant_id, store_id, current_price FROM fx_moffers")
+@query("union_offers", "SELECT canonical_id, variant_id, store_id, current_price FROM fx_moffers", hold=True)
 def union_offers(fx):
     m, o = fx.matches, fx.offers.select("variant_id", "store_id", "current_price")
     own = m.select(F.col("canonical_variant_id").alias("canonical_id"), F.col("canonical_variant_id").alias("variant_id")).distinct().join(o, "variant_id")
@@ -298,7 +299,7 @@ def union_offers(fx):
     return own.unionByName(matched).distinct()
 
 
-@query("union_all_series", "SELECT canonical_id, store_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS ts, price FROM fx_members JOIN fx_changes USING (variant_id) UNION ALL SELECT canonical_id, store_id, strftime(coalesce(ended_at, $AS_OF), '%Y-%m-%d %H:%M:%S'), price FROM fx_members JOIN fx_changes USING (variant_id)")
+@query("union_all_series", "SELECT canonical_id, store_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS ts, price FROM fx_members JOIN fx_changes USING (variant_id) UNION ALL SELECT canonical_id, store_id, strftime(coalesce(ended_at, $AS_OF), '%Y-%m-%d %H:%M:%S'), price FROM fx_members JOIN fx_changes USING (variant_id)", hold=True)
 def union_all_series(fx):
     return S.price_series(fx.members, fx.changes, fx.as_of).withColumn("ts", stamp("ts"))
 
@@ -309,12 +310,12 @@ def set_union_stores(fx):
     return pick(fx.offers).union(pick(fx.changes)).union(pick(fx.obs)).distinct()
 
 
-@query("distinct_prices", "SELECT DISTINCT canonical_id, current_price FROM fx_moffers")
+@query("distinct_prices", "SELECT DISTINCT canonical_id, current_price FROM fx_moffers", hold=True)
 def distinct_prices(fx):
     return fx.member_offers.select("canonical_id", "current_price").distinct()
 
 
-@query("match_products", "SELECT * FROM fx_matches")
+@query("match_products", "SELECT * FROM fx_matches", hold=True)
 def match_products(fx):
     return fx.matches
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pricelode.operators.intervals import build_price_intervals
 from pricelode.operators.matching import match_products
+from pricelode.session import held
 
 AS_OF = "2024-04-15 00:00:00"
 SUFFIXES = (".com", ".de", ".co.uk", ".jp", ".kr")
@@ -27,12 +28,15 @@ def pick(values, index):
 
 
 class Fixtures:
-    """The derived tables of one data folder, each a lazy DataFrame."""
+    """The derived tables of one data folder, each a lazy DataFrame; with hold those that others build on are written once."""
 
-    def __init__(self, spark, sf_dir):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark, sf_dir, hold=False):
+        self.spark, self.sf_dir, self.hold = spark, sf_dir, hold
         self.as_of = F.lit(AS_OF).cast("timestamp")
 
+    def kept(self, df, name):
+        return held(df, name) if self.hold else df
+
     def table(self, name):
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -56,7 +60,7 @@ class Fixtures:
         """One observation per part, supplier and time; the latest line wins ties."""
         li = self.table("lineitem").select("l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("day"), F.struct("l_orderkey", "l_linenumber", two_places(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_returnflag").alias("line"))
         last = li.groupBy("l_partkey", "l_suppkey", "day").agg(F.max("line").alias("line"))
-        return last.select(
+        rows = last.select(
             (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("variant_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("store_id"),
@@ -64,20 +68,23 @@ class Fixtures:
             F.col("line.price").alias("price"),
             (F.col("line.l_returnflag") != "R").alias("in_stock"),
         )
+        return self.kept(rows, "obs")
 
     @cached_property
     def changes(self):
-        return build_price_intervals(self.obs)
+        return self.kept(build_price_intervals(self.obs), "changes")
 
     @cached_property
     def offers(self):
         last = self.obs.groupBy("variant_id", "product_id", "store_id").agg(F.max(F.struct("ts", "price", "in_stock")).alias("o"))
-        return last.select("variant_id", "product_id", "store_id", F.col("o.price").alias("current_price"), F.col("o.in_stock").alias("in_stock"), F.col("o.ts").alias("updated_at"))
+        rows = last.select("variant_id", "product_id", "store_id", F.col("o.price").alias("current_price"), F.col("o.in_stock").alias("in_stock"), F.col("o.ts").alias("updated_at"))
+        return self.kept(rows, "offers")
 
     @cached_property
     def variants(self):
         p = self.table("part")
-        v = self.obs.select("variant_id", "product_id", "store_id").distinct()
+        # An offer is the last observation of its variant, so these are all variants.
+        v = self.offers.select("variant_id", "product_id", "store_id")
         key = F.col("p_partkey")
         return v.join(p, v.product_id == p.p_partkey).select(
             "variant_id",
@@ -97,13 +104,13 @@ class Fixtures:
 
     @cached_property
     def matches(self):
-        return match_products(self.variants, self.offers)
+        return self.kept(match_products(self.variants, self.offers), "matches")
 
     @cached_property
     def members(self):
         """Each canonical variant with itself and what is matched to it."""
         m = self.matches
-        return m.select(F.col("canonical_variant_id").alias("canonical_id"), F.explode(F.array("canonical_variant_id", "matched_variant_id")).alias("variant_id")).distinct()
+        return self.kept(m.select(F.col("canonical_variant_id").alias("canonical_id"), F.explode(F.array("canonical_variant_id", "matched_variant_id")).alias("variant_id")).distinct(), "members")
 
     @cached_property
     def member_offers(self):

@@ -253,7 +253,7 @@ def delete_orphan_products(fx):
     return fx.products.join(fx.variants.where("store_id % 4 = 0"), "product_id", "left_anti").select("product_id")
 
 
-@query("drop_gender_conflicts", "SELECT m.canonical_variant_id, m.matched_variant_id FROM fx_matches m WHERE NOT (m.matched_variant_id % 2 = 1 AND (m.canonical_variant_id // 100000) % 3 = 1)")
+@query("drop_gender_conflicts", "SELECT m.canonical_variant_id, m.matched_variant_id FROM fx_matches m WHERE NOT (m.matched_variant_id % 2 = 1 AND (m.canonical_variant_id // 100000) % 3 = 1)", hold=True)
 def drop_gender_conflicts(fx):
     v = fx.variants.withColumn("gender", F.when((F.col("gender") == "MEN") & (F.col("variant_id") % 2 == 1), "WOMEN").otherwise(F.col("gender")))
     canonical = fx.matches.select(F.col("canonical_variant_id").alias("variant_id")).distinct()

@@ -97,7 +97,7 @@ HISTORY = """fx_h AS (SELECT canonical_id, store_id, price, started_at, coalesce
   arg_max(price, struct_pack(a := ended, b := started_at, c := -store_id)) AS current_price, (epoch_us($AS_OF) - epoch_us(max(ended))) / 86400000000.0::DOUBLE AS days_since_update, count(*) AS intervals FROM fx_hc GROUP BY 1)"""
 
 
-@query("weighted_history", f"WITH {HISTORY} SELECT canonical_id, median, p10, p90, least, most, round(total_days, 8) AS total_days, current_price, days_since_update, intervals FROM fx_hist")
+@query("weighted_history", f"WITH {HISTORY} SELECT canonical_id, median, p10, p90, least, most, round(total_days, 8) AS total_days, current_price, days_since_update, intervals FROM fx_hist", hold=True)
 def weighted_history(fx):
     return rounded(C.weighted_history(fx.members, fx.changes, fx.as_of), "total_days")
 
@@ -124,22 +124,22 @@ def history(fx):
     return C.weighted_history(fx.members, fx.changes, fx.as_of)
 
 
-@query("deal_score_v2", f"WITH {SCORE} SELECT * FROM fx_final")
+@query("deal_score_v2", f"WITH {SCORE} SELECT * FROM fx_final", hold=True)
 def deal_score_v2(fx):
     return C.deal_score_v2(fx.member_offers, fx.stores, history(fx))
 
 
-@query("find_best_deals", f"WITH {SCORE} SELECT * FROM fx_final WHERE deal_score > 0 ORDER BY deal_score DESC, canonical_id LIMIT 50")
+@query("find_best_deals", f"WITH {SCORE} SELECT * FROM fx_final WHERE deal_score > 0 ORDER BY deal_score DESC, canonical_id LIMIT 50", hold=True)
 def find_best_deals(fx):
     return C.best_deals(fx.member_offers, fx.stores, history(fx))
 
 
-@query("filter_min_score", f"WITH {SCORE} SELECT canonical_id, deal_score, confidence FROM fx_final WHERE deal_score >= 70 AND confidence >= 50")
+@query("filter_min_score", f"WITH {SCORE} SELECT canonical_id, deal_score, confidence FROM fx_final WHERE deal_score >= 70 AND confidence >= 50", hold=True)
 def filter_min_score(fx):
     return deal_score_v2(fx).where("deal_score >= 70 and confidence >= 50").select("canonical_id", "deal_score", "confidence")
 
 
-@query("top_deals", f"WITH {SCORE} SELECT canonical_id, deal_score, discount_pct FROM fx_final ORDER BY deal_score DESC, discount_pct DESC, canonical_id LIMIT 50")
+@query("top_deals", f"WITH {SCORE} SELECT canonical_id, deal_score, discount_pct FROM fx_final ORDER BY deal_score DESC, discount_pct DESC, canonical_id LIMIT 50", hold=True)
 def top_deals(fx):
     return deal_score_v2(fx).orderBy(F.desc("deal_score"), F.desc("discount_pct"), "canonical_id").limit(50).select("canonical_id", "deal_score", "discount_pct")
 
@@ -155,12 +155,12 @@ def candidates(fx):
     return alert_candidates(deal_score_v2(fx), sent, 40, 20)
 
 
-@query("deal_alert_candidates", COOL + " SELECT canonical_id, deal_score, confidence, best_price FROM fx_cand")
+@query("deal_alert_candidates", COOL + " SELECT canonical_id, deal_score, confidence, best_price FROM fx_cand", hold=True)
 def deal_alert_candidates(fx):
     return candidates(fx).select("canonical_id", "deal_score", "confidence", "best_price")
 
 
-@query("top_alerts", COOL + " SELECT canonical_id, deal_score FROM fx_cand ORDER BY deal_score DESC, canonical_id LIMIT 5")
+@query("top_alerts", COOL + " SELECT canonical_id, deal_score FROM fx_cand ORDER BY deal_score DESC, canonical_id LIMIT 5", hold=True)
 def top_alerts(fx):
     return candidates(fx).orderBy(F.desc("deal_score"), "canonical_id").limit(5).select("canonical_id", "deal_score")
 
@@ -200,6 +200,7 @@ def time_at_price(fx):
  fx_c AS (SELECT *, CAST(floor(least(100, round((med - best_price) / med * 100 * 2, 6))) AS INTEGER) AS score FROM fx_w LEFT JOIN fx_k USING (canonical_id))
  SELECT canonical_id, coalesce(score, 0) AS deal_score, CASE WHEN best_price IS NULL THEN 0 ELSE CAST(floor(round((0.4 * least(1, ln(num_observations + 1) / ln(4)) + 0.4 * least(1, num_stores / 2) + 0.2) * 100, 6)) AS INTEGER) END AS confidence,
  CASE WHEN best_price IS NULL THEN 'OUT_OF_STOCK' WHEN score >= 80 THEN 'EXCELLENT_DEAL' WHEN score >= 60 THEN 'GOOD_DEAL' WHEN score >= 40 THEN 'FAIR_PRICE' ELSE 'OVERPRICED' END AS classification, best_price, coalesce(round(med, 4), 0) AS market_median, num_stores, num_observations FROM fx_c""",
+    hold=True,
 )
 def deal_score_canonical(fx):
     return C.deal_score_canonical(fx.member_offers)
@@ -209,6 +210,7 @@ def deal_score_canonical(fx):
     "deal_score_simple",
     """WITH fx_m AS (SELECT canonical_id, min(current_price) AS price, quantile_cont(current_price, 0.5) AS med, min(current_price) FILTER (variant_id = canonical_id) AS own FROM fx_moffers GROUP BY 1)
  SELECT canonical_id, round(greatest(0, least(100, least(100, greatest(0, (med - own) / med * 200)) - least(20, (own - price) / med * 100))), 4) AS deal_score FROM fx_m WHERE own IS NOT NULL""",
+    hold=True,
 )
 def deal_score_simple(fx):
     p = F.col("current_price").cast("double")
@@ -225,6 +227,7 @@ def deal_score_simple(fx):
  fx_es AS (SELECT *, least(100, least(80, greatest(0, (med - best) / med * 200)) + greatest(0, 20 - (best - lo) / med * 100)) AS s0, floor(least(100, stores * 25) * CASE WHEN n > 1 AND hi - lo > med * 0.5 THEN 0.7 ELSE 1 END) AS c0 FROM fx_ej),
  fx_et AS (SELECT *, CASE WHEN fake THEN greatest(0, s0 - 15) ELSE s0 END AS s1, CASE WHEN fake THEN floor(c0 * 0.8) ELSE c0 END AS c1 FROM fx_es)
  SELECT canonical_id, CAST(floor(round(s1, 6)) AS INTEGER) AS deal_score, CAST(c1 AS INTEGER) AS confidence, CASE WHEN s1 >= 80 AND c1 >= 70 THEN 'VERY GOOD DEAL' WHEN s1 >= 60 AND c1 >= 50 THEN 'GOOD DEAL' WHEN s1 >= 40 THEN 'NORMAL PRICE' ELSE 'BAD DEAL' END AS classification, best AS best_price, med AS market_median, tag AS discount_tag FROM fx_et""",
+    hold=True,
 )
 def deal_score_enhanced(fx):
     return C.deal_score_enhanced(fx.member_offers, fx.stores, C.discount_tags(fx.changes, fx.as_of), fx.as_of)
@@ -247,15 +250,17 @@ def history_layer(fx):
   FROM fx_best b JOIN fx_cm USING (product_id) JOIN fx_tm USING (product_id) LEFT JOIN fx_hl h ON h.product_id = b.product_id LEFT JOIN fx_op o ON o.product_id = b.product_id WHERE b.best_price > 0 AND b.best_price <= 20000 AND trusted = b.best_price)
  SELECT product_id, best_price, round(market_median, 4) AS market_median, CAST(floor(round(CASE WHEN h_median IS NOT NULL THEN 0.5 * least(100, greatest(0, d * 2)) + 0.5 * least(100, greatest(0, hd * 2)) ELSE least(100, greatest(0, d * 2)) END, 6)) AS INTEGER) AS deal_score, fake AS fake_discount,
  coalesce(nullif(concat_ws(', ', CASE WHEN hd >= 15 THEN 'below history' END, CASE WHEN percentile <= 15 THEN 'rare price' END, CASE WHEN d >= 15 THEN 'below market' END, CASE WHEN fake THEN 'old price overstated' END), ''), 'no gain') AS reasons FROM fx_j""",
+    hold=True,
 )
 def deal_metrics(fx):
     old = fx.changes.where("ended_at is null").groupBy("product_id").agg(F.max(F.col("old_price").cast("double")).alias("old_price"))
-    return C.deal_metrics(prices(fx), fx.obs.select("product_id", "price"), ["product_id"], old)
+    return C.deal_metrics(prices(fx), fx.obs.select("product_id", "price"), ["product_id"], old).drop("discount_pct")
 
 
 @query(
     "dashboard_overview",
     "WITH fx_o AS (SELECT canonical_id, min(current_price) FILTER (in_stock) AS best_price, count(DISTINCT store_id) AS stores, quantile_cont(current_price, 0.5) AS med FROM fx_moffers GROUP BY 1) SELECT canonical_id, best_price, stores, round((med - best_price) / med * 100, 4) AS discount FROM fx_o WHERE best_price IS NOT NULL ORDER BY discount DESC, canonical_id LIMIT 50",
+    hold=True,
 )
 def dashboard_overview(fx):
     p = F.col("current_price").cast("double")
@@ -263,7 +268,7 @@ def dashboard_overview(fx):
     return df.select("canonical_id", "best_price", "stores", F.round((F.col("med") - F.col("best_price")) / F.col("med") * 100, 4).alias("discount")).orderBy(F.desc("discount"), "canonical_id").limit(50)
 
 
-@query("product_detail_series", "SELECT canonical_id, store_id, strftime(ts, '%m-%d %H:%M') AS label, max(price) AS price FROM (SELECT canonical_id, store_id, started_at AS ts, price FROM fx_members JOIN fx_changes USING (variant_id) UNION ALL SELECT canonical_id, store_id, coalesce(ended_at, $AS_OF), price FROM fx_members JOIN fx_changes USING (variant_id)) GROUP BY canonical_id, store_id, ts")
+@query("product_detail_series", "SELECT canonical_id, store_id, strftime(ts, '%m-%d %H:%M') AS label, max(price) AS price FROM (SELECT canonical_id, store_id, started_at AS ts, price FROM fx_members JOIN fx_changes USING (variant_id) UNION ALL SELECT canonical_id, store_id, coalesce(ended_at, $AS_OF), price FROM fx_members JOIN fx_changes USING (variant_id)) GROUP BY canonical_id, store_id, ts", hold=True)
 def product_detail_series(fx):
     from pricelode.operators.shaping import price_series
 
@@ -276,6 +281,7 @@ def product_detail_series(fx):
     """WITH fx_top AS (SELECT canonical_variant_id AS canonical_id, count(*) AS matches FROM fx_matches GROUP BY 1 ORDER BY matches DESC, canonical_id LIMIT 10), fx_r AS (SELECT canonical_id, quantile_cont(current_price, 0.5) AS med, min(current_price) AS lo, coalesce(min(current_price) FILTER (variant_id = canonical_id AND in_stock), min(current_price) FILTER (variant_id = canonical_id)) AS own, count(DISTINCT store_id) AS stores FROM fx_moffers GROUP BY 1),
  fx_rs AS (SELECT *, greatest(0, least(100, least(100, greatest(0, (med - own) / med * 200)) - least(20, (own - lo) / med * 100))) AS s FROM fx_top JOIN fx_r USING (canonical_id))
  SELECT canonical_id, matches, stores, own AS price, round(med, 4) AS median, round(s, 4) AS deal_score, CASE WHEN s >= 80 THEN 'VERY GOOD DEAL' WHEN s >= 60 THEN 'GOOD DEAL' WHEN s >= 40 THEN 'NORMAL PRICE' ELSE 'BAD DEAL' END AS classification FROM fx_rs""",
+    hold=True,
 )
 def top_product_market_report(fx):
     top = fx.matches.groupBy(F.col("canonical_variant_id").alias("canonical_id")).agg(F.count("*").alias("matches")).orderBy(F.desc("matches"), "canonical_id").limit(10)

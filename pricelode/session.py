@@ -1,6 +1,8 @@
-"""Spark session defaults used by tests, the bench and local runs."""
+"""Session defaults, and the folder that a cluster shares for intermediate tables."""
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +21,22 @@ def local_session(app="pricelode", cores="8", memory="8g", partitions="8"):
         .config("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", "/tmp/pricelode-local"))
         .getOrCreate()
     )
+
+
+def shared_folder(spark, name):
+    """A new folder's path below the checkpoint folder of the session, which a cluster must set; a local session may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "pricelode-shared")
+    return f"{base}/pricelode-{name}-{uuid.uuid4().hex}"
+
+
+def held(df, name="table"):
+    """df written once as Parquet to the shared folder, and read from there by all that use it."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

@@ -8,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelode.functions.normalize import strip_accents
+from pricelode.functions.statistics import sane
+from pricelode.operators.shaping import plausible_change
 
 
 def brand_name_key(name):
@@ -48,19 +50,72 @@ def resolve_variant_identity(variants, incoming):
     return rows.select("store_id", "external_id", "product_id", "sku", F.coalesce("v1", "v2", F.xxhash64("store_id", "external_id")).alias("variant_id"), F.when(F.col("v1").isNotNull(), "external").when(F.col("v2").isNotNull(), "sku").otherwise("new").alias("how"))
 
 
+OFFER_COLUMNS = ("current_price", "old_price", "in_stock", "updated_at", "url", "original_currency", "exchange_rate", "exchange_rate_source", "parser_version")
+
+
+def import_outcomes(offers, incoming):
+    """incoming with its outcome against the offers that stood before: rejected, skipped, imported or updated.
+
+    Rejected rows have a reject_reason (or no price); skipped ones have an
+    insane price, or one that no plausible change leads to from the offer's.
+    """
+    before = offers.select("variant_id", "store_id", F.col("current_price").alias("price_before"), F.lit(True).alias("known"))
+    rows = incoming.join(before, ["variant_id", "store_id"], "left")
+    price = F.col("current_price")
+    rejected = price.isNull() | (F.col("reject_reason").isNotNull() if "reject_reason" in incoming.columns else F.lit(False))
+    taken = sane(price) & plausible_change(price, F.col("price_before"))
+    outcome = F.when(rejected, "rejected").when(~taken, "skipped").when(F.col("known"), "updated").otherwise("imported")
+    return rows.withColumn("outcome", outcome).drop("price_before", "known")
+
+
 def upsert_offers(offers, incoming):
-    """The newest row of each variant and store; the price before it becomes the old price."""
-    both = offers.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    """The newest accepted row of each variant and store; without one the offer stays as it is.
+
+    Accepted are sane prices within a plausible change of the offer that stood
+    before (import_outcomes). A row brings its own stated old price, url and
+    currency provenance; what either table lacks is null. Of rows of one time
+    the lowest price wins.
+    """
     keys = ["variant_id", "store_id"]
-    last = both.groupBy(*keys).agg(F.max(F.struct("updated_at", "_new", "current_price", "in_stock")).alias("o"), F.max_by(F.when(F.col("_new") == 0, F.col("current_price")), F.struct(1 - F.col("_new"), "updated_at")).alias("old_price"))
-    return last.select(*keys, "o.current_price", "o.in_stock", "o.updated_at", "old_price")
+    kinds = {f.name: f.dataType for df in (incoming, offers) for f in df.schema.fields}
+    kinds.setdefault("old_price", kinds["current_price"])
+    columns = [c for c in OFFER_COLUMNS if c in kinds]
+    whole = lambda df: df.select(*keys, *[(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
+    taken = import_outcomes(offers, incoming).where(F.col("outcome").isin("imported", "updated"))
+    both = whole(offers).withColumn("_new", F.lit(0)).unionByName(whole(taken).withColumn("_new", F.lit(1)))
+    row = F.struct(*columns)
+    last = both.groupBy(*keys).agg(F.max_by(row, F.struct("_new", "updated_at", -F.col("current_price"))).alias("o"))
+    return last.select(*keys, "o.*")
+
+
+def import_counters(outcomes):
+    """Per store: imported, updated, skipped, converted and rejected rows of an import."""
+    n = lambda name: F.count_if(F.col("outcome") == name).alias(name)
+    converted = F.count_if((F.col("outcome") != "rejected") & (F.col("original_currency") != "USD")).alias("converted")
+    return outcomes.groupBy("store_id").agg(n("imported"), n("updated"), n("skipped"), converted, n("rejected"))
+
+
+def import_summary(results):
+    """Per status: stores, and the products that they brought."""
+    return results.groupBy("status").agg(F.count("*").alias("stores"), F.sum(F.coalesce("products", F.lit(0))).alias("products"))
 
 
 def update_store_sync(stores, results):
-    """The latest result per store; only success moves the last successful sync."""
-    last = results.groupBy("store_id").agg(F.max(F.struct("at", "status")).alias("r"))
-    ok = F.col("r.status") == "success"
-    return stores.join(last, "store_id", "left").select("store_id", F.coalesce("r.status", "sync_status").alias("sync_status"), F.when(ok, F.col("r.at")).otherwise(F.col("last_successful_sync")).alias("last_successful_sync"))
+    """The latest result per store: time, status and error; only success moves the last successful sync and the number of products.
+
+    results: store_id, at, status, and error and products where given.
+    """
+    given = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
+    last = results.groupBy("store_id").agg(F.max(F.struct("at", "status", given(results, "error", "string").alias("error"), given(results, "products", "long").alias("products"))).alias("r"))
+    ok, any_ = F.col("r.status") == "success", F.col("r").isNotNull()
+    return stores.join(last, "store_id", "left").select(
+        "store_id",
+        F.coalesce("r.status", "sync_status").alias("sync_status"),
+        F.when(any_, F.col("r.at")).otherwise(given(stores, "last_sync", "timestamp")).alias("last_sync"),
+        F.when(ok, F.col("r.at")).otherwise(F.col("last_successful_sync")).alias("last_successful_sync"),
+        F.when(any_, F.col("r.error")).otherwise(given(stores, "last_error", "string")).alias("last_error"),
+        F.when(ok, F.col("r.products")).otherwise(given(stores, "products_count", "long")).alias("products_count"),
+    )
 
 
 def merge_brands(brands):
@@ -88,6 +143,26 @@ def dedup_variants(remap, rows, key):
     return first.select(*key, "r.*").drop("_old")
 
 
+def dedup_matches(remap, matches):
+    """Matches between kept variants, each pair once with its best confidence; a match within one kept variant goes."""
+    to = lambda name: remap.select(F.col("variant_id").alias(name), F.col("keep").alias(f"_{name}"))
+    keys = ["canonical_variant_id", "matched_variant_id"]
+    moved = matches.join(to(keys[0]), keys[0], "left").join(to(keys[1]), keys[1], "left").withColumns({k: F.coalesce(f"_{k}", k) for k in keys}).drop(*[f"_{k}" for k in keys])
+    rest = [c for c in matches.columns if c not in keys]
+    best = moved.where(f"{keys[0]} <> {keys[1]}").groupBy(*keys).agg(F.max(F.struct("confidence_score", *[c for c in rest if c != "confidence_score"])).alias("r"))
+    return best.select(*keys, "r.*")
+
+
+def dedup_tables(remap, variants, offers, history, matches):
+    """The four tables after equal variants became one: kept variants, their offers by store, history without clashes in time, matches."""
+    return (
+        variants.join(remap.where("variant_id = keep").select("variant_id"), "variant_id", "left_semi"),
+        dedup_variants(remap, offers, ["variant_id", "store_id"]),
+        dedup_variants(remap, history, ["variant_id", "store_id", "ts"]),
+        dedup_matches(remap, matches),
+    )
+
+
 def drop_gender_conflicts(matches, variants):
     """Matches but those between different known genders."""
     g = variants.select("variant_id", F.nullif("gender", F.lit("UNKNOWN")).alias("gender"))
@@ -97,8 +172,19 @@ def drop_gender_conflicts(matches, variants):
 
 def split_multi_store(seen):
     """(variant_id, store_id) pairs with the id each store gets: the least store keeps the variant's, others get clones."""
-    w = Window.partitionBy("variant_id").orderBy("store_id")
-    return seen.distinct().withColumn("new_id", F.when(F.row_number().over(w) == 1, F.col("variant_id")).otherwise(F.xxhash64("variant_id", "store_id")))
+    seen = seen.select("variant_id", "store_id").distinct()
+    least = seen.groupBy("variant_id").agg(F.min("store_id").alias("_least"))
+    return seen.join(least, "variant_id").select("variant_id", "store_id", F.when(F.col("store_id") == F.col("_least"), F.col("variant_id")).otherwise(F.xxhash64("variant_id", "store_id")).alias("new_id"))
+
+
+def split_tables(variants, offers, changes, history):
+    """The four tables with one store per variant: clones for further stores, facts repointed to them; variants that no store has go."""
+    facts = (offers, changes, history)
+    ids = split_multi_store(facts[0].select("variant_id", "store_id").unionAll(facts[1].select("variant_id", "store_id")).unionAll(facts[2].select("variant_id", "store_id")))
+    own = [c for c in variants.columns if c not in ("variant_id", "store_id")]
+    cloned = variants.drop("store_id").join(ids, "variant_id").select(F.col("new_id").alias("variant_id"), "store_id", *own)
+    moved = [f.join(ids, ["variant_id", "store_id"]).withColumn("variant_id", F.col("new_id")).select(*f.columns) for f in facts]
+    return cloned, *moved
 
 
 def backfill_store_scope(variants, offers):
@@ -106,6 +192,47 @@ def backfill_store_scope(variants, offers):
     return variants.join(offers.groupBy("variant_id").agg(F.min("store_id").alias("store_id")), "variant_id").select("variant_id", "store_id")
 
 
+def offers_in_scope(scoped, offers):
+    """Offers of their variant's own store."""
+    return offers.join(scoped.select("variant_id", "store_id"), ["variant_id", "store_id"], "left_semi")
+
+
+def nullify_nonpositive(df, column):
+    """df with null for values of the column that aren't above zero."""
+    return df.withColumn(column, F.when(F.col(column) > 0, F.col(column)))
+
+
+def incremental_normalise(df, source, target, normalise, id_col=None, low=None, high=None):
+    """df with target filled from source where it is null, in the half-open range of ids if one is given; done rows stay."""
+    open_ = F.col(target).isNull()
+    if id_col is not None:
+        open_ = open_ & (F.col(id_col) >= low) & (F.col(id_col) < high)
+    return df.withColumn(target, F.when(open_, normalise(F.col(source))).otherwise(F.col(target)))
+
+
+def normalisation_coverage(df, raw, normalised, top=15):
+    """What a normalisation covers, as rows kind, raw, value, n, percent.
+
+    totals: all rows, those with and without a value; value: rows by value;
+    pair: the `top` most frequent pairs of raw and normalised value.
+    """
+    row = lambda kind, r, v, n, p: [F.lit(kind).alias("kind"), r.cast("string").alias("raw"), v.cast("string").alias("value"), n.alias("n"), F.round(p, 4).alias("percent")]
+    pairs = df.groupBy(F.col(raw).alias("r"), F.col(normalised).alias("v")).agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    sums = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("given"))
+    parts = sums.select("total", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), n.alias("n")) for name, n in (("all", F.col("total")), ("normalised", F.col("given")), ("null", F.col("total") - F.col("given")))])).alias("s"))
+    share = lambda n: F.try_divide(100.0 * n, F.col("total"))
+    # The one row of sums comes by an equi-join on a constant.
+    whole = sums.select(F.lit(1).alias("one"), "total")
+    by_value = pairs.groupBy("v").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
+    frequent = pairs.where("v is not null").orderBy(F.desc("n"), "r", "v").limit(top).withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
+    return (
+        parts.select(*row("totals", none, F.col("s.name"), F.col("s.n"), share(F.col("s.n"))))
+        .unionByName(by_value.select(*row("value", none, F.col("v"), F.col("n"), share(F.col("n")))))
+        .unionByName(frequent.select(*row("pair", F.col("r"), F.col("v"), F.col("n"), share(F.col("n")))))
+    )
+
+
 def propagate_gender(products, variants, classify):
     """Classify each product's name once and hand the class to its variants."""
     classes = products.select("product_id", classify(F.col("canonical_name")).alias("gender_age"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pricelode.session import held
+
 
 def plausible_change(new, old, low=0.25, high=4):
     """New to old price within a factor 4; passes without an old price."""
@@ -19,6 +21,11 @@ def contains_text(term, *columns):
     return out
 
 
+def of_platform(sites, platform):
+    """url and notes of the sites of one platform."""
+    return sites.where(F.col("platform") == platform).select("url", "notes")
+
+
 def special_price_active(price, special, start, end, as_of):
     """A sale price counts when it is lower and as_of lies in its span; dates that can't be read don't limit."""
     since, until = F.coalesce(F.try_to_timestamp(start), as_of), F.coalesce(F.try_to_timestamp(end), as_of)
@@ -30,6 +37,19 @@ def first_per(df, by, *order):
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def global_rank(df, name, *order):
+    """df with each row's place from 1 in the given order of all rows.
+
+    Rows are dealt by ranges of the order, ranked within each, and moved on by
+    the rows of the ranges before: only one row per range is ranked in one task.
+    """
+    dealt = held(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_within", within).join(sizes, "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
+
+
 def top_per(df, by, n, *order):
     """The first n rows of each group, with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)

@@ -6,6 +6,8 @@ from pricelode.functions import normalize as N
 from pricelode.operators import intervals as I
 from pricelode.operators import maintenance as U
 from pricelode.operators import matching as M
+from pricelode.operators import shaping as S
+from pricelode.session import shared_folder
 from pricelode.sources import landing as L
 
 from .catalog import query
@@ -35,9 +37,13 @@ PRICED = f"""fx_rates(currency, rate) AS (VALUES {", ".join(f"('{k}', {v})" for
  fx_priced AS (SELECT variant_id, price, coalesce(stated, seen, 'UNKNOWN') AS currency, coalesce(stated, seen) IS NULL AS bad FROM fx_stated)"""
 
 
-@query("normalize_price", f"WITH {PRICED} SELECT variant_id, p.currency, CASE WHEN bad THEN NULL WHEN p.currency = 'USD' THEN price ELSE CAST(CAST(CAST(price AS DECIMAL(12,2)) AS DECIMAL(18,2))::DOUBLE / r.rate::DOUBLE AS DECIMAL(18,6)) END::DECIMAL(18,1)::DOUBLE AS usd, CASE WHEN bad THEN 'unknown_currency' END AS reject_reason FROM fx_priced p LEFT JOIN fx_rates r ON r.currency = p.currency")
+@query(
+    "normalize_price",
+    f"""WITH {PRICED} SELECT variant_id, p.currency, CASE WHEN bad THEN NULL WHEN p.currency = 'USD' THEN price ELSE ((2 * CAST(round(price * 100) AS HUGEINT) * 1000000 + CAST(round(r.rate::DOUBLE * 1000000) AS HUGEINT)) // (2 * CAST(round(r.rate::DOUBLE * 1000000) AS HUGEINT)))::DOUBLE / 100 END AS usd_price,
+ CASE WHEN bad THEN NULL WHEN p.currency = 'USD' THEN 1.0 ELSE r.rate::DOUBLE END AS rate, CASE WHEN bad THEN 'unknown_currency' END AS reject_reason FROM fx_priced p LEFT JOIN fx_rates r ON r.currency = p.currency""",
+)
 def normalize_price(fx):
-    return priced(fx).select("variant_id", "currency", F.when(F.col("currency") == "USD", F.col("usd_price")).otherwise(F.col("price").cast("double") / F.col("rate").cast("double")).cast("decimal(18,6)").cast("decimal(18,1)").cast("double").alias("usd"), "reject_reason")
+    return priced(fx).select("variant_id", "currency", "usd_price", "rate", "reject_reason")
 
 
 @query("broadcast_fx", f"WITH {PRICED} SELECT p.currency, count(*) AS n, count(r.rate) AS rated FROM fx_priced p LEFT JOIN fx_rates r ON r.currency = p.currency GROUP BY 1")
@@ -55,17 +61,19 @@ def with_provenance(fx):
     return L.with_provenance(L.quarantine(priced(fx))[0], "v1").select("variant_id", "exchange_rate_source", "parser_version")
 
 
-@query("fx_rebase_to_usd", "WITH q AS (SELECT currency, floor(avg(reliability_score) * 100 + 50) / 100 AS rate FROM fx_stores GROUP BY 1) SELECT currency, round(rate / (SELECT rate FROM q WHERE currency = 'USD'), 5) AS rate FROM q WHERE currency <> 'USD'")
+@query(
+    "fx_rebase_to_usd",
+    "WITH q AS (SELECT currency, CAST(floor(avg(reliability_score) * 100 + 50) AS BIGINT) AS rate FROM fx_stores GROUP BY 1), u AS (SELECT rate AS usd FROM q WHERE currency = 'USD') SELECT currency, ((2 * rate * 1000000 + usd) // (2 * usd))::DOUBLE / 1000000 AS rate FROM q, u WHERE currency <> 'USD'",
+)
 def fx_rebase_to_usd(fx):
-    quotes = fx.stores.groupBy("currency").agg((F.floor(F.avg(F.col("reliability_score").cast("double")) * 100 + 50) / 100).alias("rate"))
-    usd = quotes.where("currency = 'USD'").select(F.col("rate").alias("usd_rate"), F.lit(1).alias("one"))
-    return quotes.withColumn("one", F.lit(1)).join(usd, "one").where("currency <> 'USD'").select("currency", F.round(F.col("rate") / F.col("usd_rate"), 5).alias("rate"))
+    quotes = fx.stores.groupBy("currency").agg((F.floor(F.avg(F.col("reliability_score").cast("double")) * 100 + 50).cast("decimal(10,0)") / 100).cast("decimal(10,2)").alias("rate"))
+    return N.rebase_rates_to_usd(quotes)
 
 
-@query("strip_accents", "SELECT doc_id, strip_accents(lower(regexp_extract(text, '^(\\S+)', 1))) AS word FROM documents WHERE regexp_full_match(regexp_extract(text, '^(\\S+)', 1), '[A-Za-zÀ-ÿ.,]*')")
+@query("strip_accents", "SELECT doc_id, md5(strip_accents(lower(text))) AS digest FROM documents")
 def strip_accents(fx):
-    word = F.regexp_extract("text", r"^([^\s]+)", 1)
-    return fx.table("documents").where(word.rlike("^[A-Za-zÀ-ÿ.,]*$")).select("doc_id", N.strip_accents(F.lower(word)).alias("word"))
+    """Over whole texts."""
+    return fx.table("documents").select("doc_id", F.md5(N.strip_accents(F.lower("text")).cast("binary")).alias("digest"))
 
 
 @query("brand_key", "SELECT DISTINCT brand, regexp_replace(regexp_replace(lower(brand), '[^a-z0-9]', '', 'g'), '^by', '') AS brand_key FROM fx_products")
@@ -97,11 +105,16 @@ def normalize_color(fx):
 GENDER_NAMES = {0: " Men's", 1: " wmns", 2: " (GS) ", 3: " unisex", 4: " PSA kids", 5: " men in black"}
 
 
-@query("normalize_gender_age", "SELECT product_id, CASE product_id % 7 WHEN 0 THEN 'MEN' WHEN 1 THEN 'WOMEN' WHEN 2 THEN 'KIDS' WHEN 3 THEN 'UNISEX' ELSE 'UNKNOWN' END AS gender FROM fx_products")
-def normalize_gender_age(fx):
+def gendered(fx):
+    """Products whose names say for whom they are."""
     n = F.col("product_id") % 7
     tail = F.coalesce(*[F.when(n == k, F.lit(v)) for k, v in GENDER_NAMES.items()], F.lit(""))
-    return fx.products.select("product_id", N.normalize_gender_age(F.concat("canonical_name", tail)).alias("gender"))
+    return fx.products.withColumn("canonical_name", F.concat("canonical_name", tail))
+
+
+@query("normalize_gender_age", "SELECT product_id, CASE product_id % 7 WHEN 0 THEN 'MEN' WHEN 1 THEN 'WOMEN' WHEN 2 THEN 'KIDS' WHEN 3 THEN 'UNISEX' ELSE 'UNKNOWN' END AS gender FROM fx_products")
+def normalize_gender_age(fx):
+    return gendered(fx).select("product_id", N.normalize_gender_age(F.col("canonical_name")).alias("gender"))
 
 
 @query("normalize_sku", "SELECT DISTINCT sku, upper(trim(sku)) AS nsku FROM fx_variants")
@@ -134,9 +147,10 @@ def product_url(fx):
     return fx.products.select("product_id", N.product_url(F.lit("https://shop.example/"), F.replace("canonical_name", F.lit(" "), F.lit("-"))).alias("url"))
 
 
-@query("alert_fingerprint", "SELECT variant_id, substr(sha256(sku || '|' || store_id), 1, 16) AS fingerprint FROM fx_variants")
+@query("alert_fingerprint", "SELECT variant_id, substr(sha256(sku || '|' || s.name || '|' || printf('%.2f', current_price)), 1, 16) AS fingerprint FROM fx_variants v JOIN fx_offers o USING (variant_id) JOIN fx_stores s ON s.store_id = v.store_id")
 def alert_fingerprint(fx):
-    return fx.variants.select("variant_id", F.substring(F.sha2(F.concat_ws("|", "sku", F.col("store_id").cast("string")), 256), 1, 16).alias("fingerprint"))
+    rows = fx.variants.join(fx.offers.select("variant_id", "current_price"), "variant_id").join(fx.stores.select("store_id", "name"), "store_id")
+    return rows.select("variant_id", N.alert_fingerprint(F.col("sku"), F.col("name"), F.col("current_price").cast("string")).alias("fingerprint"))
 
 
 @query("quality_score", "SELECT variant_id, quality FROM fx_norm")
@@ -149,15 +163,27 @@ def freshness_decay(fx):
     return fx.offers.select("variant_id", F.round(N.freshness_decay(F.col("updated_at"), fx.as_of), 8).alias("decay"))
 
 
-@query("detect_platform_markers", "SELECT CASE WHEN lower(html) LIKE '%shopify.com%' THEN 'shopify' WHEN lower(html) LIKE '%wp-content/plugins/woocommerce%' THEN 'woocommerce' WHEN lower(html) LIKE '%mage/%' OR lower(html) LIKE '%magento%' OR lower(html) LIKE '%/static/version%' THEN 'magento' ELSE 'custom' END AS platform, count(*) AS n FROM pages GROUP BY 1")
+MARKERS = ("<script src='https://cdn.Shopify.com/s/files/x.js'></script>", "<link href='/wp-content/plugins/woocommerce/a.css'>", "<script data-x='Mage/Cookies'></script>", "<link href='/static/version17/x.css'>", "")
+PLATFORM_SQL = "CASE page_id % 5 WHEN 0 THEN 'shopify' WHEN 1 THEN 'woocommerce' WHEN 2 THEN 'magento' WHEN 3 THEN 'magento' ELSE 'custom' END"
+
+
+def sites(fx):
+    """Pages as sites: markers of a platform planted by page, and notes of what their catalogue answered."""
+    n = F.col("page_id") % 5
+    marked = F.concat("html", F.coalesce(*[F.when(n == k, F.lit(m)) for k, m in enumerate(MARKERS)]))
+    note = F.when(F.col("page_id") % 3 == 0, "products.json available").when(F.col("page_id") % 3 == 1, "products.json blocked (403)").otherwise("timeout")
+    return fx.pages.select("page_id", "url", N.platform(marked).alias("platform"), note.alias("notes"))
+
+
+@query("detect_platform_markers", f"SELECT {PLATFORM_SQL} AS platform, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, platform")
 def detect_platform_markers(fx):
-    return fx.pages.groupBy(N.platform(F.col("html")).alias("platform")).agg(F.count("*").alias("n"))
+    return sites(fx).groupBy("platform").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "platform")
 
 
-@query("filter_shop_platform", "SELECT count(*) FILTER (url LIKE '%/en/%') AS available, count(*) FILTER (url LIKE '%utm%') AS tagged FROM pages WHERE NOT lower(html) LIKE '%shopify.com%'")
+@query("filter_shop_platform", "SELECT count(*) AS sites, count(*) FILTER (page_id % 3 = 0) AS available, count(*) FILTER (page_id % 3 = 1) AS blocked FROM pages WHERE page_id % 5 = 0")
 def filter_shop_platform(fx):
-    rows = fx.pages.where(N.platform(F.col("html")) == "custom")
-    return rows.agg(F.count_if(F.col("url").contains("/en/")).alias("available"), F.count_if(F.col("url").contains("utm")).alias("tagged"))
+    rows = S.of_platform(sites(fx), "shopify")
+    return rows.agg(F.count("*").alias("sites"), F.count_if(F.col("notes").contains("available")).alias("available"), F.count_if(F.col("notes").contains("blocked")).alias("blocked"))
 
 
 @query("format_time_label", "SELECT variant_id, strftime(updated_at, '%m-%d %H:%M') AS label FROM fx_offers")
@@ -165,12 +191,16 @@ def format_time_label(fx):
     return fx.offers.select("variant_id", F.date_format("updated_at", "MM-dd HH:mm").alias("label"))
 
 
-@query("normalisation_coverage", f"SELECT color, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM (SELECT {COLOUR_SQL.replace('p_name', 'canonical_name')} AS color FROM fx_products) GROUP BY 1")
+@query(
+    "normalisation_coverage",
+    f"""WITH fx_c AS (SELECT canonical_name AS raw, {COLOUR_SQL.replace('p_name', 'canonical_name')} AS value FROM fx_products), fx_t AS (SELECT count(*) AS total, count(value) AS given FROM fx_c),
+ fx_p AS (SELECT raw, value, count(*) AS n FROM fx_c WHERE value IS NOT NULL GROUP BY ALL ORDER BY n DESC, raw, value LIMIT 15)
+ SELECT 'totals' AS kind, NULL AS raw, unnest(['all', 'normalised', 'null']) AS value, unnest([total, given, total - given]) AS n, round(100.0::DOUBLE * unnest([total, given, total - given]) / total, 4) AS percent FROM fx_t
+ UNION ALL SELECT 'value', NULL, value, count(*), round(100.0::DOUBLE * count(*) / any_value(total), 4) FROM fx_c, fx_t GROUP BY value
+ UNION ALL SELECT 'pair', raw, value, n, round(100.0::DOUBLE * n / total, 4) FROM fx_p, fx_t""",
+)
 def normalisation_coverage(fx):
-    from pyspark.sql import Window
-
-    rows = fx.products.groupBy(N.normalize_color(F.col("canonical_name")).alias("color")).agg(F.count("*").alias("n"))
-    return rows.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+    return U.normalisation_coverage(fx.products.withColumn("color", N.normalize_color(F.col("canonical_name"))), "canonical_name", "color")
 
 
 @query("upsert_brands", "SELECT DISTINCT lower(trim(brand)) AS normalized_name, CAST(right(brand, 1) AS INTEGER) <= 2 AS old FROM fx_products")
@@ -201,26 +231,94 @@ def resolve_variant_identity(fx):
     return U.resolve_variant_identity(rows.where("variant_id % 3 = 0"), rows.select("store_id", "external_id", "product_id", "sku")).select("store_id", "product_id", "how")
 
 
+RATE_OF = "CASE currency WHEN 'USD' THEN 1.0 " + " ".join(f"WHEN '{k}' THEN {float(v)!r}" for k, v in N.FALLBACK_RATES.items()) + " END"
+
+
+def catalogue_rows(fx):
+    """Observations as priced catalogue rows: stated old price, url, currency and rate; every thirteenth names no known currency, some prices are beyond all bounds."""
+    s = fx.stores.select("store_id", "domain", "currency")
+    price = F.when(F.col("variant_id") % 17 == 0, F.col("price") * 40).otherwise(F.col("price")).cast("decimal(12,2)")
+    rate = F.create_map(*[x for k, v in {"USD": "1", **N.FALLBACK_RATES}.items() for x in (F.lit(k), F.lit(v).cast("decimal(12,6)"))])[F.col("currency")]
+    return fx.obs.join(s, "store_id").select(
+        "variant_id",
+        "store_id",
+        price.alias("current_price"),
+        F.when(F.col("variant_id") % 3 == 0, (F.col("price") * 2).cast("decimal(12,2)")).alias("old_price"),
+        "in_stock",
+        F.col("ts").alias("updated_at"),
+        N.product_url(F.concat(F.lit("https://"), "domain"), F.col("variant_id").cast("string")).alias("url"),
+        F.col("currency").alias("original_currency"),
+        rate.alias("exchange_rate"),
+        F.when(F.col("currency") != "USD", "fixer_io").alias("exchange_rate_source"),
+        F.when(F.col("variant_id") % 13 == 0, "unknown_currency").alias("reject_reason"),
+    )
+
+
+def stood(rows):
+    """The offers that stood on the first of March: the last good row of each variant."""
+    old = rows.where("updated_at < timestamp '2024-03-01' and reject_reason is null and variant_id % 17 <> 0").drop("reject_reason")
+    kept = [c for c in old.columns if c not in ("variant_id", "store_id")]
+    return old.groupBy("variant_id", "store_id").agg(F.max(F.struct("updated_at", *[c for c in kept if c != "updated_at"])).alias("o")).select("variant_id", "store_id", "o.*")
+
+
+CATALOGUE = f"""fx_rows AS (SELECT variant_id, o.store_id, CASE WHEN variant_id % 17 = 0 THEN round(price * 40, 2) ELSE price END AS current_price, CASE WHEN variant_id % 3 = 0 THEN round(price * 2, 2) END AS old_price, in_stock, ts, 'https://' || domain || '/products/' || variant_id AS url, currency AS original_currency,
+  {RATE_OF} AS exchange_rate, CASE WHEN currency <> 'USD' THEN 'fixer_io' END AS exchange_rate_source, variant_id % 13 = 0 AS bad FROM fx_obs o JOIN fx_stores s ON s.store_id = o.store_id),
+ fx_stood AS (SELECT * FROM fx_rows WHERE ts < TIMESTAMP '2024-03-01' AND NOT bad AND variant_id % 17 <> 0 QUALIFY row_number() OVER (PARTITION BY variant_id, store_id ORDER BY ts DESC) = 1),
+ fx_in AS (SELECT r.*, s.current_price AS before, s.variant_id IS NOT NULL AS known, CASE WHEN r.bad THEN 'rejected' WHEN NOT (r.current_price > 0 AND r.current_price <= 20000) OR NOT (s.current_price IS NULL OR s.current_price <= 0 OR r.current_price::DOUBLE / s.current_price::DOUBLE BETWEEN 0.25 AND 4) THEN 'skipped' WHEN s.variant_id IS NOT NULL THEN 'updated' ELSE 'imported' END AS outcome
+  FROM fx_rows r LEFT JOIN fx_stood s ON s.variant_id = r.variant_id AND s.store_id = r.store_id WHERE r.ts >= TIMESTAMP '2024-03-01')"""
+OFFER_OUT = "variant_id, store_id, current_price, old_price, in_stock, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, url, original_currency, exchange_rate, exchange_rate_source"
+
+
 @query(
     "upsert_offers",
-    "WITH fx_old AS (SELECT variant_id, store_id, price, ts FROM fx_obs WHERE ts < TIMESTAMP '2024-03-01' QUALIFY row_number() OVER (PARTITION BY variant_id, store_id ORDER BY ts DESC) = 1) SELECT o.variant_id, o.store_id, o.current_price, fx_old.price AS old_price FROM fx_offers o LEFT JOIN fx_old ON fx_old.variant_id = o.variant_id AND fx_old.store_id = o.store_id",
+    f"""WITH {CATALOGUE}, fx_both AS (SELECT {OFFER_OUT}, 0 AS new FROM fx_stood UNION ALL SELECT {OFFER_OUT}, 1 FROM fx_in WHERE outcome IN ('imported', 'updated'))
+ SELECT * EXCLUDE (new) FROM fx_both QUALIFY row_number() OVER (PARTITION BY variant_id, store_id ORDER BY new DESC, updated_at DESC) = 1""",
+    hold=True,
 )
 def upsert_offers(fx):
-    rows = fx.obs.select("variant_id", "store_id", F.col("price").alias("current_price"), "in_stock", F.col("ts").alias("updated_at"))
-    old = rows.where("updated_at < timestamp '2024-03-01'").groupBy("variant_id", "store_id").agg(F.max(F.struct("updated_at", "current_price", "in_stock")).alias("o")).select("variant_id", "store_id", "o.current_price", "o.in_stock", "o.updated_at")
-    return U.upsert_offers(old, rows.where("updated_at >= timestamp '2024-03-01'")).select("variant_id", "store_id", "current_price", "old_price")
+    rows = catalogue_rows(fx)
+    out = U.upsert_offers(stood(rows), rows.where("updated_at >= timestamp '2024-03-01'"))
+    return out.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("update_store_sync", "SELECT store_id, CASE WHEN store_id % 2 = 0 THEN 'success' ELSE sync_status END AS sync_status, strftime(CASE WHEN store_id % 2 = 0 THEN $AS_OF ELSE last_successful_sync END, '%Y-%m-%d %H:%M:%S') AS last_successful_sync FROM fx_stores")
-def update_store_sync(fx):
+@query(
+    "import_counters",
+    f"WITH {CATALOGUE} SELECT store_id, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome <> 'rejected' AND original_currency <> 'USD') AS converted, count(*) FILTER (outcome = 'rejected') AS rejected FROM fx_in GROUP BY 1",
+    hold=True,
+)
+def import_counters(fx):
+    rows = catalogue_rows(fx)
+    return U.import_counters(U.import_outcomes(stood(rows), rows.where("updated_at >= timestamp '2024-03-01'")))
+
+
+def sync_results(fx):
+    """Two results for every second store: an error, and an hour later a success with its number of offers."""
     even = fx.stores.where("store_id % 2 = 0")
-    results = even.select("store_id", fx.as_of.alias("at"), F.lit("success").alias("status")).unionByName(even.select("store_id", (fx.as_of - F.expr("INTERVAL 1 HOUR")).alias("at"), F.lit("error").alias("status")))
-    return U.update_store_sync(fx.stores, results).withColumn("last_successful_sync", F.date_format("last_successful_sync", "yyyy-MM-dd HH:mm:ss"))
+    n = fx.offers.groupBy("store_id").agg(F.count("*").alias("products"))
+    none = F.lit(None)
+    good = even.join(n, "store_id", "left").select("store_id", fx.as_of.alias("at"), F.when(F.col("store_id") % 6 == 0, "error").otherwise("success").alias("status"), F.when(F.col("store_id") % 6 == 0, "HTTP 503").alias("error"), "products")
+    return good.unionByName(even.select("store_id", (fx.as_of - F.expr("INTERVAL 1 HOUR")).alias("at"), F.lit("error").alias("status"), F.lit("timeout").alias("error"), none.cast("long").alias("products")))
 
 
-@query("import_counters", "SELECT sync_status, count(*) AS stores, count(*) FILTER (last_successful_sync IS NULL) AS never FROM fx_stores GROUP BY 1")
-def import_counters(fx):
-    return fx.stores.groupBy("sync_status").agg(F.count("*").alias("stores"), F.count_if(F.col("last_successful_sync").isNull()).alias("never"))
+SYNCED = "fx_n AS (SELECT store_id, count(*) AS products FROM fx_offers GROUP BY 1), fx_y AS (SELECT s.*, store_id % 2 = 0 AS seen, store_id % 2 = 0 AND store_id % 6 <> 0 AS ok, products FROM fx_stores s LEFT JOIN fx_n USING (store_id))"
+
+
+@query(
+    "update_store_sync",
+    f"""WITH {SYNCED} SELECT store_id, CASE WHEN ok THEN 'success' WHEN seen THEN 'error' ELSE sync_status END AS sync_status, strftime(CASE WHEN seen THEN $AS_OF END, '%Y-%m-%d %H:%M:%S') AS last_sync, strftime(CASE WHEN ok THEN $AS_OF ELSE last_successful_sync END, '%Y-%m-%d %H:%M:%S') AS last_successful_sync,
+ CASE WHEN seen AND NOT ok THEN 'HTTP 503' END AS last_error, CASE WHEN ok THEN products END AS products_count FROM fx_y""",
+)
+def update_store_sync(fx):
+    out = U.update_store_sync(fx.stores, sync_results(fx))
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("last_sync", "last_successful_sync")})
+
+
+@query(
+    "import_summary",
+    f"WITH {SYNCED} SELECT status, count(*) AS stores, CAST(sum(coalesce(products, 0)) AS BIGINT) AS products FROM (SELECT CASE WHEN ok THEN 'success' ELSE 'error' END AS status, products FROM fx_y WHERE seen UNION ALL SELECT 'error', NULL FROM fx_y WHERE seen) GROUP BY 1",
+)
+def import_summary(fx):
+    return U.import_summary(sync_results(fx))
 
 
 @query("merge_brands", "SELECT c_custkey AS brand_id, min(c_custkey) OVER (PARTITION BY c_nationkey) AS survivor FROM customer")
@@ -243,9 +341,23 @@ def duplicate_groups(fx):
     return U.duplicate_groups(crowded(fx)).select("store_id", "sku", "keep", F.size("ids").alias("n"))
 
 
-@query("dedup_variants", f"WITH {CROWD}, fx_map AS (SELECT variant_id, min(variant_id) OVER (PARTITION BY store_id, sku) AS keep FROM fx_crowd) SELECT keep AS variant_id, arg_min(current_price, o.variant_id) AS current_price FROM fx_offers o JOIN fx_map USING (variant_id) GROUP BY 1")
+@query(
+    "dedup_variants",
+    f"""WITH {CROWD}, fx_map AS (SELECT variant_id, min(variant_id) OVER (PARTITION BY store_id, sku) AS keep FROM fx_crowd),
+ fx_mm AS (SELECT DISTINCT a.keep AS c, b.keep AS m FROM fx_matches x JOIN fx_map a ON a.variant_id = x.canonical_variant_id JOIN fx_map b ON b.variant_id = x.matched_variant_id WHERE a.keep <> b.keep)
+ SELECT 'variants' AS table_name, keep AS variant_id, NULL AS other, NULL AS price FROM fx_map WHERE keep = variant_id
+ UNION ALL SELECT 'offers', keep, o.store_id % 10, arg_min(current_price, o.variant_id) FROM fx_offers o JOIN fx_map USING (variant_id) GROUP BY keep, o.store_id % 10
+ UNION ALL SELECT 'history', keep, epoch(ts)::BIGINT, arg_min(price, h.variant_id) FROM fx_obs h JOIN fx_map USING (variant_id) GROUP BY keep, h.store_id % 10, ts
+ UNION ALL SELECT 'matches', c, m, NULL FROM fx_mm""",
+    hold=True,
+)
 def dedup_variants(fx):
-    return U.dedup_variants(U.variant_remap(crowded(fx)), fx.offers.select("variant_id", "current_price"), ["variant_id"])
+    crowd = lambda df: df.withColumn("store_id", F.col("store_id") % 10)
+    tables = U.dedup_tables(U.variant_remap(crowded(fx)), crowded(fx), crowd(fx.offers.select("variant_id", "store_id", "current_price")), crowd(fx.obs.select("variant_id", "store_id", "ts", "price")), fx.matches)
+    row = lambda df, name, other, price: df.select(F.lit(name).alias("table_name"), "variant_id", other.cast("long").alias("other"), price.cast("decimal(12,2)").alias("price"))
+    none, matches = F.lit(None), tables[3].withColumnRenamed("canonical_variant_id", "variant_id")
+    out = row(tables[0], "variants", none, none).unionByName(row(tables[1], "offers", F.col("store_id"), F.col("current_price")))
+    return out.unionByName(row(tables[2], "history", F.unix_timestamp("ts"), F.col("price"))).unionByName(row(matches, "matches", F.col("matched_variant_id"), none))
 
 
 @query("delete_orphan_products", "SELECT product_id FROM fx_products WHERE product_id NOT IN (SELECT product_id FROM fx_variants WHERE store_id % 4 = 0)")
@@ -262,16 +374,35 @@ def drop_gender_conflicts(fx):
     return U.drop_gender_conflicts(fx.matches, v).select("canonical_variant_id", "matched_variant_id")
 
 
-@query("split_multi_store_variants", "WITH fx_seen AS (SELECT DISTINCT product_id AS variant_id, store_id FROM fx_obs) SELECT variant_id, store_id, row_number() OVER (PARTITION BY variant_id ORDER BY store_id) = 1 AS keeps FROM fx_seen")
+@query(
+    "split_multi_store_variants",
+    """WITH fx_seen AS (SELECT DISTINCT product_id AS variant_id, store_id FROM fx_obs), fx_own AS (SELECT variant_id, store_id, store_id = min(store_id) OVER (PARTITION BY variant_id) AS keeps FROM fx_seen)
+ SELECT 'variants' AS table_name, store_id, keeps, count(*) AS n, count(DISTINCT variant_id) AS ids FROM fx_own GROUP BY ALL
+ UNION ALL SELECT t, f.store_id, keeps, count(*), count(DISTINCT f.v) FROM (SELECT 'offers' AS t, product_id AS v, store_id FROM fx_offers UNION ALL SELECT 'changes', product_id, store_id FROM fx_changes UNION ALL SELECT 'history', product_id, store_id FROM fx_obs) f JOIN fx_own o ON o.variant_id = f.v AND o.store_id = f.store_id GROUP BY ALL""",
+    hold=True,
+)
 def split_multi_store_variants(fx):
-    seen = fx.obs.select(F.col("product_id").alias("variant_id"), "store_id")
-    return U.split_multi_store(seen).select("variant_id", "store_id", (F.col("new_id") == F.col("variant_id")).alias("keeps"))
+    """Products as variants that many stores share; per table and store the facts that the kept id and the clones hold."""
+    shared = lambda df: df.drop("variant_id").withColumnRenamed("product_id", "variant_id")
+    variants = fx.products.select(F.col("product_id").alias("variant_id"), F.lit(None).cast("long").alias("store_id"), "brand")
+    tables = U.split_tables(variants, shared(fx.offers), shared(fx.changes), shared(fx.obs))
+    out = None
+    for name, df in zip(("variants", "offers", "changes", "history"), tables, strict=True):
+        rows = df.join(variants.select("variant_id", F.lit(True).alias("own")), "variant_id", "left").groupBy("store_id", F.coalesce("own", F.lit(False)).alias("keeps"))
+        rows = rows.agg(F.count("*").alias("n"), F.count_distinct("variant_id").alias("ids")).withColumn("table_name", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@query("backfill_store_scope", "SELECT product_id AS variant_id, min(store_id) AS store_id FROM fx_offers WHERE in_stock GROUP BY 1")
+@query(
+    "backfill_store_scope",
+    "WITH fx_own AS (SELECT product_id AS variant_id, min(store_id) AS store_id FROM fx_offers WHERE in_stock GROUP BY 1) SELECT v.variant_id, v.store_id, count(*) AS offers, min(o.current_price) AS least FROM fx_own v JOIN fx_offers o ON o.product_id = v.variant_id AND o.store_id = v.store_id AND o.in_stock GROUP BY ALL",
+    hold=True,
+)
 def backfill_store_scope(fx):
-    offers = fx.offers.where("in_stock").select(F.col("product_id").alias("variant_id"), "store_id")
-    return U.backfill_store_scope(fx.products.select(F.col("product_id").alias("variant_id")), offers)
+    offers = fx.offers.where("in_stock").select(F.col("product_id").alias("variant_id"), "store_id", "current_price")
+    scoped = U.backfill_store_scope(fx.products.select(F.col("product_id").alias("variant_id")), offers)
+    return U.offers_in_scope(scoped, offers).groupBy("variant_id", "store_id").agg(F.count("*").alias("offers"), F.min("current_price").alias("least"))
 
 
 @query("backfill_interval_context", "SELECT c.variant_id, c.price, s.currency AS region, v.size AS normalized_size, true AS in_stock FROM fx_changes c LEFT JOIN fx_stores s USING (store_id) LEFT JOIN fx_variants v ON v.variant_id = c.variant_id")
@@ -279,20 +410,35 @@ def backfill_interval_context(fx):
     return I.backfill_interval_context(fx.changes, fx.stores, fx.variants).select("variant_id", "price", "region", "normalized_size", "in_stock")
 
 
-@query("nullify_nonpositive", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS price FROM supplier")
+@query(
+    "nullify_nonpositive",
+    "SELECT 'offers' AS table_name, variant_id, CASE WHEN variant_id % 13 <> 0 THEN current_price END AS price FROM fx_offers UNION ALL SELECT 'changes', variant_id, CASE WHEN variant_id % 13 <> 0 THEN price END FROM fx_changes UNION ALL SELECT 'history', variant_id, CASE WHEN variant_id % 13 <> 0 THEN price END FROM fx_obs",
+    hold=True,
+)
 def nullify_nonpositive(fx):
-    return fx.table("supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("price"))
+    """Three tables, with planted prices at and below zero."""
+    out = None
+    for name, df, column in (("offers", fx.offers, "current_price"), ("changes", fx.changes, "price"), ("history", fx.obs, "price")):
+        broken = F.when(F.col("variant_id") % 26 == 0, F.lit(0)).when(F.col("variant_id") % 13 == 0, -F.col(column)).otherwise(F.col(column))
+        rows = U.nullify_nonpositive(df.withColumn(column, broken.cast("decimal(10,2)")), column).select(F.lit(name).alias("table_name"), "variant_id", F.col(column).alias("price"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@query("incremental_normalise", f"SELECT product_id, CASE WHEN product_id % 2 = 0 THEN 'DONE' ELSE {COLOUR_SQL.replace('p_name', 'canonical_name')} END AS color FROM fx_products")
+@query(
+    "incremental_normalise",
+    f"SELECT product_id, CASE WHEN product_id % 2 = 0 THEN 'DONE' ELSE {COLOUR_SQL.replace('p_name', 'canonical_name')} END AS color, CASE WHEN p_size % 3 = 0 THEN 'OLD' WHEN product_id >= 100 AND product_id < 1500 THEN CAST(p_size AS VARCHAR) END AS size FROM fx_products JOIN part ON p_partkey = product_id",
+)
 def incremental_normalise(fx):
-    rows = fx.products.withColumn("color", F.when(F.col("product_id") % 2 == 0, "DONE"))
-    return rows.where("color is null").withColumn("color", N.normalize_color(F.col("canonical_name"))).unionByName(rows.where("color is not null")).select("product_id", "color")
+    """Colours of all open rows, sizes of those in a range of ids."""
+    p = fx.table("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("canonical_name"), F.when(F.col("p_partkey") % 2 == 0, "DONE").alias("color"), F.concat(F.lit("Sz "), F.col("p_size").cast("string")).alias("raw_size"), F.when(F.col("p_size") % 3 == 0, "OLD").alias("size"))
+    p = U.incremental_normalise(p, "canonical_name", "color", N.normalize_color)
+    return U.incremental_normalise(p, "raw_size", "size", N.normalize_size, "product_id", 100, 1500).select("product_id", "color", "size")
 
 
-@query("propagate_gender", "SELECT variant_id, 'UNKNOWN' AS gender_age FROM fx_variants")
+@query("propagate_gender", "SELECT variant_id, CASE product_id % 7 WHEN 0 THEN 'MEN' WHEN 1 THEN 'WOMEN' WHEN 2 THEN 'KIDS' WHEN 3 THEN 'UNISEX' ELSE 'UNKNOWN' END AS gender_age FROM fx_variants")
 def propagate_gender(fx):
-    return U.propagate_gender(fx.products, fx.variants, N.normalize_gender_age)
+    return U.propagate_gender(gendered(fx), fx.variants, N.normalize_gender_age)
 
 
 def payloads(fx):
@@ -308,9 +454,14 @@ def flatten_shop_snapshot(fx):
     return L.flatten_shop_snapshot(payloads(fx)).select("external_variant_id", "title", "vendor", "sku", "ean", "price", "in_stock")
 
 
-@query("append_raw_snapshot", "SELECT product_id // 100 AS store_id, count(DISTINCT product_id) AS products_count, 'v2' AS parser_version FROM fx_variants GROUP BY 1")
+@query("append_raw_snapshot", "SELECT product_id // 100 AS store_id, count(DISTINCT product_id) AS products_count, 'v2' AS parser_version, '2024-04-15' AS fetched_on FROM fx_variants GROUP BY 1")
 def append_raw_snapshot(fx):
-    return L.raw_snapshots(payloads(fx), "v2").select(F.col("store_id").cast("long").alias("store_id"), "products_count", "parser_version")
+    """Two appends to one table, read back."""
+    folder = shared_folder(fx.spark, "raw")
+    snapshots = L.raw_snapshots(payloads(fx), "v2")
+    for part in (0, 1):
+        L.append_raw_snapshot(snapshots.where(F.col("store_id") % 2 == part), folder)
+    return fx.spark.read.parquet(folder).select(F.col("store_id").cast("long").alias("store_id"), "products_count", "parser_version", F.col("fetched_on").cast("string").alias("fetched_on"))
 
 
 @query("flatten_item_snapshot", "SELECT p_partkey AS external_variant_id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS vendor, p_retailprice AS price, p_partkey % 3 <> 0 AS in_stock FROM part")
@@ -322,7 +473,18 @@ def flatten_item_snapshot(fx):
     return L.flatten_item_snapshot(pages).select("external_variant_id", "title", "vendor", "price", "in_stock")
 
 
-@query("append_deal_alerts", "SELECT substr(sha256(v.sku || '|' || s.name), 1, 16) AS fingerprint FROM fx_variants v JOIN fx_stores s USING (store_id) WHERE v.variant_id % 5 <> 0 GROUP BY 1")
+@query(
+    "append_deal_alerts",
+    "SELECT substr(sha256(v.sku || '|' || s.name || '|' || printf('%.2f', current_price)), 1, 16) AS fingerprint, s.store_id, o.variant_id AS canonical_id, v.sku, current_price AS price, 1 AS n FROM fx_variants v JOIN fx_offers o USING (variant_id) JOIN fx_stores s ON s.store_id = v.store_id WHERE v.store_id % 7 <> 0",
+    hold=True,
+)
 def append_deal_alerts(fx):
-    rows = fx.variants.join(fx.stores.select("store_id", F.col("name").alias("store")), "store_id").select("store", "variant_id", F.substring(F.sha2(F.concat_ws("|", "sku", "store"), 256), 1, 16).alias("fingerprint"))
-    return L.new_alerts(rows.drop("variant_id"), fx.stores, rows.where("variant_id % 5 = 0")).select("fingerprint")
+    """Alerts appended in two overlapping lots; those of stores that aren't known go, and none is logged twice."""
+    rows = fx.variants.join(fx.offers.select("variant_id", F.col("current_price").alias("price")), "variant_id").join(fx.stores.select("store_id", F.col("name").alias("store")), "store_id")
+    alerts = rows.select("store", F.col("variant_id").alias("canonical_id"), "sku", "price", N.alert_fingerprint(F.col("sku"), F.col("store"), F.col("price").cast("string")).alias("fingerprint"))
+    folder = shared_folder(fx.spark, "alerts")
+    known = fx.stores.where("store_id % 7 <> 0")
+    L.append_deal_alerts(alerts.where("canonical_id % 5 = 0"), known, folder)
+    L.append_deal_alerts(alerts, known, folder)
+    log = fx.spark.read.parquet(folder)
+    return log.groupBy("fingerprint", "store_id", "canonical_id", "sku", "price").agg(F.count("*").cast("int").alias("n"))

@@ -130,6 +130,11 @@ def test_upserts(spark):
     at = lambda d: dt.datetime(2024, 1, d)
     old = spark.createDataFrame([(1, 1, 10.0, True, at(1)), (2, 1, 5.0, True, at(1))], "variant_id int, store_id int, current_price double, in_stock boolean, updated_at timestamp")
     new = spark.createDataFrame([(1, 1, 8.0, True, at(2)), (3, 1, 7.0, False, at(2))], old.schema)
-    assert {(r.variant_id, r.current_price, r.old_price) for r in U.upsert_offers(old, new).collect()} == {(1, 8.0, 10.0), (2, 5.0, 5.0), (3, 7.0, None)}
+    assert {(r.variant_id, r.current_price, r.old_price) for r in U.upsert_offers(old, new).collect()} == {(1, 8.0, None), (2, 5.0, None), (3, 7.0, None)}
+    stated = spark.createDataFrame([(1, 1, 8.0, 12.0, at(2), "u1"), (1, 1, 2.0, None, at(3), "too low"), (2, 1, 25000.0, None, at(2), "insane"), (2, 1, 4.0, 6.0, at(0 + 1), "older"), (4, 1, 9.0, 9.5, at(2), "a"), (4, 1, 90.0, 9.5, at(3), "b")], "variant_id int, store_id int, current_price double, old_price double, updated_at timestamp, url string")
+    got = {r.variant_id: (r.current_price, r.old_price, r.url, r.in_stock) for r in U.upsert_offers(old, stated).collect()}
+    assert got == {1: (8.0, 12.0, "u1", None), 2: (4.0, 6.0, "older", None), 4: (90.0, 9.5, "b", None)}
+    outcomes = {(r.variant_id, r.current_price): r.outcome for r in U.import_outcomes(old, stated).collect()}
+    assert outcomes == {(1, 8.0): "updated", (1, 2.0): "skipped", (2, 25000.0): "skipped", (2, 4.0): "updated", (4, 9.0): "imported", (4, 90.0): "imported"}
     brands = spark.createDataFrame([(4, "Café"), (2, "CAFE "), (9, "Other")], "brand_id int, name string")
     assert {(r.brand_id, r.survivor) for r in U.merge_brands(brands).collect()} == {(4, 2), (2, 2), (9, 9)}

@@ -14,6 +14,33 @@ def alert_candidates(scores, sent, least_score=70, least_confidence=50):
     return rows.where(F.col("least_price").isNull() | (F.col("best_price") < 0.95 * F.col("least_price").cast("double")))
 
 
+def match_queue(matches, labels, variants, offers, stores):
+    """Matches without a label and what tells their two sides apart, ordered by stratum (the method) and ids."""
+    keys = ["canonical_variant_id", "matched_variant_id"]
+    rows = matches.join(labels.select(*keys), keys, "left_anti").withColumnRenamed("match_method", "stratum")
+    side = variants.join(offers.select("variant_id", "current_price"), "variant_id").join(stores.select("store_id", "name"), "store_id")
+    for key, mark in zip(keys, "ab", strict=True):
+        own = ["sku"] if mark == "a" else []
+        rows = rows.join(side.select(F.col("variant_id").alias(key), *own, *[F.col(c).alias(f"{to}_{mark}") for c, to in (("brand", "brand"), ("name", "store"), ("size", "size"), ("color", "color"), ("current_price", "price"))]), key)
+    return rows.drop("confidence_score").orderBy("stratum", *keys)
+
+
+def label_queue(alerts, stores, offers, variants, products, matches, n=20):
+    """The newest n alerts without a label, with store and, where an offer of the store has the alert's price, what it is of.
+
+    alerts: alert_id, sent_at, store_id, price, label.
+    """
+    open_ = alerts.where("label is null").join(stores.select("store_id", F.col("name").alias("store")), "store_id")
+    priced = offers.select("store_id", F.col("current_price").alias("price"), "variant_id")
+    of_variant = variants.select("variant_id", "product_id", "sku", "brand")
+    # The newest alerts are found first, so that only they are joined; each has at least one row.
+    newest = open_.orderBy(F.desc("sent_at"), "alert_id").limit(n)
+    rows = newest.join(priced, ["store_id", "price"], "left").join(of_variant, "variant_id", "left").join(products.select("product_id", "canonical_name"), "product_id", "left")
+    rows = rows.join(matches.select(F.col("matched_variant_id").alias("variant_id"), "canonical_variant_id").distinct(), "variant_id", "left")
+    out = ["alert_id", "sent_at", "store", "price", "canonical_name", "brand", "sku", "canonical_variant_id"]
+    return rows.select(*out).distinct().orderBy(F.desc("sent_at"), "alert_id", *out[4:]).limit(n)
+
+
 def auto_labels(alerts, offers):
     """Label 1 or 0 for alerts that the market settles, none for the rest; at least two stores are needed."""
     p = F.col("current_price").cast("double")

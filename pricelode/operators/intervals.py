@@ -37,10 +37,23 @@ def adjacent_drops(changes):
 
 def overlapping(changes, as_of):
     """Intervals that begin before an earlier one of the pair has ended."""
-    w = Window.partitionBy(*PAIR).orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1)
+    # Intervals that begin at one instant are peers: only earlier ones count.
+    w = Window.partitionBy(*PAIR).orderBy(F.unix_micros("started_at")).rangeBetween(Window.unboundedPreceding, -1)
     return changes.withColumn("reach", F.max(F.coalesce("ended_at", as_of)).over(w)).where(F.col("reach") > F.col("started_at")).drop("reach")
 
 
+def overlap_pairs(changes, as_of):
+    """Each pair of intervals of one variant and store of which the second begins within the first.
+
+    Only intervals that a running maximum shows to begin too early are joined
+    to those before, so tables without overlaps are not paired at all.
+    """
+    end = F.coalesce("ended_at", as_of)
+    second = overlapping(changes, as_of).select(*PAIR, F.col("price").alias("second_price"), F.col("started_at").alias("second_started"))
+    first = changes.select(*PAIR, F.col("price").alias("first_price"), F.col("started_at").alias("first_started"), end.alias("first_ended"))
+    return first.join(second, list(PAIR)).where((F.col("first_started") < F.col("second_started")) & (F.col("second_started") < F.col("first_ended")))
+
+
 def latest_open(changes):
     """The newest open interval of each pair."""
     rows = changes.where(F.col("ended_at").isNull())

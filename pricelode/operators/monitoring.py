@@ -27,6 +27,30 @@ def reliability_band(score):
     return F.when(score >= 80, "Excellent (80-100)").when(score >= 60, "Good (60-79)").when(score >= 40, "Fair (40-59)").when(score >= 20, "Poor (20-39)").otherwise("Critical (0-19)")
 
 
+def fresh_share(stores, as_of, hours=24):
+    """One row: all stores, those synced within the hours, and their percentage."""
+    fresh = F.count_if(hours_since_sync(as_of) <= hours)
+    return stores.agg(F.count("*").alias("total"), fresh.alias("fresh"), F.try_divide(100.0 * fresh, F.count("*")).alias("percent"))
+
+
+def digest_counts(tables, stores, as_of):
+    """item, n: rows of the named tables, and stores that are fresh, in error or dead."""
+    tagged = None
+    for name, df in tables.items():
+        # Counted where the table lies; one row a table is put together.
+        n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n")
+        tagged = n if tagged is None else tagged.unionByName(n)
+    state = stores.agg(F.count_if(hours_since_sync(as_of) <= 24).alias("fresh"), F.count_if(F.col("sync_status") == "error").alias("errors"), F.count_if(F.col("sync_status") == "dead").alias("dead"))
+    return tagged.unionByName(state.select(F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("n")) for c in state.columns])).alias("s")).select("s.*"))
+
+
+def digest_deals(offers, members, products, least_stores=3, n=5):
+    """The n cheapest products of matched variants with in-stock offers in least_stores stores or more."""
+    rows = offers.where("in_stock").join(members.select("variant_id").distinct(), "variant_id", "left_semi")
+    per = rows.groupBy("product_id").agg(F.min("current_price").alias("least"), F.count_distinct("store_id").alias("stores")).where(F.col("stores") >= least_stores)
+    return per.join(products.select("product_id", "canonical_name", "brand"), "product_id").orderBy("least", "product_id").limit(n)
+
+
 def freshness_problems(stores, as_of, stale=24, very_stale=72, dead=168):
     """Stores with trouble, one row per problem bucket that they fall in."""
     h = F.col("hours")

@@ -24,3 +24,19 @@ def differing_colours(matches, variants):
     c = variants.select("variant_id", "color")
     rows = matches.join(c.select(F.col("variant_id").alias("canonical_variant_id"), F.col("color").alias("c1")), "canonical_variant_id").join(c.select(F.col("variant_id").alias("matched_variant_id"), F.col("color").alias("c2")), "matched_variant_id")
     return rows.where("c1 <> c2").select("canonical_variant_id", "matched_variant_id", "c1", "c2")
+
+
+def colour_coverage(df, raw, normalised):
+    """Rows with a stated colour, those of them with a normalised one, and whether these are more than half."""
+    given = df.where(F.col(raw).isNotNull() & (F.trim(raw) != ""))
+    return given.agg(F.count(normalised).alias("coloured"), F.count("*").alias("total")).withColumn("holds", F.col("coloured") * 2 > F.col("total"))
+
+
+def repeated_external(variants):
+    """Stores' external ids, given and not empty, that several variants have."""
+    return variants.where("external_id <> ''").groupBy("store_id", "external_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def outside(df, column, low, high):
+    """Numbers of values outside a range, and of nulls."""
+    return df.agg(F.count_if(~F.col(column).between(low, high)).alias("violations"), F.count_if(F.col(column).isNull()).alias("unknown"))

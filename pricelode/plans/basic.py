@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from pricelode.functions import normalize as N
 from pricelode.functions.statistics import sane
+from pricelode.operators import alerts as A
 from pricelode.operators import intervals as I
 from pricelode.operators import matching as M
 from pricelode.operators import shaping as S
 
 from .catalog import query
+from .fixtures import BROKEN_CHANGES
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -82,9 +84,18 @@ def special_price_active(fx):
     return li.select("l_orderkey", "l_linenumber", F.round(F.when(S.special_price_active(price, special, start, end, now), special).otherwise(price), 4).alias("current_price"))
 
 
-@query("unlabeled_matches", "SELECT alert_id, strftime(sent_at, '%Y-%m-%d %H:%M:%S') AS sent_at FROM fx_alerts WHERE label IS NULL")
+@query(
+    "unlabeled_matches",
+    """SELECT m.canonical_variant_id, m.matched_variant_id, match_method AS stratum, a.sku, a.brand AS brand_a, b.brand AS brand_b, s.name AS store_a, t.name AS store_b, a.size AS size_a, b.size AS size_b, a.color AS color_a, b.color AS color_b, o.current_price AS price_a, p.current_price AS price_b
+ FROM fx_matches m JOIN fx_variants a ON a.variant_id = m.canonical_variant_id JOIN fx_variants b ON b.variant_id = m.matched_variant_id JOIN fx_stores s ON s.store_id = a.store_id JOIN fx_stores t ON t.store_id = b.store_id
+ JOIN fx_offers o ON o.variant_id = a.variant_id JOIN fx_offers p ON p.variant_id = b.variant_id WHERE (m.canonical_variant_id + m.matched_variant_id) % 4 <> 0""",
+    hold=True,
+)
 def unlabeled_matches(fx):
-    return fx.alerts.where("label is null").orderBy("sent_at", "alert_id").select("alert_id", stamp("sent_at").alias("sent_at"))
+    """A quarter of the matches have a label; the rest wait, by stratum."""
+    keys = ["canonical_variant_id", "matched_variant_id"]
+    labels = fx.matches.where("(canonical_variant_id + matched_variant_id) % 4 = 0").select(*keys, F.lit(1).alias("label"))
+    return A.match_queue(fx.matches, labels, fx.variants, fx.offers, fx.stores)
 
 
 @query("join_offer_context", "SELECT o.variant_id, s.name, s.currency, v.sku, v.gender, p.canonical_name, p.category, o.current_price FROM fx_offers o JOIN fx_stores s USING (store_id) JOIN fx_variants v ON v.variant_id = o.variant_id JOIN fx_products p ON p.product_id = o.product_id")
@@ -110,12 +121,16 @@ def anti_conflicting_ean(fx):
     return norm.join(M.match_group_stats(norm), "sku").where(F.col("ean").isNull() | ~F.coalesce("ean_conflict", F.lit(False))).select("variant_id")
 
 
-@query("anti_shared_store", "SELECT a.variant_id AS canonical_variant_id, b.variant_id AS matched_variant_id FROM fx_offers a JOIN fx_offers b ON a.product_id = b.product_id AND b.variant_id > a.variant_id WHERE a.product_id < 50 AND a.variant_id % 3 = 0 AND a.store_id % 5 <> b.store_id % 5")
+@query(
+    "anti_shared_store",
+    "SELECT m.canonical_variant_id, m.matched_variant_id FROM fx_matches m JOIN fx_offers a ON a.variant_id = m.canonical_variant_id JOIN fx_offers b ON b.variant_id = m.matched_variant_id WHERE a.store_id % 3 <> b.store_id % 3",
+    hold=True,
+)
 def anti_shared_store(fx):
-    regional = fx.offers.where("product_id < 50").withColumn("store_id", F.col("store_id") % 5)
-    a, b = regional.where("variant_id % 3 = 0").select(F.col("product_id"), F.col("variant_id").alias("canonical_variant_id")), regional.select("product_id", F.col("variant_id").alias("matched_variant_id"))
-    pairs = a.join(b, "product_id").where("matched_variant_id > canonical_variant_id").select("canonical_variant_id", "matched_variant_id")
-    return pairs.join(M.shared_store_pairs(pairs, regional), pairs.columns, "left_anti")
+    """Every candidate pair, without those whose offers share one of three groups of stores."""
+    pairs = M.match_candidates(fx.variants, fx.offers).select("canonical_variant_id", "matched_variant_id")
+    grouped = fx.offers.withColumn("store_id", F.col("store_id") % 3)
+    return pairs.join(M.shared_store_pairs(pairs, grouped), pairs.columns, "left_anti")
 
 
 @query(
@@ -143,9 +158,10 @@ def join_adjacent_interval(fx):
     return I.adjacent_drops(fx.changes).select("variant_id", "price", "prev_price", stamp("started_at").alias("started_at"))
 
 
-@query("join_overlap_check", "SELECT a.variant_id, b.price FROM fx_changes a JOIN fx_changes b ON a.variant_id = b.variant_id AND a.store_id = b.store_id AND a.started_at < b.started_at AND b.started_at < coalesce(a.ended_at, $AS_OF)")
+@query("join_overlap_check", "WITH " + BROKEN_CHANGES + " SELECT a.variant_id, a.store_id, a.price AS first_price, b.price AS second_price, strftime(a.started_at, '%Y-%m-%d %H:%M:%S') AS first_started, strftime(b.started_at, '%Y-%m-%d %H:%M:%S') AS second_started FROM fx_broken a JOIN fx_broken b ON a.variant_id = b.variant_id AND a.store_id = b.store_id AND a.started_at < b.started_at AND b.started_at < coalesce(a.ended_at, $AS_OF)", hold=True)
 def join_overlap_check(fx):
-    return I.overlapping(fx.changes, fx.as_of).select("variant_id", "price")
+    """Pairs of intervals that overlap, of changes with planted violations."""
+    return I.overlap_pairs(fx.broken_changes, fx.as_of).select("variant_id", "store_id", "first_price", "second_price", stamp("first_started").alias("first_started"), stamp("second_started").alias("second_started"))
 
 
 @query("anti_new_stores", "SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') AS domain FROM pages WHERE regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') NOT IN (SELECT domain FROM fx_stores)")
@@ -160,11 +176,11 @@ def anti_unlabeled_alerts(fx):
     return fx.alerts.where(F.col("sent_at") > fx.alerts_as_of - F.expr("INTERVAL 7 DAYS")).join(labels, "alert_id", "left_anti").select("alert_id")
 
 
-@query("join_alert_by_price", "SELECT a.alert_id, o.variant_id FROM fx_alerts a LEFT JOIN fx_offers o ON o.current_price = a.price AND o.store_id = a.canonical_id % 10 + 1")
+@query("join_alert_by_price", "SELECT DISTINCT a.alert_id, o.variant_id FROM fx_alerts a LEFT JOIN fx_offers o ON o.current_price = a.price AND o.store_id = a.canonical_id % 10 + 1")
 def join_alert_by_price(fx):
     a = fx.alerts.withColumn("store_id", F.col("canonical_id") % 10 + 1)
     o = fx.offers.select("variant_id", "store_id", F.col("current_price").alias("price"))
-    return a.join(o, ["store_id", "price"], "left").select("alert_id", "variant_id")
+    return a.join(o, ["store_id", "price"], "left").select("alert_id", "variant_id").distinct()
 
 
 @query("semi_membership", "SELECT variant_id, current_price FROM fx_offers WHERE variant_id IN (SELECT matched_variant_id FROM fx_matches)", hold=True)
@@ -257,13 +273,12 @@ def latest_open_interval(fx):
 @query("stale_order_nulls_last", "SELECT store_id, epoch($AS_OF - last_successful_sync) / 3600 AS hours, row_number() OVER (ORDER BY last_successful_sync ASC NULLS LAST, store_id) AS place FROM fx_stores")
 def stale_order_nulls_last(fx):
     hours = I.microseconds(F.col("last_successful_sync"), fx.as_of) / F.lit(3_600_000_000)
-    place = F.row_number().over(Window.orderBy(F.col("hours").desc_nulls_last(), "store_id")).cast("long")
-    return fx.stores.select("store_id", hours.alias("hours")).withColumn("place", place)
+    return S.global_rank(fx.stores.select("store_id", hours.alias("hours")), "place", F.col("hours").desc_nulls_last(), F.col("store_id"))
 
 
-@query("sorted_offers", "SELECT product_id, variant_id, current_price FROM fx_offers WHERE product_id <= 20 ORDER BY product_id, current_price, variant_id")
+@query("sorted_offers", "SELECT product_id, variant_id, store_id, current_price, in_stock FROM fx_offers ORDER BY product_id, current_price, variant_id")
 def sorted_offers(fx):
-    return fx.offers.where("product_id <= 20").select("product_id", "variant_id", "current_price").orderBy("product_id", "current_price", "variant_id")
+    return fx.offers.select("product_id", "variant_id", "store_id", "current_price", "in_stock").orderBy("product_id", "current_price", "variant_id")
 
 
 @query("sorted_offers_all", "SELECT product_id, variant_id, current_price FROM fx_offers ORDER BY product_id, current_price, variant_id")

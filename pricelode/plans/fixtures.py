@@ -121,6 +121,15 @@ class Fixtures:
         e = self.table("events").where("event_type = 'purchase'")
         return e.select(F.col("event_id").alias("alert_id"), F.col("ts").alias("sent_at"), F.col("user_id").alias("canonical_id"), two_places(F.col("value")).alias("price"), F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 0).alias("label"))
 
+    @cached_property
+    def broken_changes(self):
+        """Changes with planted violations: ends put off by 400 hours, open intervals twice, prices below zero."""
+        c, v = self.changes, F.col("variant_id")
+        late = F.when((v % 7 == 0) & F.col("ended_at").isNotNull(), F.timestamp_add("HOUR", F.lit(400), F.col("ended_at"))).otherwise(F.col("ended_at"))
+        c = c.withColumn("ended_at", late).withColumn("price", F.when(v % 13 == 0, -F.col("price")).otherwise(F.col("price")).cast("decimal(10,2)"))
+        again = c.where((v % 11 == 0) & F.col("ended_at").isNull()).withColumn("started_at", F.timestamp_add("HOUR", F.lit(-1), F.col("started_at")))
+        return c.unionByName(again)
+
     @cached_property
     def pages(self):
         return self.table("pages")
@@ -130,6 +139,10 @@ class Fixtures:
         return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
+#: The planted violations of broken_changes, as a definition for SQL that begins with WITH.
+BROKEN_CHANGES = """fx_late AS (SELECT variant_id, product_id, store_id, CASE WHEN variant_id % 13 = 0 THEN -price ELSE price END AS price, old_price, started_at, CASE WHEN variant_id % 7 = 0 THEN ended_at + INTERVAL 400 HOUR ELSE ended_at END AS ended_at FROM fx_changes),
+ fx_broken AS (SELECT * FROM fx_late UNION ALL SELECT variant_id, product_id, store_id, price, old_price, started_at - INTERVAL 1 HOUR, ended_at FROM fx_late WHERE variant_id % 11 = 0 AND ended_at IS NULL)"""
+
 _PICK = "CASE {i} WHEN 0 THEN '{0}' WHEN 1 THEN '{1}' WHEN 2 THEN '{2}' WHEN 3 THEN '{3}' ELSE '{4}' END"
 
 #: DuckDB definitions, each of those before it.

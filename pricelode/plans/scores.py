@@ -1,8 +1,5 @@
 """Queries: monitoring, alerts, invariants, streams."""
 
-import os
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,9 +8,11 @@ from pricelode.operators import alerts as A
 from pricelode.operators import intervals as I
 from pricelode.operators import monitoring as O
 from pricelode.operators import quality as Q
+from pricelode.session import shared_folder
 from pricelode.streaming import streams as T
 
 from .catalog import query
+from .fixtures import BROKEN_CHANGES
 
 RELIABILITY = """fx_err AS (SELECT store_id, count(*) AS errors FROM fx_changes WHERE price > 15000 AND started_at > $AS_OF - INTERVAL 30 DAY GROUP BY 1),
  fx_r0 AS (SELECT s.store_id, name, sync_status AS st, epoch($AS_OF - last_successful_sync) / 3600 AS h, coalesce(errors, 0) AS e FROM fx_stores s LEFT JOIN fx_err USING (store_id) WHERE sync_status <> 'dead'),
@@ -39,22 +38,41 @@ def reliability_bands(fx):
 FRESH = "fx_f AS (SELECT *, epoch($AS_OF - last_successful_sync) / 3600 AS h FROM fx_stores), fx_fp AS (SELECT store_id, h AS hours, unnest(list_filter([CASE WHEN sync_status IN ('error', 'empty') THEN 'errors' END, CASE WHEN h > 168 THEN 'dead' END, CASE WHEN h > 72 AND h <= 168 THEN 'very_stale' END, CASE WHEN h > 24 AND h <= 72 THEN 'stale' END], lambda x: x IS NOT NULL)) AS bucket FROM fx_f)"
 
 
-@query("store_freshness_alerts", f"WITH {FRESH} SELECT bucket, count(*) AS stores, max(hours) AS longest FROM fx_fp GROUP BY 1")
+@query(
+    "store_freshness_alerts",
+    f"""WITH {FRESH}, fx_t AS (SELECT count(*) AS total, count(*) FILTER (h <= 24) AS fresh FROM fx_f) SELECT bucket, count(*) AS stores, max(hours) AS longest FROM fx_fp GROUP BY 1
+ UNION ALL SELECT 'never', count(*), NULL FROM fx_f WHERE h IS NULL AND sync_status NOT IN ('error', 'empty') HAVING count(*) > 0 UNION ALL SELECT 'fresh', fresh, round(100.0::DOUBLE * fresh / total, 6) FROM fx_t""",
+)
 def store_freshness_alerts(fx):
-    return O.freshness_problems(fx.stores, fx.as_of).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("stores"), F.max("hours").alias("longest"))
+    """Stores and longest hours by problem; the row `fresh` has the fresh stores and their percentage of all."""
+    problems = O.freshness_problems(fx.stores, fx.as_of)
+    counted = problems.groupBy(F.coalesce("bucket", F.lit("never")).alias("bucket")).agg(F.count("*").alias("stores"), F.max("hours").alias("longest"))
+    return counted.unionByName(O.fresh_share(fx.stores, fx.as_of).select(F.lit("fresh").alias("bucket"), F.col("fresh").alias("stores"), F.round("percent", 6).alias("longest")))
 
 
 @query("cap_per_freshness_bucket", f"WITH {FRESH}, fx_fr AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY hours DESC NULLS LAST, store_id) AS rank, count(*) OVER (PARTITION BY bucket) AS n FROM fx_fp) SELECT bucket, store_id, rank, greatest(n - CASE bucket WHEN 'stale' THEN 10 ELSE 5 END, 0) AS more FROM fx_fr WHERE rank <= CASE bucket WHEN 'stale' THEN 10 ELSE 5 END")
 def cap_per_freshness_bucket(fx):
     limit = F.when(F.col("bucket") == "stale", 10).otherwise(5)
     rows = O.freshness_problems(fx.stores, fx.as_of).where("bucket is not null")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("hours").desc_nulls_last(), "store_id")).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
-    return rows.where(F.col("rank") <= limit).select("bucket", "store_id", "rank", F.greatest(F.col("n") - limit, F.lit(0)).cast("long").alias("more"))
+    # The constant bound lets every task keep its ten first rows of a bucket before any is shuffled.
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("hours").desc_nulls_last(), "store_id")).cast("long")).where("rank <= 10")
+    return first.join(rows.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").where(F.col("rank") <= limit).select("bucket", "store_id", "rank", F.greatest(F.col("n") - limit, F.lit(0)).cast("long").alias("more"))
 
 
-@query("weekly_digest", "SELECT count(*) AS stores, count(*) FILTER (epoch($AS_OF - last_successful_sync) / 3600 <= 24) AS fresh, count(*) FILTER (sync_status = 'error') AS errors, count(*) FILTER (sync_status = 'dead') AS dead FROM fx_stores")
+@query(
+    "weekly_digest",
+    """WITH fx_c AS (SELECT unnest(['stores', 'fresh', 'errors', 'dead', 'products', 'offers', 'matches']) AS item, unnest([(SELECT count(*) FROM fx_stores), (SELECT count(*) FROM fx_stores WHERE epoch($AS_OF - last_successful_sync) / 3600 <= 24), (SELECT count(*) FROM fx_stores WHERE sync_status = 'error'), (SELECT count(*) FROM fx_stores WHERE sync_status = 'dead'), (SELECT count(*) FROM fx_products), (SELECT count(*) FROM fx_offers), (SELECT count(*) FROM fx_matches)]) AS n),
+ fx_w AS (SELECT DISTINCT variant_id FROM fx_members),
+ fx_top AS (SELECT p.canonical_name, p.brand, min(current_price) AS least, count(DISTINCT o.store_id) AS stores, p.product_id FROM fx_offers o JOIN fx_w USING (variant_id) JOIN fx_products p ON p.product_id = o.product_id WHERE in_stock GROUP BY p.product_id, p.canonical_name, p.brand HAVING count(DISTINCT o.store_id) >= 3 ORDER BY least, p.product_id LIMIT 5)
+ SELECT item, NULL AS brand, NULL AS price, n FROM fx_c UNION ALL SELECT canonical_name, brand, least, stores FROM fx_top""",
+    hold=True,
+)
 def weekly_digest(fx):
-    return fx.stores.agg(F.count("*").alias("stores"), F.count_if(O.hours_since_sync(fx.as_of) <= 24).alias("fresh"), F.count_if(F.col("sync_status") == "error").alias("errors"), F.count_if(F.col("sync_status") == "dead").alias("dead"))
+    """Counts, and the five cheapest matched products that three stores or more have in stock."""
+    counts = O.digest_counts({"stores": fx.stores, "products": fx.products, "offers": fx.offers, "matches": fx.matches}, fx.stores, fx.as_of)
+    top = O.digest_deals(fx.offers, fx.members, fx.products)
+    none = F.lit(None)
+    return counts.select("item", none.cast("string").alias("brand"), none.cast("decimal(10,2)").alias("price"), "n").unionByName(top.select(F.col("canonical_name").alias("item"), "brand", F.col("least").alias("price"), F.col("stores").alias("n")))
 
 
 @query("cooldown_minima", "SELECT canonical_id, min(price) AS least_price FROM fx_alerts WHERE sent_at > TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR GROUP BY 1")
@@ -77,19 +95,32 @@ def auto_label_alerts(fx):
     return A.auto_labels(fx.alerts.where("label is null"), fx.offers.withColumnRenamed("product_id", "canonical_id"))
 
 
-@query("label_queue", "SELECT alert_id, price FROM fx_alerts WHERE label IS NULL ORDER BY sent_at DESC, alert_id LIMIT 20")
+@query(
+    "label_queue",
+    """WITH fx_a AS (SELECT alert_id, sent_at, s.store_id, s.name AS store, o.price FROM (SELECT a.alert_id, a.sent_at, a.label, CASE WHEN alert_id % 2 = 0 THEN coalesce(f.current_price, a.price) ELSE a.price END AS price, a.canonical_id % 10 + 1 AS store_id FROM fx_alerts a LEFT JOIN (SELECT store_id, min(current_price) AS current_price FROM fx_offers GROUP BY 1) f ON f.store_id = a.canonical_id % 10 + 1) o JOIN fx_stores s ON s.store_id = o.store_id WHERE label IS NULL ORDER BY sent_at DESC, alert_id LIMIT 20)
+ SELECT DISTINCT a.alert_id, strftime(a.sent_at, '%Y-%m-%d %H:%M:%S') AS sent_at, a.store, a.price, p.canonical_name, v.brand, v.sku, m.canonical_variant_id FROM fx_a a LEFT JOIN fx_offers o ON o.store_id = a.store_id AND o.current_price = a.price LEFT JOIN fx_variants v ON v.variant_id = o.variant_id LEFT JOIN fx_products p ON p.product_id = v.product_id
+ LEFT JOIN (SELECT DISTINCT matched_variant_id, canonical_variant_id FROM fx_matches) m ON m.matched_variant_id = o.variant_id ORDER BY sent_at DESC, alert_id, canonical_name NULLS FIRST, brand NULLS FIRST, sku NULLS FIRST, canonical_variant_id NULLS FIRST LIMIT 20""",
+    hold=True,
+)
 def label_queue(fx):
-    return fx.alerts.where("label is null").orderBy(F.desc("sent_at"), "alert_id").limit(20).select("alert_id", "price")
+    """Every second alert has the lowest price of its store, so that an offer is found."""
+    least = fx.offers.groupBy("store_id").agg(F.min("current_price").alias("least"))
+    a = fx.alerts.withColumn("store_id", F.col("canonical_id") % 10 + 1).join(least, "store_id", "left")
+    a = a.withColumn("price", F.when(F.col("alert_id") % 2 == 0, F.coalesce("least", "price")).otherwise(F.col("price")))
+    return A.label_queue(a, fx.stores, fx.offers, fx.variants, fx.products, fx.matches).withColumn("sent_at", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("dq_interval_overlap", "SELECT count(*) AS violations FROM (SELECT started_at < max(coalesce(ended_at, $AS_OF)) OVER (PARTITION BY variant_id, store_id ORDER BY started_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad FROM fx_changes) WHERE bad")
+BROKEN = "WITH " + BROKEN_CHANGES
+
+
+@query("dq_interval_overlap", BROKEN + " SELECT count(*) AS violations FROM (SELECT epoch_us(started_at) < max(epoch_us(coalesce(ended_at, $AS_OF))) OVER (PARTITION BY variant_id, store_id ORDER BY epoch_us(started_at) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad FROM fx_broken) WHERE bad")
 def dq_interval_overlap(fx):
-    return I.overlapping(fx.changes, fx.as_of).agg(F.count("*").alias("violations"))
+    return I.overlapping(fx.broken_changes, fx.as_of).agg(F.count("*").alias("violations"))
 
 
-@query("dq_single_open_interval", "SELECT variant_id, store_id FROM fx_changes WHERE ended_at IS NULL GROUP BY ALL HAVING count(*) > 1")
+@query("dq_single_open_interval", BROKEN + " SELECT variant_id, store_id FROM fx_broken WHERE ended_at IS NULL GROUP BY ALL HAVING count(*) > 1")
 def dq_single_open_interval(fx):
-    return Q.multiple_open(fx.changes).select("variant_id", "store_id")
+    return Q.multiple_open(fx.broken_changes).select("variant_id", "store_id")
 
 
 @query("dq_compression_ratio", "SELECT round((SELECT count(*) FROM fx_obs)::DOUBLE / (SELECT count(*) FROM fx_changes), 6) AS ratio")
@@ -98,45 +129,59 @@ def dq_compression_ratio(fx):
     return rows.agg(F.round(F.try_divide(F.count_if(F.col("o") == 1).cast("double"), F.count_if(F.col("o") == 0)), 6).alias("ratio"))
 
 
-@query("dq_color_consistency", "SELECT m.canonical_variant_id, m.matched_variant_id FROM fx_matches m JOIN fx_variants a ON a.variant_id = m.canonical_variant_id JOIN fx_variants b ON b.variant_id = m.matched_variant_id WHERE a.color <> b.color")
+@query("dq_color_consistency", "WITH v AS (SELECT variant_id, CASE WHEN store_id % 3 = 0 THEN 'other' WHEN store_id % 10 > 0 THEN color END AS color FROM fx_variants) SELECT m.canonical_variant_id, m.matched_variant_id FROM fx_matches m JOIN v a ON a.variant_id = m.canonical_variant_id JOIN v b ON b.variant_id = m.matched_variant_id WHERE a.color <> b.color", hold=True)
 def dq_color_consistency(fx):
-    return Q.differing_colours(fx.matches, fx.variants).select("canonical_variant_id", "matched_variant_id")
+    """With colours that are changed in a third of the stores and unknown in some."""
+    color = F.when(F.col("store_id") % 3 == 0, "other").when(F.col("store_id") % 10 > 0, F.col("color"))
+    return Q.differing_colours(fx.matches, fx.variants.withColumn("color", color)).select("canonical_variant_id", "matched_variant_id")
 
 
-@query("dq_color_coverage", "SELECT count(*) FILTER (canonical_name LIKE '%red%' OR canonical_name LIKE '%blue%' OR canonical_name LIKE '%green%') AS coloured, count(*) AS total FROM fx_products")
+@query("dq_color_coverage", "SELECT coloured, total, coloured * 2 > total AS holds FROM (SELECT count(*) FILTER (canonical_name LIKE '%red%' OR canonical_name LIKE '%blue%' OR canonical_name LIKE '%green%') AS coloured, count(*) AS total FROM fx_products WHERE product_id % 9 <> 0)")
 def dq_color_coverage(fx):
-    return fx.products.agg(F.count(N.normalize_color(F.col("canonical_name"))).alias("coloured"), F.count("*").alias("total"))
+    """Of the products that state a colour (here all but every ninth), more than half must have a normalised one."""
+    return Q.colour_coverage(fx.products.where("product_id % 9 <> 0").withColumn("normalized_color", N.normalize_color(F.col("canonical_name"))), "canonical_name", "normalized_color")
 
 
-@query("dq_match_constraints", "SELECT count(*) FILTER (canonical_variant_id = matched_variant_id) AS self_matches, count(*) FILTER (NOT confidence_score BETWEEN 0 AND 1) AS bad_confidence, (SELECT count(*) FROM (SELECT 1 FROM fx_matches GROUP BY canonical_variant_id, matched_variant_id HAVING count(*) > 1)) AS repeated_pairs, (SELECT count(*) FROM (SELECT 1 FROM fx_matches GROUP BY matched_variant_id HAVING count(DISTINCT canonical_variant_id) > 1)) AS repeated_matched FROM fx_matches")
+@query(
+    "dq_match_constraints",
+    """WITH fx_bm AS (SELECT canonical_variant_id AS c, matched_variant_id AS m, confidence_score AS s FROM fx_matches UNION ALL SELECT canonical_variant_id, canonical_variant_id, 1.5 FROM fx_matches WHERE matched_variant_id % 5 = 0 UNION ALL SELECT canonical_variant_id, matched_variant_id, confidence_score FROM fx_matches WHERE matched_variant_id % 3 = 0 UNION ALL SELECT canonical_variant_id + 1, matched_variant_id, confidence_score FROM fx_matches WHERE matched_variant_id % 11 = 0)
+ SELECT count(*) FILTER (c = m) AS self_matches, count(*) FILTER (NOT s BETWEEN 0 AND 1) AS bad_confidence, (SELECT count(*) FROM (SELECT 1 FROM fx_bm GROUP BY c, m HAVING count(*) > 1)) AS repeated_pairs, (SELECT count(*) FROM (SELECT 1 FROM fx_bm GROUP BY m HAVING count(DISTINCT c) > 1)) AS repeated_matched FROM fx_bm""",
+    hold=True,
+)
 def dq_match_constraints(fx):
-    return Q.match_violations(fx.matches)
+    """With self matches, a confidence above 1, repeated pairs, and matched variants of two canonical ones planted."""
+    m = fx.matches.select("canonical_variant_id", "matched_variant_id", F.col("confidence_score").cast("double").alias("confidence_score"))
+    own = m.where("matched_variant_id % 5 = 0").select("canonical_variant_id", F.col("canonical_variant_id").alias("matched_variant_id"), F.lit(1.5).alias("confidence_score"))
+    other = m.where("matched_variant_id % 11 = 0").withColumn("canonical_variant_id", F.col("canonical_variant_id") + 1)
+    return Q.match_violations(m.unionByName(own).unionByName(m.where("matched_variant_id % 3 = 0")).unionByName(other))
 
 
-@query("dq_positive_price", "SELECT 'offers' AS table_name, count(*) FILTER (current_price <= 0) AS violations FROM fx_offers UNION ALL SELECT 'history', count(*) FILTER (price <= 0) FROM fx_obs UNION ALL SELECT 'changes', count(*) FILTER (price <= 0) FROM fx_changes")
+@query("dq_positive_price", BROKEN + " SELECT 'offers' AS table_name, count(*) FILTER (current_price <= 0) AS violations FROM (SELECT CASE WHEN variant_id % 19 = 0 THEN 0 ELSE current_price END AS current_price FROM fx_offers) UNION ALL SELECT 'history', count(*) FILTER (price <= 0) FROM (SELECT CASE WHEN variant_id % 23 = 0 THEN -price ELSE price END AS price FROM fx_obs) UNION ALL SELECT 'changes', count(*) FILTER (price <= 0) FROM fx_broken", hold=True)
 def dq_positive_price(fx):
-    return Q.nonpositive(fx.offers, "current_price", "offers").unionByName(Q.nonpositive(fx.obs, "price", "history")).unionByName(Q.nonpositive(fx.changes, "price", "changes"))
+    v = F.col("variant_id")
+    offers = fx.offers.withColumn("current_price", F.when(v % 19 == 0, 0).otherwise(F.col("current_price")))
+    history = fx.obs.withColumn("price", F.when(v % 23 == 0, -F.col("price")).otherwise(F.col("price")))
+    return Q.nonpositive(offers, "current_price", "offers").unionByName(Q.nonpositive(history, "price", "history")).unionByName(Q.nonpositive(fx.broken_changes, "price", "changes"))
 
 
-@query("dq_unique_scoped_variant", "SELECT store_id, sku, count(*) AS n FROM fx_variants GROUP BY ALL HAVING count(*) > 1")
+@query("dq_unique_scoped_variant", "SELECT store_id, external_id, count(*) AS n FROM (SELECT store_id, CASE WHEN product_id % 10 = 0 THEN '' WHEN product_id % 10 = 1 THEN NULL ELSE CAST(product_id // 3 AS VARCHAR) END AS external_id FROM fx_variants) WHERE external_id <> '' GROUP BY ALL HAVING count(*) > 1")
 def dq_unique_scoped_variant(fx):
-    return fx.variants.groupBy("store_id", "sku").agg(F.count("*").alias("n")).where("n > 1")
+    """External ids that neighbouring products share; empty and null ones are no violation."""
+    n = F.col("product_id")
+    external = F.when(n % 10 == 0, "").when(n % 10 == 1, None).otherwise(F.floor(n / 3).cast("string"))
+    return Q.repeated_external(fx.variants.withColumn("external_id", external))
 
 
-@query("dq_reliability_range", "SELECT count(*) FILTER (NOT reliability_score BETWEEN 0 AND 100) AS violations FROM fx_stores")
+@query("dq_reliability_range", "SELECT count(*) FILTER (NOT score BETWEEN 0 AND 100) AS violations, count(*) FILTER (score IS NULL) AS unknown FROM (SELECT CASE WHEN s_suppkey % 12 > 0 THEN s_acctbal / 90 END AS score FROM supplier)")
 def dq_reliability_range(fx):
-    return fx.stores.agg(F.count_if(~F.col("reliability_score").between(0, 100)).alias("violations"))
-
-
-def shared_folder(fx, name):
-    """A new folder under the checkpoint folder that the cluster shares, or a local one where none is set."""
-    base = fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, f"pricelode-{name}-{os.urandom(6).hex()}")
+    """Over scores that aren't clamped."""
+    rows = fx.table("supplier").select(F.when(F.col("s_suppkey") % 12 > 0, F.col("s_acctbal") / 90).alias("reliability_score"))
+    return Q.outside(rows, "reliability_score", 0, 100)
 
 
 def streamed(fx, df, name, build, parts=1):
     """What build makes of df read as a stream, run to its end into a table."""
-    folder = shared_folder(fx, name)
+    folder = shared_folder(fx.spark, name)
     df.repartition(4).write.parquet(f"{folder}/in")
     stream = fx.spark.readStream.schema(df.schema).parquet(f"{folder}/in")
     build(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
@@ -156,7 +201,7 @@ def stream_dedup_observations(fx):
 
 @query("stream_upsert_offers", "SELECT variant_id, store_id, current_price AS price FROM fx_offers")
 def stream_upsert_offers(fx):
-    folder = shared_folder(fx, "offers")
+    folder = shared_folder(fx.spark, "offers")
     fx.obs.select("variant_id", "store_id", "ts", "price", "in_stock").repartition(4).write.parquet(f"{folder}/in")
     stream = fx.spark.readStream.schema("variant_id long, store_id long, ts timestamp, price decimal(10,2), in_stock boolean").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     run = T.stream_upsert_offers(stream, fx.spark, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start()

@@ -4,8 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelode.functions.normalize import freshness_decay
-from pricelode.functions.statistics import confidence, is_mad_kept, is_sanitized, median, robust_market_metrics, sane, sanitized, weight_sums
+from pricelode.functions.statistics import confidence, is_mad_kept, is_sanitized, market_metrics, median, robust_market_metrics, sane, sanitized, weight_sums
 from pricelode.operators.intervals import DAY_US, latest_open, microseconds
+from pricelode.operators.shaping import contains_text, price_series
 
 def classify(score, trust):
     return F.when((score >= 80) & (trust >= 70), "VERY GOOD DEAL").when((score >= 60) & (trust >= 50), "GOOD DEAL").when(score >= 40, "NORMAL PRICE").otherwise("BAD DEAL")
@@ -166,6 +167,66 @@ def deal_metrics(prices, history, by, old_prices, best=None):
     return df.select(*by, "best_price", F.round("market_median", 4).alias("market_median"), F.round(discount, 4).alias("discount_pct"), score.alias("deal_score"), fake.alias("fake_discount"), F.when(F.size(reasons) == 0, F.lit("no gain")).otherwise(F.array_join(reasons, ", ")).alias("reasons"))
 
 
+def offers_by_price(offers, by):
+    """Offers with their place in each group by price, from 1."""
+    return offers.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("current_price", "store_id", "variant_id")))
+
+
+def dashboard(offers, variants, products, totals, term=None, least_score=40, n=50):
+    """The n best articles with stock: what they are, best price, stores, market score (deal_metrics), and rows of the named tables.
+
+    offers are those of all members of an article; term is searched for in
+    name, sku and brand.
+    """
+    by = ["canonical_id"]
+    best = offers.where("in_stock").groupBy(*by).agg(F.min(F.col("current_price").cast("double")).alias("best_price"), F.count_distinct("store_id").alias("stores"))
+    what = variants.select(F.col("variant_id").alias("canonical_id"), "sku", "brand", "product_id").join(products.select("product_id", F.col("canonical_name").alias("name")), "product_id").drop("product_id")
+    if term:
+        what = what.where(contains_text(term, "name", "sku", "brand"))
+    prices = offers.select(*by, F.col("current_price").alias("price")).distinct()
+    scored = deal_metrics(prices, None, by, None, best=best.select(*by, "best_price")).where(F.col("deal_score") >= least_score)
+    rows = scored.drop("fake_discount", "reasons").join(best.drop("best_price"), by).join(what, by)
+    top = rows.orderBy(F.desc("deal_score"), F.desc("discount_pct"), *by).limit(n).withColumn("one", F.lit(1))
+    for name, df in totals.items():
+        top = top.join(F.broadcast(df.agg(F.count("*").alias(f"all_{name}")).withColumn("one", F.lit(1))), "one")  # one row
+    return top.drop("one")
+
+
+def product_series(members, changes, as_of):
+    """Per article and store: all time points of the article in order, and the store's price at each, null where it has none.
+
+    Points are starts and ends of intervals with a sane price; of prices at one point the highest counts.
+    """
+    points = price_series(members, changes.where(sane(F.col("price"))), as_of).groupBy("canonical_id", "store_id", "ts").agg(F.max("price").alias("price"))
+    own = points.groupBy("canonical_id", "store_id").agg(F.map_from_entries(F.collect_list(F.struct("ts", "price"))).alias("at"))
+    times = points.groupBy("canonical_id").agg(F.sort_array(F.collect_set("ts")).alias("times"))
+    return own.join(times, "canonical_id").select("canonical_id", "store_id", "times", F.transform("times", lambda t: F.try_element_at("at", t)).alias("prices"))
+
+
+def product_stats(offers, members, changes):
+    """Per article: median, least and highest price and stores of its offers, and points of its history."""
+    p = F.col("current_price").cast("double")
+    market = offers.groupBy("canonical_id").agg(F.round(median(p), 4).alias("market_median"), F.min(p).alias("market_min"), F.max(p).alias("market_max"), F.count_distinct("store_id").alias("store_count"))
+    history = members.join(changes.where(sane(F.col("price"))), "variant_id").groupBy("canonical_id").agg((F.count("*") * 2).alias("hist_points"))
+    return market.join(history, "canonical_id", "left").withColumn("hist_points", F.coalesce("hist_points", F.lit(0)))
+
+
+def market_report(matches, offers, variants, products, stores, n=10):
+    """The n articles with most matches: market prices, the canonical variant's own price, its score, and a row per offer by price."""
+    by = ["canonical_id"]
+    top = matches.groupBy(F.col("canonical_variant_id").alias("canonical_id")).agg((F.count("*") + 1).alias("total_stores")).orderBy(F.desc("total_stores"), *by).limit(n)
+    rows = offers.join(top, by)
+    p, own = F.col("current_price").cast("double"), F.col("variant_id") == F.col("canonical_id")
+    market = market_metrics(rows.withColumn("price", F.col("current_price")), [*by, "total_stores"]).drop("in_stock_stores")
+    price = rows.groupBy(*by).agg(F.coalesce(F.min(F.when(own & F.col("in_stock"), p)), F.min(F.when(own, p))).alias("price"))
+    score = simple_score(F.col("price"), F.col("median"), F.col("min"))
+    report = market.join(price, by).select(*by, "total_stores", "stores", "price", F.round("median", 4).alias("median"), F.round("mean", 6).alias("average"), F.col("min").alias("least"), F.col("max").alias("most"), F.round((F.col("median") - F.col("price")) / F.col("median") * 100, 4).alias("vs_median_pct"), F.round(score, 4).alias("deal_score"), classify_simple(score).alias("classification"))
+    what = variants.select(F.col("variant_id").alias("canonical_id"), "sku", "product_id").join(products.select("product_id", F.col("canonical_name").alias("name")), "product_id").drop("product_id")
+    listed = offers_by_price(rows.drop("total_stores"), by).join(stores.select("store_id", F.col("name").alias("offer_store")), "store_id")
+    listed = listed.select(*by, F.col("place").cast("long").alias("place"), "offer_store", F.col("current_price").alias("offer_price"), F.col("in_stock").alias("offer_in_stock"))
+    return report.join(what, by).join(listed, by)
+
+
 def discount_duration(changes):
     """Days that the higher price before an open interval had held; over 14 counts as fake, under 7 as real."""
     w = Window.partitionBy("variant_id", "store_id").orderBy("started_at")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pricelode.functions import normalize as N
 from pricelode.functions import statistics as T
 from pricelode.operators import scoring as C
 
@@ -257,36 +258,74 @@ def deal_metrics(fx):
     return C.deal_metrics(prices(fx), fx.obs.select("product_id", "price"), ["product_id"], old).drop("discount_pct")
 
 
+PRICED_GROUPS = """fx_dp AS (SELECT DISTINCT canonical_id, current_price AS price FROM fx_moffers), fx_d1 AS (SELECT *, price > 0 AND price <= 20000 AS ok, count(*) OVER w AS n, abs(price - quantile_cont(price, 0.5) OVER w) AS dev, count(*) FILTER (price > 0 AND price <= 20000) OVER w AS sn, quantile_cont(price, 0.5) FILTER (price > 0 AND price <= 20000) OVER w AS smed FROM fx_dp WINDOW w AS (PARTITION BY canonical_id)),
+ fx_d2 AS (SELECT *, quantile_cont(dev, 0.5) OVER (PARTITION BY canonical_id) AS mad FROM fx_d1),
+ fx_dm AS (SELECT canonical_id, quantile_cont(price, 0.5) FILTER (ok AND (sn < 2 OR price BETWEEN smed / 3.0::DOUBLE AND smed * 3.0::DOUBLE)) AS med, list(price) FILTER (n < 3 OR mad = 0 OR dev / (1.4826 * mad) <= 3.5) AS trusted FROM fx_d2 GROUP BY 1)"""
+
+
 @query(
     "dashboard_overview",
-    "WITH fx_o AS (SELECT canonical_id, min(current_price) FILTER (in_stock) AS best_price, count(DISTINCT store_id) AS stores, quantile_cont(current_price, 0.5) AS med FROM fx_moffers GROUP BY 1) SELECT canonical_id, best_price, stores, round((med - best_price) / med * 100, 4) AS discount FROM fx_o WHERE best_price IS NOT NULL ORDER BY discount DESC, canonical_id LIMIT 50",
+    f"""WITH {PRICED_GROUPS}, fx_b AS (SELECT m.canonical_id, v.sku, p.canonical_name AS name, v.brand, min(current_price) AS best_price, count(DISTINCT m.store_id) AS stores FROM fx_moffers m JOIN fx_variants v ON v.variant_id = m.canonical_id JOIN fx_products p ON p.product_id = v.product_id WHERE in_stock AND (p.canonical_name ILIKE '%e%' OR v.sku ILIKE '%e%' OR v.brand ILIKE '%e%') GROUP BY ALL),
+ fx_s AS (SELECT *, (med - best_price) / med * 100 AS d FROM fx_b JOIN fx_dm USING (canonical_id) WHERE best_price > 0 AND best_price <= 20000 AND med IS NOT NULL AND list_contains(trusted, best_price))
+ SELECT canonical_id, sku, name, brand, best_price, stores, round(med, 4) AS market_median, CAST(floor(round(least(100, greatest(0, d * 2)), 6)) AS INTEGER) AS deal_score, round(d, 4) AS discount_pct, (SELECT count(*) FROM fx_stores) AS all_stores, (SELECT count(*) FROM fx_products) AS all_products, (SELECT count(*) FROM fx_variants) AS all_variants, (SELECT count(*) FROM fx_matches) AS all_matches
+ FROM fx_s WHERE floor(round(least(100, greatest(0, d * 2)), 6)) >= 40 ORDER BY deal_score DESC, discount_pct DESC, canonical_id LIMIT 50""",
     hold=True,
 )
 def dashboard_overview(fx):
-    p = F.col("current_price").cast("double")
-    df = fx.member_offers.groupBy("canonical_id").agg(F.min(F.when(F.col("in_stock"), p)).alias("best_price"), F.count_distinct("store_id").alias("stores"), T.median(p).alias("med")).where("best_price is not null")
-    return df.select("canonical_id", "best_price", "stores", F.round((F.col("med") - F.col("best_price")) / F.col("med") * 100, 4).alias("discount")).orderBy(F.desc("discount"), "canonical_id").limit(50)
+    """Articles that a search finds, from a score of 40 on."""
+    totals = {"stores": fx.stores, "products": fx.products, "variants": fx.variants, "matches": fx.matches}
+    return C.dashboard(fx.member_offers, fx.variants, fx.products, totals, term="e", least_score=40)
+
+
+POINTS = "fx_pts AS (SELECT canonical_id, store_id, ts, max(price) AS price FROM (SELECT canonical_id, store_id, started_at AS ts, price FROM fx_members JOIN fx_changes USING (variant_id) UNION ALL SELECT canonical_id, store_id, coalesce(ended_at, $AS_OF), price FROM fx_members JOIN fx_changes USING (variant_id)) WHERE price > 0 AND price <= 20000 GROUP BY ALL)"
 
 
-@query("product_detail_series", "SELECT canonical_id, store_id, strftime(ts, '%m-%d %H:%M') AS label, max(price) AS price FROM (SELECT canonical_id, store_id, started_at AS ts, price FROM fx_members JOIN fx_changes USING (variant_id) UNION ALL SELECT canonical_id, store_id, coalesce(ended_at, $AS_OF), price FROM fx_members JOIN fx_changes USING (variant_id)) GROUP BY canonical_id, store_id, ts", hold=True)
+@query(
+    "product_detail_series",
+    f"""WITH {POINTS}, fx_l AS (SELECT DISTINCT canonical_id, ts FROM fx_pts), fx_st AS (SELECT DISTINCT canonical_id, store_id FROM fx_pts)
+ SELECT canonical_id, store_id, count(*) AS points, string_agg(strftime(ts, '%m-%d %H:%M'), ',' ORDER BY ts) AS labels, string_agg(coalesce(printf('%.2f', price), '-'), ',' ORDER BY ts) AS data FROM fx_st JOIN fx_l USING (canonical_id) LEFT JOIN fx_pts USING (canonical_id, store_id, ts) GROUP BY ALL""",
+    hold=True,
+)
 def product_detail_series(fx):
-    from pricelode.operators.shaping import price_series
+    """A row per article and store: prices at all time points of the article, `-` where the store has none."""
+    series = C.product_series(fx.members, fx.changes, fx.as_of)
+    text = lambda p: F.coalesce(p.cast("decimal(12,2)").cast("string"), F.lit("-"))
+    return series.select("canonical_id", "store_id", F.size("times").cast("long").alias("points"), F.array_join(F.transform("times", lambda t: F.date_format(t, "MM-dd HH:mm")), ",").alias("labels"), F.array_join(F.transform("prices", text), ",").alias("data"))
+
 
-    points = price_series(fx.members, fx.changes, fx.as_of).groupBy("canonical_id", "store_id", "ts").agg(F.max("price").alias("price"))
-    return points.select("canonical_id", "store_id", F.date_format("ts", "MM-dd HH:mm").alias("label"), "price")
+@query(
+    "product_detail_offers",
+    "SELECT canonical_id, s.name AS store, current_price AS price, in_stock, 'https://' || domain || '/products/' || variant_id AS url, row_number() OVER (PARTITION BY canonical_id ORDER BY current_price, m.store_id, variant_id) AS place FROM fx_moffers m JOIN fx_stores s USING (store_id)",
+    hold=True,
+)
+def product_detail_offers(fx):
+    """Offers of each article by price."""
+    offers = fx.member_offers.join(fx.stores.select("store_id", F.col("name").alias("store"), "domain"), "store_id")
+    url = N.product_url(F.concat(F.lit("https://"), "domain"), F.col("variant_id").cast("string"))
+    ranked = C.offers_by_price(offers.withColumn("url", url), ["canonical_id"])
+    return ranked.select("canonical_id", "store", F.col("current_price").alias("price"), "in_stock", "url", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "product_detail_stats",
+    f"""WITH {POINTS}, fx_hp AS (SELECT canonical_id, count(*) * 2 AS hist_points FROM fx_members JOIN fx_changes USING (variant_id) WHERE price > 0 AND price <= 20000 GROUP BY 1)
+ SELECT canonical_id, round(quantile_cont(current_price, 0.5), 4) AS market_median, min(current_price) AS market_min, max(current_price) AS market_max, count(DISTINCT store_id) AS store_count, coalesce(any_value(hist_points), 0) AS hist_points FROM fx_moffers LEFT JOIN fx_hp USING (canonical_id) GROUP BY 1""",
+    hold=True,
+)
+def product_detail_stats(fx):
+    return C.product_stats(fx.member_offers, fx.members, fx.changes)
 
 
 @query(
     "top_product_market_report",
-    """WITH fx_top AS (SELECT canonical_variant_id AS canonical_id, count(*) AS matches FROM fx_matches GROUP BY 1 ORDER BY matches DESC, canonical_id LIMIT 10), fx_r AS (SELECT canonical_id, quantile_cont(current_price, 0.5) AS med, min(current_price) AS lo, coalesce(min(current_price) FILTER (variant_id = canonical_id AND in_stock), min(current_price) FILTER (variant_id = canonical_id)) AS own, count(DISTINCT store_id) AS stores FROM fx_moffers GROUP BY 1),
+    """WITH fx_top AS (SELECT canonical_variant_id AS canonical_id, count(*) + 1 AS total_stores FROM fx_matches GROUP BY 1 ORDER BY total_stores DESC, canonical_id LIMIT 10), fx_r AS (SELECT canonical_id, coalesce(quantile_cont(current_price, 0.5) FILTER (in_stock), quantile_cont(current_price, 0.5)) AS med, coalesce(avg(current_price) FILTER (in_stock), avg(current_price)) AS mean, coalesce(min(current_price) FILTER (in_stock), min(current_price)) AS lo, coalesce(max(current_price) FILTER (in_stock), max(current_price)) AS hi,
+  coalesce(min(current_price) FILTER (variant_id = canonical_id AND in_stock), min(current_price) FILTER (variant_id = canonical_id)) AS own, count(DISTINCT store_id) AS stores FROM fx_moffers GROUP BY 1),
  fx_rs AS (SELECT *, greatest(0, least(100, least(100, greatest(0, (med - own) / med * 200)) - least(20, (own - lo) / med * 100))) AS s FROM fx_top JOIN fx_r USING (canonical_id))
- SELECT canonical_id, matches, stores, own AS price, round(med, 4) AS median, round(s, 4) AS deal_score, CASE WHEN s >= 80 THEN 'VERY GOOD DEAL' WHEN s >= 60 THEN 'GOOD DEAL' WHEN s >= 40 THEN 'NORMAL PRICE' ELSE 'BAD DEAL' END AS classification FROM fx_rs""",
+ SELECT r.canonical_id, p.canonical_name AS name, v.sku, total_stores, stores, own AS price, round(med, 4) AS median, round(mean, 6) AS average, lo AS least, hi AS most, round((med - own) / med * 100, 4) AS vs_median_pct, round(s, 4) AS deal_score, CASE WHEN s >= 80 THEN 'VERY GOOD DEAL' WHEN s >= 60 THEN 'GOOD DEAL' WHEN s >= 40 THEN 'NORMAL PRICE' ELSE 'BAD DEAL' END AS classification,
+ row_number() OVER (PARTITION BY r.canonical_id ORDER BY o.current_price, o.store_id, o.variant_id) AS place, st.name AS offer_store, o.current_price AS offer_price, o.in_stock AS offer_in_stock
+ FROM fx_rs r JOIN fx_variants v ON v.variant_id = r.canonical_id JOIN fx_products p ON p.product_id = v.product_id JOIN fx_moffers o ON o.canonical_id = r.canonical_id JOIN fx_stores st ON st.store_id = o.store_id""",
     hold=True,
 )
 def top_product_market_report(fx):
-    top = fx.matches.groupBy(F.col("canonical_variant_id").alias("canonical_id")).agg(F.count("*").alias("matches")).orderBy(F.desc("matches"), "canonical_id").limit(10)
-    p = F.col("current_price").cast("double")
-    own = F.col("variant_id") == F.col("canonical_id")
-    rows = fx.member_offers.join(top, "canonical_id").groupBy("canonical_id", "matches").agg(F.count_distinct("store_id").alias("stores"), F.coalesce(F.min(F.when(own & F.col("in_stock"), p)), F.min(F.when(own, p))).alias("price"), T.median(p).alias("med"), F.min(p).alias("lo"))
-    score = C.simple_score(F.col("price"), F.col("med"), F.col("lo"))
-    return rows.select("canonical_id", "matches", "stores", "price", F.round("med", 4).alias("median"), F.round(score, 4).alias("deal_score"), C.classify_simple(score).alias("classification"))
+    """The ten most matched articles, a row per offer, by price."""
+    return C.market_report(fx.matches, fx.member_offers, fx.variants, fx.products, fx.stores)

@@ -202,11 +202,11 @@ def stream_dedup_observations(fx):
 @query("stream_upsert_offers", "SELECT variant_id, store_id, current_price AS price FROM fx_offers")
 def stream_upsert_offers(fx):
     folder = shared_folder(fx.spark, "offers")
-    fx.obs.select("variant_id", "store_id", "ts", "price", "in_stock").repartition(4).write.parquet(f"{folder}/in")
-    stream = fx.spark.readStream.schema("variant_id long, store_id long, ts timestamp, price decimal(10,2), in_stock boolean").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    run = T.stream_upsert_offers(stream, fx.spark, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start()
+    fx.obs.select("variant_id", "store_id", "ts", "price", "in_stock").repartition(6).write.parquet(f"{folder}/in")
+    stream = fx.spark.readStream.schema("variant_id long, store_id long, ts timestamp, price decimal(10,2), in_stock boolean").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    run = T.stream_upsert_offers(stream, fx.spark, f"{folder}/table", f"{folder}/state", compact=2).trigger(availableNow=True).start()
     run.awaitTermination()
-    return fx.spark.read.parquet(f"{folder}/table/v={run.lastProgress['batchId']}").select("variant_id", "store_id", "price")
+    return T.read_offers(fx.spark, f"{folder}/table").select("variant_id", "store_id", "price")
 
 
 @query("stream_price_intervals", "SELECT variant_id, store_id, price, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at FROM fx_changes")

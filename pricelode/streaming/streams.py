@@ -43,16 +43,46 @@ def stream_dedup_observations(observations, delay="7 days"):
     return observations.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["variant_id", "store_id", "ts"])
 
 
-def stream_upsert_offers(observations, spark, path, checkpoint):
-    """Keeps the newest observation per variant and store in a table, rewritten per micro-batch under a new version."""
+def _newest(rows):
+    last = rows.groupBy("variant_id", "store_id").agg(F.max(F.struct("ts", "price", "in_stock")).alias("o"))
+    return last.select("variant_id", "store_id", "o.*")
+
+
+def _versions(spark, path):
+    """Numbers of the whole bases and of the batches below path; a folder is whole once it holds _SUCCESS."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(hadoop.Path(f"{path}/*/_SUCCESS")) or []
+    names = [f.getPath().getParent().getName().split("-") for f in found]
+    return sorted(int(n) for kind, n in names if kind == "base"), sorted(int(n) for kind, n in names if kind == "batch"), files, hadoop.Path
+
+
+def read_offers(spark, path):
+    """The newest observation per variant and store: the last base and the batches after it, merged."""
+    bases, batches, _, _ = _versions(spark, path)
+    parts = [f"{path}/base-{bases[-1]}"] if bases else []
+    parts += [f"{path}/batch-{n}" for n in batches if not bases or n > bases[-1]]
+    return _newest(spark.read.parquet(*parts))
+
+
+def stream_upsert_offers(observations, spark, path, checkpoint, compact=16):
+    """Keeps the newest observation per variant and store in a table below path, to be read by read_offers.
+
+    A micro-batch writes its own keys alone, under its number, so a batch that
+    is tried again replaces itself. Every `compact` batches a new base is merged
+    from the last one and the batches since; what it covers is removed one
+    compaction later, so that readers of the old base may finish.
+    """
 
     def write(batch, number):
-        last = batch.groupBy("variant_id", "store_id").agg(F.max(F.struct("ts", "price", "in_stock")).alias("o"))
-        new = last.select("variant_id", "store_id", "o.*")
-        if number:
-            old = batch.sparkSession.read.parquet(f"{path}/v={number - 1}")
-            new = old.unionByName(new).groupBy("variant_id", "store_id").agg(F.max(F.struct("ts", "price", "in_stock")).alias("o")).select("variant_id", "store_id", "o.*")
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
+        _newest(batch).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        if number % compact == compact - 1:
+            session = batch.sparkSession
+            bases, batches, files, at = _versions(session, path)
+            old = [n for n in bases if n < number]
+            read_offers(session, path).write.mode("overwrite").parquet(f"{path}/base-{number}")
+            for name in [f"base-{n}" for n in old[:-1]] + [f"batch-{n}" for n in batches if old and n <= old[-1]]:
+                files.delete(at(f"{path}/{name}"), True)
 
     return observations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -61,10 +91,10 @@ ALERT_STATE = StructType([StructField("sent_us", LongType()), StructField("price
 
 
 class CooldownProcessor(StatefulProcessor):
-    """Lets an alert through unless one of the last 24 hours was under 1/0.95 of its price."""
+    """Lets an alert through unless one of the last 24 hours was under 1/0.95 of its price; an article's state ends a day after its last alert."""
 
     def init(self, handle):
-        self.sent = handle.getListState("sent", ALERT_STATE)
+        self.handle, self.sent = handle, handle.getListState("sent", ALERT_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
         new = pd.concat(list(rows)).sort_values(["sent_at", "alert_id"], kind="stable")
@@ -77,12 +107,21 @@ class CooldownProcessor(StatefulProcessor):
                 out.append((key[0], alert, price))
                 sent.append((now, price))
         self.sent.put([(t, str(p)) for t, p in sent])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # Late alerts may still come until the watermark passes, which it does before the timer rings.
+        self.handle.registerTimer(max(t for t, _ in sent) // 1000 + 86_400_000 + 1)
         yield pd.DataFrame(out, columns=["canonical_id", "alert_id", "price"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.sent.clear()
+        return iter(())
+
     def close(self):
         pass
 
 
-def stream_alert_cooldown(alerts):
-    """canonical_id, alert_id, price of the alerts that the cooldown lets through."""
-    return alerts.groupBy("canonical_id").transformWithStateInPandas(CooldownProcessor(), outputStructType="canonical_id long, alert_id long, price double", outputMode="append", timeMode="None")
+def stream_alert_cooldown(alerts, delay="1 day"):
+    """canonical_id, alert_id, price of the alerts that the cooldown lets through; alerts more than `delay` late are dropped."""
+    timed = alerts.withColumn("sent_at", F.col("sent_at").cast("timestamp")).withWatermark("sent_at", delay)
+    return timed.groupBy("canonical_id").transformWithStateInPandas(CooldownProcessor(), outputStructType="canonical_id long, alert_id long, price double", outputMode="append", timeMode="EventTime")

@@ -138,3 +138,39 @@ def test_upserts(spark):
     assert outcomes == {(1, 8.0): "updated", (1, 2.0): "skipped", (2, 25000.0): "skipped", (2, 4.0): "updated", (4, 9.0): "imported", (4, 90.0): "imported"}
     brands = spark.createDataFrame([(4, "Café"), (2, "CAFE "), (9, "Other")], "brand_id int, name string")
     assert {(r.brand_id, r.survivor) for r in U.merge_brands(brands).collect()} == {(4, 2), (2, 2), (9, 9)}
+
+
+def test_platforms(spark):
+    pages = ["<script src='//CDN.SHOPIFY.com/a.js'>", "<link href='/wp-content/plugins/WooCommerce/x.css'>", "x Mage/Cookies", "powered by Magento", "<img src=/static/version12/a.png>", "shopify.com and magento", "plain", "", None]
+    assert values(spark, N.platform, pages) == ["shopify", "woocommerce", "magento", "magento", "magento", "shopify", "custom", "custom", "custom"]
+
+
+def test_overlaps_are_pairs(spark):
+    from pricelode.operators import intervals as I
+
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [(1, 1, 5.0, at(1), at(9)), (1, 1, 6.0, at(3), at(4)), (1, 1, 7.0, at(5), None), (1, 1, 8.0, at(9), None), (2, 1, 5.0, at(1), at(2)), (2, 1, 6.0, at(2), None), (3, 1, 5.0, at(1), None), (3, 1, 6.0, at(1), None)]
+    changes = spark.createDataFrame(rows, "variant_id int, store_id int, price double, started_at timestamp, ended_at timestamp")
+    got = sorted((r.variant_id, r.first_price, r.second_price) for r in I.overlap_pairs(changes, F.lit(at(20))).collect())
+    assert got == [(1, 5.0, 6.0), (1, 5.0, 7.0), (1, 7.0, 8.0)]
+    assert I.overlapping(changes, F.lit(at(20))).count() == 3
+
+
+def test_global_rank(spark):
+    df = spark.createDataFrame([(k, float(k * 7 % 50) if k % 9 else None) for k in range(300)], "k int, x double").repartition(7)
+    got = [r.k for r in S.global_rank(df, "place", F.col("x").desc_nulls_last(), F.col("k")).orderBy("place").collect()]
+    want = sorted(range(300), key=lambda k: (k % 9 == 0, -(k * 7 % 50) if k % 9 else 0, k))
+    assert got == want
+
+
+def test_merges_and_splits_of_variants(spark):
+    remap = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "variant_id int, keep int")
+    matches = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (2, 3, 0.95), (3, 9, 0.7)], "canonical_variant_id int, matched_variant_id int, confidence_score double")
+    assert sorted(tuple(r) for r in U.dedup_matches(remap, matches).collect()) == [(1, 3, 0.95), (3, 9, 0.7)]
+    variants = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "variant_id long, name string").withColumn("store_id", F.lit(None).cast("int"))
+    fact = lambda *rows: spark.createDataFrame(list(rows), "variant_id long, store_id int, x int")
+    v, offers, changes, history = U.split_tables(variants, fact((1, 5, 10), (1, 4, 11)), fact((1, 5, 12)), fact((2, 7, 13)))
+    got = {(r.store_id, r.name): r.variant_id for r in v.collect()}
+    clone = got[5, "a"]
+    assert got == {(4, "a"): 1, (5, "a"): clone, (7, "b"): 2} and clone not in (1, 2)
+    assert {tuple(r) for r in offers.collect()} == {(clone, 5, 10), (1, 4, 11)} and [tuple(r) for r in changes.collect()] == [(clone, 5, 12)] and [tuple(r) for r in history.collect()] == [(2, 7, 13)]

@@ -41,3 +41,20 @@ def test_files(spark, tmp_path):
     L.rebuild_overwrite(df, str(tmp_path / "table"), str(tmp_path / "staging"))
     L.rebuild_overwrite(spark.read.parquet(str(tmp_path / "table")), str(tmp_path / "table"), str(tmp_path / "staging"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+
+
+def test_a_rebuild_that_broke_off_is_taken_up(spark, tmp_path):
+    rows = lambda n: spark.range(n).toDF("k")
+    table, staging = str(tmp_path / "table"), str(tmp_path / "staging")
+    L.rebuild_overwrite(rows(3), table, staging)
+    (tmp_path / "table").rename(tmp_path / "table.before")  # between the two renames
+    L.rebuild_overwrite(rows(5), table, staging)
+    assert spark.read.parquet(table).count() == 5 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["table"]
+
+
+def test_alerts_are_logged_once(spark, tmp_path):
+    stores = spark.createDataFrame([(1, "one"), (2, "two")], "store_id int, name string")
+    alerts = spark.createDataFrame([("one", "f1", 5.0), ("two", "f2", 6.0), ("gone", "f3", 7.0), ("one", "f1", 5.0)], "store string, fingerprint string, price double")
+    for lot in (alerts.where("fingerprint = 'f1'"), alerts, alerts):
+        L.append_deal_alerts(lot, stores, str(tmp_path / "log"))
+    assert sorted((r.fingerprint, r.store_id) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [("f1", 1), ("f2", 2)]

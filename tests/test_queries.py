@@ -61,6 +61,25 @@ def test_cooldown_keeps_what_a_loop_keeps(spark):
     assert got == want
 
 
+def test_flagship_scans_each_table_once(spark):
+    plan = registry.queries()["find_best_deals"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 10
+
+
+def test_deals_without_canonical_offers(spark):
+    from pyspark.sql import functions as F
+
+    from pricelode.operators import scoring as C
+    from pricelode.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, FOLDER, hold=True)
+    history = C.weighted_history(fx.members, fx.changes, fx.as_of)
+    stores = lambda **k: {r.canonical_id: r.store_count for r in C.best_deals(fx.member_offers, fx.stores, history, 10**6, **k).collect()}
+    whole, less = stores(), stores(include_canonical=False)
+    own = {r.canonical_id for r in fx.member_offers.where(F.col("variant_id") == F.col("canonical_id")).collect()}
+    assert less and all(less[c] == whole[c] - (c in own) for c in less.keys() & whole.keys())
+
+
 def test_shared_stores_are_looked_for_in_all_products(spark, oracle):
     got = {tuple(r) for r in registry.queries()["anti_shared_store_all"](spark, FOLDER).collect()}
     matches = oracle.sql(registry.oracle_sql()["match_products"]).fetchall()

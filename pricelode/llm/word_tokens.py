@@ -18,8 +18,8 @@ from tokenizers import Tokenizer
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Pre-tokens of lower-cased Latin-1 strings without white space: contractions, letters, single digits, the rest.
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-#: Distinct strings remembered by one worker beside the proven ones; a speed bound, results don't depend on it.
-MEMO = 500_000
+#: Distinct strings remembered by one worker beside the proven ones, and once more those of before; a speed bound, results don't depend on it.
+MEMO = 400_000
 #: Longer strings aren't remembered.
 LONGEST = 64
 _WORD_END = "</w>"
@@ -67,7 +67,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.value, self.join = value, join
         self.whole = {name: value([number]) for name, number in prove_whole_tokens(self.tokenizer).items()}
-        self.known = dict(self.whole)
+        self.known, self.older, self.model = dict(self.whole), {}, self.tokenizer.model
         byte_of = _byte_of()
         char_of = {b: c for c, b in byte_of.items()}
         self.spelt = {k: "".join(char_of[b] for b in chr(k).encode()) for k in range(256)}
@@ -76,40 +76,72 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _merged(self, piece):
-        return [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.spelt))]
+        # Printable ASCII stands for itself.
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isprintable() else piece.translate(self.spelt))]
+
+    def _piece(self, piece):
+        """For a pre-token; its value is remembered, as words share pieces."""
+        found = self.known.get(piece)
+        if found is None:
+            found = self.older.get(piece)
+            if found is None:
+                found = self.value(self._merged(piece))
+            if len(piece) <= LONGEST:
+                self.known[piece] = found
+        return found
 
     def _new_latin(self, word):
         """For a lower-cased Latin-1 string without white space, of which nothing is known."""
         if word.isalpha():
             return self.value(self._merged(word))
-        return self.join([self.known[p] if p in self.known else self.value(self._merged(p)) for p in _PIECE.findall(word)])
+        return self.join([self._piece(p) for p in _PIECE.findall(word)])
+
+    def _look_up(self, words, long):
+        """Values of the words of a Latin-1 text; new ones are made and remembered, over-long ones only in `long`."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            known, older = self.known, self.older
+            for k, value in enumerate(found):
+                if value is None:
+                    word = words[k]
+                    value = known.get(word) or older.get(word)
+                    if value is None:
+                        value = long.get(word) or self._new_latin(word)
+                    (known if len(word) <= LONGEST else long)[word] = value
+                    found[k] = value
+        return found
 
     def batch(self, texts):
         """One joined value per text; a null text counts as empty."""
-        split, latin, other, long = [], set(), set(), {}
+        split, other, long, joined = [], set(), {}, []
         for text in texts:
+            words = value = None
             if not text:
-                split.append(())
-            elif _odd(text):
-                split.append(None)
-            else:
+                value = self.join(())
+            elif not _odd(text):
                 try:
                     text.encode("latin-1")  # then the normaliser does nothing but lower-case
-                    words, new = text.lower().split(), latin
+                    value = self.join(self._look_up(text.lower().split(), long))
                 except UnicodeEncodeError:
-                    words, new = text.split(), other
-                split.append(words)
-                new.update(words)
-        for word in latin.difference(self.known):
-            (self.known if len(word) <= LONGEST else long)[word] = self._new_latin(word)
-        rest = list(other.difference(self.known))
+                    words = text.split()
+                    other.update(words)
+            split.append(words)
+            joined.append(value)
+        rest = []
+        for word in other.difference(self.known):
+            value = self.older.get(word)
+            if value is None:
+                rest.append(word)
+            else:
+                self.known[word] = value
         for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            (self.known if len(word) <= LONGEST else long)[word] = self.value(got.ids)
-        if long:
-            self.known |= long
-        out = [self.value(self._library(t)) if words is None else self.join(map(self.known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
-        for word in long:
-            del self.known[word]
+            self.known[word] = self.value(got.ids)
+        for k, (words, text) in enumerate(zip(split, texts, strict=True)):
+            if joined[k] is None:
+                joined[k] = self.value(self._library(text)) if words is None else self.join(map(self.known.__getitem__, words))
+        for word in rest:
+            if len(word) > LONGEST:
+                del self.known[word]
         if len(self.known) > MEMO + len(self.whole):
-            self.known = dict(self.whole)
-        return out
+            self.known, self.older = dict(self.whole), self.known
+        return joined

@@ -70,6 +70,39 @@ def test_near_copies_from_0_8_are_one_group(spark):
     assert sorted(r.doc_id for r in got) == sorted(first.values())
 
 
+def test_odd_sketches_bound_differences():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 50, 700):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) * 4 // 5], rng.integers(0, 2**63, size // 7, dtype=np.uint64)]))
+        bits = np.bitwise_count(near_copies.odd_sketch(a) ^ near_copies.odd_sketch(b)).sum()
+        assert bits <= len(np.setxor1d(a, b)) and near_copies.odd_sketch(a).shape == (8,)
+
+
+def test_a_large_family_makes_few_pairs(spark, monkeypatch):
+    """Members of one family with edits of many degrees: groups as by brute force, pairs far fewer than all."""
+    rng, base = np.random.default_rng(6), [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(220):
+        copy = list(base)
+        for at in rng.choice(150, k % 16, replace=False):
+            copy[at] = f"x{k}_{at}"
+        texts.append(" ".join(copy))
+    tested, linked = [], near_copies._linked
+
+    def look(pairs, sets):
+        tested.append(pairs.count())
+        return linked(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "_linked", look)
+    got = corpus_pipeline.without_near_duplicates(spark, frame(spark, texts), "").collect()
+    first = {}
+    for k, g in enumerate(brute_components(texts)):
+        first.setdefault(g, k)
+    assert sorted(r.doc_id for r in got) == sorted(first.values()) and len(first) > 20
+    assert sum(tested) < 220 * 219 / 2 / 3
+
+
 def test_junk_is_rejected_and_short_texts_are_kept(spark):
     rng = np.random.default_rng(8)
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)

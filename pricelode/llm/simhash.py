@@ -36,6 +36,8 @@ LEAF_ROWS = 2_048
 #: A leaf above this many rows is split into blocks.
 BLOCK_ROWS = 16_384
 SEED = 42
+#: Parts of a component's rows, and the share of all rows above which copies of one fingerprint are kept out of shuffles.
+SALTS, HOT = 16, 1_000
 
 
 def fingerprint(text, shingle=SHINGLE, seed=SEED):
@@ -206,13 +208,19 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", radius=RADIUS, shing
     are ignored.
     """
     prints = durable(fingerprints(docs, id_col, text_col, shingle))
-    heads = prints.groupBy("fp").agg(F.min("id").alias("head"))
-    linked = connected_components(link_fingerprints(durable(heads.select("fp")), radius))
-    groups = heads.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    groups = durable(groups)
-    least = groups.groupBy("component").agg(F.min("head").alias("component_id"))
-    by_print = groups.join(least, "component").select("fp", "component_id")
-    out = prints.join(by_print, "fp")
+    heads = durable(prints.groupBy("fp").agg(F.min("id").alias("head"), F.count("*").alias("n")))
+    linked = connected_components(link_fingerprints(heads.select("fp"), radius))
+    # Only linked fingerprints have a component to ask; a large component is spread by a salt.
+    members = durable(linked.withColumnRenamed("node", "fp").join(heads.select("fp", "head"), "fp"))
+    least = members.groupBy("component").agg(F.min("head").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["component", "salt"])
+    grouped = heads.join(spread.select("fp", "least", F.lit(True).alias("grouped")), "fp", "left")
+    by_print = durable(grouped.select("fp", "n", F.when(F.col("grouped"), F.col("least")).otherwise(F.col("head")).alias("component_id")))
+    # Fewer than HOT fingerprints can each hold more than one in HOT of all rows, so these few are broadcast and their rows not shuffled.
+    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = by_print.where(F.col("n") > total / HOT).drop("n")
+    rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(by_print.drop("n"), "fp")
+    out = prints.join(F.broadcast(hot), "fp").unionByName(rest)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -14,7 +14,7 @@ history leaves mass. With the discounted counts r*:
 and alpha(v) = (1 - sum of P(w | v)) / (1 - sum of P(w)), both over the w seen
 after v, so that every P(. | v) sums to one exactly.
 
-Data flow. Tokens are never shuffled one by one. A unit is a bounded run of
+Data flow. Tokens are not shuffled one by one. A unit is a bounded run of
 documents in one task; it sends its distinct (word, history, document) triples,
 sorted and packed, to count tables partitioned by the word's hash. There c(w)
 and c(vw) are complete. The tables answer each unit (for every triple its two
@@ -136,8 +136,8 @@ def _unit_blobs(docs, trains, words, parts, hot):
         # A spread word's count goes to all partitions that hold it.
         here = (np.uint64(p) + np.uint64(parts) - hashes[hot_words] % np.uint64(parts)) % np.uint64(parts) < spread[hot_words]
         hot_order = np.argsort(hashes[hot_words][here])
-        extra = {"docs": np.asarray(docs, dtype=np.int64), "lengths": lengths} if not out else {}
-        out.append((p, _pack(w=_steps(sorted_hashes[w[w_first]]), w_run=np.diff(np.append(w_first, len(w))), v=_steps(sorted_hashes[v_all]), v_index=v_index, doc=d, times=times, train=train, hot=_steps(hashes[hot_words][here][hot_order]), hot_count=hot_counts[here][hot_order], **extra)))
+        extra = {"docs": np.asarray(docs, dtype=np.int64), "lengths": lengths, "train": train} if not out else {}
+        out.append((p, _pack(w=_steps(sorted_hashes[w[w_first]]), w_run=np.diff(np.append(w_first, len(w))), v=_steps(sorted_hashes[v_all]), v_index=v_index, doc=d * 2 + train[d], times=times, hot=_steps(hashes[hot_words][here][hot_order]), hot_count=hot_counts[here][hot_order], **extra)))
     return out
 
 
@@ -180,7 +180,8 @@ class _Table:
         for u, wk, vk in zip(units, w_keys, v_keys, strict=True):
             w.append(np.repeat(w_of[at_w : at_w + len(wk)], u["w_run"]))
             v.append(v_of[at_v + u["v_index"].astype(np.int64)])
-            learnt = u["train"][u["doc"]]
+            doc = u["doc"].astype(np.int64)
+            u["doc"], learnt = doc >> 1, doc & 1
             times.append(u["times"] * learnt)
             self.sizes.append(len(u["doc"]))
             at_w, at_v = at_w + len(wk), at_v + len(vk)
@@ -239,7 +240,7 @@ def _answers_units(parts):
             order = np.argsort(u["doc"], kind="stable")
             w = t.pair_w[pair][order]
             extra = {k: u[k] for k in ("docs", "lengths", "train") if "docs" in u}
-            out.append(_pack(doc=np.diff(u["doc"][order].astype(np.int64), prepend=0), times=u["times"][order], word=t.word_count[w], pair=t.count[pair][order], is_end=t.words[w] == end_hash, **extra))
+            out.append(_pack(doc=np.diff(u["doc"][order], prepend=0), times=u["times"][order], word=t.word_count[w], pair=t.count[pair][order], is_end=t.words[w] == end_hash, **extra))
         return pd.DataFrame({"unit": rows["unit"], "kind": np.zeros(len(rows), dtype=np.int32), "blob": out})
 
     return run
@@ -266,7 +267,7 @@ def _answers_histories(parts):
             pair = t.pair_of[at : at + n]
             at += n
             new = np.flatnonzero(~seen[pair])
-            asks.append((np.full(len(new), number), t.pair_v[pair[new]], u["doc"][new].astype(np.int64), u["times"][new].astype(np.int64)))
+            asks.append((np.full(len(new), number), t.pair_v[pair[new]], u["doc"][new], u["times"][new].astype(np.int64)))
         unit, ask_v, doc, times = (np.concatenate(x) for x in zip(*asks, strict=True))
         ids = rows["unit"].to_numpy()
         out_part, out = [], []
@@ -397,7 +398,8 @@ def score_texts(docs, train, id_col="doc_id", text_col="text"):
         hot = {_hash(bytes(r["word"])): min(parts, 1 + int(16 * parts * r["n"] / total)) for r in sample.orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect() if r["n"] >= least}
         hot[_hash(_END)] = parts
 
-    units = rows.mapInPandas(_units(parts, hot), "part int, unit long, blob binary")
+    # A task for each partition of the tables: joined ones would grow up to what a task is advised to read.
+    units = rows.mapInPandas(_units(parts, hot), "part int, unit long, blob binary").repartitionById(parts, "part")
     tables = units.groupBy("part")
     stats = tables.applyInPandas(_answers_stats(parts), ", ".join(f"{k} long" for k in _STATS))
     stats = stats.agg(*[F.sum(k).alias(k) for k in _STATS])

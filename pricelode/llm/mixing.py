@@ -22,6 +22,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
+RANGES = 16
 
 
 def source_targets(sizes, weights=WEIGHTS, share=SHARE, most=MOST):
@@ -29,25 +30,28 @@ def source_targets(sizes, weights=WEIGHTS, share=SHARE, most=MOST):
 
     sizes has a row per source. Targets share `share` of all sizes by weight;
     none exceeds `most` times its source's size, and what is above is shared
-    again by weight. This is the water level at which the sources that reach
-    their cap, taken by cap per weight, leave a level below the next one's.
+    again by weight: the level of target per weight rises until no further
+    source is above its cap. Sources are ranked for their weights within
+    RANGES ranges, so no task sees them all.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    cycle = F.array([F.lit(float(w)) for w in weights])
-    rows = sizes.withColumn("place", F.row_number().over(by_name) - 1)
-    rows = rows.withColumn("weight", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(most))
-    level = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    rows = (
-        rows.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("total", F.sum("source_size").over(whole) * F.lit(share))
-        .withColumn("own_level", (F.col("total") - F.col("cap_before")) / F.col("weight_left"))
-        .withColumn("free", F.col("own_level") * F.col("weight") <= F.col("cap"))
-    )
-    rows = rows.withColumn("level", F.first(F.when(F.col("free"), F.col("own_level")), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    order = F.col("source").asc_nulls_last()
+    # Written, as the ranges' bounds are sampled and must not be drawn twice.
+    ranged = durable(sizes.repartitionByRange(RANGES, order).withColumn("range", F.spark_partition_id()))
+    counts = dict(ranged.groupBy("range").count().collect())
+    starts = [sum(n for r, n in counts.items() if r < k) for k in range(RANGES)]
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1 + F.get(F.array(*map(F.lit, starts)), F.col("range"))
+    weight = F.get(F.array([F.lit(float(w)) for w in weights]), (place % len(weights)).cast("int"))
+    rows = durable(ranged.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most)))
+
+    level, capped = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("cap") < F.lit(level) * F.col("weight")
+        sums = rows.agg(F.sum("source_size").alias("total"), F.sum(F.when(over, F.col("cap"))).alias("taken"), F.sum(F.when(~over, F.col("weight"))).alias("left"), F.count_if(over).alias("capped")).first()
+        if sums["capped"] == capped or not sums["left"]:
+            break
+        level, capped = (sums["total"] * share - (sums["taken"] or 0.0)) / sums["left"], sums["capped"]
+    target = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("weight"))
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def mix_copies(docs, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED, keep=()):
@@ -57,7 +61,7 @@ def mix_copies(docs, id_col="doc_id", text_col="text", source_col="source", weig
     own, ordered last. Rows of size 0 in a source without words are taken 0
     times. Repeated rows count as rows of their own; ties in the order are
     between equal rows (rows that `keep` tells apart are ordered by its hash). An
-    empty table gives an empty result; further columns of docs are ignored. Sources are thought to be few enough to be windowed over one row each.
+    empty table gives an empty result; further columns of docs are ignored.
     """
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
     size = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(size)

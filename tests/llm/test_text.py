@@ -124,6 +124,27 @@ def test_targets_are_water_filled(spark):
     assert abs(got[None] - 1445) < 1e-6
 
 
+def test_targets_of_many_sources(spark):
+    """Ranks across ranges and several rounds of resharing, against filling by hand."""
+    data = [(f"s{k:04d}" if k else None, (k * k * 7919) % (10 ** (1 + k % 6))) for k in range(500)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(data, "source string, source_size long")).collect()}
+    ranked = sorted(data, key=lambda r: (r[0] is None, r[0]))
+    weight = {name: (3, 1, 2)[k % 3] for k, (name, _) in enumerate(ranked)}
+    free, left = dict(data), 1.5 * sum(n for _, n in data)
+    want = {}
+    while True:
+        level = left / sum(weight[k] for k in free)
+        above = [k for k, n in free.items() if level * weight[k] > 2 * n]
+        if not above:
+            break
+        for k in above:
+            want[k] = 2.0 * free.pop(k)
+            left -= want[k]
+    want |= {k: level * weight[k] for k in free}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert mixing.source_targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+
+
 def page(body, head=""):
     return f"<html><head>{head}</head><body>{body}</body></html>"
 

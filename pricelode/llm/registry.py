@@ -1,6 +1,6 @@
 """Queries of this package by name, and the SQL that each must equal where SQL can express it."""
 
-from . import html_text, katz, language, media, mixing, packing, simhash, token_counts, topk, url_filter
+from . import chat_format, html_text, katz, language, media, mixing, packing, simhash, source_audit, token_counts, topk, turn_trie, url_filter
 
 
 def queries():
@@ -15,8 +15,18 @@ def queries():
         "op8_katz_backoff": katz.op8_katz_backoff,
         "op9_systematic_mixture": mixing.op9_systematic_mixture,
         "op10_lossless_webp": media.op10_lossless_webp,
+        "op11_grammar_round_trip": chat_format.op11_grammar_round_trip,
+        "op12_radix_tree": turn_trie.op12_radix_tree,
+        "op13_chunk_factorization": source_audit.op13_chunk_factorization,
     }
 
 
 def oracle_sql():
-    return {"op3_branch_and_bound": topk.OP3_SQL, "op6_redirect_equivalence": url_filter.OP6_SQL, "op9_systematic_mixture": mixing.OP9_SQL}
+    return {
+        "op3_branch_and_bound": topk.OP3_SQL,
+        "op6_redirect_equivalence": url_filter.OP6_SQL,
+        "op9_systematic_mixture": mixing.OP9_SQL,
+        "op11_grammar_round_trip": chat_format.OP11_SQL,
+        "op12_radix_tree": turn_trie.OP12_SQL,
+        "op13_chunk_factorization": source_audit.OP13_SQL,
+    }

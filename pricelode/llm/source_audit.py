@@ -1,21 +1,24 @@
 """Divergence of each source's terms from its language's, by chunk factorization.
 
 Documents are cut into chunks at ASCII white space, which no term crosses.
-Chunks are counted document by document; each distinct chunk of the whole
-corpus is tokenized once, and its terms are joined back to the counts.
+Chunks are counted document by document; the counts of a chunk meet in one
+place, where it is tokenized once for the whole corpus, and its terms are joined
+back to the counts. What is counted travels packed: a row per lang and chunk (or
+term) of a task, with its sources' counts and some of its documents as bytes.
 """
 
+import re
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, reread, table
+from .common import reread, small_batches, table
 
-#: A term: no ASCII character but letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term, in UTF-8: no ASCII character but letters.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: A lang keeps terms of so many of its documents.
 LEAST_DOCS = 3
 #: p is in parts of this.
@@ -23,146 +26,284 @@ UNIT = 1_000_000_000
 #: Term ranks are listed up to this.
 TOP = 200
 #: Bytes of text whose chunks are counted together in a task, about.
-COUNT_BYTES = 16_000_000
-#: Rows of terms whose sources are compared at a time.
-COMPARE_ROWS = 20_000
+COUNT_BYTES = 48_000_000
+#: Rows that are merged together in a task, about.
+MERGE_ROWS = 200_000
+#: Pairs of sources that are compared at a time.
+COMPARE_PAIRS = 300_000
+
+#: postings: pairs of a source's key and its count, 8 bytes each; docs: 8 bytes each.
+PACKED = "lang string, name string, postings binary, docs binary"
+_POSTING = np.dtype([("source", "<i8"), ("n", "<i8")])
+
+
+def _bytes_column(values, ends):
+    """A column of binaries: values cut before each of the ends (in items, the first is 0)."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.dtype.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _items(column, kind):
+    """The items of a column of binaries, and how many each row has."""
+    column = column.combine_chunks().cast(pa.large_binary()) if isinstance(column, pa.ChunkedArray) else column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends) // kind.itemsize
+
+
+def _codes(column):
+    found = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    found = found.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
 
-COUNTED = "lang string, source string, chunk string, doc long, n long"
 
+def _begins(*keys):
+    """Where sorted rows differ from the row before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
-def _count(docs, lang, source, text, least):
-    """Chunk counts of some documents as columns of COUNTED.
 
-    A chunk's count in a lang and source is in one row; its documents are named
-    in that and further rows until `least` are: more say no more about whether
-    a term is in that many.
+def _first_of_each(group, least):
+    """Which of sorted rows are among the first `least` of their group."""
+    at = np.flatnonzero(_begins(group))
+    return np.arange(len(group)) - np.repeat(at, np.diff(np.r_[at, len(group)])) < least
+
+
+def _packed(lang, name, rows, group, postings, doc_group, docs):
+    """PACKED rows: rows are the groups in order, group and doc_group say whose the sorted postings and docs are."""
+    out = np.empty(len(postings[0]), _POSTING)
+    out["source"], out["n"] = postings
+    ends = lambda of: np.r_[np.searchsorted(of, rows), len(of)]
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    return pa.Table.from_arrays([lang, name.cast(pa.string()), _bytes_column(out, ends(group)), _bytes_column(docs.astype("<i8"), ends(doc_group))], names=names)
+
+
+def _count(part, least):
+    """The chunks of some documents (doc, lang, source: a key, text) as PACKED rows.
+
+    `least` documents of a lang and chunk are named: more say no more about
+    whether a term is in that many.
     """
-    chunks = pc.ascii_split_whitespace(text)
+    text = part.column("text").cast(pa.large_string()).combine_chunks()
+    chunks = pc.ascii_split_whitespace(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
     parents, flat = pc.list_parent_indices(chunks).to_numpy(), pc.list_flatten(chunks)
     filled = pc.not_equal(pc.binary_length(flat), 0)
     parents, flat = parents[filled.to_numpy(zero_copy_only=False)], flat.filter(filled)
-    if not len(flat):
-        return None
-    words = flat.dictionary_encode()
-    codes = words.indices.to_numpy().astype(np.int64)
-    langs, sources = lang.dictionary_encode(), source.dictionary_encode()
-    group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
-    key = group[parents] * len(words.dictionary) + codes
-    # Documents stay in order among equal keys.
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], parents[order]
-    new = np.r_[True, key[1:] != key[:-1]]
-    starts = np.flatnonzero(new)
-    counts = np.diff(np.r_[starts, len(key)])
-    other = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]])
-    # The place of a document among those of its key.
-    firsts = np.flatnonzero(new[other])
-    place = np.arange(len(other)) - np.repeat(firsts, np.diff(np.r_[firsts, len(other)]))
-    take = other[place < least]
-    n = np.zeros(len(key), np.int64)
-    n[starts] = counts
-    group, code = np.divmod(key[take], len(words.dictionary))
-    at_lang, at_source = np.divmod(group, len(sources.dictionary))
-    return [langs.dictionary.take(pa.array(at_lang)), sources.dictionary.take(pa.array(at_source)), words.dictionary.take(pa.array(code)), pa.array(docs[doc[take]]), pa.array(n[take])]
-
-
-def chunk_counts(docs, least=LEAST_DOCS, count_bytes=COUNT_BYTES):
-    """COUNTED rows of documents (doc, lang, source, text: not null; doc tells rows apart); sums of n are the occurrences."""
-
-    def counted(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= count_bytes:
-                yield from unit(held)
-                held, size = [], 0
-        if held:
-            yield from unit(held)
-
-    def unit(held):
-        whole = pa.Table.from_batches(held).combine_chunks()
-        column = lambda name: whole.column(name).combine_chunks().cast(pa.large_string()) if name == "text" else whole.column(name).combine_chunks()
-        flat = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-        made = _count(column("doc").to_numpy(), flat(column("lang")), flat(column("source")), flat(column("text")), least)
-        if made is not None:
-            made[2] = made[2].cast(pa.string())
-            names = [c.split()[0] for c in COUNTED.split(", ")]
-            yield from pa.Table.from_arrays(made, names=names).to_batches(max_chunksize=100_000)
-
-    return docs.select("doc", "lang", "source", "text").mapInArrow(counted, COUNTED)
+    code, words = _codes(flat)
+    lang, langs = _codes(part.column("lang"))
+    source, sources = np.unique(part.column("source").to_numpy(), return_inverse=True)[::-1]
+    # One number for lang, chunk and source, in this order.
+    key = (lang[parents] * len(words) + code) * len(sources) + source[parents]
+    order = np.argsort(key, kind="stable")  # documents stay in order
+    key, doc = key[order], part.column("doc").to_numpy()[parents[order]]
+    start = np.flatnonzero(_begins(key))
+    group = key // max(len(sources), 1)
+    other = np.flatnonzero(_begins(key, doc))
+    named = other[_first_of_each(group[other], least)]
+    rows = group[np.flatnonzero(_begins(group))]
+    at_lang, at_word = np.divmod(rows, max(len(words), 1))
+    postings = sources[key[start] % max(len(sources), 1)], np.diff(np.r_[start, len(key)])
+    return _packed(langs.take(pa.array(at_lang)), words.take(pa.array(at_word)), rows, group[start], postings, group[named], doc[named])
+
+
+def _merge(lang, langs, name, names, rows, least):
+    """PACKED rows summed up per lang and name, in the order of their codes; rows: postings, their numbers, docs, their numbers."""
+    postings, n_postings, docs, n_docs = rows
+    key = lang * max(len(names), 1) + name
+    group = np.repeat(key, n_postings)
+    order = np.lexsort((postings["source"], group))
+    group, postings = group[order], postings[order]
+    start = np.flatnonzero(_begins(group, postings["source"]))
+    summed = np.add.reduceat(postings["n"], start) if len(start) else np.zeros(0, np.int64)
+    doc_group = np.repeat(key, n_docs)
+    order = np.lexsort((docs, doc_group))
+    doc_group, docs = doc_group[order], docs[order]
+    keep = _begins(doc_group, docs)
+    doc_group, docs = doc_group[keep], docs[keep]
+    first = _first_of_each(doc_group, least)
+    rows = np.unique(key)
+    at_lang, at_name = np.divmod(rows, max(len(names), 1))
+    return _packed(langs.take(pa.array(at_lang)), names.take(pa.array(at_name)), rows, group[start], (postings["source"][start], summed), doc_group[first], docs[first])
+
+
+def _ranges(starts, sizes):
+    """The indices of all ranges one after the other."""
+    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
+
+
+def _tokenized(part, least):
+    """PACKED rows of chunks as PACKED rows of their terms; each chunk is tokenized once."""
+    lang, langs = _codes(part.column("lang"))
+    chunk, chunks = _codes(part.column("name"))
+    found = [TERM.findall(c.lower()) for c in chunks.cast(pa.binary()).to_pylist()]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    term, terms = _codes(pa.array([t for f in found for t in f], pa.binary()))
+    # The terms are joined back: a row for each term of each row's chunk.
+    row = np.repeat(np.arange(len(chunk)), sizes[chunk])
+    name = term[_ranges((np.cumsum(sizes) - sizes)[chunk], sizes[chunk])]
+    taken = []
+    for column, kind in (("postings", _POSTING), ("docs", np.dtype("<i8"))):
+        items, n = _items(part.column(column), kind)
+        taken += [items[_ranges((np.cumsum(n) - n)[row], n[row])], n[row]]
+    return _merge(lang[row], langs, name, terms, taken, least)
+
+
+def _lots(batches, full):
+    """Batches as tables, each of batches until these are full."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += full(batch)
+        if size >= 1:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def packed_chunks(docs, least=LEAST_DOCS):
+    """PACKED rows of the chunks of documents: doc (tells rows apart), lang, source (a key), text, not null."""
+
+    def run(batches):
+        for part in _lots(batches, lambda b: b.nbytes / COUNT_BYTES):
+            yield from _count(part, least).to_batches(20_000)
+
+    return docs.select("doc", "lang", "source", "text").mapInArrow(run, PACKED)
+
+
+def packed_terms(chunks, least=LEAST_DOCS):
+    """PACKED rows of terms; a term's rows are not all summed up yet."""
+
+    def run(batches):
+        kept = None
+        for part in _lots(batches, lambda b: b.num_rows / MERGE_ROWS):
+            part = pa.concat_tables([kept, part]).combine_chunks() if kept is not None else part
+            # The last chunk may go on in the next lot.
+            last = pc.index(part.column("name"), part.column("name")[-1]).as_py()
+            kept = part.slice(last) if 0 < last else None
+            yield from _tokenized(part.slice(0, last) if last else part, least).to_batches(20_000)
+        if kept is not None:
+            yield from _tokenized(kept, least).to_batches(20_000)
+
+    return chunks.repartition("name").sortWithinPartitions("name").mapInArrow(run, PACKED)
+
+
+KEPT = "lang string, term string, n long, sources array<struct<source:long,n:long>>"
+
+
+def _kept_rows(part, least):
+    items, sizes = _items(part.column("postings"), _POSTING)
+    keep = _items(part.column("docs"), np.dtype("<i8"))[1] >= least
+    ends = np.r_[0, np.cumsum(sizes)]
+    whole = np.add.reduceat(items["n"], ends[:-1]) if len(sizes) else np.zeros(0, np.int64)
+    entries = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(items["source"])), pa.array(np.ascontiguousarray(items["n"]))], names=["source", "n"])
+    made = pa.Table.from_arrays([part.column("lang"), part.column("name"), pa.array(whole), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)], names=["lang", "term", "n", "sources"])
+    return made.filter(pa.array(keep))
 
 
 def kept_terms(docs, least=LEAST_DOCS):
     """lang, term, n, sources (array of struct<source, n>) of the terms in at least `least` documents of their lang."""
-    counted = chunk_counts(docs, least)
-    terms = counted.select("chunk").distinct().withColumn("terms", F.regexp_extract_all(ascii_lower(F.col("chunk")), F.lit(f"({TERM})"), F.lit(1)))
-    found = counted.join(terms.where(F.size("terms") > 0).hint("shuffle_hash"), "chunk").select("lang", "source", "doc", "n", F.explode("terms").alias("term"))
-    # A document has one lang and one source, so distinct documents of a lang's sources add up.
-    by_source = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count_distinct("doc").alias("docs"))
-    by_lang = by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("sources"))
-    return by_lang.where(F.col("docs") >= least).drop("docs")
+
+    def run(batches):
+        kept = None
+        for part in _lots(batches, lambda b: b.num_rows / MERGE_ROWS):
+            part = pa.concat_tables([kept, part]).combine_chunks() if kept is not None else part
+            (lang, langs), (name, names) = _codes(part.column("lang")), _codes(part.column("name"))
+            # Codes are given in order of appearance, so the last row is the one that may go on.
+            merged = _merge(lang, langs, name, names, [*_items(part.column("postings"), _POSTING), *_items(part.column("docs"), np.dtype("<i8"))], least)
+            last = pc.and_(pc.equal(merged.column("lang"), part.column("lang")[-1]), pc.equal(merged.column("name"), part.column("name")[-1]))
+            kept = merged.filter(last)
+            yield from _kept_rows(merged.filter(pc.invert(last)), least).to_batches(20_000)
+        if kept is not None:
+            yield from _kept_rows(kept, least).to_batches()
+
+    terms = packed_terms(packed_chunks(docs, least), least)
+    return terms.repartition("lang", "name").sortWithinPartitions("lang", "name").mapInArrow(run, KEPT)
+
+
+def source_keys(rows):
+    """rows with `key`, a number for the source: a hash with the first seed that gives no two sources the same."""
+    names = rows.select("source").distinct()
+    seed = 0
+    while True:
+        key = F.xxhash64(F.lit(seed), "source")
+        one = names.agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys")).first()
+        if one.n == one.keys:
+            return rows.withColumn("key", key)
+        seed += 1
 
 
 def share(count, total):
     """p of a count among `total` (occurrences and kept terms), exactly."""
     wide = lambda x: x.cast("decimal(28,0)")
-    return (1 + F.call_function("div", wide(count + 1) * F.lit(UNIT), wide(total))).cast("long")
+    small = F.call_function("div", (count + 1) * F.lit(UNIT), total)
+    # Longs hold the product up to 9e18.
+    return (1 + F.when(count < 9_000_000_000, small).otherwise(F.call_function("div", wide(count + 1) * F.lit(UNIT), wide(total)).cast("long"))).cast("long")
 
 
 def divergence(p, q):
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-SHARED = "lang string, a string, b string, terms long, excess decimal(38,0)"
+SHARED = "lang string, a long, b long, terms long, excess decimal(38,0)"
 
 
-def _shared_terms(frames):
-    """Per lang and ordered pair of sources: the terms that both have, and how far the divergence summed over these is from what the sums over single sources hold."""
+def _shared_terms(batches):
+    """Per lang and ordered pair of sources: the terms that both have, and how far the divergence summed over these is from what the sums over single sources hold.
+
+    Rows: lang, sources (array of struct<source, p, none>).
+    """
     found = {}
 
-    def add(frame):
-        lang, rows = frame["lang"].iloc[0], frame["sources"]
-        size = rows.map(len).to_numpy()
-        flat = pd.DataFrame([x for r in rows for x in r], columns=["source", "p", "none"])
-        name, source = np.unique(flat["source"].to_numpy(dtype=object), return_inverse=True)
-        p, none = flat["p"].to_numpy(np.int64), flat["none"].to_numpy(np.int64)
-        start = np.repeat(np.cumsum(size) - size, size)
-        width = np.repeat(size, size)
+    def add(lang, names, entries, sizes):
+        source, p, none = entries
+        start, width = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
         # Every entry beside each of its term's entries.
-        left = np.repeat(np.arange(len(flat)), width)
-        right = np.repeat(start, width) + np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width)
+        left, right = np.repeat(np.arange(len(source)), width), _ranges(start, width)
         left, right = left[left != right], right[left != right]
         if not len(left):
             return
         f = lambda x, y: (x - y) * (x - y) // y
         excess = f(p[left], p[right]) - f(p[left], none[right]) - f(none[left], p[right])
-        pair = source[left] * len(name) + source[right]
+        pair = source[left] * len(names) + source[right]
         order = np.argsort(pair, kind="stable")
         pair, excess = pair[order], excess[order]
-        at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        at = np.flatnonzero(_begins(pair))
         terms = np.diff(np.r_[at, len(pair)])
-        for k, n, low, high in zip(pair[at], terms, np.add.reduceat(excess & 0xFFFFFFFF, at), np.add.reduceat(excess >> 32, at), strict=True):
-            key = (lang, name[k // len(name)], name[k % len(name)])
+        # Summed in two halves, so that no sum overflows.
+        for k, n, low, high in zip(pair[at].tolist(), terms.tolist(), np.add.reduceat(excess & 0xFFFFFFFF, at).tolist(), np.add.reduceat(excess >> 32, at).tolist(), strict=True):
+            key = (lang, int(names[k // len(names)]), int(names[k % len(names)]))
             was = found.get(key, (0, 0))
-            found[key] = (was[0] + int(n), was[1] + int(low) + (int(high) << 32))
-
-    for frame in frames:
-        for _, part in frame.groupby("lang"):
-            # As many terms at a time as make COMPARE_ROWS * 16 pairs or one term.
-            heavy = part["sources"].map(lambda r: len(r) ** 2).cumsum() // (16 * COMPARE_ROWS)
-            for _, some in part.groupby(heavy.to_numpy()):
-                add(some)
+            found[key] = (was[0] + n, was[1] + low + (high << 32))
+
+    for part in _lots(batches, lambda b: b.num_rows / MERGE_ROWS):
+        code, langs = _codes(part.column("lang"))
+        lists = part.column("sources").combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        size, entries = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten()
+        names, source = np.unique(entries.field("source").to_numpy(), return_inverse=True)
+        p, none = entries.field("p").to_numpy(), entries.field("none").to_numpy()
+        start = np.cumsum(size) - size
+        for k, lang in enumerate(langs.to_pylist()):
+            rows = np.flatnonzero(code == k)
+            # As many terms at a time as make COMPARE_PAIRS pairs, or one term.
+            cut = np.cumsum(size[rows] ** 2) // COMPARE_PAIRS
+            for some in np.split(rows, np.flatnonzero(np.diff(cut)) + 1):
+                at = _ranges(start[some], size[some])
+                add(lang, names, (source[at], p[at], none[at]), size[some])
         if len(found) > 200_000:
-            yield _pairs_frame(found)
+            yield _pairs_batch(found)
             found = {}
-    yield _pairs_frame(found)
+    yield _pairs_batch(found)
 
 
-def _pairs_frame(found):
+def _pairs_batch(found):
     from decimal import Decimal
 
-    return pd.DataFrame([(*k, n, Decimal(x)) for k, (n, x) in found.items()], columns=["lang", "a", "b", "terms", "excess"])
+    rows = [(*k, n, Decimal(x)) for k, (n, x) in found.items()]
+    kinds = [("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("terms", pa.int64()), ("excess", pa.decimal128(38, 0))]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds])
 
 
 def audit_sources(docs, least=LEAST_DOCS, top=TOP):
@@ -178,26 +319,27 @@ def audit_sources(docs, least=LEAST_DOCS, top=TOP):
     values go by item.
     """
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    rows = docs.select(blank("lang"), blank("source"), blank("text"), F.monotonically_increasing_id().alias("doc"))
-    kept = reread(kept_terms(rows, least))
-    flat = kept.select("lang", "term", F.col("n").alias("whole"), F.explode("sources").alias("s")).select("lang", "term", "whole", "s.source", "s.n")
+    small_batches(docs.sparkSession, 1_000)
+    rows = source_keys(docs.select(blank("lang"), blank("source"), blank("text"), F.monotonically_increasing_id().alias("doc")))
+    kept = reread(kept_terms(rows.select("doc", "lang", F.col("key").alias("source"), "text"), least))
+    flat = kept.select("lang", "term", F.col("n").alias("whole"), F.explode("sources").alias("s")).select("lang", "term", "whole", F.col("s.source").alias("key"), "s.n")
     in_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_n"))
-    in_source = flat.groupBy("lang", "source").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
-    groups = rows.select("lang", "source").distinct().join(in_source, ["lang", "source"], "left").join(in_lang, "lang", "left")
+    in_source = flat.groupBy("lang", "key").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
+    groups = rows.select("lang", "source", "key").distinct().join(in_source, ["lang", "key"], "left").join(in_lang, "lang", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    groups = groups.select("lang", "source", zero("terms"), zero("n"), zero("v"), zero("lang_n"))
+    groups = groups.select("lang", "source", "key", zero("terms"), zero("n"), zero("v"), zero("lang_n"))
     # What a source gives a term that it hasn't; 1 where there are no terms at all.
-    groups = reread(groups.withColumn("none", F.when(F.col("v") > 0, share(F.lit(0), F.col("n") + F.col("v"))).otherwise(F.lit(1))).withColumn("total", F.col("n") + F.col("v")))
-    value = _pair_values(kept, flat, groups)
+    none = F.when(F.col("v") > 0, share(F.lit(0), F.col("n") + F.col("v"))).otherwise(F.lit(1))
+    groups = reread(groups.select("*", none.alias("none"), (F.col("n") + F.col("v")).alias("total"), (F.col("lang_n") + F.col("v")).alias("lang_total")))
     by_rank = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = value.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_rank).alias("rank"))
-    own = flat.where("n > 0").join(groups.select("lang", "source", "total", (F.col("lang_n") + F.col("v")).alias("lang_total")), ["lang", "source"])
+    pairs = _pair_values(flat, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_rank).alias("rank"))
+    own = flat.join(groups.select("lang", "key", "source", "total", "lang_total"), ["lang", "key"])
     own = own.select("lang", "source", F.col("term").alias("item"), share(F.col("n"), F.col("total")).alias("p"), share(F.col("whole"), F.col("lang_total")).alias("q")).where("p > q")
     own = own.select("lang", "source", "item", divergence(F.col("p"), F.col("q")).alias("value")).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= top)
     return pairs.unionByName(own.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
 
 
-def _pair_values(kept, flat, groups):
+def _pair_values(flat, groups):
     """lang, source, item (each other source of the lang), value.
 
     Most terms are missing in most sources, where p is the source's `none`. The
@@ -206,21 +348,23 @@ def _pair_values(kept, flat, groups):
     the divergence of both `none`s for each term of neither.
     """
     # Per source, how many terms have each count: far fewer rows than terms.
-    counts = flat.groupBy("lang", "source", "n").agg(F.count("*").alias("k")).join(groups.select("lang", "source", "total"), ["lang", "source"])
-    counts = counts.select("lang", "source", share(F.col("n"), F.col("total")).alias("p"), "k")
-    other = groups.select("lang", F.col("source").alias("item"), "none")
+    counts = flat.groupBy("lang", "key", "n").agg(F.count("*").alias("k")).join(groups.select("lang", "key", "total"), ["lang", "key"])
+    counts = counts.select("lang", "key", share(F.col("n"), F.col("total")).alias("p"), "k")
     f = lambda p, q: divergence(p, q).cast("decimal(28,0)")
-    against = counts.join(other, "lang").where("source <> item")
-    sums = against.groupBy("lang", "source", "item").agg(F.sum(F.col("k") * f(F.col("p"), F.col("none"))).alias("ours"), F.sum(F.col("k") * f(F.col("none"), F.col("p"))).alias("theirs"))
-    with_p = flat.join(groups.select("lang", "source", "total", "none"), ["lang", "source"])
-    listed = with_p.groupBy("lang", "term").agg(F.collect_list(F.struct("source", share(F.col("n"), F.col("total")).alias("p"), "none")).alias("sources"))
-    both = listed.where(F.size("sources") > 1).select("lang", "sources").mapInPandas(_shared_terms, SHARED)
-    both = both.groupBy("lang", "a", "b").agg(F.sum("terms").alias("both"), F.sum("excess").alias("excess")).withColumnsRenamed({"a": "source", "b": "item"})
-    pairs = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("terms").alias("item_terms"), F.col("none").alias("item_none")), "lang").where("source <> item")
-    found = pairs.join(sums.select("lang", "source", "item", "ours"), ["lang", "source", "item"], "left").join(sums.select("lang", F.col("source").alias("item"), F.col("item").alias("source"), "theirs"), ["lang", "source", "item"], "left").join(both, ["lang", "source", "item"], "left")
+    against = counts.join(groups.select("lang", F.col("key").alias("other"), "none"), "lang").where("key <> other")
+    sums = against.groupBy("lang", "key", "other").agg(F.sum(F.col("k") * f(F.col("p"), F.col("none"))).alias("ours"), F.sum(F.col("k") * f(F.col("none"), F.col("p"))).alias("theirs"))
+    with_p = flat.join(groups.select("lang", "key", "total", "none"), ["lang", "key"])
+    listed = with_p.groupBy("lang", "term").agg(F.collect_list(F.struct(F.col("key").alias("source"), share(F.col("n"), F.col("total")).alias("p"), "none")).alias("sources"))
+    both = listed.where(F.size("sources") > 1).select("lang", "sources").mapInArrow(_shared_terms, SHARED)
+    both = both.groupBy("lang", F.col("a").alias("key"), F.col("b").alias("other")).agg(F.sum("terms").alias("both"), F.sum("excess").alias("excess"))
+    pairs = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("key").alias("other"), F.col("terms").alias("other_terms"), F.col("none").alias("other_none")), "lang").where("key <> other")
+    swapped = sums.select("lang", F.col("other").alias("key"), F.col("key").alias("other"), "theirs")
+    found = pairs
+    for part in (sums.drop("theirs"), swapped, both):
+        found = found.join(part, ["lang", "key", "other"], "left")
     given = lambda c: F.coalesce(c, F.lit(0))
-    neither = F.col("v") - F.col("terms") - F.col("item_terms") + given("both")
-    whole = given("ours") + given("theirs") + given("excess") + neither * f(F.col("none"), F.col("item_none"))
+    neither = F.col("v") - F.col("terms") - F.col("other_terms") + given("both")
+    whole = given("ours") + given("theirs") + given("excess") + neither * f(F.col("none"), F.col("other_none"))
     return found.select("lang", "source", "item", whole.cast("long").alias("value"))
 
 

@@ -7,14 +7,29 @@ PAIR = ("variant_id", "store_id")
 DAY_US = 86_400_000_000
 
 
-def build_price_intervals(observations):
-    """Intervals of equal price per (variant, store): started_at, ended_at (null: still open), old_price.
+def build_price_intervals(observations, carried=()):
+    """Intervals of equal price per (variant, store): started_at, ended_at (null: still open), old_price, and the carried columns of the row that opened it.
 
     An observation opens an interval only if its price differs from the one before.
     """
     w = Window.partitionBy(*PAIR).orderBy("ts")
     kept = observations.withColumn("old_price", F.lag("price").over(w)).where(~F.col("price").eqNullSafe(F.col("old_price")))
-    return kept.select("variant_id", "product_id", "store_id", "price", "old_price", F.col("ts").alias("started_at"), F.lead("ts").over(w).alias("ended_at"))
+    return kept.select("variant_id", "product_id", "store_id", "price", "old_price", F.col("ts").alias("started_at"), F.lead("ts").over(w).alias("ended_at"), *carried)
+
+
+def amend_price_intervals(changes, history, late):
+    """changes after observations that came too late for them: the pairs that late rows are of are built anew from their history and these, all others stay.
+
+    A late row may fall inside a closed interval, which it splits, or at an
+    interval's start, which it moves. history: all observations so far, as
+    intervals don't say when an equal price was seen again. Of rows of one pair
+    and time the lowest price counts.
+    """
+    touched = late.select(*PAIR).distinct()
+    columns = [*PAIR, "product_id", "ts", "price"]
+    rows = history.join(touched, list(PAIR), "left_semi").select(*columns).unionByName(late.select(*columns))
+    once = rows.groupBy(*PAIR, "ts").agg(F.min("product_id").alias("product_id"), F.min("price").alias("price"))
+    return changes.join(touched, list(PAIR), "left_anti").unionByName(build_price_intervals(once))
 
 
 def microseconds(start, end):

@@ -4,10 +4,9 @@ Plain Parquet has no MERGE: each function returns the new table, to be written
 beside the old one and swapped in.
 """
 
-from pyspark.sql import Window
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from pricelode.functions.normalize import strip_accents
 from pricelode.functions.statistics import sane
 from pricelode.operators.shaping import plausible_change
 
@@ -23,15 +22,23 @@ def upsert_brands(brands, incoming):
     return brands.select("brand_id", "name", "normalized_name").unionByName(new.select(F.xxhash64("normalized_name").alias("brand_id"), "name", "normalized_name"))
 
 
-def upsert_stores(stores, incoming):
-    """Match by domain, else by name (then domain and currency are taken over), else create."""
-    s = stores.select("store_id", "name", "domain", "currency")
-    by_domain = s.select(F.col("store_id").alias("d_id"), F.col("domain").alias("d_domain"))
-    by_name = s.select(F.col("store_id").alias("n_id"), F.col("name").alias("n_name"))
-    found = incoming.join(by_domain, incoming.domain == F.col("d_domain"), "left").join(by_name, incoming.name == F.col("n_name"), "left")
-    renamed = found.where("d_id is null and n_id is not null").select(F.col("n_id").alias("store_id"), F.col("domain").alias("new_domain"), F.col("currency").alias("new_currency"))
-    kept = s.join(renamed, "store_id", "left").select("store_id", "name", F.coalesce("new_domain", "domain").alias("domain"), F.coalesce("new_currency", "currency").alias("currency"))
-    new = found.where("d_id is null and n_id is null").select(F.xxhash64("domain").alias("store_id"), "name", "domain", "currency")
+def upsert_stores(stores, incoming, region=None):
+    """Match by domain, else by name (then domain and currency are taken over), else create.
+
+    A domain that comes several times is one store, under its least name; of
+    stored stores that share a name the least id is meant, and it takes over the
+    least of several new domains. region: a function of the domain's column for
+    new stores; without it, or a region column, regions stay null.
+    """
+    given = lambda df, c: (F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c)
+    s = stores.select("store_id", "name", "domain", "currency", given(stores, "region"))
+    once = incoming.groupBy("domain").agg(F.min(F.struct("name", "currency")).alias("r")).select("domain", "r.*")
+    unknown = once.join(s.select("domain").distinct(), "domain", "left_anti")
+    by_name = s.where("name is not null").groupBy("name").agg(F.min("store_id").alias("store_id"))
+    found = unknown.join(by_name, "name", "left")
+    renamed = found.where("store_id is not null").groupBy("store_id").agg(F.min(F.struct("domain", "currency")).alias("new"))
+    kept = s.join(renamed, "store_id", "left").select("store_id", "name", F.coalesce("new.domain", "domain").alias("domain"), F.coalesce("new.currency", "currency").alias("currency"), "region")
+    new = found.where("store_id is null").select(F.xxhash64("domain").alias("store_id"), "name", "domain", "currency", (region(F.col("domain")) if region else F.lit(None).cast("string")).alias("region"))
     return kept.unionByName(new)
 
 
@@ -50,29 +57,64 @@ def resolve_variant_identity(variants, incoming):
     return rows.select("store_id", "external_id", "product_id", "sku", F.coalesce("v1", "v2", F.xxhash64("store_id", "external_id")).alias("variant_id"), F.when(F.col("v1").isNotNull(), "external").when(F.col("v2").isNotNull(), "sku").otherwise("new").alias("how"))
 
 
-OFFER_COLUMNS = ("current_price", "old_price", "in_stock", "updated_at", "url", "original_currency", "exchange_rate", "exchange_rate_source", "parser_version")
+OFFER_COLUMNS = ("current_price", "old_price", "in_stock", "updated_at", "url", "original_currency", "exchange_rate", "exchange_rate_timestamp", "exchange_rate_source", "currency_source", "parser_version", "raw_snapshot_id")
+_OUTCOMES = {"r": "rejected", "s": "skipped", "i": "imported", "u": "updated"}
 
 
-def import_outcomes(offers, incoming):
-    """incoming with its outcome against the offers that stood before: rejected, skipped, imported or updated.
+def replay(offers, incoming):
+    """incoming with its outcome, and its place (`_at`) among the rows of its variant and store, which go by time.
 
-    Rejected rows have a reject_reason (or no price); skipped ones have an
-    insane price, or one that no plausible change leads to from the offer's.
+    Each row is held against the last accepted price before it: that of the
+    stored offer at first, then that of the last row which was imported or
+    updated the offer. Rows of one time go from the highest price down. The rows
+    of one variant and store in one batch are folded in one array, with a letter
+    for each row as the only thing that grows.
     """
-    before = offers.select("variant_id", "store_id", F.col("current_price").alias("price_before"), F.lit(True).alias("known"))
-    rows = incoming.join(before, ["variant_id", "store_id"], "left")
+    keys = ["variant_id", "store_id"]
+    before = offers.select(*keys, F.col("current_price").alias("_before"), F.lit(True).alias("_known"))
     price = F.col("current_price")
     rejected = price.isNull() | (F.col("reject_reason").isNotNull() if "reject_reason" in incoming.columns else F.lit(False))
-    taken = sane(price) & plausible_change(price, F.col("price_before"))
-    outcome = F.when(rejected, "rejected").when(~taken, "skipped").when(F.col("known"), "updated").otherwise("imported")
-    return rows.withColumn("outcome", outcome).drop("price_before", "known")
+    rest = [c for c in incoming.columns if c not in (*keys, "updated_at")]
+    row = F.struct("updated_at", (-price).alias("_down"), rejected.alias("_rejected"), *rest)
+    lots = incoming.select(*keys, row.alias("r")).groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("rows")).join(before, keys, "left")
+    kind = incoming.schema["current_price"].dataType
+
+    def step(acc, r):
+        good = ~r["_rejected"] & F.coalesce(sane(r["current_price"]) & plausible_change(r["current_price"], acc["price"]), F.lit(False))
+        letter = F.when(r["_rejected"], "r").when(~good, "s").when(acc["known"], "u").otherwise("i")
+        return F.struct(F.when(good, r["current_price"]).otherwise(acc["price"]).cast(kind).alias("price"), (acc["known"] | good).alias("known"), F.concat(acc["said"], letter).alias("said"))
+
+    start = F.struct(F.col("_before").cast(kind).alias("price"), F.coalesce("_known", F.lit(False)).alias("known"), F.lit("").alias("said"))
+    folded = lots.select(*keys, "rows", F.aggregate("rows", start, step, lambda acc: acc["said"]).alias("said"))
+    flat = folded.select(*keys, "said", F.posexplode("rows").alias("_at", "r"))
+    letter = F.substring("said", F.col("_at") + 1, F.lit(1))
+    outcome = F.element_at(F.create_map(*[F.lit(x) for pair in _OUTCOMES.items() for x in pair]), letter)
+    return flat.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in incoming.columns], outcome.alias("outcome"), "_at")
+
+
+def import_outcomes(offers, incoming):
+    """incoming with its outcome: rejected, skipped, imported or updated.
+
+    Rejected rows have a reject_reason (or no price); skipped ones have an
+    insane price, or one that no plausible change leads to from the last
+    accepted price, be that the stored offer's or an earlier row's (replay).
+    """
+    return replay(offers, incoming).drop("_at")
+
+
+def accepted(observations, price="price", ts="ts"):
+    """Observations that a replay from nothing accepts; jumps beyond plausible changes go."""
+    keys = ["variant_id", "store_id"]
+    none = observations.sparkSession.createDataFrame([], "variant_id long, store_id long, current_price double")
+    rows = replay(none, observations.withColumnsRenamed({price: "current_price", ts: "updated_at"}))
+    return rows.where(F.col("outcome").isin("imported", "updated")).drop("outcome", "_at").withColumnsRenamed({"current_price": price, "updated_at": ts}).select(*keys, *[c for c in observations.columns if c not in keys])
 
 
 def upsert_offers(offers, incoming):
-    """The newest accepted row of each variant and store; without one the offer stays as it is.
+    """The last accepted row of each variant and store; without one the offer stays as it is.
 
-    Accepted are sane prices within a plausible change of the offer that stood
-    before (import_outcomes). A row brings its own stated old price, url and
+    Accepted are sane prices within a plausible change of the last accepted
+    price (replay). A row brings its own stated old price, url, snapshot and
     currency provenance; what either table lacks is null. Of rows of one time
     the lowest price wins.
     """
@@ -80,19 +122,57 @@ def upsert_offers(offers, incoming):
     kinds = {f.name: f.dataType for df in (incoming, offers) for f in df.schema.fields}
     kinds.setdefault("old_price", kinds["current_price"])
     columns = [c for c in OFFER_COLUMNS if c in kinds]
-    whole = lambda df: df.select(*keys, *[(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
-    taken = import_outcomes(offers, incoming).where(F.col("outcome").isin("imported", "updated"))
-    both = whole(offers).withColumn("_new", F.lit(0)).unionByName(whole(taken).withColumn("_new", F.lit(1)))
-    row = F.struct(*columns)
-    last = both.groupBy(*keys).agg(F.max_by(row, F.struct("_new", "updated_at", -F.col("current_price"))).alias("o"))
+    whole = lambda df, at: df.select(*keys, *[(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns], at.alias("_at"))
+    taken = replay(offers, incoming).where(F.col("outcome").isin("imported", "updated"))
+    both = whole(offers, F.lit(-1)).unionByName(whole(taken, F.col("_at")))
+    last = both.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_at").alias("o"))
     return last.select(*keys, "o.*")
 
 
-def import_counters(outcomes):
-    """Per store: imported, updated, skipped, converted and rejected rows of an import."""
+def offer_bucket(buckets):
+    """The partition of an offers table that holds a variant and store."""
+    return F.pmod(F.xxhash64("variant_id", "store_id"), F.lit(buckets)).cast("int")
+
+
+def write_offers(offers, path, buckets=256):
+    """A new offers table at path, partitioned by bucket, to be kept up by merge_offers with as many buckets."""
+    rows = offers.drop("bucket").withColumn("bucket", offer_bucket(buckets))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
+
+
+def merge_offers(incoming, path, buckets=256):
+    """Upsert incoming rows into the offers table at path; only the buckets that they fall into are read and rewritten.
+
+    Spark swaps in whole partitions (dynamic overwrite): the files of all other
+    buckets stay as they are. A run that is tried again gives the same table.
+    """
+    spark = incoming.sparkSession
+    rows = incoming.withColumn("bucket", offer_bucket(buckets))
+    # At most as many numbers as there are buckets; they prune the scan.
+    touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+    if not touched:
+        return
+    stored = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+    merged = upsert_offers(stored, incoming).withColumn("bucket", offer_bucket(buckets))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _counters():
     n = lambda name: F.count_if(F.col("outcome") == name).alias(name)
     converted = F.count_if((F.col("outcome") != "rejected") & (F.col("original_currency") != "USD")).alias("converted")
-    return outcomes.groupBy("store_id").agg(n("imported"), n("updated"), n("skipped"), converted, n("rejected"))
+    return n("imported"), n("updated"), n("skipped"), converted, n("rejected")
+
+
+def import_counters(outcomes):
+    """Per store: imported, updated, skipped, converted and rejected rows of an import."""
+    return outcomes.groupBy("store_id").agg(*_counters())
+
+
+def write_counted(outcomes, path):
+    """Append outcomes to the table at path; returns the counters of the whole import, observed while the rows were written."""
+    seen = Observation("import")
+    outcomes.observe(seen, *_counters()).write.mode("append").parquet(path)
+    return seen.get
 
 
 def import_summary(results):
@@ -119,9 +199,21 @@ def update_store_sync(stores, results):
 
 
 def merge_brands(brands):
-    """brand_id and the survivor among brands whose names agree without accents and case."""
-    key = F.lower(strip_accents(F.trim("name")))
-    return brands.select("brand_id", key.alias("key")).withColumn("survivor", F.min("brand_id").over(Window.partitionBy("key"))).select("brand_id", "survivor")
+    """brand_id and the survivor, the least id, among brands whose names agree without accents and case.
+
+    Names are compared by Spark's accent- and case-insensitive Unicode
+    collation, without Python. A null name agrees with no other.
+    """
+    key = F.collate(F.trim("name"), "UNICODE_CI_AI")
+    rows = brands.select("brand_id", key.alias("key"))
+    least = rows.where("key is not null").groupBy("key").agg(F.min("brand_id").alias("survivor"))
+    return rows.join(least, "key", "left").select("brand_id", F.coalesce("survivor", "brand_id").alias("survivor"))
+
+
+def repoint_products(products, survivors):
+    """products (brand_id, ...) of the surviving brands, and the brands that are left without products of their own."""
+    moved = products.join(survivors.where("brand_id <> survivor"), "brand_id", "left").withColumn("brand_id", F.coalesce("survivor", "brand_id")).select(*products.columns)
+    return moved, survivors.where("brand_id <> survivor").select("brand_id")
 
 
 def duplicate_groups(variants):

@@ -52,6 +52,6 @@ def append_price_history(fx):
 def rebuild_overwrite(fx):
     folder = shared_folder(fx.spark, "matches")
     rows = fx.matches.select("canonical_variant_id", "matched_variant_id", "match_method")
-    L.rebuild_overwrite(rows.where("match_method = 'ean_gtin'"), f"{folder}/table", f"{folder}/staging")
-    L.rebuild_overwrite(rows, f"{folder}/table", f"{folder}/staging")
-    return fx.spark.read.parquet(f"{folder}/table")
+    L.rebuild_overwrite(rows.where("match_method = 'ean_gtin'"), folder)
+    L.rebuild_overwrite(rows, folder)
+    return L.read_versioned(fx.spark, folder)

@@ -217,5 +217,6 @@ def with_fixtures(sql):
     heads = [f"{name} AS MATERIALIZED ({SQL[name]})" for name in SQL if name in need]
     body = sql.strip()
     if heads:
-        body = "WITH " + ", ".join(heads) + (", " + body[4:].lstrip() if body[:5].upper() == "WITH " else " " + body)
+        more = re.match(r"WITH( RECURSIVE)?\s+", body)
+        body = f"WITH{more[1] or '' if more else ''} " + ", ".join(heads) + (", " + body[more.end() :] if more else " " + body)
     return body.replace("$AS_OF", f"TIMESTAMP '{AS_OF}'")

@@ -11,6 +11,7 @@ from pricelode.session import shared_folder
 from pricelode.sources import landing as L
 
 from .catalog import query
+from .fixtures import pick
 
 CURRENCY_CASE = "CASE WHEN d LIKE '%.kr' THEN 'KRW' WHEN d LIKE '%.jp' THEN 'JPY' WHEN d LIKE '%.de' THEN 'EUR' WHEN d LIKE '%.uk' THEN 'GBP' END"
 
@@ -24,12 +25,15 @@ def rates(fx):
     return fx.spark.createDataFrame([(k, v) for k, v in N.FALLBACK_RATES.items()], "currency string, rate string")
 
 
-def priced(fx):
+def priced_rows(fx):
     rows = fx.offers.join(fx.stores.select("store_id", "domain", "currency"), "store_id")
     # A fifth of the stores state no currency, another states one that is not supported.
     stated = F.when(F.col("store_id") % 5 == 0, F.lit(None)).when(F.col("store_id") % 5 == 1, F.lit("XYZ")).otherwise(F.col("currency"))
-    rows = rows.select("variant_id", F.col("current_price").alias("price"), F.concat(F.lit("https://"), "domain").alias("url"), stated.alias("api_currency"))
-    return N.normalize_prices(rows, rates(fx))
+    return rows.select("variant_id", F.col("current_price").alias("price"), F.concat(F.lit("https://"), "domain").alias("url"), stated.alias("api_currency"))
+
+
+def priced(fx):
+    return N.normalize_prices(priced_rows(fx), rates(fx))
 
 
 PRICED = f"""fx_rates(currency, rate) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in N.FALLBACK_RATES.items())}),
@@ -51,9 +55,16 @@ def broadcast_fx(fx):
     return priced(fx).groupBy("currency").agg(F.count("*").alias("n"), F.count(F.when(F.col("currency") != "USD", F.col("rate"))).alias("rated"))
 
 
-@query("quarantine_currency_errors", f"WITH {PRICED} SELECT variant_id, 'unknown_currency' AS reject_reason FROM fx_priced WHERE bad")
+@query(
+    "quarantine_currency_errors",
+    f"""WITH {PRICED} SELECT variant_id, CASE WHEN bad AND variant_id % 2 = 0 THEN 'unsupported_currency' WHEN bad THEN 'unknown_currency' ELSE 'missing_rate' END AS reject_reason FROM fx_priced WHERE bad OR currency = 'GBP'""",
+)
 def quarantine_currency_errors(fx):
-    return L.quarantine(priced(fx))[1].select("variant_id", "reject_reason")
+    """Rejected for each of three reasons: no known currency, a default that isn't supported, and a currency without a rate."""
+    rows, known = priced_rows(fx), rates(fx).where("currency <> 'GBP'")
+    odd = L.quarantine(N.normalize_prices(rows.where("variant_id % 2 = 1"), known))[1]
+    even = L.quarantine(N.normalize_prices(rows.where("variant_id % 2 = 0"), known, default_currency="XAU"))[1]
+    return odd.unionByName(even).select("variant_id", "reject_reason")
 
 
 @query("with_provenance", f"WITH {PRICED} SELECT variant_id, CASE WHEN currency <> 'USD' THEN 'fixer_io' END AS exchange_rate_source, 'v1' AS parser_version FROM fx_priced WHERE NOT bad")
@@ -210,11 +221,18 @@ def upsert_brands(fx):
     return U.upsert_brands(old, fx.products.select(F.col("brand").alias("name"))).select("normalized_name", (F.col("brand_id") == -1).alias("old"))
 
 
-@query("upsert_stores", "SELECT name, CASE WHEN store_id % 3 = 1 THEN 'new-' || domain ELSE domain END AS domain FROM fx_stores")
+@query(
+    "upsert_stores",
+    """SELECT name, CASE WHEN store_id % 3 = 1 THEN 'new-' || domain ELSE domain END AS domain, store_id % 3 < 2 AS old,
+ CASE WHEN store_id % 3 < 2 THEN 'OLD' WHEN domain LIKE '%.co.uk' THEN 'GB' WHEN domain LIKE '%.de' THEN 'DE' WHEN domain LIKE '%.jp' THEN 'JP' END AS region FROM fx_stores""",
+)
 def upsert_stores(fx):
-    old = fx.stores.where("store_id % 3 < 2")
+    """Known domains, new domains of known names, and new stores, each of which comes twice under two names."""
+    old = fx.stores.where("store_id % 3 < 2").withColumn("region", F.lit("OLD"))
     incoming = fx.stores.select("name", F.when(F.col("store_id") % 3 == 1, F.concat(F.lit("new-"), "domain")).otherwise(F.col("domain")).alias("domain"), "currency")
-    return U.upsert_stores(old, incoming).select("name", "domain")
+    again = incoming.withColumn("name", F.concat("name", F.lit(" again")))
+    out = U.upsert_stores(old, incoming.unionByName(again), N.detect_region)
+    return out.join(old.select("store_id", F.lit(True).alias("was")), "store_id", "left").select("name", "domain", F.coalesce("was", F.lit(False)).alias("old"), "region")
 
 
 @query("upsert_products", "SELECT brand, canonical_name, count(*) FILTER (product_id % 2 = 0) > 0 AS old FROM fx_products GROUP BY ALL")
@@ -234,12 +252,26 @@ def resolve_variant_identity(fx):
 RATE_OF = "CASE currency WHEN 'USD' THEN 1.0 " + " ".join(f"WHEN '{k}' THEN {float(v)!r}" for k, v in N.FALLBACK_RATES.items()) + " END"
 
 
+def jumpy(fx):
+    """Observations, and after each of every fifth product's three more within the hour: a bit lower, nine times as high, a bit higher."""
+    more = F.array(*[F.struct(F.lit(minutes).alias("m"), F.lit(factor).alias("f")) for minutes, factor in JUMPS])
+    each = fx.obs.withColumn("j", F.explode(F.when(F.col("product_id") % 5 == 0, more).otherwise(F.slice(more, 1, 1))))
+    price = F.round(F.col("price") * F.col("j.f").cast("decimal(4,1)"), 2).cast("decimal(12,2)")
+    return each.withColumn("price", price).withColumn("ts", F.timestamp_add("MINUTE", F.col("j.m"), F.col("ts"))).drop("j")
+
+
+#: Minutes after an observation, and the factor of its price.
+JUMPS = ((0, "1.0"), (10, "0.9"), (20, "9.0"), (30, "1.2"))
+JUMPY = f"""fx_jumps AS (SELECT * REPLACE (ts + to_minutes(j[1]::INTEGER) AS ts, floor(round(price * 100) * round(j[2] * 10) / 10 + 0.5) / 100 AS price)
+  FROM (SELECT *, unnest(CASE WHEN product_id % 5 = 0 THEN [{', '.join(f'[{m}, {f}]' for m, f in JUMPS)}] ELSE [[0, 1.0]] END) AS j FROM fx_obs))"""
+
+
 def catalogue_rows(fx):
-    """Observations as priced catalogue rows: stated old price, url, currency and rate; every thirteenth names no known currency, some prices are beyond all bounds."""
+    """Observations with planted jumps as priced catalogue rows: stated old price, url, currency and rate; every thirteenth names no known currency, some prices are beyond all bounds."""
     s = fx.stores.select("store_id", "domain", "currency")
     price = F.when(F.col("variant_id") % 17 == 0, F.col("price") * 40).otherwise(F.col("price")).cast("decimal(12,2)")
     rate = F.create_map(*[x for k, v in {"USD": "1", **N.FALLBACK_RATES}.items() for x in (F.lit(k), F.lit(v).cast("decimal(12,6)"))])[F.col("currency")]
-    return fx.obs.join(s, "store_id").select(
+    return jumpy(fx).join(s, "store_id").select(
         "variant_id",
         "store_id",
         price.alias("current_price"),
@@ -261,36 +293,63 @@ def stood(rows):
     return old.groupBy("variant_id", "store_id").agg(F.max(F.struct("updated_at", *[c for c in kept if c != "updated_at"])).alias("o")).select("variant_id", "store_id", "o.*")
 
 
-CATALOGUE = f"""fx_rows AS (SELECT variant_id, o.store_id, CASE WHEN variant_id % 17 = 0 THEN round(price * 40, 2) ELSE price END AS current_price, CASE WHEN variant_id % 3 = 0 THEN round(price * 2, 2) END AS old_price, in_stock, ts, 'https://' || domain || '/products/' || variant_id AS url, currency AS original_currency,
-  {RATE_OF} AS exchange_rate, CASE WHEN currency <> 'USD' THEN 'fixer_io' END AS exchange_rate_source, variant_id % 13 = 0 AS bad FROM fx_obs o JOIN fx_stores s ON s.store_id = o.store_id),
+CATALOGUE = f"""RECURSIVE {JUMPY}, fx_rows AS (SELECT variant_id, o.store_id, CASE WHEN variant_id % 17 = 0 THEN round(price * 40, 2) ELSE price END AS current_price, CASE WHEN variant_id % 3 = 0 THEN round(price * 2, 2) END AS old_price, in_stock, ts, 'https://' || domain || '/products/' || variant_id AS url, currency AS original_currency,
+  {RATE_OF} AS exchange_rate, CASE WHEN currency <> 'USD' THEN 'fixer_io' END AS exchange_rate_source, variant_id % 13 = 0 AS bad FROM fx_jumps o JOIN fx_stores s ON s.store_id = o.store_id),
  fx_stood AS (SELECT * FROM fx_rows WHERE ts < TIMESTAMP '2024-03-01' AND NOT bad AND variant_id % 17 <> 0 QUALIFY row_number() OVER (PARTITION BY variant_id, store_id ORDER BY ts DESC) = 1),
- fx_in AS (SELECT r.*, s.current_price AS before, s.variant_id IS NOT NULL AS known, CASE WHEN r.bad THEN 'rejected' WHEN NOT (r.current_price > 0 AND r.current_price <= 20000) OR NOT (s.current_price IS NULL OR s.current_price <= 0 OR r.current_price::DOUBLE / s.current_price::DOUBLE BETWEEN 0.25 AND 4) THEN 'skipped' WHEN s.variant_id IS NOT NULL THEN 'updated' ELSE 'imported' END AS outcome
-  FROM fx_rows r LEFT JOIN fx_stood s ON s.variant_id = r.variant_id AND s.store_id = r.store_id WHERE r.ts >= TIMESTAMP '2024-03-01')"""
+ fx_seq AS (SELECT *, row_number() OVER (PARTITION BY variant_id, store_id ORDER BY ts, current_price DESC) AS k FROM fx_rows WHERE ts >= TIMESTAMP '2024-03-01'),
+ fx_fold AS (
+  SELECT q.variant_id, q.store_id, 0::BIGINT AS k, s.current_price AS base, s.variant_id IS NOT NULL AS known, NULL::VARCHAR AS outcome
+  FROM (SELECT DISTINCT variant_id, store_id FROM fx_seq) q LEFT JOIN fx_stood s ON s.variant_id = q.variant_id AND s.store_id = q.store_id
+  UNION ALL
+  SELECT variant_id, store_id, k, CASE WHEN outcome IN ('imported', 'updated') THEN current_price ELSE base END, known OR outcome = 'imported', outcome
+  FROM (SELECT q.*, f.base, f.known, CASE WHEN bad THEN 'rejected' WHEN NOT (current_price > 0 AND current_price <= 20000) OR NOT (base IS NULL OR base <= 0 OR current_price::DOUBLE / base::DOUBLE BETWEEN 0.25 AND 4) THEN 'skipped' WHEN known THEN 'updated' ELSE 'imported' END AS outcome
+   FROM fx_fold f JOIN fx_seq q ON q.variant_id = f.variant_id AND q.store_id = f.store_id AND q.k = f.k + 1)
+ ),
+ fx_in AS (SELECT q.*, f.outcome FROM fx_seq q JOIN fx_fold f USING (variant_id, store_id, k))"""
 OFFER_OUT = "variant_id, store_id, current_price, old_price, in_stock, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, url, original_currency, exchange_rate, exchange_rate_source"
+UPSERTED = f"""WITH {CATALOGUE}, fx_both AS (SELECT {OFFER_OUT}, 0 AS k FROM fx_stood UNION ALL SELECT {OFFER_OUT}, k FROM fx_in WHERE outcome IN ('imported', 'updated'))
+ SELECT * EXCLUDE (k) FROM fx_both QUALIFY row_number() OVER (PARTITION BY variant_id, store_id ORDER BY k DESC) = 1"""
 
 
-@query(
-    "upsert_offers",
-    f"""WITH {CATALOGUE}, fx_both AS (SELECT {OFFER_OUT}, 0 AS new FROM fx_stood UNION ALL SELECT {OFFER_OUT}, 1 FROM fx_in WHERE outcome IN ('imported', 'updated'))
- SELECT * EXCLUDE (new) FROM fx_both QUALIFY row_number() OVER (PARTITION BY variant_id, store_id ORDER BY new DESC, updated_at DESC) = 1""",
-    hold=True,
-)
+def timed(offers):
+    return offers.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("upsert_offers", UPSERTED, hold=True)
 def upsert_offers(fx):
     rows = catalogue_rows(fx)
-    out = U.upsert_offers(stood(rows), rows.where("updated_at >= timestamp '2024-03-01'"))
-    return out.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+    return timed(U.upsert_offers(stood(rows), rows.where("updated_at >= timestamp '2024-03-01'")))
 
 
-@query(
-    "import_counters",
-    f"WITH {CATALOGUE} SELECT store_id, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome <> 'rejected' AND original_currency <> 'USD') AS converted, count(*) FILTER (outcome = 'rejected') AS rejected FROM fx_in GROUP BY 1",
-    hold=True,
-)
+@query("merge_offers", UPSERTED, hold=True)
+def merge_offers(fx):
+    """The same upsert into a table of buckets, a store's rows after another's: each lot rewrites the buckets it falls into."""
+    folder, rows = shared_folder(fx.spark, "buckets"), fx.kept(catalogue_rows(fx), "rows")
+    U.write_offers(stood(rows), folder, 16)
+    new = rows.where("updated_at >= timestamp '2024-03-01'")
+    for part in (0, 1):
+        U.merge_offers(new.where(F.col("store_id") % 2 == part), folder, 16)
+    return timed(fx.spark.read.parquet(folder).drop("bucket"))
+
+
+COUNTED = """count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome <> 'rejected' AND original_currency <> 'USD') AS converted, count(*) FILTER (outcome = 'rejected') AS rejected"""
+
+
+@query("import_counters", f"WITH {CATALOGUE} SELECT store_id, {COUNTED} FROM fx_in GROUP BY 1", hold=True)
 def import_counters(fx):
     rows = catalogue_rows(fx)
     return U.import_counters(U.import_outcomes(stood(rows), rows.where("updated_at >= timestamp '2024-03-01'")))
 
 
+@query("live_import_counters", f"WITH {CATALOGUE} SELECT {COUNTED} FROM fx_in", hold=True)
+def live_import_counters(fx):
+    """What a write of outcomes observes on its way, without a second pass."""
+    rows = catalogue_rows(fx)
+    outcomes = U.import_outcomes(stood(rows), rows.where("updated_at >= timestamp '2024-03-01'"))
+    counts = U.write_counted(outcomes, shared_folder(fx.spark, "outcomes"))
+    return fx.spark.range(1).select(*[F.lit(n).alias(name) for name, n in counts.items()])
+
+
 def sync_results(fx):
     """Two results for every second store: an error, and an hour later a success with its number of offers."""
     even = fx.stores.where("store_id % 2 = 0")
@@ -321,11 +380,23 @@ def import_summary(fx):
     return U.import_summary(sync_results(fx))
 
 
+def spelt(fx):
+    """Customers as brands, whose names differ by nation, and within one by case and accents."""
+    c = fx.table("customer")
+    way = pick(("Café Öresund ", "CAFE ORESUND ", " cafe\u0301 o\u0308resund ", "Cafè ÖRESUND "), F.col("c_custkey") % 4)
+    return c.select(F.col("c_custkey").alias("brand_id"), F.concat(way, F.col("c_nationkey").cast("string"), F.lit(" ")).alias("name"))
+
+
 @query("merge_brands", "SELECT c_custkey AS brand_id, min(c_custkey) OVER (PARTITION BY c_nationkey) AS survivor FROM customer")
 def merge_brands(fx):
-    c = fx.table("customer")
-    name = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("Café ")).otherwise(F.lit("CAFE ")), F.col("c_nationkey").cast("string"))
-    return U.merge_brands(c.select(F.col("c_custkey").alias("brand_id"), name.alias("name")))
+    return U.merge_brands(spelt(fx))
+
+
+@query("repoint_products", "SELECT o_orderkey AS product_id, survivor AS brand_id FROM orders JOIN (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey) AS survivor FROM customer) ON c_custkey = o_custkey")
+def repoint_products(fx):
+    """Orders as products of their customers' brands, after these were merged."""
+    products = fx.table("orders").select(F.col("o_orderkey").alias("product_id"), F.col("o_custkey").alias("brand_id"))
+    return U.repoint_products(products, U.merge_brands(spelt(fx)))[0]
 
 
 def crowded(fx):
@@ -442,26 +513,58 @@ def propagate_gender(fx):
 
 
 def payloads(fx):
-    """Catalogue pages made of the products and their variants, a page per hundred products."""
+    """Catalogue pages made of the products and their variants, a page per hundred products; a third of the variants don't say whether they are available."""
     v = fx.variants.join(fx.offers.select("variant_id", "current_price", "in_stock"), "variant_id")
-    v = v.groupBy("product_id").agg(F.collect_list(F.struct(F.col("variant_id").alias("id"), "product_id", "sku", F.col("ean").alias("barcode"), F.col("size").alias("option1"), F.col("color").alias("option2"), F.col("current_price").cast("string").alias("price"), F.col("in_stock").alias("available"))).alias("variants"))
+    v = v.groupBy("product_id").agg(F.collect_list(F.struct(F.col("variant_id").alias("id"), "product_id", "sku", F.col("ean").alias("barcode"), F.col("size").alias("option1"), F.col("color").alias("option2"), F.col("current_price").cast("string").alias("price"), F.when(F.col("variant_id") % 3 != 0, F.col("in_stock")).alias("available"))).alias("variants"))
     p = fx.products.join(v, "product_id").select("product_id", F.struct(F.col("canonical_name").alias("title"), F.col("brand").alias("vendor"), F.col("category").alias("product_type"), F.replace("canonical_name", F.lit(" "), F.lit("-")).alias("handle"), "variants").alias("p"))
     return p.groupBy((F.col("product_id") / 100).cast("int").alias("store_id")).agg(F.to_json(F.struct(F.collect_list("p").alias("products"))).alias("payload")).withColumn("fetched_at", fx.as_of)
 
 
-@query("flatten_shop_snapshot", "SELECT variant_id AS external_variant_id, canonical_name AS title, p.brand AS vendor, v.sku, v.ean, current_price AS price, in_stock FROM fx_variants v JOIN fx_products p USING (product_id) JOIN fx_offers o USING (variant_id)")
+@query("flatten_shop_snapshot", "SELECT variant_id AS external_variant_id, canonical_name AS title, p.brand AS vendor, v.sku, v.ean, current_price AS price, in_stock OR variant_id % 3 = 0 AS in_stock FROM fx_variants v JOIN fx_products p USING (product_id) JOIN fx_offers o USING (variant_id)")
 def flatten_shop_snapshot(fx):
     return L.flatten_shop_snapshot(payloads(fx)).select("external_variant_id", "title", "vendor", "sku", "ean", "price", "in_stock")
 
 
-@query("append_raw_snapshot", "SELECT product_id // 100 AS store_id, count(DISTINCT product_id) AS products_count, 'v2' AS parser_version, '2024-04-15' AS fetched_on FROM fx_variants GROUP BY 1")
+def fetched(fx):
+    """Payloads with what their request and response say."""
+    store = F.col("store_id").cast("string")
+    headers = F.create_map(F.lit("Content-Type"), F.lit("application/json"), F.lit("X-Page"), store)
+    return payloads(fx).withColumns({"adapter_name": F.lit("shop"), "url": F.concat(F.lit("https://store"), store, F.lit(".de/products.json")), "http_status": F.lit(200), "headers": headers})
+
+
+@query("append_raw_snapshot", "SELECT product_id // 100 AS store_id, count(DISTINCT product_id) AS products_count, 'v2' AS parser_version, '2024-04-15' AS fetched_on, CAST(product_id // 100 AS VARCHAR) AS page, 200 AS http_status, count(DISTINCT product_id) AS listed FROM fx_variants GROUP BY 1")
 def append_raw_snapshot(fx):
-    """Two appends to one table, read back."""
+    """Two appends to one table, read back: headers, and the payload's own number of products."""
     folder = shared_folder(fx.spark, "raw")
-    snapshots = L.raw_snapshots(payloads(fx), "v2")
+    snapshots = L.raw_snapshots(fetched(fx), "v2")
     for part in (0, 1):
         L.append_raw_snapshot(snapshots.where(F.col("store_id") % 2 == part), folder)
-    return fx.spark.read.parquet(folder).select(F.col("store_id").cast("long").alias("store_id"), "products_count", "parser_version", F.col("fetched_on").cast("string").alias("fetched_on"))
+    listed = F.json_array_length(F.get_json_object(F.to_json("payload"), "$.products")).cast("long")
+    return fx.spark.read.parquet(folder).select(F.col("store_id").cast("long").alias("store_id"), "products_count", "parser_version", F.col("fetched_on").cast("string").alias("fetched_on"), F.col("response_headers")["x-page"].alias("page"), "http_status", listed.alias("listed"))
+
+
+@query(
+    "offer_lineage",
+    """SELECT variant_id, v.product_id // 100 AS page, 'EUR' AS original_currency, 'fixer_io' AS exchange_rate_source, CASE WHEN v.product_id // 100 % 2 = 0 THEN 'api' ELSE 'domain' END AS currency_source, '2024-04-15' AS rate_day, 'v2' AS parser_version, 1 AS snapshots, 1 AS intervals
+ FROM fx_variants v JOIN fx_offers o USING (variant_id) WHERE current_price / 0.92 <= 20000""",
+    hold=True,
+)
+def offer_lineage(fx):
+    """From landed payloads to offers and intervals, each of which is joined back to the one snapshot it came from."""
+    folder = shared_folder(fx.spark, "lineage")
+    L.append_raw_snapshot(L.raw_snapshots(fetched(fx), "v2"), folder)
+    snapshots = fx.spark.read.parquet(folder).where("payload is not null")
+    rows = L.flatten_shop_snapshot(snapshots).withColumn("url", F.concat(F.lit("https://store"), F.col("store_id").cast("string"), F.lit(".de")))
+    rows = rows.withColumn("api_currency", F.when(F.col("store_id") % 2 == 0, "EUR"))
+    good = L.with_provenance(L.quarantine(N.normalize_prices(rows, rates(fx)))[0], "v2")
+    lot = good.select(F.col("external_variant_id").alias("variant_id"), "store_id", F.col("usd_price").alias("current_price"), "in_stock", F.col("fetched_at").alias("updated_at"), "url", F.col("currency").alias("original_currency"), F.col("rate").alias("exchange_rate"), "exchange_rate_timestamp", "exchange_rate_source", "currency_source", "parser_version", "raw_snapshot_id")
+    none = lot.limit(0).select("variant_id", "store_id", "current_price")
+    offers = U.upsert_offers(none, lot)
+    taken = U.accepted(lot, "current_price", "updated_at").withColumnsRenamed({"current_price": "price", "updated_at": "ts"}).withColumn("product_id", F.lit(None).cast("long"))
+    intervals = I.build_price_intervals(taken, carried=("raw_snapshot_id",)).groupBy("variant_id", "store_id", "raw_snapshot_id").agg(F.count("*").alias("intervals"))
+    back = snapshots.groupBy(F.col("snapshot_id").alias("raw_snapshot_id")).agg(F.count("*").alias("snapshots"), F.max(F.col("response_headers")["x-page"]).cast("long").alias("page"))
+    out = offers.join(back, "raw_snapshot_id", "left").join(intervals, ["variant_id", "store_id", "raw_snapshot_id"], "left")
+    return out.select("variant_id", "page", "original_currency", "exchange_rate_source", "currency_source", F.date_format("exchange_rate_timestamp", "yyyy-MM-dd").alias("rate_day"), "parser_version", "snapshots", "intervals")
 
 
 @query("flatten_item_snapshot", "SELECT p_partkey AS external_variant_id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS vendor, p_retailprice AS price, p_partkey % 3 <> 0 AS in_stock FROM part")
@@ -486,5 +589,5 @@ def append_deal_alerts(fx):
     known = fx.stores.where("store_id % 7 <> 0")
     L.append_deal_alerts(alerts.where("canonical_id % 5 = 0"), known, folder)
     L.append_deal_alerts(alerts, known, folder)
-    log = fx.spark.read.parquet(folder)
+    log = fx.spark.read.parquet(folder).drop("bucket")
     return log.groupBy("fingerprint", "store_id", "canonical_id", "sku", "price").agg(F.count("*").cast("int").alias("n"))

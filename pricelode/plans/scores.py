@@ -8,11 +8,13 @@ from pricelode.operators import alerts as A
 from pricelode.operators import intervals as I
 from pricelode.operators import monitoring as O
 from pricelode.operators import quality as Q
-from pricelode.session import shared_folder
+from pricelode.operators.maintenance import accepted
+from pricelode.session import held, shared_folder
 from pricelode.streaming import streams as T
 
 from .catalog import query
 from .fixtures import BROKEN_CHANGES
+from .ingest import JUMPY, jumpy
 
 RELIABILITY = """fx_err AS (SELECT store_id, count(*) AS errors FROM fx_changes WHERE price > 15000 AND started_at > $AS_OF - INTERVAL 30 DAY GROUP BY 1),
  fx_r0 AS (SELECT s.store_id, name, sync_status AS st, epoch($AS_OF - last_successful_sync) / 3600 AS h, coalesce(errors, 0) AS e FROM fx_stores s LEFT JOIN fx_err USING (store_id) WHERE sync_status <> 'dead'),
@@ -209,14 +211,72 @@ def stream_upsert_offers(fx):
     return T.read_offers(fx.spark, f"{folder}/table").select("variant_id", "store_id", "price")
 
 
-@query("stream_price_intervals", "SELECT variant_id, store_id, price, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at FROM fx_changes")
+#: The last accepted price is the base of the next: each row of a pair in turn.
+REPLAYED = f"""RECURSIVE {JUMPY}, fx_seq AS (SELECT variant_id, store_id, ts, price, row_number() OVER (PARTITION BY variant_id, store_id ORDER BY ts) AS k FROM fx_jumps),
+ fx_fold AS (
+  SELECT DISTINCT variant_id, store_id, 0::BIGINT AS k, NULL::DOUBLE AS base, false AS taken FROM fx_seq
+  UNION ALL
+  SELECT variant_id, store_id, k, CASE WHEN taken THEN price ELSE base END, taken
+  FROM (SELECT q.*, f.base, price > 0 AND price <= 20000 AND (base IS NULL OR price::DOUBLE / base::DOUBLE BETWEEN 0.25 AND 4) AS taken FROM fx_fold f JOIN fx_seq q ON q.variant_id = f.variant_id AND q.store_id = f.store_id AND q.k = f.k + 1)
+ ),
+ fx_taken AS (SELECT q.* FROM fx_seq q JOIN fx_fold f USING (variant_id, store_id, k) WHERE taken)"""
+
+
+@query("accepted_observations", f"WITH {REPLAYED} SELECT variant_id, store_id, price, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM fx_taken")
+def accepted_observations(fx):
+    rows = jumpy(fx).select("variant_id", "store_id", "price", "ts")
+    return accepted(rows).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "stream_price_intervals",
+    f"""WITH {REPLAYED} SELECT variant_id, store_id, price, strftime(ts, '%Y-%m-%d %H:%M:%S') AS started_at FROM fx_taken
+ QUALIFY price IS DISTINCT FROM lag(price) OVER (PARTITION BY variant_id, store_id ORDER BY ts)""",
+    hold=True,
+)
 def stream_price_intervals(fx):
+    """Observations with planted jumps arrive in four lots, up to three days late; a row of the year 2100 lets the watermark pass all others."""
     with_state_store(fx)
-    out = streamed(fx, fx.obs.select("variant_id", "store_id", "ts", "price"), "intervals", T.stream_price_intervals)
+    folder = shared_folder(fx.spark, "intervals")
+    rows = jumpy(fx).select("variant_id", "store_id", "ts", F.col("price").cast("decimal(12,2)").alias("price"))
+    late = F.timestamp_add("HOUR", F.pmod(F.xxhash64("variant_id", "ts"), F.lit(72)).cast("int"), F.col("ts"))
+    lots = rows.withColumn("lot", F.floor((F.unix_timestamp(late) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / (30 * 86_400)))
+    rows = held(lots, "arrivals")
+    ends = fx.spark.range(1).select(F.lit(-1).cast("long").alias("variant_id"), F.lit(-1).cast("long").alias("store_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(1).cast("decimal(12,2)").alias("price"))
+    for lot in sorted(r.lot for r in rows.select("lot").distinct().collect()):  # a handful
+        rows.where(F.col("lot") == lot).drop("lot").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ends.write.mode("append").parquet(f"{folder}/in")
+    stream = fx.spark.readStream.schema(ends.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    T.stream_price_intervals(stream, "4 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = fx.spark.read.parquet(f"{folder}/out").where("variant_id >= 0")
     return out.select("variant_id", "store_id", F.col("price").cast("double").alias("price"), F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"))
 
 
-@query("stream_alert_cooldown")
+@query(
+    "amend_price_intervals",
+    "SELECT variant_id, store_id, price, old_price, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, strftime(ended_at, '%Y-%m-%d %H:%M:%S') AS ended_at FROM fx_changes",
+    hold=True,
+)
+def amend_price_intervals(fx):
+    """A tenth of all observations comes after the intervals were built; with these they are what they would have been."""
+    late = F.pmod(F.xxhash64("variant_id", "ts"), F.lit(10)) == 0
+    soon = fx.obs.where(~late)
+    out = I.amend_price_intervals(I.build_price_intervals(soon), soon, fx.obs.where(late))
+    return out.select("variant_id", "store_id", "price", "old_price", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started_at", "ended_at")])
+
+
+@query(
+    "stream_alert_cooldown",
+    """WITH RECURSIVE fx_seq AS (SELECT canonical_id, alert_id, epoch_us(sent_at) AS t, price, row_number() OVER (PARTITION BY canonical_id ORDER BY sent_at, alert_id) AS k FROM fx_alerts),
+ fx_fold AS (
+  SELECT DISTINCT canonical_id, 0::BIGINT AS k, NULL::BIGINT AS alert_id, NULL::DOUBLE AS price, []::STRUCT(t BIGINT, p DOUBLE)[] AS sent, false AS kept FROM fx_seq
+  UNION ALL
+  SELECT canonical_id, k, alert_id, price, CASE WHEN kept THEN list_append(recent, {'t': t, 'p': price::DOUBLE}) ELSE recent END, kept
+  FROM (SELECT *, len(recent) = 0 OR price < 0.95::DOUBLE * list_min(list_transform(recent, lambda x: x.p)) AS kept
+   FROM (SELECT q.*, list_filter(f.sent, lambda x: x.t > q.t - 86400000000) AS recent FROM fx_fold f JOIN fx_seq q ON q.canonical_id = f.canonical_id AND q.k = f.k + 1))
+ )
+ SELECT canonical_id, alert_id, price FROM fx_fold WHERE kept""",
+)
 def stream_alert_cooldown(fx):
     with_state_store(fx)
     return streamed(fx, fx.alerts.select("canonical_id", "alert_id", "sent_at", "price"), "cooldown", T.stream_alert_cooldown)

@@ -1,41 +1,83 @@
 """The stateful upserts as streams."""
 
+from decimal import Decimal
+
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-INTERVAL_STATE = StructType([StructField("price", StringType()), StructField("started_at", TimestampType())])
-INTERVALS = "variant_id long, store_id long, price string, old_price string, started_at timestamp, prev_ended_at timestamp"
+#: The last accepted price, whether a timer is set, and the rows that wait, as microseconds and price.
+PAIR_STATE = StructType([StructField("price", StringType()), StructField("timed", BooleanType()), StructField("waiting", StringType())])
+INTERVALS = "variant_id long, store_id long, price string, old_price string, at_us long"
 
 
 class IntervalProcessor(StatefulProcessor):
-    """Emits a new interval of a (variant, store) when the price differs from the open one; rows of a batch go by time."""
+    """Observations of a (variant, store) wait in state until the watermark has passed them, and are then replayed by time.
+
+    So the order in which they arrive doesn't matter, within the watermark's
+    delay. A price beyond plausible changes from the last accepted one is
+    skipped; one that differs from it opens an interval. While rows wait there
+    is one timer; when it rings, all rows that the watermark has passed are due.
+    """
 
     def init(self, handle):
-        self.open = handle.getValueState("open", INTERVAL_STATE)
+        self.handle = handle
+        # One value, read and written once a call, as each access crosses to the JVM.
+        self.pair = handle.getValueState("pair", PAIR_STATE)
+
+    def _wait_for(self, times):
+        self.handle.registerTimer(-(-min(times) // 1000))
 
     def handleInputRows(self, key, rows, timerValues):
-        new = sorted((t, p) for part in rows for t, p in zip(part["ts"], part["price"], strict=True))
-        # State is read and written once a batch, as each call crosses to the JVM.
-        before = self.open.get()
-        price, out = before[0] if before else None, []
-        for ts, p in new:
-            if p != price:
-                out.append((key[0], key[1], p, price, ts, ts if price is not None else None))
-                price = p
-        if out:
-            self.open.update((price, out[-1][4].to_pydatetime()))
-        yield pd.DataFrame(out, columns=["variant_id", "store_id", "price", "old_price", "started_at", "prev_ended_at"])
+        new = [(r.at_us, r.price) for r in rows]
+        price, timed, waiting = self.pair.get() or (None, False, "")
+        if not timed:
+            self._wait_for(t for t, _ in new)
+        self.pair.update((price, True, "".join([waiting, *(f"{t} {p};" for t, p in new)])))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        said, _, waiting = self.pair.get()
+        rows = [(int(t), p) for t, _, p in (x.partition(" ") for x in waiting.split(";") if x)]
+        due, later = sorted((t, -Decimal(p)) for t, p in rows if t <= passed), [x for x in rows if x[0] > passed]
+        price, out = None if said is None else Decimal(said), []
+        for at, (t, down) in enumerate(due):
+            # Of rows of one time the lowest price, which comes last, counts.
+            if at + 1 < len(due) and due[at + 1][0] == t:
+                continue
+            p = -down
+            if not plausible(price, p) or p == price:
+                continue
+            out.append(Row(variant_id=key[0], store_id=key[1], price=str(p), old_price=None if price is None else str(price), at_us=t))
+            price = p
+        if later:
+            self._wait_for(t for t, _ in later)
+        self.pair.update((None if price is None else str(price), bool(later), "".join(f"{t} {p};" for t, p in later)))
+        return iter(out)
 
     def close(self):
         pass
 
 
-def stream_price_intervals(observations):
-    """Openings of intervals, with the price and the instant at which the one before was closed."""
-    rows = observations.select("variant_id", "store_id", "ts", F.col("price").cast("string").alias("price"))
-    return rows.groupBy("variant_id", "store_id").transformWithStateInPandas(IntervalProcessor(), outputStructType=INTERVALS, outputMode="append", timeMode="None")
+def plausible(old, new, low=Decimal("0.25"), high=4, most=20000):
+    """A sane price, within a factor 4 of the last accepted one if there is one."""
+    return 0 < new <= most and (old is None or old <= 0 or low <= new / old <= high)
+
+
+def stream_price_intervals(observations, delay="7 days"):
+    """Openings of intervals, with the price and the instant at which the one before was closed.
+
+    An observation may come up to `delay` later than later ones; then the result
+    is that of the accepted observations in order of time. Still later ones are
+    dropped; amend_price_intervals works them into the written intervals.
+    """
+    rows = observations.select("variant_id", "store_id", "ts", F.unix_micros("ts").alias("at_us"), F.col("price").cast("string").alias("price")).withWatermark("ts", delay)
+    opened = rows.groupBy("variant_id", "store_id").transformWithState(IntervalProcessor(), outputStructType=INTERVALS, outputMode="append", timeMode="EventTime")
+    at = F.timestamp_micros("at_us")
+    return opened.select("variant_id", "store_id", "price", "old_price", at.alias("started_at"), F.when(F.col("old_price").isNotNull(), at).alias("prev_ended_at"))
 
 
 def stream_dedup_observations(observations, delay="7 days"):

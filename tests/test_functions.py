@@ -131,15 +131,93 @@ def test_upserts(spark):
     old = spark.createDataFrame([(1, 1, 10.0, True, at(1)), (2, 1, 5.0, True, at(1))], "variant_id int, store_id int, current_price double, in_stock boolean, updated_at timestamp")
     new = spark.createDataFrame([(1, 1, 8.0, True, at(2)), (3, 1, 7.0, False, at(2))], old.schema)
     assert {(r.variant_id, r.current_price, r.old_price) for r in U.upsert_offers(old, new).collect()} == {(1, 8.0, None), (2, 5.0, None), (3, 7.0, None)}
-    stated = spark.createDataFrame([(1, 1, 8.0, 12.0, at(2), "u1"), (1, 1, 2.0, None, at(3), "too low"), (2, 1, 25000.0, None, at(2), "insane"), (2, 1, 4.0, 6.0, at(0 + 1), "older"), (4, 1, 9.0, 9.5, at(2), "a"), (4, 1, 90.0, 9.5, at(3), "b")], "variant_id int, store_id int, current_price double, old_price double, updated_at timestamp, url string")
+    stated = spark.createDataFrame([(1, 1, 8.0, 12.0, at(2), "u1"), (1, 1, 1.5, None, at(3), "too low"), (2, 1, 25000.0, None, at(2), "insane"), (2, 1, 4.0, 6.0, at(0 + 1), "older"), (4, 1, 9.0, 9.5, at(2), "a"), (4, 1, 90.0, 9.5, at(3), "b")], "variant_id int, store_id int, current_price double, old_price double, updated_at timestamp, url string")
     got = {r.variant_id: (r.current_price, r.old_price, r.url, r.in_stock) for r in U.upsert_offers(old, stated).collect()}
-    assert got == {1: (8.0, 12.0, "u1", None), 2: (4.0, 6.0, "older", None), 4: (90.0, 9.5, "b", None)}
+    assert got == {1: (8.0, 12.0, "u1", None), 2: (4.0, 6.0, "older", None), 4: (9.0, 9.5, "a", None)}
     outcomes = {(r.variant_id, r.current_price): r.outcome for r in U.import_outcomes(old, stated).collect()}
-    assert outcomes == {(1, 8.0): "updated", (1, 2.0): "skipped", (2, 25000.0): "skipped", (2, 4.0): "updated", (4, 9.0): "imported", (4, 90.0): "imported"}
+    assert outcomes == {(1, 8.0): "updated", (1, 1.5): "skipped", (2, 25000.0): "skipped", (2, 4.0): "updated", (4, 9.0): "imported", (4, 90.0): "skipped"}
     brands = spark.createDataFrame([(4, "Café"), (2, "CAFE "), (9, "Other")], "brand_id int, name string")
     assert {(r.brand_id, r.survivor) for r in U.merge_brands(brands).collect()} == {(4, 2), (2, 2), (9, 9)}
 
 
+def test_prices_are_held_against_the_last_accepted_one(spark):
+    at = lambda minute: dt.datetime(2024, 1, 2, 0, minute)
+    kinds = "variant_id long, store_id long, current_price double, updated_at timestamp, reject_reason string"
+    rows = [(1, 1, p, at(k), None) for k, p in enumerate((10.0, 9.0, 90.0, 12.0, None))] + [(2, 1, 10.0, at(0), None), (2, 1, 9.0, at(0), None), (2, 1, 30.0, at(1), "unknown_currency"), (3, 1, 40.0, at(1), None), (3, 1, 39.0, at(2), None)]
+    old = spark.createDataFrame([(3, 1, 5.0), (4, 1, 6.0), (5, 1, None)], "variant_id long, store_id long, current_price double")
+    df = spark.createDataFrame(rows, kinds).repartition(3)
+    got = sorted((r.variant_id, r.updated_at.minute, r.current_price or 0.0, r.outcome) for r in U.import_outcomes(old, df).collect())
+    assert got == [
+        (1, 0, 10.0, "imported"), (1, 1, 9.0, "updated"), (1, 2, 90.0, "skipped"), (1, 3, 12.0, "updated"), (1, 4, 0.0, "rejected"),
+        (2, 0, 9.0, "updated"), (2, 0, 10.0, "imported"), (2, 1, 30.0, "rejected"), (3, 1, 40.0, "skipped"), (3, 2, 39.0, "skipped"),
+    ]
+    offers = {r.variant_id: r.current_price for r in U.upsert_offers(old, df).collect()}
+    assert offers == {1: 12.0, 2: 9.0, 3: 5.0, 4: 6.0, 5: None}
+    assert sorted((r.variant_id, r.current_price) for r in U.accepted(df.drop("reject_reason"), "current_price", "updated_at").collect()) == [(1, 9.0), (1, 10.0), (1, 12.0), (2, 9.0), (2, 10.0), (2, 30.0), (3, 39.0), (3, 40.0)]
+    assert U.upsert_offers(old, df.limit(0)).count() == 3
+
+
+def test_an_upsert_rewrites_only_the_buckets_it_falls_into(spark, tmp_path):
+    path, at = str(tmp_path / "offers"), dt.datetime(2024, 1, 2)
+    kinds = "variant_id long, store_id long, current_price double, updated_at timestamp"
+    old = spark.createDataFrame([(k, k % 7, 10.0, at) for k in range(200)], kinds)
+    U.write_offers(old, path, 16)
+    stamps = lambda: {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    before = stamps()
+    lot = spark.createDataFrame([(5, 5, 12.0, at), (5, 5, 900.0, at), (1000, 1, 3.0, at)], kinds)
+    U.merge_offers(lot, path, 16)
+    after = stamps()
+    touched = {f.split("/")[1] for f in before.keys() ^ after.keys()}
+    want = {f"bucket={r.b}" for r in lot.select(U.offer_bucket(16).alias("b")).distinct().collect()}
+    assert touched == want and all(before[f] == after[f] for f in before.keys() & after.keys())
+    whole = lambda df: sorted(tuple(r) for r in df.select("variant_id", "store_id", "current_price").collect())
+    assert whole(spark.read.parquet(path)) == whole(U.upsert_offers(old, lot))
+    U.merge_offers(lot.limit(0), path, 16)
+    assert stamps() == after
+
+
+def test_stores_that_come_twice(spark):
+    old = spark.createDataFrame([(1, "a", "a.de", "EUR"), (2, "b", "b.de", "EUR"), (3, "b", "bb.de", "EUR")], "store_id long, name string, domain string, currency string")
+    new = [("x", "n.de", "USD"), ("y", "n.de", "EUR"), ("a", "a.de", "USD"), ("b", "b2.fr", "USD"), ("b", "b1.fr", "GBP"), ("z", "z.com", "USD")]
+    got = sorted(tuple(r)[1:] for r in U.upsert_stores(old, spark.createDataFrame(new, "name string, domain string, currency string"), N.detect_region).collect())
+    assert got == [("a", "a.de", "EUR", None), ("b", "b1.fr", "GBP", None), ("b", "bb.de", "EUR", None), ("x", "n.de", "USD", "DE"), ("z", "z.com", "USD", None)]
+
+
+def test_collated_brands_are_those_of_the_decomposition(spark):
+    names = ["Café", "CAFE ", "cafe\u0301", "Ångström", "angstrom", "ANGSTRÖM", "Zoë", "zoe", "Zo e", "", " ", None, None, "O'Neill", "ONeill", "Ñu", "nu", "İstanbul", "istanbul"]
+    brands = spark.createDataFrame(list(enumerate(names)), "brand_id int, name string")
+    plan = U.merge_brands(brands)
+    got = {r.brand_id: r.survivor for r in plan.collect()}
+    key = F.lower(N.strip_accents(F.trim("name")))
+    groups = {}
+    for r in brands.select("brand_id", key.alias("key")).orderBy("brand_id").collect():
+        groups.setdefault(r.key if r.key is not None else r.brand_id, []).append(r.brand_id)
+    assert got == {k: ids[0] for ids in groups.values() for k in ids}
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    products = spark.createDataFrame([(100, 1, "p"), (101, 7, "q"), (102, 99, "r")], "product_id int, brand_id int, name string")
+    moved, gone = U.repoint_products(products, plan)
+    assert sorted(tuple(r) for r in moved.collect()) == [(100, 0, "p"), (101, 6, "q"), (102, 99, "r")] and 1 in {r.brand_id for r in gone.collect()}
+
+
+def test_counters_are_observed_on_the_write(spark, tmp_path):
+    rows = [("imported", "USD"), ("updated", "EUR"), ("skipped", "EUR"), ("rejected", "KRW"), ("updated", "USD")]
+    df = spark.createDataFrame(rows, "outcome string, original_currency string")
+    assert U.write_counted(df, str(tmp_path / "log")) == {"imported": 1, "updated": 2, "skipped": 1, "converted": 2, "rejected": 1}
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 5
+
+
+def test_late_observations_amend_intervals(spark):
+    from pricelode.operators import intervals as I
+
+    at = lambda d: dt.datetime(2024, 1, d)
+    kinds = "variant_id long, store_id long, product_id long, ts timestamp, price double"
+    soon = spark.createDataFrame([(1, 1, 7, at(1), 10.0), (1, 1, 7, at(5), 10.0), (1, 1, 7, at(9), 12.0), (2, 1, 8, at(1), 5.0)], kinds)
+    late = spark.createDataFrame([(1, 1, 7, at(3), 11.0), (3, 1, 9, at(2), 4.0)], kinds)
+    changes = I.build_price_intervals(soon)
+    got = sorted((r.variant_id, r.started_at.day, r.ended_at and r.ended_at.day, r.price, r.old_price) for r in I.amend_price_intervals(changes, soon, late).collect())
+    assert got == [(1, 1, 3, 10.0, None), (1, 3, 5, 11.0, 10.0), (1, 5, 9, 10.0, 11.0), (1, 9, None, 12.0, 10.0), (2, 1, None, 5.0, None), (3, 2, None, 4.0, None)]
+
+
 def test_platforms(spark):
     pages = ["<script src='//CDN.SHOPIFY.com/a.js'>", "<link href='/wp-content/plugins/WooCommerce/x.css'>", "x Mage/Cookies", "powered by Magento", "<img src=/static/version12/a.png>", "shopify.com and magento", "plain", "", None]
     assert values(spark, N.platform, pages) == ["shopify", "woocommerce", "magento", "magento", "magento", "shopify", "custom", "custom", "custom"]

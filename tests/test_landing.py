@@ -3,14 +3,18 @@
 import datetime as dt
 import json
 
+import pytest
+
 from pricelode.sources import landing as L
 
 
 def test_flattens_payloads(spark):
-    page = {"products": [{"title": "T", "vendor": "V", "handle": "h", "variants": [{"id": 1, "sku": "s", "price": "9.50", "compare_at_price": "x", "available": True}, {"id": 2}]}, {"title": "none", "variants": []}]}
+    page = {"products": [{"title": "T", "vendor": "V", "handle": "h", "variants": [{"id": 1, "sku": "s", "price": "9.50", "compare_at_price": "x", "available": True}, {"id": 2, "option3": "wide"}, {"id": 3, "available": False}]}, {"title": "none", "variants": []}]}
     df = spark.createDataFrame([(json.dumps(page),), ("not json",), (None,)], "payload string")
     got = sorted((r.title, r.external_variant_id or 0, float(r.price or 0), r.in_stock) for r in L.flatten_shop_snapshot(df).collect())
-    assert got == [("T", 1, 9.5, True), ("T", 2, 0.0, False), ("none", 0, 0.0, False)]
+    assert got == [("T", 1, 9.5, True), ("T", 2, 0.0, True), ("T", 3, 0.0, False), ("none", 0, 0.0, False)]
+    kept = L.flatten_shop_snapshot(df.selectExpr("payload", "7L AS snapshot_id")).where("external_variant_id is not null")
+    assert {(r.external_variant_id, r.snapshot_id, r.o) for r in kept.selectExpr("external_variant_id", "snapshot_id", "variant_get(attributes, '$.option3', 'string') AS o").collect()} == {(1, 7, None), (2, 7, "wide"), (3, 7, None)}
     items = {"items": [{"id": 5, "name": "n", "price": 3.5, "custom_attributes": [{"attribute_code": "brand", "value": "B"}]}, {"id": 6, "status": 2, "custom_attributes": []}], "total_count": 2}
     got = sorted((r.external_variant_id, r.vendor, r.in_stock) for r in L.flatten_item_snapshot(spark.createDataFrame([(json.dumps(items),)], "payload string")).collect())
     assert got == [(5, "B", True), (6, None, False)]
@@ -38,18 +42,51 @@ def test_files(spark, tmp_path):
         L.append_raw_snapshot(df, str(tmp_path / "raw"))
         L.append_price_history(df, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "raw")).count() == spark.read.parquet(str(tmp_path / "log")).count() == 2
-    L.rebuild_overwrite(df, str(tmp_path / "table"), str(tmp_path / "staging"))
-    L.rebuild_overwrite(spark.read.parquet(str(tmp_path / "table")), str(tmp_path / "table"), str(tmp_path / "staging"))
-    assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+    L.rebuild_overwrite(df, str(tmp_path / "table"))
+    L.rebuild_overwrite(L.read_versioned(spark, str(tmp_path / "table")), str(tmp_path / "table"))
+    assert L.read_versioned(spark, str(tmp_path / "table")).count() == 1
 
 
-def test_a_rebuild_that_broke_off_is_taken_up(spark, tmp_path):
+def test_readers_see_a_whole_table_between_any_two_steps(spark, tmp_path, monkeypatch):
     rows = lambda n: spark.range(n).toDF("k")
-    table, staging = str(tmp_path / "table"), str(tmp_path / "staging")
-    L.rebuild_overwrite(rows(3), table, staging)
-    (tmp_path / "table").rename(tmp_path / "table.before")  # between the two renames
-    L.rebuild_overwrite(rows(5), table, staging)
-    assert spark.read.parquet(table).count() == 5 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["table"]
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        L.read_versioned(spark, path)
+    L.rebuild_overwrite(rows(3), path)
+    open_reader = L.read_versioned(spark, path)
+    for step in ("_point", "_expire"):
+        with monkeypatch.context() as m:
+            m.setattr(L, step, lambda *a: (_ for _ in ()).throw(OSError("broken off")))
+            with pytest.raises(OSError):
+                L.rebuild_overwrite(rows(5), path)
+        # Before the pointer the old table stands, after it the new one.
+        assert L.read_versioned(spark, path).count() == (3 if step == "_point" else 5)
+    # A pointer that was begun and not written names nothing, and its number isn't used again.
+    (tmp_path / "table" / "_versions" / f"{9:012d}").touch()
+    assert L.read_versioned(spark, path).count() == 5 and open_reader.count() == 3
+    L.rebuild_overwrite(rows(6), path)
+    L.rebuild_overwrite(rows(7), path)
+    assert L.read_versioned(spark, path).count() == 7
+    with pytest.raises(Exception, match="exist"):  # another writer took the number
+        L._point(spark, path, 11, "v-other")
+    assert L.read_versioned(spark, path).count() == 7
+
+
+def test_snapshots_keep_headers_and_payload(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, at, '{"products": [{"title": "T"}]}', "shop", "u", 200, {"ETag": "x", "etag": "x"}), (2, at, "no json", "shop", "u", 500, None)]
+    df = spark.createDataFrame(rows, "store_id int, fetched_at timestamp, payload string, adapter_name string, url string, http_status int, headers map<string,string>")
+    L.append_raw_snapshot(L.raw_snapshots(df, "v"), str(tmp_path / "raw"))
+    got = {r.store_id: r for r in spark.read.parquet(str(tmp_path / "raw")).selectExpr("*", "variant_get(payload, '$.products[0].title', 'string') AS title").collect()}
+    assert got[1].title == "T" and got[1].response_headers == {"etag": "x"} and got[1].raw_text is None and got[1].http_status == 200
+    assert got[2].title is None and got[2].raw_text == "no json" and got[2].response_headers is None and got[2].products_count == 0
+
+
+def test_provenance(spark):
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, "EUR", "eur", 5, at), (2, "EUR", None, 5, at), (3, "USD", "USD", 6, at), (4, None, None, 6, at)], "k int, currency string, api_currency string, snapshot_id long, fetched_at timestamp")
+    got = {r.k: (r.exchange_rate_source, r.exchange_rate_timestamp, r.currency_source, r.raw_snapshot_id) for r in L.with_provenance(df, "v").collect()}
+    assert got == {1: ("fixer_io", at, "api", 5), 2: ("fixer_io", at, "domain", 5), 3: (None, None, "api", 6), 4: (None, None, None, 6)}
 
 
 def test_alerts_are_logged_once(spark, tmp_path):

@@ -144,6 +144,18 @@ def grow_tree(items):
     return root
 
 
+def _prefix_keys(key, width):
+    """A hash of each prefix of whole turns, by depth, in one pass over the key."""
+    if key is None:
+        return []
+    digest = hashlib.md5()
+    out = [digest.digest()]
+    for end in range(width, len(key) + 1, width):
+        digest.update(key[end - width : end])
+        out.append(digest.copy().digest())
+    return out
+
+
 NODE = "conv_id long, depth long, parent_conv_id long, node_key binary, parent_key binary, n_convs long, n_children long, n_leaves long, sum_all long, sum_own long, ends string"
 
 
@@ -156,6 +168,8 @@ def walk_tree(root, before, after, width=WIDTH):
     summed. sum_all: over the subtree, members times code points; sum_own: the
     code points once, where no part before has the prefix.
     """
+    # Of the prefixes that are the neighbours' too: those of the first key and of the last one.
+    early_keys, late_keys = _prefix_keys(before, width), _prefix_keys(after, width)
     done, rows, stack = {}, [], [(root, before is not None, after is not None, False)]
     while stack:
         node, early, late, open_ = stack.pop()
@@ -187,7 +201,7 @@ def walk_tree(root, before, after, width=WIDTH):
             value = node.value if node.value is not None and end == node.end else None
             row = [least, depth, None, None, None, n, kids, leaves, all_, own, value[2] if value else None]
             if was or goes_on:
-                row[3] = node.like[:end]
+                row[3] = early_keys[depth] if was else late_keys[depth]
             for x in below:
                 x[2] = least
                 if row[3] is not None:
@@ -200,10 +214,6 @@ def walk_tree(root, before, after, width=WIDTH):
     return rows
 
 
-def _key_of(prefix):
-    return None if prefix is None else hashlib.md5(prefix).digest()
-
-
 def _part_rows(frame: pd.DataFrame) -> pd.DataFrame:
     """The nodes of one part: its distinct conversations, and the neighbouring keys as rows of other kinds."""
     kinds = frame["kind"]
@@ -212,8 +222,6 @@ def _part_rows(frame: pd.DataFrame) -> pd.DataFrame:
     values = zip(own["n"], own["least"], own["ends"], strict=True)
     root = grow_tree((bytes(k), (int(n), int(c), e)) for k, (n, c, e) in zip(own["key"], values, strict=True))
     rows = walk_tree(root, edge[-1], edge[1])
-    for x in rows:
-        x[3], x[4] = _key_of(x[3]), _key_of(x[4])
     return pd.DataFrame(rows, columns=[c.split()[0] for c in NODE.split(", ")]).astype({"parent_conv_id": "Int64"})
 
 

@@ -342,6 +342,9 @@ def labelled_pages(count=1200, seed=7):
         said = f"<{(box := draw.choice(('section', 'div')))} class='{_plain_name(draw)}'>" + (f"<h3>{_words(some(1, 3))}</h3>" if chance() < 0.4 else "") + said + f"</{box}>"
         boxed = f"<div class='{_plain_name(draw)}'>" + "".join(f"<p>{_words(some(2, 40))}</p>" for _ in range(some(1, 5))) + "</div>"
         after = draw.choice(("", said, boxed, f"<div class='comments'><p>{_words(some(1, 60))}</p><p>{_words(some(1, 30))}</p></div>", f"<footer>{_words(some(2, 12))}</footer>")) if how < 2 and (end == 2 or chance() < 0.4) else ""
+        # Under a name that means nothing, they are told from the article only where it has more text of its own.
+        unlisted = after in (said, boxed)
+        after = "" if unlisted and after.count("word") > 0.7 * sum(sizes) else after
         source = f"<p>§{_words(some(1, 4))} <a href='s'>{_words(some(2, 9))}</a></p>" if how < 2 else ""
         half = some(0, len(sizes))
         parts = [some(12, 120) for _ in range(some(2, 6))]
@@ -349,8 +352,8 @@ def labelled_pages(count=1200, seed=7):
         lead = draw.choice(("", f"<p>§{_words(some(5, 30))}</p>"))
         intro = f"<div class='intro'><p>§{_words(some(5, 60))}</p></div>" if how < 2 and chance() < 0.15 and half < len(sizes) else ""
         body = head + intro + _article(*sizes[:half]) + within + draw.choice((linked, listed, named, source, cells, "", sections)) + _article(*sizes[half:]) + after
-        if how < 2 and chance() < 0.2:  # its paragraphs one in a box each, or all in one, in which case what follows is no part of it
-            body = head + lead + divided + (after if "par'" in divided else "")
+        if how < 2 and chance() < 0.2:  # its paragraphs one in a box each, or all in one
+            body = head + lead + divided + ("" if unlisted else after)
         notice = f"<div class='{draw.choice(('cookie-notice', 'banner', 'ad', 'alert'))}'>{_words(some(3, 50))}</div>"
         side = f"<h3>{_words(some(1, 6))}</h3><p>{_words(some(3, 70))}</p>" + _menu(some(1, 4))
         behind = f"<section class='{_plain_name(draw)}'>" + "".join(f"<p>{_words(some(2, 60))}</p>" for _ in range(some(1, 5))) + "</section>"

@@ -76,13 +76,32 @@ def weight_sums(df, by, value, weight, among=None):
     return df, at_share
 
 
+def value_band(value):
+    """A whole number that grows with the value: sixteen to a doubling, with zero and negative values below."""
+    size = F.floor(F.log2(F.greatest(F.abs(value), F.lit(1e-12))) * 16) + 1000
+    return (F.signum(value) * size).cast("long")
+
+
 def weighted_quantile(df, by, value, weight, shares, names):
     """Lower weighted quantiles per group: the least value with cumulative weight of at least the share.
 
-    Ties of value are peers. Whole-number weights make the sums exact.
+    Ties of value are peers; rows without a value don't count. Whole-number
+    weights make the sums exact. Weights are summed by value first, then by bands
+    of values, and running sums are taken over a group's bands and over the values
+    of one band, so that no window holds all rows, or all values, of a large group.
     """
-    df, at_share = weight_sums(df, by, value, weight)
-    return df.groupBy(*by).agg(*[at_share(num, den).alias(name) for (num, den), name in zip(shares, names, strict=True)])
+    v = F.col(value)
+    sums = df.where(v.isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_w")).withColumn("_band", value_band(v.cast("double")))
+    group = Window.partitionBy(*by)
+    bands = sums.groupBy(*by, "_band").agg(F.sum("_w").alias("_in"))
+    bands = bands.withColumn("_upto", F.sum("_in").over(group.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_in").over(group))
+    hit = lambda cum, num, den: F.col(cum) * den >= F.col("_total") * num
+    # Of each share the first band that reaches it holds the value.
+    first = bands.groupBy(*by).agg(*[F.min(F.when(hit("_upto", num, den), F.col("_band"))).alias(f"_b{k}") for k, (num, den) in enumerate(shares)])
+    near = bands.join(first, by).where(" or ".join(f"_band = _b{k}" for k in range(len(shares))))
+    run = Window.partitionBy(*by, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = sums.join(near, [*by, "_band"]).withColumn("_cum", F.col("_upto") - F.col("_in") + F.sum("_w").over(run))
+    return rows.groupBy(*by).agg(*[F.min(F.when((F.col("_band") == F.col(f"_b{k}")) & hit("_cum", num, den), v)).alias(name) for k, ((num, den), name) in enumerate(zip(shares, names, strict=True))])
 
 
 def weighted_percentile(df, by, value, weight, share, name):

@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pricelode.session import held
+
 # Codes that say nothing.
 STOP_SKUS = ("ONE SIZE", "ONESIZE", "DEFAULT", "N/A", "NA", "STD", "STANDARD", "TEST", "UNIVERSAL", "GENERIC", "OS")
 
@@ -65,7 +67,7 @@ def rank_canonical(norm):
 def match_group_stats(norm):
     """Per sku: stores, brands, canonical variant (by a partial aggregate), and whether EANs conflict."""
     best = F.max_by(F.struct("variant_id", "size", "color", "gender", "offer_stores"), F.struct("quality", -F.col("variant_id")))
-    return norm.groupBy("sku").agg(F.count_distinct("store_id").alias("stores"), F.count_distinct("brand_key").alias("brands"), best.alias("canonical"), (F.min("ean") != F.max("ean")).alias("ean_conflict"))
+    return norm.groupBy("sku").agg(F.count_distinct("store_id").alias("stores"), F.count_distinct("brand_key").alias("brands"), best.alias("canonical"), (F.min("ean") != F.max("ean")).alias("ean_conflict"), F.count("*").alias("variants"))
 
 
 def shared_store_pairs(pairs, offers):
@@ -76,22 +78,51 @@ def shared_store_pairs(pairs, offers):
     return left.join(right, ["matched_variant_id", "store_id"], "left_semi").select("canonical_variant_id", "matched_variant_id").distinct()
 
 
-def match_candidates(variants, offers, apart=False):
-    """Matches before the common-store test, or with apart after it: by the stores of each variant and its canonical one, without a join of offers."""
-    norm = normalized_variants(variants, offers)
-    n = norm.join(match_group_stats(norm), "sku")
+#: A sku with more variants than this is dealt over tasks when they are held against its canonical one.
+HOT_SKU = 100_000
+
+
+def match_clauses():
+    """What a variant must meet beside the canonical one of its sku, by name."""
     gtin = F.col("ean_gtin") | F.col("sku_gtin")
     same = lambda c: F.coalesce(F.col(c) == F.col(f"canonical.{c}"), F.lit(False))
     neither = lambda c: F.col(c).isNull() & F.col(f"canonical.{c}").isNull() & gtin
-    n = n.where(
-        (F.col("stores") >= 2)
-        & (F.col("variant_id") != F.col("canonical.variant_id"))
-        & (F.col("ean").isNull() | ~F.coalesce("ean_conflict", F.lit(False)))
-        & (gtin | (F.col("brands") == 1))
-        & (same("size") | neither("size"))
-        & (same("color") | neither("color"))
-        & ((same("gender") & (F.col("gender") != "UNKNOWN")) | gtin)
-    )
+    return {
+        "several stores": F.col("stores") >= 2,
+        "not itself": F.col("variant_id") != F.col("canonical.variant_id"),
+        "no conflict of EANs": F.col("ean").isNull() | ~F.coalesce("ean_conflict", F.lit(False)),
+        "one brand": gtin | (F.col("brands") == 1),
+        "size": same("size") | neither("size"),
+        "color": same("color") | neither("color"),
+        "gender": (same("gender") & (F.col("gender") != "UNKNOWN")) | gtin,
+    }
+
+
+def beside_group(norm, hot=HOT_SKU):
+    """Variants beside what their sku's group says of it (match_group_stats).
+
+    Both are written first, so that the variants are normalised once. Skus above
+    `hot` variants get as many salts as they have lots of that size: their
+    group's row is repeated for each salt, and their variants are dealt among them.
+    """
+    norm = held(norm, "normalized")
+    stats = held(match_group_stats(norm), "groups")
+    frequent = stats.where(F.col("variants") > hot).select("sku", F.ceil(F.col("variants") / hot).cast("int").alias("_lots"))
+    if frequent.isEmpty():
+        return norm.join(stats, "sku")
+    salted = norm.join(frequent, "sku", "left").withColumn("_salt", F.when(F.col("_lots").isNull(), 0).otherwise(F.pmod(F.xxhash64("variant_id"), F.col("_lots"))).cast("int"))
+    repeated = stats.join(frequent, "sku", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_lots", F.lit(1)) - 1)))
+    return salted.drop("_lots").join(repeated.drop("_lots"), ["sku", "_salt"]).drop("_salt")
+
+
+def match_candidates(variants, offers, apart=False, without=(), hot=HOT_SKU):
+    """Matches before the common-store test, or with apart after it: by the stores of each variant and its canonical one, without a join of offers.
+
+    without: names of clauses (match_clauses) that are left out.
+    """
+    n = beside_group(normalized_variants(variants, offers), hot)
+    for name, clause in match_clauses().items():
+        n = n if name in without else n.where(clause)
     if apart:
         n = n.where(~F.arrays_overlap("offer_stores", "canonical.offer_stores"))
     method = F.when(F.col("ean_gtin"), "ean_gtin").when(F.col("sku_gtin"), "sku_gtin").otherwise("sku_exact")

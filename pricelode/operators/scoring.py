@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelode.functions.normalize import freshness_decay
-from pricelode.functions.statistics import confidence, is_mad_kept, is_sanitized, market_metrics, median, robust_market_metrics, sane, sanitized, weight_sums
+from pricelode.functions.statistics import confidence, is_mad_kept, is_sanitized, market_metrics, median, robust_market_metrics, sane, sanitized, weight_sums, weighted_quantile
 from pricelode.operators.intervals import DAY_US, latest_open, microseconds
 from pricelode.operators.shaping import contains_text, price_series
 
@@ -17,13 +17,13 @@ def classify_simple(score):
 
 
 def weighted_history(members, changes, as_of):
-    """Per canonical article: prices weighted by how long they held, over all its variants' intervals, in one windowed pass."""
+    """Per canonical article: prices weighted by how long they held, over all its variants' intervals.
+
+    All sums and extremes are partial aggregates; the quantiles go by bands of
+    prices, so that an article with very many intervals is no task of its own.
+    """
     rows = members.join(changes.where("price > 0"), "variant_id").withColumn("us", microseconds(F.col("started_at"), F.coalesce("ended_at", as_of))).withColumn("p", F.col("price").cast("double"))
-    rows, at_share = weight_sums(rows, ["canonical_id"], "p", "us")
-    return rows.groupBy("canonical_id").agg(
-        at_share(1, 2).alias("median"),
-        at_share(1, 10).alias("p10"),
-        at_share(9, 10).alias("p90"),
+    sums = rows.groupBy("canonical_id").agg(
         F.min("p").alias("least"),
         F.max("p").alias("most"),
         (F.sum("us") / DAY_US).alias("total_days"),
@@ -31,6 +31,8 @@ def weighted_history(members, changes, as_of):
         ((F.unix_micros(as_of) - F.unix_micros(F.max(F.coalesce("ended_at", as_of)))) / DAY_US).alias("days_since_update"),
         F.count("*").alias("intervals"),
     )
+    shares = weighted_quantile(rows, ["canonical_id"], "p", "us", [(1, 2), (1, 10), (9, 10)], ["median", "p10", "p90"])
+    return shares.join(sums, "canonical_id")
 
 
 def cross_market(discount, best, least, market):

@@ -9,6 +9,8 @@ from pricelode.operators import alerts as A
 from pricelode.operators import intervals as I
 from pricelode.operators import matching as M
 from pricelode.operators import shaping as S
+from pricelode.session import shared_folder
+from pricelode.sources import tables as K
 
 from .catalog import query
 from .fixtures import BROKEN_CHANGES
@@ -22,12 +24,16 @@ def stamp(col):
 
 @query("scan_tables", "SELECT variant_id, store_id, current_price, in_stock, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM fx_offers WHERE in_stock AND current_price > 100")
 def scan_tables(fx):
-    return fx.offers.where("in_stock and current_price > 100").select("variant_id", "store_id", "current_price", "in_stock", stamp("updated_at").alias("updated_at"))
+    """Offers written as files, and scanned under their declared schema."""
+    folder = shared_folder(fx.spark, "offers")
+    K.conform(fx.offers, "offers").write.parquet(folder)
+    return K.scan(fx.spark, folder, "offers").where("in_stock and current_price > 100").select("variant_id", "store_id", "current_price", "in_stock", stamp("updated_at").alias("updated_at"))
 
 
-@query("filter_eligible_sku", "SELECT variant_id, nsku AS sku FROM fx_norm")
+@query("filter_eligible_sku", "SELECT variant_id, nsku AS sku FROM fx_odd_norm")
 def filter_eligible_sku(fx):
-    return M.normalized_variants(fx.variants, fx.offers).select("variant_id", "sku")
+    """Of variants with planted skus that say nothing."""
+    return M.normalized_variants(fx.odd_variants, fx.odd_offers).select("variant_id", "sku")
 
 
 @query("filter_sane_price", "SELECT variant_id, current_price FROM fx_offers WHERE current_price > 0 AND current_price <= 20000")
@@ -58,9 +64,9 @@ def filter_recent(fx):
     return fx.offers.agg(since("24 HOURS").alias("day"), since("7 DAYS").alias("week"), since("30 DAYS").alias("month"))
 
 
-@query("cap_products_per_store", "SELECT store_id, variant_id, row_number() OVER (PARTITION BY store_id ORDER BY variant_id) AS rank FROM fx_offers QUALIFY rank <= 50")
+@query("cap_products_per_store", "SELECT store_id, variant_id, row_number() OVER (PARTITION BY store_id ORDER BY variant_id) AS rank FROM fx_offers QUALIFY rank <= 50000")
 def cap_products_per_store(fx):
-    return S.top_per(fx.offers, ["store_id"], 50, "variant_id").select("store_id", "variant_id", F.col("rank").cast("long").alias("rank"))
+    return S.top_per(fx.offers, ["store_id"], 50_000, "variant_id").select("store_id", "variant_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("cap_products_per_store_50000", "SELECT store_id, variant_id, row_number() OVER (PARTITION BY store_id ORDER BY variant_id) AS rank FROM fx_offers QUALIFY rank <= 50000")
@@ -103,6 +109,33 @@ def join_offer_context(fx):
     return S.offer_context(fx.offers, fx.stores, fx.variants, fx.products).select("variant_id", "name", "currency", "sku", "gender", "canonical_name", "category", "current_price")
 
 
+def keyed(fx, name, df):
+    """A fixture as a keyed table of eight buckets, and the name it has in the catalog."""
+    folder = shared_folder(fx.spark, name)
+    table = "keyed_" + folder.rsplit("-", 1)[-1]
+    K.write_keyed(df, name, folder, table, 8)
+    return table
+
+
+@query("scan_keyed_offers", "SELECT variant_id, store_id, current_price, in_stock FROM fx_offers WHERE variant_id IN (SELECT max(variant_id) FROM fx_offers UNION ALL SELECT min(variant_id) FROM fx_offers)")
+def scan_keyed_offers(fx):
+    """The offers of the first and the last variant, from the buckets that hold them."""
+    table = keyed(fx, "offers", fx.offers)
+    ends = fx.spark.table(table).agg(F.min("variant_id"), F.max("variant_id")).first()
+    return K.scan_keys(fx.spark, "offers", table, list(ends)).select("variant_id", "store_id", "current_price", "in_stock")
+
+
+@query("join_keyed_context", "SELECT o.variant_id, o.store_id, o.current_price, v.sku, c.price AS open_price FROM fx_offers o JOIN fx_variants v USING (variant_id) LEFT JOIN fx_changes c ON c.variant_id = o.variant_id AND c.store_id = o.store_id AND c.ended_at IS NULL")
+def join_keyed_context(fx):
+    """Offers with their variants and open intervals, three tables bucketed alike: no exchange on variant_id."""
+    offers, variants, changes = (fx.spark.table(keyed(fx, name, df)) for name, df in (("offers", fx.offers), ("variants", fx.variants), ("price_changes", fx.changes)))
+    # Sorted buckets are merged as they lie; without the hint small tables would be broadcast.
+    v = variants.select("variant_id", "sku").hint("merge")
+    open_ = changes.where("ended_at is null").select("variant_id", F.col("store_id").alias("c_store"), F.col("price").alias("open_price")).hint("merge")
+    rows = offers.join(v, "variant_id").join(open_, (offers.variant_id == open_.variant_id) & (F.col("store_id") == F.col("c_store")), "left").drop(open_.variant_id)
+    return rows.select("variant_id", "store_id", "current_price", "sku", "open_price")
+
+
 @query("join_brand_canonical", "SELECT p_partkey AS product_id, coalesce('canonical ' || right(p_brand, 1), p_brand) AS brand FROM part WHERE CAST(right(p_brand, 1) AS INTEGER) > 2 UNION ALL SELECT p_partkey, p_brand FROM part WHERE CAST(right(p_brand, 1) AS INTEGER) <= 2")
 def join_brand_canonical(fx):
     aliases = fx.products.select("brand").distinct().where(F.right(F.col("brand"), F.lit(1)).cast("int") > 2).select("brand", F.concat(F.lit("canonical "), F.right(F.col("brand"), F.lit(1))).alias("canonical"))
@@ -335,14 +368,20 @@ def match_products(fx):
     return fx.matches
 
 
+@query("match_products_odd", "SELECT * FROM fx_odd_matches", hold=True)
+def match_products_odd(fx):
+    """Matches among variants that meet every clause of matching."""
+    return M.match_products(fx.odd_variants, fx.odd_offers)
+
+
 @query("match_summary", "SELECT match_method, count(*) AS matches FROM fx_matches GROUP BY 1")
 def match_summary(fx):
     return fx.matches.groupBy("match_method").agg(F.count("*").alias("matches"))
 
 
-@query("match_group_stats", "SELECT nsku AS sku, count(DISTINCT store_id) AS stores, count(DISTINCT brand_key) AS brands FROM fx_norm GROUP BY 1")
+@query("match_group_stats", "SELECT nsku AS sku, count(DISTINCT store_id) AS stores, count(DISTINCT brand_key) AS brands, count(*) AS variants FROM fx_odd_norm GROUP BY 1")
 def match_group_stats(fx):
-    return M.match_group_stats(M.normalized_variants(fx.variants, fx.offers)).select("sku", "stores", "brands")
+    return M.match_group_stats(M.normalized_variants(fx.odd_variants, fx.odd_offers)).select("sku", "stores", "brands", "variants")
 
 
 @query("build_price_intervals", "SELECT variant_id, store_id, price, old_price, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, strftime(ended_at, '%Y-%m-%d %H:%M:%S') AS ended_at FROM fx_changes")

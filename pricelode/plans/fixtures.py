@@ -98,6 +98,36 @@ class Fixtures:
             F.col("p_brand").alias("brand"),
         )
 
+    @cached_property
+    def odd_variants(self):
+        """Variants that meet every clause of matching: skus that say nothing, of two brands, in small letters and padded; null and blank sizes, colours, EANs and genders; a tenth of the products in one store, as far as their variants say."""
+        v = self.variants
+        k, s = F.col("product_id"), F.col("store_id")
+        way = k % 40
+        plain = F.concat(F.lit("SKU-"), F.lpad(k.cast("string"), 6, "0"))
+        sku = (
+            F.when(way == 7, "One Size").when(way == 11, "X1").when(way == 13, F.lpad(k.cast("string"), 6, "0")).when(way == 17, F.lpad(k.cast("string"), 8, "1"))
+            .when(way == 19, F.when(s % 2 == 0, F.concat(F.lit(" "), F.lower(plain), F.lit(" "))).otherwise(plain)).when(way == 23, F.lit(None)).when(way == 29, "n/a").otherwise(F.col("sku"))
+        )
+        none = lambda test, c: F.when(test, F.lit(None)).otherwise(F.col(c)).alias(c)
+        return v.select(
+            "variant_id",
+            "product_id",
+            F.when(k % 10 == 9, 1).otherwise(s).cast("long").alias("store_id"),
+            sku.alias("sku"),
+            F.when((k % 5 != 0) & (s % 3 == 1), " ").otherwise(F.col("ean")).alias("ean"),
+            none((k % 8 == 0) | (k % 8 == 3) & (s % 4 == 0), "size"),
+            none((k % 12 == 4) | (k % 12 == 5) & (s % 4 == 1), "color"),
+            F.when((k % 9 == 1) & (s % 2 == 0), "UNKNOWN").when((k % 9 == 2) & (s % 2 == 0), F.lit(None)).otherwise(F.col("gender")).alias("gender"),
+            F.when((k % 6 == 1) & (s % 2 == 1), "By Other-Brand").when((k % 6 == 2) & (s % 2 == 1), F.lower(F.concat(F.lit("by "), "brand"))).otherwise(F.col("brand")).alias("brand"),
+        )
+
+    @cached_property
+    def odd_offers(self):
+        """Offers, of which every third variant has another in the next store but one."""
+        o = self.offers
+        return o.unionByName(o.where("variant_id % 3 = 0").withColumn("store_id", F.col("store_id") % 7 + 1))
+
     @cached_property
     def products(self):
         return self.table("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("canonical_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
@@ -206,6 +236,23 @@ SQL = {
 }
 
 
+SQL["fx_odd_variants"] = """
+  SELECT variant_id, product_id, CASE WHEN product_id % 10 = 9 THEN 1 ELSE store_id END AS store_id,
+         CASE product_id % 40 WHEN 7 THEN 'One Size' WHEN 11 THEN 'X1' WHEN 13 THEN lpad(product_id::VARCHAR, 6, '0') WHEN 17 THEN lpad(product_id::VARCHAR, 8, '1')
+           WHEN 19 THEN CASE WHEN store_id % 2 = 0 THEN ' ' || lower('SKU-' || lpad(product_id::VARCHAR, 6, '0')) || ' ' ELSE 'SKU-' || lpad(product_id::VARCHAR, 6, '0') END
+           WHEN 23 THEN NULL WHEN 29 THEN 'n/a' ELSE sku END AS sku,
+         CASE WHEN product_id % 5 <> 0 AND store_id % 3 = 1 THEN ' ' ELSE ean END AS ean,
+         CASE WHEN product_id % 8 = 0 OR product_id % 8 = 3 AND store_id % 4 = 0 THEN NULL ELSE size END AS size,
+         CASE WHEN product_id % 12 = 4 OR product_id % 12 = 5 AND store_id % 4 = 1 THEN NULL ELSE color END AS color,
+         CASE WHEN product_id % 9 = 1 AND store_id % 2 = 0 THEN 'UNKNOWN' WHEN product_id % 9 = 2 AND store_id % 2 = 0 THEN NULL ELSE gender END AS gender,
+         CASE WHEN product_id % 6 = 1 AND store_id % 2 = 1 THEN 'By Other-Brand' WHEN product_id % 6 = 2 AND store_id % 2 = 1 THEN lower('by ' || brand) ELSE brand END AS brand
+  FROM fx_variants"""
+SQL["fx_odd_offers"] = "SELECT * FROM fx_offers UNION ALL SELECT * REPLACE (store_id % 7 + 1 AS store_id) FROM fx_offers WHERE variant_id % 3 = 0"
+SQL["fx_odd_trim"] = "SELECT * REPLACE (trim(sku) AS sku, nullif(trim(ean), '') AS ean) FROM fx_odd_variants"
+for _name, _of in (("fx_odd_norm", "fx_norm"), ("fx_odd_matches", "fx_matches")):
+    SQL[_name] = SQL[_of].replace("fx_variants", "fx_odd_trim").replace("fx_offers", "fx_odd_offers").replace("fx_norm", "fx_odd_norm")
+
+
 def with_fixtures(sql):
     """sql after the definitions it needs; $AS_OF stands for the time of all queries."""
     need, stack = set(), [sql]

@@ -6,6 +6,7 @@ import json
 import pytest
 
 from pricelode.sources import landing as L
+from pricelode.sources import tables
 
 
 def test_flattens_payloads(spark):
@@ -95,3 +96,42 @@ def test_alerts_are_logged_once(spark, tmp_path):
     for lot in (alerts.where("fingerprint = 'f1'"), alerts, alerts):
         L.append_deal_alerts(lot, stores, str(tmp_path / "log"))
     assert sorted((r.fingerprint, r.store_id) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [("f1", 1), ("f2", 2)]
+
+
+def keyed(spark, tmp_path, name, rows, columns, buckets=8):
+    df = spark.createDataFrame(rows, columns)
+    missing = [c.split()[0] for c in tables.SCHEMAS[name].split(", ") if c.split()[0] not in df.columns]
+    whole = df.selectExpr("*", *[f"NULL AS {c}" for c in missing])
+    tables.write_keyed(whole, name, str(tmp_path / name), f"t_{name}", buckets)
+    return spark.table(f"t_{name}")
+
+
+def test_keyed_tables_join_without_an_exchange_and_scan_one_bucket(spark, tmp_path):
+    n = 500
+    offers = keyed(spark, tmp_path, "offers", [(k, 1, k % 9 + 1.5) for k in range(n)], "variant_id long, store_id long, current_price double")
+    variants = keyed(spark, tmp_path, "variants", [(k, f"s{k}") for k in range(n)], "variant_id long, sku string")
+    changes = keyed(spark, tmp_path, "price_changes", [(k, 1, 2.5) for k in range(0, n, 2)], "variant_id long, store_id long, price double")
+    joined = offers.join(variants.select("variant_id", "sku").hint("merge"), "variant_id").join(changes.select("variant_id", "price").hint("merge"), "variant_id", "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+    assert joined.count() == n and joined.where("price is not null").count() == n // 2
+    one = tables.scan_keys(spark, "offers", "t_offers", [77])
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan doesn't say which buckets it reads
+    try:
+        assert "SelectedBucketsCount: 1 out of 8" in tables.scan_keys(spark, "offers", "t_offers", [77])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert [(r.variant_id, float(r.current_price)) for r in one.collect()] == [(77, 6.5)]
+    # Files under a declared schema: what a file lacks is null.
+    spark.createDataFrame([(1, "n")], "store_id long, name string").write.parquet(str(tmp_path / "stores"))
+    (row,) = tables.scan(spark, str(tmp_path / "stores"), "stores").collect()
+    assert row.name == "n" and row.currency is None and len(row) == 7
+
+
+def test_tables_of_a_database_are_read_in_ranges(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(k, k * 0.5) for k in range(-20, 300)], "variant_id long, price double")
+    tables.write_jdbc(df, url, "prices", driver)
+    back = tables.scan_jdbc(spark, url, "prices", "VARIANT_ID", 0, 200, 4, driver).toDF("variant_id", "price")
+    assert back.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())

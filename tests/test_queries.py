@@ -102,3 +102,47 @@ def test_cap_keeps_the_first_of_each_store(spark):
 def test_cap_of_the_reference_is_above_50(spark):
     got = registry.queries()["cap_products_per_store_50000"](spark, FOLDER).agg({"rank": "max", "*": "count"}).first()
     assert got["max(rank)"] > 50 and got["count(1)"] == spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
+
+
+def test_every_clause_of_matching_matters(spark):
+    from pricelode.operators import matching as M
+    from pricelode.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, FOLDER, hold=True)
+    variants, offers = fx.kept(fx.odd_variants, "odd"), fx.kept(fx.odd_offers, "oddoffers")
+    pairs = lambda **k: {tuple(r) for r in M.match_candidates(variants, offers, **{"apart": True, **k}).collect()}
+    whole = pairs()
+    assert len(whole) > 50
+    for name in M.match_clauses():
+        if name == "not itself":
+            continue  # a variant always shares a store with itself, so this clause only saves work once stores are compared
+        assert pairs(without=(name,)) != whole, name
+    assert pairs(apart=False) != whole and pairs(apart=False, without=("not itself",)) != pairs(apart=False)
+    # Split skus give the same matches.
+    assert pairs(hot=2) == whole
+    plain = {r.variant_id for r in fx.odd_variants.join(fx.offers, "variant_id").select("variant_id").distinct().collect()}
+    assert {r.variant_id for r in registry.queries()["filter_eligible_sku"](spark, FOLDER).collect()} < plain
+
+
+def test_quantiles_of_hot_groups(spark):
+    from pyspark.sql import functions as F
+
+    from pricelode.functions import statistics as T
+
+    rows = [(0, float(v % 977) / 4, 1 + v % 5) for v in range(6000)] + [(g, float(v), w) for g, v, w in ((1, 5, 3), (1, 7, 3), (2, -4, 1), (2, 0, 1), (2, 3, 1), (2, -8, 1), (3, 9, 0), (4, 1, 10), (4, 100, 1))] + [(5, None, 4), (5, 2.0, 1)]
+    df = spark.createDataFrame(rows, "g int, v double, w long").repartition(5)
+    got = {r.g: (r.a, r.b, r.c) for r in T.weighted_quantile(df, ["g"], "v", "w", [(1, 2), (1, 10), (9, 10)], ["a", "b", "c"]).collect()}
+    want = {}
+    for g in range(6):
+        own = sorted((v, w) for k, v, w in rows if k == g and v is not None)
+        total, out = sum(w for _, w in own), []
+        for num, den in ((1, 2), (1, 10), (9, 10)):
+            out.append(next(v for at, (v, _) in enumerate(own) if sum(w for x, w in own if x <= v) * den >= total * num))
+        want[g] = tuple(out)
+    assert got == want
+    # A third of all rows in one group: what one window sees is the values of one band.
+    bands = df.where("g = 0").groupBy(T.value_band(F.col("v")).alias("b")).agg(F.count_distinct("v").alias("n"))
+    assert bands.agg(F.max("n")).first()[0] < 60
+    edges = spark.createDataFrame([(float(x),) for x in (-1e300, -5, -1e-9, 0, 1e-13, 0.01, 0.011, 3, 3.2, 1e300)], "v double")
+    order = [r.b for r in edges.select(T.value_band(F.col("v")).alias("b"), "v").orderBy("v").collect()]
+    assert order == sorted(order)

@@ -28,7 +28,10 @@ def connected_components(edges):
 
     Returns node, component (the smallest node reachable) for every node of an
     edge; edges with a null end or from a node to itself link nothing.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Nodes and edges at most halve the
+    longest way to the smallest node in each round, so there are about as many
+    rounds as the logarithm of the longest path. A hub's edges meet in one key of
+    a join with one row per node, which Spark splits where it is skewed.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = durable(edges)

@@ -167,7 +167,13 @@ class LanguageModel:
 
 
 def fit_languages(docs, learn, id_col="doc_id", text_col="text", lang_col="lang", per_language=SAMPLE_PER_LANGUAGE):
-    """A LanguageModel from rows for which the column learn is true and language and text are given."""
+    """A LanguageModel from rows for which the column learn is true and language and text are given.
+
+    At most `per_language` texts of a language are learnt from, chosen by a hash
+    of the id; of equal draws those with the smaller vectors. Repeated rows are
+    drawn together or not at all, null ids all alike. Without such rows the model
+    knows no language. Further columns are not read.
+    """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != ""))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -196,7 +202,7 @@ def identify_languages(docs, model, text_col="text", grounds=False):
     With grounds also evidence (LanguageModel.judge) and word_share, 0 for null texts.
 
     Null texts and texts without a letter are `und` with score 0. Columns of
-    docs that have a result's name make way for it. Repeated rows are judged
+    docs that have a result's name, in whatever case, make way for it. Repeated rows are judged
     alike, an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -211,7 +217,8 @@ def identify_languages(docs, model, text_col="text", grounds=False):
             yield out.assign(evidence=evidence, word_share=[word_share(t or "") for t in texts]) if grounds else out
 
     results = ["lang_pred string", "score double", *(["evidence double", "word_share double"] if grounds else [])]
-    kept = [c for c in docs.columns if c != text_col and c not in {r.split()[0] for r in results}]
+    taken = {text_col.lower(), *(r.split()[0] for r in results)}  # Spark's names don't tell cases apart
+    kept = [c for c in docs.columns if c.lower() not in taken]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(inner))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != inner]
     return rows.mapInPandas(run, ", ".join([*kinds, *results]))

@@ -157,6 +157,38 @@ def test_mixing_gives_each_row_its_own_copies(spark, docs, no_docs):
     assert corpus_pipeline.mixed(spark, no_docs, "").count() == 0
 
 
+def test_packing_holds_every_token_once(spark, docs, no_docs, tokenizer_path):
+    """Pieces against the library's ids: repeats as often as they come, sequences without gaps and not too long, and nearly full."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path)
+    rows = docs.select(*corpus_pipeline.COLUMNS).collect()
+    want = Counter()
+    for r in rows:
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            some = ids[k : k + 2048]
+            want[r.doc_id, k // 2048, k, len(some), zlib.crc32(np.array(some, dtype="<u4").tobytes())] += 1
+    got = corpus_pipeline.packed(spark, docs.select(*corpus_pipeline.COLUMNS), "").collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    whole = sum(r.length for r in got)
+    assert len(places) <= -(-whole // 2048) + 1
+    assert corpus_pipeline.packed(spark, no_docs.select(*corpus_pipeline.COLUMNS), "").count() == 0
+
+
 def test_stages_read_what_the_one_before_wrote(spark, docs, no_docs, tmp_path, monkeypatch):
     seen = []
     look = lambda spark, rows, folder: seen.append(rows.inputFiles()) or rows.where("doc_id > 1")

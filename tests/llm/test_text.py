@@ -36,6 +36,8 @@ def test_languages_beside_clashing_columns(spark):
     df = spark.createDataFrame([("der hund", "x", 7, None, "e"), (None, "le chat", 8, "z", "e")], "body string, text string, score int, lang_pred string, evidence string")
     got = {r.text: r for r in language.identify_languages(df, model, text_col="body").collect()}
     assert got["x"].lang_pred == "de" and got["x"].evidence == "e" and 0 < got["x"].score <= 1 and got["le chat"].lang_pred == "und"
+    upper = language.identify_languages(df.withColumnsRenamed({"score": "Score", "text": "Body2"}), model, text_col="body")
+    assert upper.columns == ["Body2", "evidence", "lang_pred", "score"] and upper.select("score").count() == 2
     assert language.identify_languages(df, model, grounds=True).columns == ["body", "lang_pred", "score", "evidence", "word_share"]
 
 

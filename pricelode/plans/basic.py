@@ -9,7 +9,7 @@ from pricelode.operators import alerts as A
 from pricelode.operators import intervals as I
 from pricelode.operators import matching as M
 from pricelode.operators import shaping as S
-from pricelode.session import shared_folder
+from pricelode.session import held, shared_folder
 from pricelode.sources import tables as K
 
 from .catalog import query
@@ -191,7 +191,14 @@ def join_adjacent_interval(fx):
     return I.adjacent_drops(fx.changes).select("variant_id", "price", "prev_price", stamp("started_at").alias("started_at"))
 
 
-@query("join_overlap_check", "WITH " + BROKEN_CHANGES + " SELECT a.variant_id, a.store_id, a.price AS first_price, b.price AS second_price, strftime(a.started_at, '%Y-%m-%d %H:%M:%S') AS first_started, strftime(b.started_at, '%Y-%m-%d %H:%M:%S') AS second_started FROM fx_broken a JOIN fx_broken b ON a.variant_id = b.variant_id AND a.store_id = b.store_id AND a.started_at < b.started_at AND b.started_at < coalesce(a.ended_at, $AS_OF)", hold=True)
+@query(
+    "join_overlap_check",
+    f"""WITH {BROKEN_CHANGES},
+ fx_reach AS (SELECT *, max(coalesce(ended_at, $AS_OF)) OVER (PARTITION BY variant_id, store_id ORDER BY started_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS reach FROM fx_broken)
+ SELECT b.variant_id, b.store_id, a.price AS first_price, b.price AS second_price, strftime(a.started_at, '%Y-%m-%d %H:%M:%S') AS first_started, strftime(b.started_at, '%Y-%m-%d %H:%M:%S') AS second_started
+ FROM (SELECT * FROM fx_reach WHERE reach > started_at) b JOIN fx_broken a USING (variant_id, store_id) WHERE a.started_at < b.started_at AND b.started_at < coalesce(a.ended_at, $AS_OF)""",
+    hold=True,
+)
 def join_overlap_check(fx):
     """Pairs of intervals that overlap, of changes with planted violations."""
     return I.overlap_pairs(fx.broken_changes, fx.as_of).select("variant_id", "store_id", "first_price", "second_price", stamp("first_started").alias("first_started"), stamp("second_started").alias("second_started"))
@@ -347,9 +354,10 @@ def union_offers(fx):
     return own.unionByName(matched).distinct()
 
 
-@query("union_all_series", "SELECT canonical_id, store_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS ts, price FROM fx_members JOIN fx_changes USING (variant_id) UNION ALL SELECT canonical_id, store_id, strftime(coalesce(ended_at, $AS_OF), '%Y-%m-%d %H:%M:%S'), price FROM fx_members JOIN fx_changes USING (variant_id)", hold=True)
+@query("union_all_series", "SELECT canonical_id, store_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS ts, price FROM fx_members JOIN fx_changes USING (variant_id) UNION ALL SELECT canonical_id, store_id, strftime(coalesce(ended_at, $AS_OF), '%Y-%m-%d %H:%M:%S'), price FROM fx_members JOIN fx_changes USING (variant_id)")
 def union_all_series(fx):
-    return S.price_series(fx.members, fx.changes, fx.as_of).withColumn("ts", stamp("ts"))
+    """What is read twice is written once: the matches' members; observations and changes are read once each."""
+    return S.price_series(held(fx.members, "members"), fx.changes, fx.as_of).withColumn("ts", stamp("ts"))
 
 
 @query("set_union_stores", "SELECT variant_id, store_id FROM fx_offers UNION SELECT variant_id, store_id FROM fx_changes UNION SELECT variant_id, store_id FROM fx_obs")

@@ -424,7 +424,9 @@ def duplicate_groups(fx):
 )
 def dedup_variants(fx):
     crowd = lambda df: df.withColumn("store_id", F.col("store_id") % 10)
-    tables = U.dedup_tables(U.variant_remap(crowded(fx)), crowded(fx), crowd(fx.offers.select("variant_id", "store_id", "current_price")), crowd(fx.obs.select("variant_id", "store_id", "ts", "price")), fx.matches)
+    # The remap is read under each of the four tables.
+    variants = fx.kept(crowded(fx), "variants")
+    tables = U.dedup_tables(fx.kept(U.variant_remap(variants), "remap"), variants, crowd(fx.offers.select("variant_id", "store_id", "current_price")), crowd(fx.obs.select("variant_id", "store_id", "ts", "price")), fx.matches)
     row = lambda df, name, other, price: df.select(F.lit(name).alias("table_name"), "variant_id", other.cast("long").alias("other"), price.cast("decimal(12,2)").alias("price"))
     none, matches = F.lit(None), tables[3].withColumnRenamed("canonical_variant_id", "variant_id")
     out = row(tables[0], "variants", none, none).unionByName(row(tables[1], "offers", F.col("store_id"), F.col("current_price")))

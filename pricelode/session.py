@@ -35,8 +35,22 @@ def shared_folder(spark, name):
     return f"{base}/pricelode-{name}-{uuid.uuid4().hex}"
 
 
+_HELD = {}
+
+
 def held(df, name="table"):
-    """df written once as Parquet to the shared folder, and read from there by all that use it."""
-    folder = shared_folder(df.sparkSession, name)
+    """df written once as Parquet to the shared folder, and read from there by all that use it, until release()."""
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    _HELD.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return spark.read.parquet(folder)
+
+
+def release(spark):
+    """Remove the tables that held has written for this application; results that read them must have been used. Returns how many."""
+    folders = _HELD.pop(spark.sparkContext.applicationId, [])
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in folders:
+        at = path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(folders)

@@ -135,3 +135,14 @@ def test_tables_of_a_database_are_read_in_ranges(spark, tmp_path):
     back = tables.scan_jdbc(spark, url, "prices", "VARIANT_ID", 0, 200, 4, driver).toDF("variant_id", "price")
     assert back.rdd.getNumPartitions() == 4
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_held_tables_are_released(spark):
+    import glob
+
+    from pricelode import session
+
+    df = session.held(spark.range(5), "released")
+    assert df.count() == 5 and glob.glob("/tmp/**/pricelode-released-*", recursive=True)
+    assert session.release(spark) >= 1 and session.release(spark) == 0
+    assert not glob.glob("/tmp/**/pricelode-released-*", recursive=True)

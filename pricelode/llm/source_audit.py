@@ -26,9 +26,9 @@ UNIT = 1_000_000_000
 #: Term ranks are listed up to this.
 TOP = 200
 #: Bytes of text whose chunks are counted together in a task, about.
-COUNT_BYTES = 48_000_000
+COUNT_BYTES = 32_000_000
 #: Rows that are merged together in a task, about.
-MERGE_ROWS = 200_000
+MERGE_ROWS = 100_000
 #: Pairs of sources that are compared at a time.
 COMPARE_PAIRS = 300_000
 

@@ -21,7 +21,7 @@ from .common import durable, table
 K = 10
 SCALE = 1024.0
 GROUP_ROWS = 16_384
-QUERY_ROWS = 1_024
+QUERY_ROWS = 8_192
 BLOCK_DIMS = 16
 
 

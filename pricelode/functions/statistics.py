@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pricelode.session import held
+
 MAX_PRICE = 20000
 OUTLIER_RATIO = 3.0
 MAD_SCALE = 1.4826
@@ -91,7 +93,8 @@ def weighted_quantile(df, by, value, weight, shares, names):
     of one band, so that no window holds all rows, or all values, of a large group.
     """
     v = F.col(value)
-    sums = df.where(v.isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_w")).withColumn("_band", value_band(v.cast("double")))
+    # Written, as both the bands and the values of the few that matter come from it.
+    sums = held(df.where(v.isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_w")).withColumn("_band", value_band(v.cast("double"))), "sums")
     group = Window.partitionBy(*by)
     bands = sums.groupBy(*by, "_band").agg(F.sum("_w").alias("_in"))
     bands = bands.withColumn("_upto", F.sum("_in").over(group.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_in").over(group))

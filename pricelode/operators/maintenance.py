@@ -157,7 +157,8 @@ def merge_offers(incoming, path, buckets=256):
     merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def _counters():
+def counters():
+    """The counters of an import as aggregate columns over its outcomes."""
     n = lambda name: F.count_if(F.col("outcome") == name).alias(name)
     converted = F.count_if((F.col("outcome") != "rejected") & (F.col("original_currency") != "USD")).alias("converted")
     return n("imported"), n("updated"), n("skipped"), converted, n("rejected")
@@ -165,13 +166,13 @@ def _counters():
 
 def import_counters(outcomes):
     """Per store: imported, updated, skipped, converted and rejected rows of an import."""
-    return outcomes.groupBy("store_id").agg(*_counters())
+    return outcomes.groupBy("store_id").agg(*counters())
 
 
 def write_counted(outcomes, path):
     """Append outcomes to the table at path; returns the counters of the whole import, observed while the rows were written."""
     seen = Observation("import")
-    outcomes.observe(seen, *_counters()).write.mode("append").parquet(path)
+    outcomes.observe(seen, *counters()).write.mode("append").parquet(path)
     return seen.get
 
 

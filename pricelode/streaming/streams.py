@@ -1,13 +1,17 @@
 """The stateful upserts as streams."""
 
+from collections import Counter
 from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from pricelode.operators.maintenance import counters
+
 #: The last accepted price, whether a timer is set, and the rows that wait, as microseconds and price.
 PAIR_STATE = StructType([StructField("price", StringType()), StructField("timed", BooleanType()), StructField("waiting", StringType())])
 INTERVALS = "variant_id long, store_id long, price string, old_price string, at_us long"
@@ -129,6 +133,36 @@ def stream_upsert_offers(observations, spark, path, checkpoint, compact=16):
     return observations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+class ImportWatch(StreamingQueryListener):
+    """Adds up what the micro-batches of running imports observe; add it with spark.streams.addListener.
+
+    A batch counts once it is done; `counts` grows while the import runs, without
+    a second pass over its rows. Listeners are told a little later than the query.
+    """
+
+    def __init__(self, name="import"):
+        self.name, self.counts = name, Counter()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None:
+            self.counts.update({k: v or 0 for k, v in seen.asDict().items()})
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def observed_import(outcomes, name="import"):
+    """A stream of import outcomes whose counters an ImportWatch of that name sees, batch by batch."""
+    return outcomes.observe(name, *counters())
+
+
 ALERT_STATE = StructType([StructField("sent_us", LongType()), StructField("price", StringType())])
 
 

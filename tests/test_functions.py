@@ -206,6 +206,30 @@ def test_counters_are_observed_on_the_write(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 5
 
 
+def test_counters_of_a_running_import(spark, tmp_path):
+    import time
+
+    from pricelode.streaming import streams as T
+
+    rows = [("imported", "USD"), ("updated", "EUR"), ("skipped", "EUR"), ("rejected", "KRW"), ("updated", "USD")] * 4
+    df = spark.createDataFrame(rows, "outcome string, original_currency string")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    watch = T.ImportWatch()
+    spark.streams.addListener(watch)
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        run = T.observed_import(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        for _ in range(100):
+            if sum(watch.counts.values()) >= 28:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watch)
+    assert watch.counts == {"imported": 4, "updated": 8, "skipped": 4, "converted": 8, "rejected": 4}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
 def test_late_observations_amend_intervals(spark):
     from pricelode.operators import intervals as I
 

@@ -10,6 +10,7 @@ labelled texts, SAMPLE_PER_LANGUAGE whole texts of each language.
 """
 
 import itertools
+import pickle
 import re
 
 import numpy as np
@@ -192,8 +193,15 @@ def fit_languages(docs, learn, id_col="doc_id", text_col="text", lang_col="lang"
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "vector"))
     some = some.mapInPandas(vectors, "lang string, draw long, vector binary").withColumn("rank", rank).where(F.col("rank") <= per_language)
-    some = some.select("lang", "vector").orderBy("lang", "vector").toPandas()
-    return LanguageModel([np.frombuffer(v, dtype=np.float16) for v in some["vector"]], some["lang"].tolist())
+
+    def fit(frame):
+        frame = frame.sort_values(["lang", "vector"])
+        model = LanguageModel([np.frombuffer(v, dtype=np.float16) for v in frame["vector"]], frame["lang"].tolist())
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # The bounded sample is fitted in one task; the driver gets weights alone.
+    (row,) = some.select("lang", "vector", F.lit(1).alias("all")).groupBy("all").applyInPandas(fit, "model binary").collect()
+    return pickle.loads(bytes(row["model"]))
 
 
 def identify_languages(docs, model, text_col="text", grounds=False):

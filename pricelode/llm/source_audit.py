@@ -27,6 +27,8 @@ UNIT = 1_000_000_000
 TOP = 200
 #: Bytes of text whose chunks are counted together in a task, about.
 COUNT_BYTES = 32_000_000
+#: Bytes of text that are split at a time, about; all chunks of a lot are held as numbers only.
+SPLIT_BYTES = 2_000_000
 #: Rows that are merged together in a task, about.
 MERGE_ROWS = 100_000
 #: Pairs of sources that are compared at a time.
@@ -79,32 +81,60 @@ def _packed(lang, name, rows, group, postings, doc_group, docs):
     return pa.Table.from_arrays([lang, name.cast(pa.string()), _bytes_column(out, ends(group)), _bytes_column(docs.astype("<i8"), ends(doc_group))], names=names)
 
 
+def _chunks(texts):
+    """The row and the code of every chunk of a column of texts, and the distinct chunks.
+
+    Texts are split SPLIT_BYTES at a time, or one by one where they are longer, as split text takes many times its room.
+    """
+    rows, found, at = [np.zeros(0, np.int32)], [pa.array([], pa.large_string()).dictionary_encode()], 0
+    for column in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        part = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // SPLIT_BYTES
+        cuts = np.flatnonzero(_begins(part)).tolist() + [len(column)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            chunks = pc.ascii_split_whitespace(column.slice(start, end - start).cast(pa.large_string()))
+            flat = pc.list_flatten(chunks)
+            filled = pc.not_equal(pc.binary_length(flat), 0)
+            rows.append((pc.list_parent_indices(chunks).filter(filled).to_numpy() + at + start).astype(np.int32))
+            found.append(flat.filter(filled).dictionary_encode())
+        at += len(column)
+    found = pa.chunked_array(found).unify_dictionaries()
+    return np.concatenate(rows), np.concatenate([c.indices.to_numpy() for c in found.chunks]), found.chunk(0).dictionary
+
+
 def _count(part, least):
-    """The chunks of some documents (doc, lang, source: a key, text) as PACKED rows.
+    """The chunks of some documents (doc, lang, source: a key, text) as tables of PACKED rows.
 
     `least` documents of a lang and chunk are named: more say no more about
     whether a term is in that many.
     """
-    text = part.column("text").cast(pa.large_string()).combine_chunks()
-    chunks = pc.ascii_split_whitespace(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
-    parents, flat = pc.list_parent_indices(chunks).to_numpy(), pc.list_flatten(chunks)
-    filled = pc.not_equal(pc.binary_length(flat), 0)
-    parents, flat = parents[filled.to_numpy(zero_copy_only=False)], flat.filter(filled)
-    code, words = _codes(flat)
+    row, code, words = _chunks(part.column("text"))
     lang, langs = _codes(part.column("lang"))
     source, sources = np.unique(part.column("source").to_numpy(), return_inverse=True)[::-1]
-    # One number for lang, chunk and source, in this order.
-    key = (lang[parents] * len(words) + code) * len(sources) + source[parents]
-    order = np.argsort(key, kind="stable")  # documents stay in order
-    key, doc = key[order], part.column("doc").to_numpy()[parents[order]]
+    n_words, n_sources, n_rows = max(len(words), 1), max(len(sources), 1), max(len(part), 1)
+    if len(langs) * n_words * n_sources * n_rows >= 2**63:
+        # The numbers below would not fit a long; those of a single document always do.
+        yield from _count(part.slice(0, n_rows // 2), least)
+        yield from _count(part.slice(n_rows // 2), least)
+        return
+    # One number for lang, chunk, source and document, in this order; made and sorted in place, as these are the largest arrays here.
+    key = lang[row]
+    for size, value in ((n_words, code), (n_sources, source[row]), (n_rows, row)):
+        key *= size
+        key += value
+    del row, code, value
+    key.sort()
+    start = np.flatnonzero(_begins(key))
+    n = np.diff(np.r_[start, len(key)])
+    key, doc = np.divmod(key[start], n_rows)
     start = np.flatnonzero(_begins(key))
-    group = key // max(len(sources), 1)
-    other = np.flatnonzero(_begins(key, doc))
-    named = other[_first_of_each(group[other], least)]
+    n = np.add.reduceat(n, start) if len(start) else n
+    group, at_source = np.divmod(key, n_sources)
+    del key
+    named = np.flatnonzero(_first_of_each(group, least))
     rows = group[np.flatnonzero(_begins(group))]
-    at_lang, at_word = np.divmod(rows, max(len(words), 1))
-    postings = sources[key[start] % max(len(sources), 1)], np.diff(np.r_[start, len(key)])
-    return _packed(langs.take(pa.array(at_lang)), words.take(pa.array(at_word)), rows, group[start], postings, group[named], doc[named])
+    at_lang, at_word = np.divmod(rows, n_words)
+    docs = part.column("doc").to_numpy()[doc[named]]
+    yield _packed(langs.take(pa.array(at_lang)), words.take(pa.array(at_word)), rows, group[start], (sources[at_source[start]], n), group[named], docs)
 
 
 def _merge(lang, langs, name, names, rows, least):
@@ -156,8 +186,9 @@ def _lots(batches, full):
         held.append(batch)
         size += full(batch)
         if size >= 1:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
+            part, held, size = pa.Table.from_batches(held).combine_chunks(), [], 0
+            yield part
+            del part
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -167,7 +198,8 @@ def packed_chunks(docs, least=LEAST_DOCS):
 
     def run(batches):
         for part in _lots(batches, lambda b: b.nbytes / COUNT_BYTES):
-            yield from _count(part, least).to_batches(20_000)
+            for found in _count(part, least):
+                yield from found.to_batches(20_000)
 
     return docs.select("doc", "lang", "source", "text").mapInArrow(run, PACKED)
 

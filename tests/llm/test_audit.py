@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pricelode.llm import source_audit
@@ -93,3 +96,30 @@ def test_shares_are_exact_beyond_longs(spark):
 
 def test_audit_of_nothing(spark):
     assert source_audit.audit_sources(spark.createDataFrame([], KINDS)).count() == 0
+
+
+def lot_of_texts(n, words):
+    draw = np.random.default_rng(2)
+    texts = [" ".join(f"{w:x}" for w in draw.integers(0, 60_000, words)) for _ in range(n)]
+    return pa.table({"doc": np.arange(n), "lang": pa.array(["en", "de"] * (n // 2)), "source": np.arange(n) % 3, "text": pa.array(texts)})
+
+
+def packed_rows(tables):
+    table = pa.concat_tables(tables)
+    return sorted(zip(*[table.column(c).to_pylist() for c in ("lang", "name", "postings", "docs")], strict=True))
+
+
+def test_counting_takes_few_bytes_a_chunk(monkeypatch):
+    lot = lot_of_texts(400, 2_000)
+    monkeypatch.setattr(source_audit, "SPLIT_BYTES", 100_000, raising=False)
+    tracemalloc.start()
+    found = source_audit._count(lot, 3)
+    found = [found] if isinstance(found, pa.Table) else list(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * 400 * 2_000
+    small = lot_of_texts(40, 30)
+    whole = packed_rows(source_audit._count(small, 3))
+    for size in (1, 1_000):
+        monkeypatch.setattr(source_audit, "SPLIT_BYTES", size)
+        assert packed_rows(source_audit._count(small, 3)) == whole

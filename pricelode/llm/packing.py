@@ -21,12 +21,17 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .common import durable, small_batches
-from .word_tokens import WordEncoder
+from .word_tokens import worker_encoder
 
 CAPACITY = 2048
 #: Expected items in a shard.
 SHARD_ITEMS = 40_000
 _END = array("I", [0]).tobytes()
+_joined = b"".join
+
+
+def _id_bytes(ids):
+    return array("I", ids).tobytes()
 
 
 def sum_of_squares(lengths, capacity=CAPACITY):
@@ -67,7 +72,7 @@ def token_pieces(docs, tokenizer_path, id_col="doc_id", text_col="text", capacit
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path, lambda ids: array("I", ids).tobytes(), b"".join)
+        encoder = worker_encoder(tokenizer_path, _id_bytes, _joined)
         size = 4 * capacity
         for batch in batches:
             at, piece, length, crc = [], [], [], []

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .word_tokens import WordEncoder
+from .word_tokens import worker_encoder
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -23,7 +23,7 @@ def count_tokens(docs, tokenizer_path, id_col="doc_id", text_col="text", limit=2
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path, len, sum)
+        encoder = worker_encoder(tokenizer_path, len, sum)
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": encoder.batch(batch["text"].tolist())})
 

@@ -10,6 +10,7 @@ pre-token holds any. Texts for which Python's and the library's notion of white
 space differ, or which may hold special tokens, go to the library whole.
 """
 
+import functools
 import re
 
 from tokenizers import Tokenizer
@@ -145,3 +146,12 @@ class WordEncoder:
         if len(self.known) > MEMO + len(self.whole):
             self.known, self.older = dict(self.whole), self.known
         return joined
+
+
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path, value, join):
+    """The encoder of this worker process, kept from task to task with its proofs and what it remembers.
+
+    value and join must be functions of a module, so that they are the same in each task.
+    """
+    return WordEncoder(path, value, join)

@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pricelode.llm.packing import pack_documents, sum_of_squares
+from pricelode.llm import word_tokens
+from pricelode.llm.packing import pack_documents, sum_of_squares, token_pieces
 from pricelode.llm.token_counts import count_tokens
 from pricelode.llm.word_tokens import WordEncoder
 
@@ -92,3 +93,17 @@ def test_packs_everything_once(spark, docs, no_docs, tokenizer_path):
             assert at <= 2048
         assert len(by_bin) <= math.ceil(sum(w[3] for w in want) / 2048) + 2
     assert pack_documents(no_docs, tokenizer_path).count() == 0
+
+
+def test_tasks_of_a_worker_share_proofs(spark, docs, tokenizer_path, monkeypatch):
+    """Two tasks that run in one process prove the vocabulary once, and give the same."""
+    seen, prove = [], word_tokens.prove_whole_tokens
+    frame, kept = type(docs), {}
+    monkeypatch.setattr(word_tokens, "prove_whole_tokens", lambda tokenizer: seen.append(1) or prove(tokenizer))
+    with monkeypatch.context() as m:
+        m.setattr(frame, "mapInPandas", lambda self, run, schema: kept.setdefault("run", run))
+        token_pieces(docs, tokenizer_path)
+    batch = docs.selectExpr("doc_id AS id", "text").where("id IS NOT NULL").toPandas()
+    first, second = (list(kept["run"](iter([batch.copy()])))[0] for _ in range(2))
+    assert first.equals(second) and len(first) >= len(batch)
+    assert len(seen) <= 1

@@ -80,7 +80,7 @@ def packed(spark, docs, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("language ID", by_language), ("near-dedup, MinHash candidates and SimHash filter", without_near_duplicates), ("mixing", mixed), ("best-fit packing", packed)]
+STAGES = [("language ID", by_language), ("near-dedup, SimHash in vantage-point trees, MinHash for the rest", without_near_duplicates), ("mixing", mixed), ("best-fit packing", packed)]
 ORACLE_SQL = None
 
 

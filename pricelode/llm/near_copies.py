@@ -1,16 +1,18 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are distinct shingle sets that share one of BANDS MinHash buckets; a
-pair at similarity 0.8 misses all of them once in 14,000 times, a pair above it
-less often. Of those, pairs whose SimHash fingerprints differ in at most RADIUS
-bits and whose sizes allow it are tested on the sets themselves. Vantage-point
-trees are not used: at 0.8 fingerprints differ in about 10 of 64 bits, and a ball
-wide enough for that reaches nearly every leaf.
-
-A large group of near copies must not make all its pairs. So each bucket's
-members are first compared with one of them, another in each bucket, and, where
-several components are left, with the one that has the fewest shingles of its
-own. Only then are pairs in different components compared, and of those only
+SimHash fingerprints of the distinct shingle sets are linked by vantage-point
+trees (simhash.link_fingerprints) up to REACH of 64 bits, and what they link is
+tested on the sets themselves. At similarity 0.8 fingerprints differ in about 10
+bits, and trees wide enough for all such pairs would reach nearly every leaf. So
+sets that the trees left apart are candidates too if they share one of BANDS
+MinHash buckets; a pair at similarity 0.8 misses all of them once in 14,000
+times, a pair above it less often. Fingerprints up to RADIUS bits apart and
+sizes that allow it are asked for, and the sets are tested likewise.
+
+A large group of near copies must not make all its pairs. The trees give
+spanning forests. Members of a bucket that holds several components are then
+compared with one of them, another in each bucket, and, where several are still
+left, with the one that has the fewest shingles of its own. Only then are pairs in different components compared, and of those only
 pairs that can be similar enough: a set shares at most the shingles that some
 other set of the open buckets holds, and two sets differ at least in as many
 elements as their odd sketches do in bits. These bounds rule out most pairs of a
@@ -23,9 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import durable, small_batches
 from .components import connected_components
+from .simhash import link_fingerprints
 
 SHINGLE = 5
 LEAST = 0.8
+#: Trees over a third of the bits each still prune when a ball of 2 bits is asked for, which finds all fingerprints so many bits apart.
+REACH = 8
 #: Fingerprints at similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9.
 RADIUS = 24
 BANDS, ROWS = 24, 5
@@ -138,6 +143,26 @@ def _pairs(both, able=None):
     return both.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
+def _told(df, name, source, *more):
+    """df with the struct `name` of the node that stands in its column `name`."""
+    own = source.select(F.col("node").alias(name), F.struct("node", "n", "fp", *more).alias("_told"))
+    return df.join(own, name).drop(name).withColumnRenamed("_told", name)
+
+
+def tree_pairs(nodes):
+    """Pairs u, v of nodes (node, n, fp) that vantage-point trees over their fingerprints link, and sizes allow.
+
+    Forests of all links of at most REACH bits between distinct fingerprints,
+    each by its smallest node, which the others of the same fingerprint are tied to.
+    """
+    prints = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(prints, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    links = link_fingerprints(prints.select("fp"), REACH).distinct()
+    for fp, end in (("u", "a"), ("v", "b")):
+        links = links.join(prints.select(F.col("fp").alias(fp), F.col("head").alias(end)), fp)
+    return _pairs(_told(_told(same.unionByName(links.select("a", "b")), "a", nodes), "b", nodes))
+
+
 def _unshared(sets):
     """node, lone: how many of its shingles no other of the sets holds, for nodes that have such."""
 
@@ -184,37 +209,39 @@ def near_copies(rows):
     small_batches(rows.sparkSession)
     marks = durable(_marks(rows))
     nodes = durable(marks.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("key").alias("key")))
+    near = durable(tree_pairs(nodes.select("node", "n", "fp")))
     # Buckets hold numbers alone; what pairs are judged by joins only those that are not alone in theirs.
     all_members = nodes.select(F.explode("keys").alias("bucket"), "node")
-    hub = F.min(F.struct(F.xxhash64("node", "bucket").alias("draw"), "node"))["node"]
-    hubs = all_members.groupBy("bucket").agg(F.count("*").alias("members"), hub.alias("hub")).where("members > 1")
-    members = durable(all_members.join(hubs, "bucket"))
-    wanted = durable(members.select("node").distinct().join(nodes, "node").select("node", "key", "n", "fp"))
+    members = all_members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    members = durable(all_members.join(members, "bucket"))
+    asked = members.select("node").unionByName(near.select(F.explode(F.array("u", "v")).alias("node")))
+    wanted = durable(asked.distinct().join(nodes, "node").select("node", "key", "n", "fp"))
     texts = rows.select("key", "text").join(wanted.select("node", "key"), "key").groupBy("node").agg(F.first("text").alias("text"))
     sets = durable(_sets(texts))
     what = wanted.select("node", "n", "fp")
 
-    def told(df, name, *more, source=what):
-        """df with the struct `name` of the node that stands in its column `name`."""
-        own = source.select(F.col("node").alias(name), F.struct("node", "n", "fp", *more).alias("_told"))
-        return df.join(own, name).drop(name).withColumnRenamed("_told", name)
-
     def stars(df):
         """Pairs of members of a bucket and its hub, which stand in the columns node and hub."""
-        return _pairs(told(told(df.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "a"), "b"))
-
-    tried = durable(stars(members))
-    linked = connected_components(_linked(tried, sets))
+        return _pairs(_told(_told(df.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "a", what), "b", what))
 
-    def still_open(placed):
+    def still_open(placed, *more):
         """Members, with their components, of buckets that hold several."""
-        rest = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        return durable(placed.join(rest, "bucket", "left_semi"))
+        rest = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more).where("low < high").drop("low", "high")
+        return durable(placed.join(rest, "bucket"))
 
     def placed_by(rows, linked):
-        return rows.select("bucket", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return rows.select("bucket", "node", "members").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    open_ = still_open(placed_by(members.where("members > 2"), linked))
+    edges = lambda linked: linked.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    linked = connected_components(_linked(near, sets))
+    # What the trees left apart is looked for in the buckets.
+    hub = F.min(F.struct(F.xxhash64("node", "bucket").alias("draw"), "node", "component"))
+    open_ = still_open(placed_by(members, linked), hub.alias("first"))
+    tried = stars(open_.where("component <> first.component").withColumn("hub", F.col("first.node"))).join(near, ["u", "v"], "left_anti")
+    tried = durable(tried)
+    linked = connected_components(edges(linked).unionByName(_linked(tried, sets)))
+    tried = tried.unionByName(near)
+    open_ = still_open(placed_by(open_.where("members > 2"), linked))
     # Shingles that no other open set holds bound what a set can share with any other.
     own = open_.select("node").distinct()
     lone = _unshared(sets.join(own, "node", "left_semi"))
@@ -225,11 +252,10 @@ def near_copies(rows):
     # A second hub for each open bucket: the set that shares the largest part of itself.
     central = open_.join(what_open, "node").groupBy("bucket").agg(F.max_by("node", F.struct(F.col("shared") / F.col("n"), "node")).alias("hub"))
     more = durable(stars(open_.join(central, "bucket")).join(tried, ["u", "v"], "left_anti"))
-    edges = lambda linked: linked.select(F.col("node").alias("u"), F.col("component").alias("v"))
     linked = connected_components(edges(linked).unionByName(_linked(more, sets)))
 
     # What is still apart is compared pair by pair, where the bound leaves a chance.
-    left = told(still_open(placed_by(open_, linked)).withColumnRenamed("node", "a"), "a", "shared", *bits, source=what_open)
+    left = _told(still_open(placed_by(open_, linked)).withColumnRenamed("node", "a"), "a", what_open, "shared", *bits)
     left = durable(left.where(F.col("a.shared") >= LEAST * F.col("a.n") - 1e-6))
     other = left.select("bucket", F.col("a").alias("b"), F.col("component").alias("with"))
     enough = F.least("a.shared", "b.shared") >= LEAST / (1 + LEAST) * (F.col("a.n") + F.col("b.n")) - 1e-6

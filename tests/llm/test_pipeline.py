@@ -103,6 +103,29 @@ def test_a_large_family_makes_few_pairs(spark, monkeypatch):
     assert sum(tested) < 220 * 219 / 2 / 3
 
 
+def test_trees_link_near_copies_first(spark, monkeypatch):
+    """Pairs of copies whose fingerprints are in reach are tested because trees linked them, and buckets are asked only for the rest."""
+    rng, texts = np.random.default_rng(9), []
+    for k in range(60):
+        base = [f"w{i}" for i in rng.integers(0, 50_000, 150)]
+        texts.append(" ".join(base))
+        base[k] = f"x{k}"
+        texts.append(" ".join(base[: 149 - k % 9]))
+    tested, linked = [], near_copies._linked
+    monkeypatch.setattr(near_copies, "_linked", lambda pairs, sets: tested.append({(r.u, r.v) for r in pairs.collect()}) or linked(pairs, sets))
+    rows = frame(spark, texts).withColumn("key", F.col("doc_id").cast("string"))
+    groups = {int(r.key): r.component for r in near_copies.near_copies(rows).collect()}
+    marks = {int(r.key): r for r in near_copies._marks(rows).collect()}
+    near, apart = set(), set()
+    for k in range(0, 120, 2):
+        a, b = marks[k], marks[k + 1]
+        if jaccard(shingles(texts[k]), shingles(texts[k + 1])) >= 0.8:
+            assert groups[k] == groups[k + 1]
+            (near if ((a.fp ^ b.fp) & 2**64 - 1).bit_count() <= near_copies.REACH else apart).add((min(a.node, b.node), max(a.node, b.node)))
+    assert tested[0] == near and len(near) > 30 and near.isdisjoint(set().union(*tested[1:]))
+    assert len(set(groups.values())) == 120 - len(near) - len(apart)
+
+
 def test_junk_is_rejected_and_short_texts_are_kept(spark):
     rng = np.random.default_rng(8)
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)

@@ -1,5 +1,6 @@
 """Small helpers shared by the operators of this package."""
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +47,16 @@ def durable(df):
     return df.checkpoint()
 
 
+def drop_unused(spark):
+    """Have Spark remove the shuffle files and checkpoints that no table in use needs.
+
+    It does so when the driver collects garbage, and a driver that has little to
+    do hardly does; a loop of many small joins would fill the disks meanwhile.
+    """
+    gc.collect()  # Python's names of tables hold them in the driver
+    spark.sparkContext._jvm.System.gc()
+
+
 def reread(df):
     """df written as Parquet to a new folder in the shared checkpoint folder, and read again."""
     place = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4()}"

@@ -4,33 +4,34 @@ SimHash fingerprints of the distinct shingle sets are linked by vantage-point
 trees (simhash.link_fingerprints) up to REACH of 64 bits, and what they link is
 tested on the sets themselves. At similarity 0.8 fingerprints differ in about 10
 bits, and trees wide enough for all such pairs would reach nearly every leaf. So
-sets that the trees left apart are candidates too if they share one of BANDS
+pairs that the trees did not give are candidates too if they share one of BANDS
 MinHash buckets; a pair at similarity 0.8 misses all of them once in 14,000
 times, a pair above it less often. Fingerprints up to RADIUS bits apart and
 sizes that allow it are asked for, and the sets are tested likewise.
 
 A large group of near copies must not make all its pairs. The trees give
-spanning forests. Members of a bucket that holds several components are then
-compared with one of them, another in each bucket, and, where several are still
-left, with the one that has the fewest shingles of its own. Only then are pairs in different components compared, and of those only
-pairs that can be similar enough: a set shares at most the shingles that some
-other set of the open buckets holds, and two sets differ at least in as many
-elements as their odd sketches do in bits. These bounds rule out most pairs of a
-large family whose members differ too much; no link is lost to them.
+spanning forests. Each bucket's members are compared with one of them, another
+in each bucket, and, where several components are left, with the one that has
+the fewest shingles of its own. Only then are pairs in different components
+compared, and of those only pairs that can be similar enough: a set shares at
+most the shingles that some other set of the open buckets holds, and two sets
+differ at least in as many elements as their odd sketches do in bits. These
+bounds rule out most pairs of a large family whose members differ too much; no
+link is lost to them.
 """
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import drop_unused, durable, small_batches
 from .components import connected_components
 from .simhash import link_fingerprints
 
 SHINGLE = 5
 LEAST = 0.8
-#: Trees over a third of the bits each still prune when a ball of 2 bits is asked for, which finds all fingerprints so many bits apart.
-REACH = 8
+#: Trees over a third of the bits each prune while balls of 1 bit are asked for, which find all fingerprints so many bits apart; balls of 2 bits visit twice the leaves at 50,000 fingerprints and four times at 240,000.
+REACH = 5
 #: Fingerprints at similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9.
 RADIUS = 24
 BANDS, ROWS = 24, 5
@@ -210,38 +211,38 @@ def near_copies(rows):
     marks = durable(_marks(rows))
     nodes = durable(marks.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("key").alias("key")))
     near = durable(tree_pairs(nodes.select("node", "n", "fp")))
+    drop_unused(rows.sparkSession)
     # Buckets hold numbers alone; what pairs are judged by joins only those that are not alone in theirs.
     all_members = nodes.select(F.explode("keys").alias("bucket"), "node")
-    members = all_members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = durable(all_members.join(members, "bucket"))
+    hub = F.min(F.struct(F.xxhash64("node", "bucket").alias("draw"), "node"))["node"]
+    hubs = all_members.groupBy("bucket").agg(F.count("*").alias("members"), hub.alias("hub")).where("members > 1")
+    members = durable(all_members.join(hubs, "bucket"))
     asked = members.select("node").unionByName(near.select(F.explode(F.array("u", "v")).alias("node")))
     wanted = durable(asked.distinct().join(nodes, "node").select("node", "key", "n", "fp"))
     texts = rows.select("key", "text").join(wanted.select("node", "key"), "key").groupBy("node").agg(F.first("text").alias("text"))
     sets = durable(_sets(texts))
+    drop_unused(rows.sparkSession)
     what = wanted.select("node", "n", "fp")
 
     def stars(df):
         """Pairs of members of a bucket and its hub, which stand in the columns node and hub."""
         return _pairs(_told(_told(df.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "a", what), "b", what))
 
-    def still_open(placed, *more):
-        """Members, with their components, of buckets that hold several."""
-        rest = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more).where("low < high").drop("low", "high")
-        return durable(placed.join(rest, "bucket"))
+    def still_open(placed):
+        """Members, with their components, of buckets that hold several. The rounds that found these components have left shuffles that nothing reads again."""
+        drop_unused(rows.sparkSession)
+        rest = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        return durable(placed.join(rest, "bucket", "left_semi"))
 
-    def placed_by(rows, linked):
-        return rows.select("bucket", "node", "members").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def placed_by(some, linked):
+        return some.select("bucket", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     edges = lambda linked: linked.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    linked = connected_components(_linked(near, sets))
-    # What the trees left apart is looked for in the buckets.
-    hub = F.min(F.struct(F.xxhash64("node", "bucket").alias("draw"), "node", "component"))
-    open_ = still_open(placed_by(members, linked), hub.alias("first"))
-    tried = stars(open_.where("component <> first.component").withColumn("hub", F.col("first.node"))).join(near, ["u", "v"], "left_anti")
-    tried = durable(tried)
-    linked = connected_components(edges(linked).unionByName(_linked(tried, sets)))
+    # What the trees did not pair is looked for in the buckets; one search takes the links of both.
+    tried = durable(stars(members).join(near, ["u", "v"], "left_anti"))
+    linked = connected_components(_linked(near, sets).unionByName(_linked(tried, sets)))
     tried = tried.unionByName(near)
-    open_ = still_open(placed_by(open_.where("members > 2"), linked))
+    open_ = still_open(placed_by(members.where("members > 2"), linked))
     # Shingles that no other open set holds bound what a set can share with any other.
     own = open_.select("node").distinct()
     lone = _unshared(sets.join(own, "node", "left_semi"))
@@ -264,4 +265,5 @@ def near_copies(rows):
     rest = _pairs(left.join(other, "bucket").where(F.col("component") < F.col("with")), enough)
     rest = rest.join(tried.unionByName(more), ["u", "v"], "left_anti")
     linked = connected_components(edges(linked).unionByName(_linked(rest, sets)))
+    drop_unused(rows.sparkSession)
     return marks.select("key", "node").join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("component"))

@@ -1,13 +1,14 @@
 """Stages of the corpus pipeline against brute force."""
 
 import itertools
+import time
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pricelode.llm import mixing, near_copies
+from pricelode.llm import common, mixing, near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -126,6 +127,40 @@ def test_trees_link_near_copies_first(spark, monkeypatch):
     assert len(set(groups.values())) == 120 - len(near) - len(apart)
 
 
+def test_trees_visit_few_leaves_as_fingerprints_grow_in_number():
+    """Rows to compare, with a leaf's rows once for each of its blocks, for five times the fingerprints."""
+    values, made = np.random.default_rng(10).integers(0, 2**64, 240_000, dtype=np.uint64), []
+    for some in (values[:48_000], values):
+        made.append(0)
+        for band in simhash.BANDS:
+            told = simhash._band(some, band)
+            tree = simhash.grow_tree(np.unique(told[: simhash.SAMPLE])[::-1], len(some) // simhash.LEAF_ROWS)
+            sizes = np.bincount(simhash.leaves_of(tree, told, near_copies.REACH // len(simhash.BANDS))[1])
+            made[-1] += int((sizes * -(-sizes // simhash.BLOCK_ROWS)).sum())
+    assert made[1] < 10 * made[0] and made[1] < 15 * len(values)
+
+
+def test_shuffles_that_nothing_reads_are_dropped(spark, monkeypatch):
+    """Spent shuffles go when asked for, and that is asked for after each search for groups."""
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = held.size()
+    for _ in range(50):
+        spark.range(1_000, numPartitions=3).groupBy(F.col("id") % 7).count().collect()
+    common.drop_unused(spark)
+    for _ in range(40):
+        if held.size() < before + 25:
+            break
+        time.sleep(0.25)
+    assert held.size() < before + 25
+
+    seen, connect = [], near_copies.connected_components
+    monkeypatch.setattr(near_copies, "connected_components", lambda edges: seen.append("search") or connect(edges))
+    monkeypatch.setattr(near_copies, "drop_unused", lambda spark: seen.append("drop"))
+    rows = frame(spark, distinct_texts(9)).withColumn("key", F.col("doc_id").cast("string"))
+    assert near_copies.near_copies(rows).count() == 9
+    assert all(seen[k + 1] == "drop" for k, what in enumerate(seen) if what == "search") and seen.count("search") > 2
+
+
 def test_junk_is_rejected_and_short_texts_are_kept(spark):
     rng = np.random.default_rng(8)
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)

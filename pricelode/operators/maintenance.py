@@ -62,7 +62,7 @@ _OUTCOMES = {"r": "rejected", "s": "skipped", "i": "imported", "u": "updated"}
 
 
 def replay(offers, incoming):
-    """incoming with its outcome, and its place (`_at`) among the rows of its variant and store, which go by time.
+    """incoming with its outcome, its place (`_at`) among the rows of its variant and store, which go by time, and the stored offer's price (`_before`).
 
     Each row is held against the last accepted price before it: that of the
     stored offer at first, then that of the last row which was imported or
@@ -85,11 +85,11 @@ def replay(offers, incoming):
         return F.struct(F.when(good, r["current_price"]).otherwise(acc["price"]).cast(kind).alias("price"), (acc["known"] | good).alias("known"), F.concat(acc["said"], letter).alias("said"))
 
     start = F.struct(F.col("_before").cast(kind).alias("price"), F.coalesce("_known", F.lit(False)).alias("known"), F.lit("").alias("said"))
-    folded = lots.select(*keys, "rows", F.aggregate("rows", start, step, lambda acc: acc["said"]).alias("said"))
-    flat = folded.select(*keys, "said", F.posexplode("rows").alias("_at", "r"))
+    folded = lots.select(*keys, "rows", "_before", F.aggregate("rows", start, step, lambda acc: acc["said"]).alias("said"))
+    flat = folded.select(*keys, "said", "_before", F.posexplode("rows").alias("_at", "r"))
     letter = F.substring("said", F.col("_at") + 1, F.lit(1))
     outcome = F.element_at(F.create_map(*[F.lit(x) for pair in _OUTCOMES.items() for x in pair]), letter)
-    return flat.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in incoming.columns], outcome.alias("outcome"), "_at")
+    return flat.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in incoming.columns], outcome.alias("outcome"), "_at", "_before")
 
 
 def import_outcomes(offers, incoming):
@@ -99,7 +99,7 @@ def import_outcomes(offers, incoming):
     insane price, or one that no plausible change leads to from the last
     accepted price, be that the stored offer's or an earlier row's (replay).
     """
-    return replay(offers, incoming).drop("_at")
+    return replay(offers, incoming).drop("_at", "_before")
 
 
 def accepted(observations, price="price", ts="ts"):
@@ -107,7 +107,7 @@ def accepted(observations, price="price", ts="ts"):
     keys = ["variant_id", "store_id"]
     none = observations.sparkSession.createDataFrame([], "variant_id long, store_id long, current_price double")
     rows = replay(none, observations.withColumnsRenamed({price: "current_price", ts: "updated_at"}))
-    return rows.where(F.col("outcome").isin("imported", "updated")).drop("outcome", "_at").withColumnsRenamed({"current_price": price, "updated_at": ts}).select(*keys, *[c for c in observations.columns if c not in keys])
+    return rows.where(F.col("outcome").isin("imported", "updated")).drop("outcome", "_at", "_before").withColumnsRenamed({"current_price": price, "updated_at": ts}).select(*keys, *[c for c in observations.columns if c not in keys])
 
 
 def upsert_offers(offers, incoming):

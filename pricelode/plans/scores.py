@@ -243,12 +243,13 @@ def stream_price_intervals(fx):
     lots = rows.withColumn("lot", F.floor((F.unix_timestamp(late) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / (30 * 86_400)))
     rows = held(lots, "arrivals")
     ends = fx.spark.range(1).select(F.lit(-1).cast("long").alias("variant_id"), F.lit(-1).cast("long").alias("store_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(1).cast("decimal(12,2)").alias("price"))
-    for lot in sorted(r.lot for r in rows.select("lot").distinct().collect()):  # a handful
-        rows.where(F.col("lot") == lot).drop("lot").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    ends.write.mode("append").parquet(f"{folder}/in")
-    stream = fx.spark.readStream.schema(ends.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    T.stream_price_intervals(stream, "4 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    out = fx.spark.read.parquet(f"{folder}/out").where("variant_id >= 0")
+    arrivals = [rows.where(F.col("lot") == r.lot).drop("lot") for r in rows.select("lot").distinct().orderBy("lot").collect()]  # a handful
+    for arrival in (*arrivals, ends):
+        # The stream goes on where it stopped when the lot before was done.
+        arrival.write.mode("append").parquet(f"{folder}/in")
+        stream = fx.spark.readStream.schema(ends.schema).parquet(f"{folder}/in")
+        T.stream_price_intervals(stream, f"{folder}/out", f"{folder}/state", "4 days").trigger(availableNow=True).start().awaitTermination()
+    out = T.read_price_intervals(fx.spark, f"{folder}/out").where("variant_id >= 0")
     return out.select("variant_id", "store_id", F.col("price").cast("double").alias("price"), F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"))
 
 

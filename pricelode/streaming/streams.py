@@ -1,88 +1,15 @@
 """The stateful upserts as streams."""
 
 from collections import Counter
-from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Row
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
-
-from pricelode.operators.maintenance import counters
-
-#: The last accepted price, whether a timer is set, and the rows that wait, as microseconds and price.
-PAIR_STATE = StructType([StructField("price", StringType()), StructField("timed", BooleanType()), StructField("waiting", StringType())])
-INTERVALS = "variant_id long, store_id long, price string, old_price string, at_us long"
-
-
-class IntervalProcessor(StatefulProcessor):
-    """Observations of a (variant, store) wait in state until the watermark has passed them, and are then replayed by time.
-
-    So the order in which they arrive doesn't matter, within the watermark's
-    delay. A price beyond plausible changes from the last accepted one is
-    skipped; one that differs from it opens an interval. While rows wait there
-    is one timer; when it rings, all rows that the watermark has passed are due.
-    """
-
-    def init(self, handle):
-        self.handle = handle
-        # One value, read and written once a call, as each access crosses to the JVM.
-        self.pair = handle.getValueState("pair", PAIR_STATE)
-
-    def _wait_for(self, times):
-        self.handle.registerTimer(-(-min(times) // 1000))
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = [(r.at_us, r.price) for r in rows]
-        price, timed, waiting = self.pair.get() or (None, False, "")
-        if not timed:
-            self._wait_for(t for t, _ in new)
-        self.pair.update((price, True, "".join([waiting, *(f"{t} {p};" for t, p in new)])))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        said, _, waiting = self.pair.get()
-        rows = [(int(t), p) for t, _, p in (x.partition(" ") for x in waiting.split(";") if x)]
-        due, later = sorted((t, -Decimal(p)) for t, p in rows if t <= passed), [x for x in rows if x[0] > passed]
-        price, out = None if said is None else Decimal(said), []
-        for at, (t, down) in enumerate(due):
-            # Of rows of one time the lowest price, which comes last, counts.
-            if at + 1 < len(due) and due[at + 1][0] == t:
-                continue
-            p = -down
-            if not plausible(price, p) or p == price:
-                continue
-            out.append(Row(variant_id=key[0], store_id=key[1], price=str(p), old_price=None if price is None else str(price), at_us=t))
-            price = p
-        if later:
-            self._wait_for(t for t, _ in later)
-        self.pair.update((None if price is None else str(price), bool(later), "".join(f"{t} {p};" for t, p in later)))
-        return iter(out)
-
-    def close(self):
-        pass
-
-
-def plausible(old, new, low=Decimal("0.25"), high=4, most=20000):
-    """A sane price, within a factor 4 of the last accepted one if there is one."""
-    return 0 < new <= most and (old is None or old <= 0 or low <= new / old <= high)
-
-
-def stream_price_intervals(observations, delay="7 days"):
-    """Openings of intervals, with the price and the instant at which the one before was closed.
-
-    An observation may come up to `delay` later than later ones; then the result
-    is that of the accepted observations in order of time. Still later ones are
-    dropped; amend_price_intervals works them into the written intervals.
-    """
-    rows = observations.select("variant_id", "store_id", "ts", F.unix_micros("ts").alias("at_us"), F.col("price").cast("string").alias("price")).withWatermark("ts", delay)
-    opened = rows.groupBy("variant_id", "store_id").transformWithState(IntervalProcessor(), outputStructType=INTERVALS, outputMode="append", timeMode="EventTime")
-    at = F.timestamp_micros("at_us")
-    return opened.select("variant_id", "store_id", "price", "old_price", at.alias("started_at"), F.when(F.col("old_price").isNotNull(), at).alias("prev_ended_at"))
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from pricelode.operators.maintenance import counters, replay
 
 def stream_dedup_observations(observations, delay="7 days"):
     """One row per variant, store and time within the watermark."""
@@ -133,6 +60,68 @@ def stream_upsert_offers(observations, spark, path, checkpoint, compact=16):
     return observations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def _opened(stored, due):
+    """Openings of intervals by due observations, held against the stored open prices: price, the one before, and when."""
+    rows = replay(stored, due.withColumnsRenamed({"price": "current_price", "ts": "updated_at"})).where(F.col("outcome").isin("imported", "updated"))
+    price, at = F.col("current_price"), F.col("updated_at")
+    before = F.lag(price).over(Window.partitionBy("variant_id", "store_id").orderBy("_at"))
+    rows = rows.withColumn("old_price", F.coalesce(before, "_before")).where(~price.eqNullSafe(F.col("old_price")))
+    return rows.select("variant_id", "store_id", price.alias("price"), "old_price", at.alias("started_at"), F.when(F.col("old_price").isNotNull(), at).alias("prev_ended_at"))
+
+
+def _open_prices(spark, path, number, last):
+    """The open interval of each pair after the batches up to last: the newest base before batch `number` and the batches since, merged. None without any."""
+    bases, batches, _, _ = _versions(spark, path)
+    base = max((n for n in bases if n < number), default=-1)
+    parts = [f"{path}/base-{base}"] * (base >= 0) + [f"{path}/batch-{n}" for n in batches if base < n <= last]
+    if not parts:
+        return None
+    newest = spark.read.parquet(*parts).groupBy("variant_id", "store_id").agg(F.max(F.struct("started_at", "price")).alias("o"))
+    return newest.select("variant_id", "store_id", "o.*")
+
+
+def read_price_intervals(spark, path):
+    """All openings of intervals that stream_price_intervals has written below path."""
+    _, batches, _, _ = _versions(spark, path)
+    return spark.read.parquet(*[f"{path}/batch-{n}" for n in batches])
+
+
+def stream_price_intervals(observations, path, checkpoint, delay="7 days", compact=16):
+    """Openings of intervals, with the price and the instant at which the one before was closed, in a table below path, to be read by read_price_intervals.
+
+    An observation may come up to `delay` later than later ones; then the result
+    is that of the accepted observations in order of time. Still later ones are
+    dropped; amend_price_intervals works them into the written intervals.
+    Observations of a (variant, store) wait in the state of an aggregate by time
+    (of rows of one time the lowest price counts) until the watermark has passed
+    them, so the order in which they arrive doesn't matter. Those due are replayed
+    against the pair's open interval, whose price is the last accepted one: a
+    price beyond plausible changes is skipped, one that differs opens an interval.
+
+    A micro-batch writes its own openings alone, under its number, and reads no
+    batch from its own number on, so one that is tried again replaces itself.
+    Every `compact` batches the open intervals are written as a new base, so that
+    a batch reads that and the batches since; the base before stays for the batch
+    that is tried again.
+    """
+    rows = observations.where("ts is not null").withWatermark("ts", delay)
+    due = rows.groupBy("variant_id", "store_id", "ts").agg(F.min("price").alias("price"))
+
+    def write(batch, number):
+        session = batch.sparkSession
+        stored = _open_prices(session, path, number, number - 1)
+        if stored is None:
+            stored = batch.drop("ts").limit(0)
+        _opened(stored.withColumnRenamed("price", "current_price"), batch).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        if number % compact == compact - 1:
+            bases, _, files, at = _versions(session, path)
+            _open_prices(session, path, number, number).write.mode("overwrite").parquet(f"{path}/base-{number}")
+            for n in [n for n in bases if n < number][:-1]:
+                files.delete(at(f"{path}/base-{n}"), True)
+
+    return due.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 class ImportWatch(StreamingQueryListener):
     """Adds up what the micro-batches of running imports observe; add it with spark.streams.addListener.
 

@@ -5,6 +5,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricelode.sources import landing as L
 from pricelode.sources import tables
@@ -148,3 +149,35 @@ def test_held_tables_are_released(spark):
     assert df.count() == 5 and "released" in folder.name and folder.exists()
     assert session.release(spark) >= 1 and session.release(spark) == 0
     assert not folder.exists()
+
+
+def test_snapshots_of_many_stores_make_few_folders(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    texts = ['{"products": [1, {"title": "T"}]}', '{"total_products": 7, "products": []}', "[1, 2, 3]", '{"products": 5}', '{"products": [1}']
+    rows = [(s, at, texts[s % 5]) for s in range(300)]
+    L.append_raw_snapshot(L.raw_snapshots(spark.createDataFrame(rows, "store_id long, fetched_at timestamp, payload string"), "v"), str(tmp_path / "raw"), buckets=8)
+    assert len(list((tmp_path / "raw").glob("*/*/*.parquet"))) <= 8
+    table = spark.read.parquet(str(tmp_path / "raw"))
+    assert {r.store_id: r.products_count for r in table.collect()} == {s: (2, 7, 3, 0, 0)[s % 5] for s in range(300)}
+    # A reader of one store reads one folder.
+    plan = table.where((F.col("store_id") == 5) & (F.col("bucket") == L.store_bucket(F.lit(5), 8)))
+    assert [r.store_id for r in plan.collect()] == [5] and "bucket" in plan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+
+
+def test_rates_are_sent_to_rows_of_one_currency(spark):
+    from pricelode.functions import normalize as N
+
+    rates = spark.createDataFrame([("EUR", "0.5")], "currency string, rate string")
+    rows = spark.range(9).select("id", F.lit("2").alias("price"), F.concat(F.lit("https://a"), "id", F.lit(".de")).alias("url"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("e"), F.lit("ur"))).alias("api_currency"))
+    out = N.normalize_prices(rows, rates)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Dealt by currency, rows of one currency are one task's; the host is taken from the url once a row.
+    assert "hashpartitioning(currency" not in plan and plan.count("regexp_extract(") == 1
+    assert out.columns[-4:] == ["currency", "reject_reason", "usd_price", "rate"] and {float(r.usd_price) for r in out.collect()} == {4.0}
+
+
+def test_lineage_parses_payloads_once(spark):
+    from pricelode.plans import registry
+
+    plan = registry.queries()["offer_lineage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan
